@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_perspectives
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .langid import op3_language_id
 from .mixing import op1_mix_sources
 from .tokencount import op4_token_counts
+from .tokenfile import op7_token_ids
 from .topk import OP10_SQL, op10_exact_topk
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_chat_perspectives": op5_chat_perspectives,
+    "op7_token_ids": op7_token_ids,
+    "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_topk": op10_exact_topk,
 }

@@ -7,6 +7,8 @@ hashes give n-grams the same way.  Distinct words share a hash with a chance nea
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 _SEED = 20240611
@@ -50,8 +52,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _words(piece: np.ndarray, cut: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start bytes of the words of one piece."""
+def _words(piece: np.ndarray, cut: np.ndarray, lower: bool, prefix: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start bytes of the words of one piece; with ``prefix``, hashes of the words' first bytes in further rows."""
     if lower:
         piece = LOWER[piece]
     inside = np.empty(len(piece) + 2, np.int8)
@@ -60,16 +62,22 @@ def _words(piece: np.ndarray, cut: np.ndarray, lower: bool) -> tuple[np.ndarray,
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return np.zeros((1 + len(prefix), 0) if prefix else 0, np.uint64), starts
     up, down = powers(BASE, len(piece) + 1)
     total = np.zeros(len(piece) + 1, np.uint64)
     np.cumsum(BYTE[piece] * up[: len(piece)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts
+    whole = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if not prefix:
+        return whole, starts
+    parts = [mix((total[np.minimum(ends, starts + n)] - total[starts]) * down[starts] ^ np.uint64(0x5851F42D4C957F2D * n % (1 << 64))) for n in prefix]
+    return np.stack([whole, *parts]), starts
+
 
+def hash_words(offsets: np.ndarray, data: np.ndarray, cut: np.ndarray = SPACE, lower: bool = False, prefix: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, in order; for each text the number of words before it, and in the end of all).
 
-def hash_words(offsets: np.ndarray, data: np.ndarray, cut: np.ndarray = SPACE, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, in order; for each text the number of words before it, and in the end of all)."""
+    With ``prefix``, the hashes have a further row for each of its numbers, of each word's first bytes.
+    """
     hashes: list[np.ndarray] = []
     count = np.zeros(len(offsets), np.int64)
     done, i, n = 0, 0, len(offsets) - 1
@@ -83,9 +91,9 @@ def hash_words(offsets: np.ndarray, data: np.ndarray, cut: np.ndarray = SPACE, l
                     far = min(end, stop + PIECE)
                     seps = np.flatnonzero(cut[LOWER[data[stop:far]] if lower else data[stop:far]])
                     stop = stop + int(seps[0]) if len(seps) else far
-                h, _ = _words(data[at:stop], cut, lower)
+                h, _ = _words(data[at:stop], cut, lower, prefix)
                 hashes.append(h)
-                words += len(h)
+                words += h.shape[-1]
                 at = stop
             done += words
             count[j] = done
@@ -96,12 +104,12 @@ def hash_words(offsets: np.ndarray, data: np.ndarray, cut: np.ndarray = SPACE, l
             ends = np.cumsum(lengths) + np.arange(j - i)
             into[ends] = False
             room[into] = data[lo : int(offsets[j])]
-            h, starts = _words(room, cut, lower)
+            h, starts = _words(room, cut, lower, prefix)
             hashes.append(h)
             count[i + 1 : j + 1] = done + np.searchsorted(starts, ends)
-            done += len(h)
+            done += h.shape[-1]
         i = j
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), count
+    return (np.concatenate(hashes, -1) if hashes else np.zeros((1 + len(prefix), 0) if prefix else 0, np.uint64)), count
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
