@@ -98,10 +98,10 @@ def mix(
     """doc_id, source, size, source_size, target, quota_blocks and shard of the document's shard, taken, and ``keep``'s columns."""
     spark = documents.sparkSession
     extra = [F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)]
-    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *extra)
-    if not keep:
-        sized = materialize(sized, "mix-sizes")  # three numbers a document, read again below instead of the texts
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
+    numbers = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *extra) if keep else None
+    numbers = materialize(numbers, "mix-sizes")  # three numbers a document, read below instead of the texts
+    per_source = numbers.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     per_source.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -111,9 +111,12 @@ def mix(
     shards = [max(1, -(-s // each)) for s in sizes]
     plan = spark.createDataFrame([(i, r.source, r.source_size, goal[i], shards[i]) for i, r in enumerate(per_source)], "source_no int, source string, source_size long, target double, shards int")
     plan_side = F.broadcast(plan)  # one row for each source, at most MAX_SOURCES
-    placed = sized.join(plan_side, sized.source.eqNullSafe(plan.source)).drop(plan.source)
-    placed = placed.withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit("order"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("shards").cast("long")).cast("int"))
-    per_shard = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("words")).collect()  # at most max_shards + sources rows
+
+    def place(rows: DataFrame) -> DataFrame:
+        met = rows.join(plan_side, rows.source.eqNullSafe(plan.source)).drop(plan.source)
+        return met.withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit("order"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("shards").cast("long")).cast("int"))
+
+    per_shard = place(numbers).groupBy("source_no", "shard").agg(F.sum("size").alias("words")).collect()  # at most max_shards + sources rows
     blocks = {(r.source_no, r.shard): (-(-r.words // block), r.words) for r in per_shard}
     by_source: dict[int, list[int]] = {}
     for no, shard in sorted(blocks):
@@ -128,7 +131,7 @@ def mix(
     quota = spark.createDataFrame(quotas, "source_no int, shard int, blocks long, quota_blocks long, line long")
     line = Window.partitionBy("source_no", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum("size").over(line), F.lit(0).cast("long"))
-    out = placed.withColumn("at", at).join(F.broadcast(quota), ["source_no", "shard"])
+    out = place(numbers if sized is None else sized).withColumn("at", at).join(F.broadcast(quota), ["source_no", "shard"])
     rest, first = F.col("quota_blocks") % F.col("blocks"), F.pmod(F.xxhash64(F.lit(seed), F.col("source_no"), F.col("shard"), F.lit("first")), F.col("blocks"))
     has = F.col("blocks") > 0
     out = out.withColumn("rest", F.when(has, rest).otherwise(0)).withColumn("first", F.when(has, first).otherwise(0))
@@ -144,5 +147,19 @@ def mix(
     return out.select("doc_id", "source", "size", "source_size", "target", "quota_blocks", "shard", taken.alias("taken"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep) if c not in ("doc_id", "source")])
 
 
+def mixed(documents: DataFrame, **options) -> DataFrame:
+    """The mix itself, with ``documents``' columns: a row for each whole time a document is taken, and one with its first
+    words (joined by one space) where a block's edge cuts it; n_chars, if there, follows the text."""
+    names = documents.columns
+    out = mix(documents, keep=[c for c in names if c not in ("doc_id", "source")], **options).where("taken > 0")
+    times, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    whole = out.where(F.col("taken") >= F.col("size")).withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*names)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")), " ")
+    part = out.where(rest > 0).withColumn("text", first)
+    if "n_chars" in names:
+        part = part.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return whole.union(part.select(*names))
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
