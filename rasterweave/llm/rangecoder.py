@@ -43,7 +43,7 @@ class Model:
         self.e2, self.s2 = np.zeros(_TABLE2, np.int32), np.zeros(_TABLE2, np.int8)
         bins = 2 * (_SURE + 1) ** 2
         self.seen, self.right2, self.right1 = (np.zeros(bins, np.int64) for _ in range(3))
-        self.round = 0
+        self.round, self.new = 0, []
         self._frequencies()
 
     def _frequencies(self) -> None:
@@ -53,6 +53,18 @@ class Model:
         self.f = f
         self.cum = np.zeros(self.n + 1, np.int64)
         np.cumsum(f, out=self.cum[1:])
+        self.near = None
+
+    def find(self, y: np.ndarray) -> np.ndarray:
+        """The ids whose share of the order-0 line holds y."""
+        if self.near is None:  # the id at each 64th place of the line
+            self.near = np.searchsorted(self.cum, np.arange(0, 1 << _W0, 64), "right") - 1
+        x = self.near[y >> 6]
+        x += self.cum[x + 1] <= y
+        late = np.flatnonzero(self.cum[x + 1] <= y)
+        if len(late):
+            x[late] = np.searchsorted(self.cum, y[late], "right") - 1
+        return x
 
     def predict(self, before: np.ndarray, before2: np.ndarray):
         """Expected ids and weights of the lanes, by their last two ids."""
@@ -64,7 +76,7 @@ class Model:
         w2 = (2 * self.right2 + 1) * room // (2 * self.seen + 3)
         w1 = np.minimum((2 * self.right1 + 1) * room // (2 * self.seen + 3), room - w2)
         a2, a1 = w2[b], w1[b]
-        a1[same] = 0
+        a1[same] = 0  # one id expected twice has one weight
         return c2, e2, s2, e1, s1, same, b, a2, a1
 
     def update(self, x: np.ndarray, before: np.ndarray, p) -> None:
@@ -79,9 +91,11 @@ class Model:
         self.e2[c2] = np.where(hit2 | (s2 > 1), e2, x)
         self.s1[before] = np.where(hit1, np.minimum(s1 + 1, _SURE), s1 >> 1)
         self.e1[before] = np.where(hit1 | (s1 > 1), e1, x)
-        self.count += np.bincount(x, minlength=self.n) * 32
         self.round += 1
+        self.new.append(x)
         if self.round & (self.round - 1) == 0 or self.round % 16 == 0:
+            self.count += np.bincount(np.concatenate(self.new), minlength=self.n) * 32
+            self.new.clear()
             self._frequencies()
 
 
@@ -176,21 +190,19 @@ def decode_block(record: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         lo, sz, co = low[:m], size[:m], code[:m]
         sz >>= _U(_TOTAL)
         v = np.minimum((co - lo) // sz, _U((1 << _TOTAL) - 1)).astype(np.int64)
+        # an expected id's part of the line, with the parts of both expected ids in place
         big2, big1 = a2 << _W0, a1 << _W0
-        # expected ids in ascending order, each with its share of the line
-        flip = e1 < e2
-        ea, eb = np.where(flip, e1, e2), np.where(flip, e2, e1)
-        wa, wb = np.where(flip, big1, big2), np.where(flip, big2, big1)
-        f_a, f_b = a0 * model.f[ea], a0 * model.f[eb]
-        at_a = a0 * model.cum[ea]
-        at_b = a0 * model.cum[eb] + np.where(ea < eb, wa, 0)
-        end_a = at_a + f_a + np.where(ea == eb, wa + wb, wa)
-        end_b = np.where(ea == eb, end_a, at_b + f_b + wb)
-        rest = v - np.where(v >= end_a, wa, 0) - np.where(v >= end_b, wb, 0)
-        x = np.searchsorted(model.cum, rest // a0, "right") - 1
-        x = np.where((v >= at_a) & (v < end_a), ea, np.where((v >= at_b) & (v < end_b), eb, np.minimum(x, alphabet - 1)))
-        begin = a0 * model.cum[x] + ((e2 < x) * a2 + (e1 < x) * a1 << _W0)
-        width = a0 * model.f[x] + ((e2 == x) * a2 + (e1 == x) * a1 << _W0)
+        begin2 = a0 * model.cum[e2] + np.where(e1 < e2, big1, 0)
+        begin1 = a0 * model.cum[e1] + np.where(e2 < e1, big2, 0)
+        end2, end1 = begin2 + a0 * model.f[e2] + big2, begin1 + a0 * model.f[e1] + big1
+        is2, is1 = (v >= begin2) & (v < end2), (v >= begin1) & (v < end1)
+        x = np.where(is2, e2, e1).astype(np.int64)
+        begin, width = np.where(is2, begin2, begin1), np.where(is2, end2 - begin2, end1 - begin1)
+        o = np.flatnonzero(~(is2 | is1))
+        if len(o):  # by order 0
+            skip = np.where(v[o] >= end2[o], big2[o], 0) + np.where(v[o] >= end1[o], big1[o], 0)
+            y = model.find((v[o] - skip) // a0[o])
+            x[o], begin[o], width[o] = y, a0[o] * model.cum[y] + skip, a0[o] * model.f[y]
         lo += begin.astype(np.uint64) * sz
         sz *= width.astype(np.uint64)
         while (k := _renormalise(lo, sz)) is not None:

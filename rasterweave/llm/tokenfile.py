@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,10 +36,20 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table, texts
 from .rangecoder import BLOCK_IDS, decode, encode
 
-MAX_UNITS = 500_000
-PIECE = 1 << 22  # bytes of text encoded in one go
+MAX_UNITS = 800_000
+PIECE = 1 << 23  # bytes of text encoded in one go
 FILE_SCHEMA = "shard int, record int, first long, alphabet int, doc_ids binary, doc_nulls binary, n_tokens binary, ids binary"
-_EDGE = re.compile(r"\A\s|\s\Z|\s\s")
+
+
+class _Both(dict):
+    """A passing table before a lasting one."""
+
+    def __init__(self, lasting: dict, passing: dict):
+        super().__init__(passing)
+        self.lasting = lasting
+
+    def __missing__(self, key):
+        return self.lasting[key]
 
 
 class Encoder:
@@ -56,28 +65,68 @@ class Encoder:
         self.size = self.tk.get_vocab_size()
         self.units: dict[str, bytes | None] = {}
         self.line_end = self._library(["\n"])[0]
+        self.line_end_id = int(np.frombuffer(self.line_end, "<u4")[0])
+        self.stops = dict(zip(",.", self._library([",", "."]), strict=True))
+        self.by_unit &= len(self.line_end) == 4
 
     def _library(self, some: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tk.encode_batch_fast(some, add_special_tokens=False)] if some else []
 
+    def _words(self, some: list[str]) -> list[bytes]:
+        """As _library, for texts without white space but one space first: encoded as the lines of one text."""
+        out: list[bytes] = []
+        for i in range(0, len(some), 20_000):
+            part = some[i : i + 20_000]
+            ids = np.array(self.tk.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_end_id).tolist()
+            raw = ids.tobytes()
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the line end is not a token of its own")
+            out += [raw[4 * a : 4 * z] for a, z in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+        return out
+
     def _learn(self, units: set[str]) -> dict[str, bytes | None]:
-        """The known units with those of this set; the first MAX_UNITS, with the frequent ones among them, stay."""
-        fresh = units - self.units.keys()
+        """The known units with those of this set; the first MAX_UNITS, with the frequent ones among them, stay.
+
+        A comma or full stop after a letter, at a unit's end, is a token sequence of its own, as is a line end.
+        """
+        known = self.units
+        fresh = [u for u in units if u not in known]
         got: dict[str, bytes | None] = {}
-        plain = []
+        plan: list[tuple[str, list[str]]] = []
         for u in fresh:
-            bare = u[1:] if u[0] == " " else u
-            if not bare or _EDGE.search(bare):
-                got[u] = None  # other white space: the whole text goes to the library
+            size = len(u) - (u[0] == " ")
+            bare = u.split()
+            if len(bare) == 1 and len(bare[0]) == size:
+                plan.append((u, [u]))
+            elif size and sum(map(len, bare)) == size - (len(bare) - 1) and len(lines := u.split("\n")) == len(bare) and u[-1] != "\n":
+                plan.append((u, lines))
             else:
-                plain.append(u)
-        parts = list({p for u in plain for p in u.split("\n")})
-        known = dict(zip(parts, self._library(parts), strict=True))
-        for u in plain:
-            got[u] = known[u] if "\n" not in u else self.line_end.join([known[p] for p in u.split("\n")])
-        room = MAX_UNITS - len(self.units)
-        self.units.update(itertools.islice(got.items(), max(0, room)))
-        return self.units if len(got) <= room else {u: self.units[u] for u in units if u in self.units} | got
+                got[u] = None  # other white space: the whole text goes to the library
+        base = {}
+        for _, lines in plan:
+            for p in lines:
+                base[p] = p[:-1] if len(p) > 2 and p[-1] in ",." and p[-2].isalpha() else p
+        need = [b for b in set(base.values()) if b not in known]
+        ids = dict(zip(need, self._words(need), strict=True))
+        room = MAX_UNITS - len(known)
+        for b in need[: max(0, room)]:
+            known[b] = ids[b]
+
+        def one(p: str) -> bytes:
+            b = base[p]
+            x = ids.get(b) or known[b]
+            return x if len(b) == len(p) else x + self.stops[p[-1]]
+
+        for u, lines in plan:
+            got[u] = one(u) if len(lines) == 1 else self.line_end.join([one(p) for p in lines])
+        room = MAX_UNITS - len(known)
+        if len(got) <= room:
+            known.update(got)
+            return known
+        for u in itertools.islice(got, max(0, room)):
+            known[u] = got[u]
+        return _Both(known, got)
 
     def encode(self, some: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, number of each text), each text ended by ``end_id``."""
