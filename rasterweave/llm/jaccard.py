@@ -9,11 +9,13 @@ probes the long ones only for what the short ones bring up.  Here:
 2. All shingles are ordered: rare ones by hash, then frequent ones by frequency.  Documents that link share at
    least l of the first n - T + l of theirs in that order (the short lists); only those are indexed.  l grows with n, so that
    a few shingles shared by chance bring nothing up.  The index is dealt by shingle, packed as arrays.
-3. Members of a list are chained by size and neighbours verified, which joins most of a large group of near copies
-   with a number of pairs in proportion to the postings; then only pairs of different components that share enough of the
-   index are counted and verified, whatever their number.  No list emits all pairs within a component.
-4. Verification is the search proper: for a query document and its candidates, the lists of the query's
-   shingles are split into short and long, the short ones heap-merged, the long ones probed by binary search.
+3. Documents that share enough of the index are put into search blocks of at most BLOCK, neighbours on a long list
+   together.  First each document searches the blocks of its neighbours by size on its lists; that joins most of a large group
+   of near copies at a cost in proportion to the postings.  Then documents of smaller components search every block
+   that shares enough of their index entries and holds a document of a larger component, whatever their number.
+   A query goes to a block once, not once for each pair.
+4. A block is an inverted index.  A search splits the lists of the query's shingles into short and long, merges the
+   short ones, and probes the long ones by binary search for what the short ones brought up often enough.
 5. Components of the links by star rounds; each document gets the smallest doc_id of its component.
 
 A shingle is a 64-bit hash; two different shingles meet with a chance near 2**-64.
@@ -26,13 +28,12 @@ id; repeated rows link with each other; rows are never capped; only doc_id and t
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table, utf8
@@ -45,7 +46,9 @@ LEAST_FREQUENT = 64
 FLUSH = 1 << 20  # index entries packed at a time
 BLOOM_BITS = 1 << 24
 GROUP = 1 << 22  # bytes of text hashed in one go
-MU = 0.01  # DivideSkip's cost ratio of probing and merging
+MU = 0.5  # DivideSkip's cost ratio of probing and merging
+FEW = 2048  # postings that are merged by a heap
+BLOCK = 512  # documents of a search block
 
 
 def sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -99,58 +102,73 @@ class Rule:
         return (a * self.num <= b * self.den) & (b * self.num <= a * self.den)
 
     def shared_column(self, n: Column) -> Column:
-        return F.least(F.floor(n / 32) + 1, F.ceil(n * self.num / self.den))
+        return F.least(F.floor(n / 32) + 1, self.least_column(n))
 
+    def least_column(self, n: Column) -> Column:
+        return F.ceil(n * self.num / self.den)
 
-def divide_skip(lists: Sequence[Sequence[int]], t: int, mu: float = MU) -> dict[int, int]:
-    """Ids that are on t lists or more, with the number of lists; each list ascends.
+    def few(self, n: Column) -> Column:
+        """Index entries that a set of n shares with any partner; the smallest partner asks for least."""
+        return F.least(F.floor(self.least_column(n) / 32) + 1, self.least_column(self.least_column(n)))
 
-    The longest lists, fewer than t, are set aside.  The rest are merged by a heap; an id met often enough there to
-    reach t with all long lists is looked up in each long list by binary search.
+    def least_shared(self, a: Column, b: Column) -> Column:
+        """Index entries that linked sets of a and b share: up to where the earlier index prefix ends, all but what lies behind."""
+        behind = F.greatest(self.least_column(a) - self.shared_column(a), self.least_column(b) - self.shared_column(b))
+        return F.greatest(F.lit(1), F.ceil((a + b) * self.num / (self.num + self.den)) - behind)
+
+
+def divide_skip(lists: Sequence[np.ndarray], t: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
+    """(ids on t lists or more, on how many); each list ascends.
+
+    The longest lists, fewer than t, are set aside.  The rest are merged, by a heap where they are short in all; an id met
+    often enough there to reach t with all long lists is looked up in each long list by binary search.
     """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     lists = sorted((x for x in lists if len(x)), key=len)
     if t <= 0 or len(lists) < t:
-        return {}
-    longest = len(lists[-1])
-    n_long = min(t - 1, int(t / (mu * np.log2(longest + 1) + 1)))
+        return none
+    n_long = min(t - 1, int(t / (mu * np.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    out: dict[int, int] = {}
-    last, count = None, 0
-
-    def close() -> None:
-        if last is not None and count >= t - n_long:
-            total = count
-            for x in long:
-                at = bisect_left(x, last)
-                total += at < len(x) and x[at] == last
-            if total >= t:
-                out[last] = total
-
-    for x in heapq.merge(*short):
-        if x == last:
-            count += 1
-        else:
-            close()
-            last, count = x, 1
-    close()
-    return out
-
-
-def search(query: np.ndarray, candidates: Sequence[np.ndarray], rule: Rule) -> list[bool]:
-    """Which candidate sets link with the query set."""
-    need = [int(rule.overlap(len(query), len(c))) for c in candidates]
-    every = np.concatenate(candidates)
-    owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-    at = np.searchsorted(query, every)
-    at[at == len(query)] = 0
-    hit = np.flatnonzero(query[at] == every)
-    order = hit[np.argsort(at[hit], kind="stable")]
-    cuts = np.flatnonzero(np.diff(at[order])) + 1
-    owners = owner[order].tolist()
-    edges = [0, *cuts.tolist(), len(owners)]
-    lists = [owners[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
-    found = divide_skip(lists, max(1, min(need)))
-    return [found.get(i, 0) >= t for i, t in enumerate(need)]
+    if sum(map(len, short)) <= FEW:
+        merged = np.fromiter(heapq.merge(*[x.tolist() for x in short]), np.int64)
+    else:
+        merged = np.sort(np.concatenate(short), kind="stable")  # merges ascending runs
+    ids, count = np.unique(merged, return_counts=True)
+    able = count >= t - n_long
+    ids, count = ids[able], count[able]
+    for x in long:
+        if not len(ids):
+            return none
+        at = np.searchsorted(x, ids)
+        at[at == len(x)] = 0
+        count += x[at] == ids
+    done = count >= t
+    return ids[done], count[done]
+
+
+class Block:
+    """An inverted index over a few documents' sets."""
+
+    def __init__(self, sets_: Sequence[np.ndarray]):
+        self.size = np.array([len(x) for x in sets_], np.int64)
+        every, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), self.size)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.key, self.start = np.unique(every[order], return_index=True)
+        self.end = np.append(self.start[1:], len(every))
+
+    def search(self, query: np.ndarray, rule: Rule) -> np.ndarray:
+        """Places of the documents that link with the query set."""
+        fit = (self.size * rule.den >= len(query) * rule.num) & (self.size * rule.num <= len(query) * rule.den)
+        if not fit.any():
+            return np.zeros(0, np.int64)
+        need = rule.overlap(len(query), self.size)
+        at = np.searchsorted(self.key, query)
+        at[at == len(self.key)] = 0
+        at = at[self.key[at] == query]
+        lists = [self.owner[a:z] for a, z in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+        ids, count = divide_skip(lists, max(1, int(need[fit].min())))
+        return ids[fit[ids] & (count >= need[ids])]
 
 
 def _scan(documents: DataFrame, n: int) -> DataFrame:
@@ -282,9 +300,7 @@ def _index(documents: DataFrame, n: int, rule: Rule, frequent: Frequent, buckets
 
 def _enough(entries: DataFrame, rule: Rule) -> DataFrame:
     """Entries of the classes that share enough of the index to link with any."""
-    # the smallest partner that fits asks for least
-    few = F.least(F.floor(F.ceil(F.col("n") * rule.num / rule.den) / 32) + 1, F.ceil(F.ceil(F.col("n") * rule.num / rule.den) * rule.num / rule.den))
-    able = entries.groupBy("sig", "n").agg(F.count("*").alias("c")).where(F.col("c") >= few).select("sig")
+    able = entries.groupBy("sig", "n").agg(F.count("*").alias("c")).where(F.col("c") >= rule.few(F.col("n"))).select("sig")
     return entries.join(able, "sig", "left_semi")
 
 
@@ -325,26 +341,36 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return some.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
-def _verify(pairs: DataFrame, packed: DataFrame, rule: Rule) -> DataFrame:
-    """The linked ones of pairs (u, v), searching u's lists for its candidates v."""
-    with_v = pairs.select("u", "v").join(packed.select(F.col("sig").alias("v"), F.col("set").alias("v_set")), "v")
-    both = with_v.join(packed.select(F.col("sig").alias("u"), F.col("set").alias("u_set")), "u")
+def _blocks(entries: DataFrame) -> DataFrame:
+    """sig, n, blk: at most BLOCK documents a block, neighbours by size on the longest list that they are on."""
+    long = entries.withColumn("m", F.count("*").over(Window.partitionBy("key"))).groupBy("sig", "n").agg(F.max_by("key", F.struct("m", "key")).alias("home"))
+    place = F.row_number().over(Window.partitionBy("home").orderBy("n", "sig")) - 1
+    return long.withColumn("part", F.floor(place / BLOCK)).select("sig", "n", F.xxhash64("home", "part").alias("blk"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, v = (b.column(b.schema.names.index(c)).to_numpy() for c in ("u", "v"))
-            u_set, v_set = b.column(b.schema.names.index("u_set")), b.column(b.schema.names.index("v_set"))
-            order = np.argsort(u, kind="stable")
-            cuts = np.flatnonzero(np.diff(u[order])) + 1
-            keep = []
-            for rows in np.split(order, cuts) if len(order) else []:
-                for i in range(0, len(rows), 64):
-                    some = rows[i : i + 64]
-                    got = search(np.frombuffer(u_set[int(some[0])].as_buffer(), np.uint64), [np.frombuffer(v_set[int(r)].as_buffer(), np.uint64) for r in some], rule)
-                    keep += [r for r, ok in zip(some.tolist(), got, strict=True) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+def _search(queries: DataFrame, docs: DataFrame, packed: DataFrame, rule: Rule, shards: int) -> DataFrame:
+    """Links u, v of queries (u, blk) with documents (sig, blk)."""
+    shard = F.pmod(F.xxhash64("blk"), F.lit(shards)).alias("shard")
+    asked = queries.select("blk").distinct()
+    held = docs.join(asked, "blk", "left_semi").join(packed, "sig").select(shard, "blk", "sig", "set")
+    asking = queries.join(packed.select(F.col("sig").alias("u"), F.col("set").alias("q")), "u").select(shard.alias("to"), F.col("blk").alias("at"), "u", "q")
+
+    def run(blocks: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        by = dict(iter(some.groupby("at", sort=False)))
+        for blk, rows in blocks.groupby("blk", sort=False):
+            if blk not in by:
+                continue
+            sig = rows["sig"].to_numpy()
+            index = Block([np.frombuffer(x, np.uint64) for x in rows["set"]])
+            for q, raw in zip(by[blk]["u"].tolist(), by[blk]["q"], strict=True):
+                got = sig[index.search(np.frombuffer(raw, np.uint64), rule)]
+                got = got[got != q]
+                u += [q] * len(got)
+                v += got.tolist()
+        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
+
+    return held.groupBy("shard").cogroup(asking.groupBy("to")).applyInPandas(run, "u long, v long")
 
 
 def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -360,24 +386,30 @@ def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> Dat
     entries = materialize(_index(documents, n, rule, frequent, max(8, partitions(spark))), "jaccard-index")
     entries = materialize(_enough(entries, rule), "jaccard-entries")
     packed = materialize(_sets_of(documents, entries.select("sig").distinct().join(classes, "sig"), n), "jaccard-sets")
+    docs_in = materialize(_blocks(entries), "jaccard-blocks")
+    shards = 4 * partitions(spark)
+    where_is = docs_in.select(F.col("sig").alias("v"), "blk")
     # neighbours by size on each list
-    key = F.col("key")
-    after = lambda c: F.lead(c).over(_by(key))
-    chain = entries.select("sig", "n", after("sig").alias("sig2"), after("n").alias("n2")).where(F.col("sig2").isNotNull() & rule.fits(F.col("n"), F.col("n2")))
-    least = F.least(rule.shared_column(F.min("n")), rule.shared_column(F.min("n2")))
-    chain = chain.groupBy(F.least("sig", "sig2").alias("u"), F.greatest("sig", "sig2").alias("v")).agg(F.count("*").alias("c"), F.ceil(least / 2).alias("least")).where("c >= least").select("u", "v")
-    tried = materialize(chain, "jaccard-chain")
-    linked = materialize(_verify(tried, packed, rule), "jaccard-links")
+    on_list = Window.partitionBy("key").orderBy("n", "sig")
+    chain = entries.select("sig", "n", F.lead("sig").over(on_list).alias("v"), F.lead("n").over(on_list).alias("n2")).where(F.col("v").isNotNull() & rule.fits(F.col("n"), F.col("n2")))
+    chain = chain.groupBy(F.col("sig").alias("u"), "v").agg(F.count("*").alias("c"), rule.least_shared(F.min("n"), F.min("n2")).alias("least")).where(F.col("c") * 2 >= F.col("least"))
+    first = materialize(chain.join(where_is, "v").select("u", "blk").distinct(), "jaccard-chain")
+    linked = materialize(_search(first, docs_in, packed, rule, shards), "jaccard-links")
     group = components(linked)
-    # what is left: pairs of different components
-    known = entries.join(group.select(F.col("u").alias("sig"), F.col("v").alias("g")), "sig", "left").select("key", "sig", "n", F.coalesce("g", "sig").alias("g"))
-    mixed = known.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
-    members = known.join(mixed, "key", "left_semi").groupBy("key", "g").agg(F.collect_list(F.struct("sig", "n")).alias("m"))
-    a, b = members.select("key", F.col("g").alias("ga"), F.col("m").alias("ma")), members.select("key", F.col("g").alias("gb"), F.col("m").alias("mb"))
-    cross = a.join(b, "key").where("ga < gb").select(F.explode("ma").alias("a"), "mb").select("a", F.explode("mb").alias("b")).where(rule.fits(F.col("a.n"), F.col("b.n")))
-    cross = cross.groupBy(F.least("a.sig", "b.sig").alias("u"), F.greatest("a.sig", "b.sig").alias("v")).agg(F.count("*").alias("c"), F.least(rule.shared_column(F.min("a.n")), rule.shared_column(F.min("b.n"))).alias("least"))
-    cross = materialize(cross.where("c >= least").select("u", "v").join(tried, ["u", "v"], "left_anti"), "jaccard-cross")
-    more = materialize(_verify(cross, packed, rule), "jaccard-links")
+    # what is left: documents of smaller components against blocks that hold others
+    member = docs_in.join(group.select(F.col("u").alias("sig"), F.col("v").alias("g")), "sig", "left").withColumn("g", F.coalesce("g", "sig"))
+    # the larger component has the higher rank
+    rank = member.groupBy("g").agg(F.struct(F.count("*").alias("size"), F.col("g").alias("id")).alias("rank"))
+    member = materialize(member.join(rank, "g"), "jaccard-members")
+    known = entries.select("key", "sig").join(member, "sig")
+    held = known.groupBy("key", "blk").agg(F.max("rank").alias("top"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = held.groupBy("key").agg(F.max("top").alias("best"))
+    asking = known.join(other, "key").where("rank < best").select("key", F.col("sig").alias("u"), "n", "rank")
+    met = asking.join(held, "key").where((F.col("top") > F.col("rank")) & (F.col("hi") * den >= F.col("n") * num) & (F.col("lo") * num <= F.col("n") * den))
+    # the smallest partner that fits asks for least
+    met = met.groupBy("u", "blk").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") >= rule.few(F.col("n"))).select("u", "blk")
+    rest = materialize(met.join(first, ["u", "blk"], "left_anti"), "jaccard-rest")
+    more = materialize(_search(rest, docs_in, packed, rule, shards), "jaccard-links")
     group = components(group.union(more))
     named = classes.join(group.select(F.col("u").alias("sig"), F.col("v").alias("g")), "sig", "left").select("sig", "doc_id", F.coalesce("g", "sig").alias("g"))
     smallest = named.groupBy("g").agg(F.min("doc_id").alias("component_id"))
@@ -387,12 +419,6 @@ def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _by(key: Column):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("n", "sig")
-
-
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
