@@ -1,0 +1,21 @@
+"""Cutting lineage by way of the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Only where the session names no shared folder.
+FALLBACK_DIR = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back: later steps start from files, not from the plan so far."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import queries_fuzzy, queries_raster
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_fuzzy.Q, **queries_raster.Q}
+ORACLE_SQL: dict[str, str] = {**queries_fuzzy.SQL, **queries_raster.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
