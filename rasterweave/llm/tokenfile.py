@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table, texts
 from .rangecoder import BLOCK_IDS, decode, encode
 
-MAX_UNITS = 800_000
-PIECE = 1 << 23  # bytes of text encoded in one go
+MAX_UNITS = 300_000
+PIECE = 1 << 21  # bytes of text encoded in one go
 FILE_SCHEMA = "shard int, record int, first long, alphabet int, doc_ids binary, doc_nulls binary, n_tokens binary, ids binary"
 
 
