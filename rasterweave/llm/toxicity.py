@@ -32,7 +32,7 @@ from .wordhash import PUNCT, hash_words
 PREFIX, FACTORS = (4, 6), 4
 #: Terms that take part: in MIN_DOCS training texts at least, and that lean to a label (a chi-squared over LEAN,
 #: at most MAX_TERMS) or are among the FREQUENT most frequent, which may weigh only in pairs.
-MIN_DOCS, LEAN, MAX_TERMS, FREQUENT = 4, 15.0, 50_000, 2_000
+MIN_DOCS, LEAN, MAX_TERMS, FREQUENT = 4, 15.0, 50_000, 200
 GROUP = 1 << 21  # bytes of text whose terms are made in one go
 
 
