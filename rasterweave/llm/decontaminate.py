@@ -187,14 +187,23 @@ def shards(items: DataFrame, window: int, item_id: str = "item_id", text: str =
 
 
 def mark(documents: DataFrame, items: DataFrame, *, window: int = 10, text: str = "text", keep: Sequence[str] = ("doc_id",), shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``keep``'s columns and _text, _n_words int, _hit binary (a bit for each word; empty: none), _items array<string>."""
+    """``keep``'s columns (none named as the others) and _text, _n_words, _hit, _items as ``_mark`` says."""
+    return _mark(documents, items, window, text, keep, shard_words).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+
+
+def _mark(documents: DataFrame, items: DataFrame, window: int, text: str, keep: Sequence[str], shard_words: int, finish=None, schema=None) -> DataFrame:
+    """``finish`` (a function of a batch, with the ``schema`` it makes) is applied in the same pass to
+    ``keep``'s columns as k0, k1, ... and _text, _n_words int, _hit binary (a bit for each word; empty: none), _items array<string>."""
     spark = documents.sparkSession
     out = documents.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("_text"), F.lit(0).alias("_n_words"), F.lit(b"").alias("_hit"), F.array().cast("array<string>").alias("_items"))
-    todo = list(shards(items, window, shard_words=shard_words)) if isinstance(items, DataFrame) else list(items)
-    for no, shard in enumerate(todo):
+    todo = shards(items, window, shard_words=shard_words)
+    shard, after = next(todo), next(todo, None)
+    while shard is not None:  # one shard at a time is held
         sent = spark.sparkContext.broadcast(shard)  # at most shard_words words
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        last = finish if after is None else None
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             s = sent.value
             for b in batches:
                 names = b.schema.names
@@ -207,12 +216,14 @@ def mark(documents: DataFrame, items: DataFrame, *, window: int = 10, text: str
                     hit[t] = np.packbits(marks).tobytes()
                     found[t] = found[t] + [s.automaton.names[x] for x in sorted(occurring)]
                 put = {"_n_words": pa.array(n, pa.int32()), "_hit": pa.array(hit, pa.binary()), "_items": pa.array(found, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([put.get(c, b.column(i)) for i, c in enumerate(names)], names=names)
+                out_batch = pa.RecordBatch.from_arrays([put.get(c, b.column(i)) for i, c in enumerate(names)], names=names)
+                yield last(out_batch) if last else out_batch
 
-        out = out.mapInArrow(run, out.schema)
-        if no + 1 < len(todo):
+        out = out.mapInArrow(run, schema if last and schema else out.schema)
+        if after is not None:
             out = materialize(out, "marks")
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+        shard, after = after, next(todo, None)
+    return out
 
 
 def clean(documents: DataFrame, items: DataFrame, *, window: int = 10, min_span: int = 10, max_coverage: float = 0.8, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -223,50 +234,45 @@ def clean(documents: DataFrame, items: DataFrame, *, window: int = 10, min_span:
     more than ``max_coverage`` of its words.  n_chars, if there, follows the text.
     """
     keep = [c for c in documents.columns if c != "text"]
-    marked = mark(documents, items, window=window, keep=keep, shard_words=shard_words)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            hit, text, kept = b.column(names.index("_hit")).to_pylist(), b.column(names.index("_text")), np.ones(b.num_rows, bool)
-            changed = [i for i, h in enumerate(hit) if h]
-            if changed:
-                out = text.to_pylist()
-                for i in changed:
-                    raw = out[i].encode()
-                    spots = [m.span() for m in WORD.finditer(raw.lower())]
-                    marks = np.unpackbits(np.frombuffer(hit[i], np.uint8), count=len(spots)).astype(np.int8)
-                    kept[i] = marks.mean() <= max_coverage
-                    edge = np.diff(marks, prepend=0, append=0)
-                    parts, at = [], 0
-                    for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                        if z - a >= min(min_span, window) or z - a < window:
-                            parts.append(raw[at : spots[a][0]])
-                            at = spots[z - 1][1]
-                    out[i] = b"".join([*parts, raw[at:]]).decode()
-                text = pa.array(out, text.type)
-            yield pa.RecordBatch.from_arrays([text if c == "_text" else b.column(j) for j, c in enumerate(names)], names=names).filter(pa.array(kept))
-
-    out = marked.mapInArrow(cut, marked.schema).withColumnRenamed("_text", "text")
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        names = b.schema.names
+        hit, text, kept = b.column(names.index("_hit")).to_pylist(), b.column(names.index("_text")), np.ones(b.num_rows, bool)
+        changed = [i for i, h in enumerate(hit) if h]
+        if changed:
+            out = text.to_pylist()
+            for i in changed:
+                raw = out[i].encode()
+                spots = [m.span() for m in WORD.finditer(raw.lower())]
+                marks = np.unpackbits(np.frombuffer(hit[i], np.uint8), count=len(spots)).astype(np.int8)
+                kept[i] = marks.mean() <= max_coverage
+                edge = np.diff(marks, prepend=0, append=0)
+                parts, at = [], 0
+                for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+                    if z - a >= min(min_span, window) or z - a < window:
+                        parts.append(raw[at : spots[a][0]])
+                        at = spots[z - 1][1]
+                out[i] = b"".join([*parts, raw[at:]]).decode()
+            text = pa.array(out, text.type)
+        return pa.RecordBatch.from_arrays([text if c == "_text" else b.column(j) for j, c in enumerate(names)], names=names).filter(pa.array(kept))
+
+    out = _mark(documents, items, window, "text", keep, shard_words, cut)
+    place = {c: F.col(f"k{i}") for i, c in enumerate(keep)} | {"text": F.col("_text")}
     if "n_chars" in keep:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+        place["n_chars"] = F.length("_text").cast(documents.schema["n_chars"].dataType)
+    return out.select(*[place[c].alias(c) for c in documents.columns])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            n = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in b.column(names.index("_hit")).to_pylist()]
-            items = [sorted(x, key=str.encode) for x in b.column(names.index("_items")).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), b.column(names.index("_n_words")).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([x > 0 for x in n], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return marked.drop("_text").mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    def digest(b: pa.RecordBatch) -> pa.RecordBatch:
+        names = b.schema.names
+        n = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in b.column(names.index("_hit")).to_pylist()]
+        items = [sorted(x, key=str.encode) for x in b.column(names.index("_items")).to_pylist()]
+        columns = [b.column(0).cast(pa.int64()), b.column(names.index("_n_words")).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in n], pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return _mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, "text", ("doc_id",), SHARD_WORDS, digest, schema)
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
