@@ -18,7 +18,7 @@ from .common import materialize
 SCHEMA = "u long, v long"
 
 
-def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each batch's edges as stars around the smallest node of a component, by union-find."""
     for f in frames:
         parent: dict[int, int] = {}
@@ -54,7 +54,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """u, v: each node that has an edge, but its component's smallest, with that smallest."""
     edges = edges.where("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    now = materialize(edges.mapInPandas(_contract, SCHEMA).distinct(), "stars")
+    now = materialize(edges.mapInPandas(contract, SCHEMA).distinct(), "stars")
     before = None
     for _ in range(rounds):
         state = now.agg(F.count("u").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

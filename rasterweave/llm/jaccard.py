@@ -10,7 +10,7 @@ probes the long ones only for what the short ones bring up.  Here:
    least l of the first n - T + l of theirs in that order (the short lists); only those are indexed.  l grows with n, so that
    a few shingles shared by chance bring nothing up.  The index is dealt by shingle, packed as arrays.
 3. Documents that share enough of the index are put into search blocks of at most BLOCK, neighbours on a long list
-   together.  First each document searches the blocks of its neighbours by size on its lists; that joins most of a large group
+   together.  First each document searches its own block and those of its neighbours by size on its lists; that joins most of a large group
    of near copies at a cost in proportion to the postings.  Then documents of smaller components search every block
    that shares enough of their index entries and holds a document of a larger component, whatever their number.
    A query goes to a block once, not once for each pair.
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table, utf8
-from .components import components
+from .components import components, contract
 from .wordhash import grams, hash_words, mix
 
 CHUNK = 1 << 21  # shingles counted at a time; one that a chunk holds once is not counted
@@ -49,6 +49,8 @@ GROUP = 1 << 22  # bytes of text hashed in one go
 MU = 0.5  # DivideSkip's cost ratio of probing and merging
 FEW = 2048  # postings that are merged by a heap
 BLOCK = 512  # documents of a search block
+SHORT = 8  # members of a list whose pairs are counted
+PART = 20  # one more shared index entry is asked for with this many shingles
 
 
 def sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -93,7 +95,7 @@ class Rule:
 
     def shared(self, n: int) -> int:
         """l: index entries that two sets of n share if they link."""
-        return 1 + n // 32
+        return 1 + n // PART
 
     def prefix(self, n: int) -> int:
         return n - self.least(n) + min(self.shared(n), self.least(n))
@@ -102,14 +104,14 @@ class Rule:
         return (a * self.num <= b * self.den) & (b * self.num <= a * self.den)
 
     def shared_column(self, n: Column) -> Column:
-        return F.least(F.floor(n / 32) + 1, self.least_column(n))
+        return F.least(F.floor(n / PART) + 1, self.least_column(n))
 
     def least_column(self, n: Column) -> Column:
         return F.ceil(n * self.num / self.den)
 
     def few(self, n: Column) -> Column:
         """Index entries that a set of n shares with any partner; the smallest partner asks for least."""
-        return F.least(F.floor(self.least_column(n) / 32) + 1, self.least_column(self.least_column(n)))
+        return F.least(F.floor(self.least_column(n) / PART) + 1, self.least_column(self.least_column(n)))
 
     def least_shared(self, a: Column, b: Column) -> Column:
         """Index entries that linked sets of a and b share: up to where the earlier index prefix ends, all but what lies behind."""
@@ -273,7 +275,7 @@ def _index(documents: DataFrame, n: int, rule: Rule, frequent: Frequent, buckets
 
     def lists(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = int(frame["bucket"].iloc[0])
-        key, s, m = (np.frombuffer(b"".join(frame[c]), k) for c, k in (("keys", np.uint32), ("sigs", np.int64), ("ns", np.uint32)))
+        key, s, m = (np.frombuffer(b"".join(frame.pop(c)), k) for c, k in (("keys", np.uint32), ("sigs", np.int64), ("ns", np.uint32)))
         # lists of one entry are most: drop them before the costlier sort
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -299,8 +301,20 @@ def _index(documents: DataFrame, n: int, rule: Rule, frequent: Frequent, buckets
 
 
 def _enough(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Entries of the classes that share enough of the index to link with any."""
-    able = entries.groupBy("sig", "n").agg(F.count("*").alias("c")).where(F.col("c") >= rule.few(F.col("n"))).select("sig")
+    """Entries of the classes that can share enough of the index with one partner.
+
+    On lists of at most SHORT members the shared entries are counted for each pair (a list gives a bounded number); an entry on
+    a longer list may be shared with anyone.  A class stays if its best partner's count and its entries on long lists
+    together are enough, so classes that meet many others once each by chance go.
+    """
+    sized = entries.withColumn("m", F.count("*").over(Window.partitionBy("key")))
+    lists = sized.where(F.col("m") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("sig", "n")).alias("l"))
+    after = lambda a, i: F.transform(F.slice("l", i + 2, F.lit(SHORT)), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = lists.select(F.explode(F.flatten(F.transform("l", after))).alias("p")).where(rule.fits(F.col("p.a.n"), F.col("p.b.n")))
+    pairs = pairs.groupBy(F.least("p.a.sig", "p.b.sig").alias("u"), F.greatest("p.a.sig", "p.b.sig").alias("v")).agg(F.count("*").alias("c"))
+    best = pairs.select(F.explode(F.array("u", "v")).alias("sig"), "c").groupBy("sig").agg(F.max("c").alias("best"))
+    long = sized.groupBy("sig", "n").agg(F.count_if(F.col("m") > SHORT).alias("long"))
+    able = long.join(best, "sig", "left").where(F.coalesce("best", F.lit(0)) + F.col("long") >= rule.few(F.col("n"))).select("sig")
     return entries.join(able, "sig", "left_semi")
 
 
@@ -321,24 +335,43 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
+class _Filter:
+    """A Bloom filter on the executors; nulls pass."""
+
+    def __init__(self, spark: SparkSession, ids: DataFrame):
+        self.sent = spark.sparkContext.broadcast(_bloom(ids))  # BLOOM_BITS
+
+    def passing(self, column: pa.Array) -> pa.Array:
+        bits, x = self.sent.value, np.asarray(column.fill_null(0)).view(np.uint64)
+        ok = np.ones(len(x), bool)
+        for k in (0x9E37, 0x85EB):
+            at = mix(x ^ np.uint64(k)) & np.uint64(BLOOM_BITS - 1)
+            ok &= (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
+        return pa.array(ok | np.asarray(column.is_null()))
+
+
+def _passing(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be among ``ids`` or is null; all that are, and few others."""
+    only, at = _Filter(df.sparkSession, ids), df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(only.passing(b.column(at)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """sig, set (packed) of the wanted classes (sig, doc_id), from one document of each."""
-    sent = documents.sparkSession.sparkContext.broadcast(_bloom(wanted.where("doc_id IS NOT NULL").select("doc_id")))  # BLOOM_BITS
+    """sig, blk, set (packed) of the wanted classes (sig, doc_id, blk), from one document of each."""
+    only = _Filter(documents.sparkSession, wanted.where("doc_id IS NOT NULL").select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).view(bool)
         for b in batches:
-            x = np.asarray(b.column(0).fill_null(0)).view(np.uint64)
-            ok = np.asarray(b.column(0).is_null())
-            may = np.ones(len(x), bool)
-            for k in (0x9E37, 0x85EB):
-                may &= bits[mix(x ^ np.uint64(k)) & np.uint64(BLOOM_BITS - 1)]
-            text = b.column(1).filter(pa.array(may | ok))
-            got = [(signature(s), s.tobytes()) for s in sets(text, n) if len(s)]
+            got = [(signature(s), s.tobytes()) for s in sets(b.column(1).filter(only.passing(b.column(0))), n) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["sig", "set"])
 
     some = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "sig long, set binary")
-    return some.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    return some.join(wanted.select("sig", "blk"), "sig").dropDuplicates(["sig"])
 
 
 def _blocks(entries: DataFrame) -> DataFrame:
@@ -348,27 +381,32 @@ def _blocks(entries: DataFrame) -> DataFrame:
     return long.withColumn("part", F.floor(place / BLOCK)).select("sig", "n", F.xxhash64("home", "part").alias("blk"))
 
 
-def _search(queries: DataFrame, docs: DataFrame, packed: DataFrame, rule: Rule, shards: int) -> DataFrame:
-    """Links u, v of queries (u, blk) with documents (sig, blk)."""
-    shard = F.pmod(F.xxhash64("blk"), F.lit(shards)).alias("shard")
-    asked = queries.select("blk").distinct()
-    held = docs.join(asked, "blk", "left_semi").join(packed, "sig").select(shard, "blk", "sig", "set")
-    asking = queries.join(packed.select(F.col("sig").alias("u"), F.col("set").alias("q")), "u").select(shard.alias("to"), F.col("blk").alias("at"), "u", "q")
+def _search(queries: DataFrame, packed: DataFrame, rule: Rule, shards: int, own: bool) -> DataFrame:
+    """A spanning forest u, v of the links of queries (u, blk) with a block's documents, and if ``own``, of a block's with each other."""
+    shard = F.pmod(F.xxhash64("blk"), F.lit(shards))
+    held = packed if own else _passing(packed, "blk", queries.select("blk"))
+    held = held.select(shard.alias("shard"), "blk", "sig", "set")
+    sets_ = _passing(packed.select("sig", "set"), "sig", queries.select("u"))
+    asking = queries.join(sets_.select(F.col("sig").alias("u"), F.col("set").alias("q")), "u").select(shard.alias("to"), F.col("blk").alias("at"), "u", "q")
 
     def run(blocks: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         u, v = [], []
         by = dict(iter(some.groupby("at", sort=False)))
         for blk, rows in blocks.groupby("blk", sort=False):
-            if blk not in by:
+            asked = [(q, np.frombuffer(raw, np.uint64)) for q, raw in zip(by[blk]["u"].tolist(), by[blk]["q"], strict=True)] if blk in by else []
+            sig, held_sets = rows["sig"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["set"]]
+            if own and len(sig) > 1:
+                asked += list(zip(sig.tolist(), held_sets, strict=True))
+            if not asked:
                 continue
-            sig = rows["sig"].to_numpy()
-            index = Block([np.frombuffer(x, np.uint64) for x in rows["set"]])
-            for q, raw in zip(by[blk]["u"].tolist(), by[blk]["q"], strict=True):
-                got = sig[index.search(np.frombuffer(raw, np.uint64), rule)]
+            index = Block(held_sets)
+            for q, query in asked:
+                got = sig[index.search(query, rule)]
                 got = got[got != q]
                 u += [q] * len(got)
                 v += got.tolist()
-        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
+        # a forest says as much about components
+        return next(contract(iter([pd.DataFrame({"u": u, "v": v}, dtype="int64")])))
 
     return held.groupBy("shard").cogroup(asking.groupBy("to")).applyInPandas(run, "u long, v long")
 
@@ -383,18 +421,19 @@ def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> Dat
     often = scanned.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= bound).toPandas()
     frequent = Frequent(often["h"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64))
     classes = docs.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    entries = materialize(_index(documents, n, rule, frequent, max(8, partitions(spark))), "jaccard-index")
+    entries = materialize(_index(documents, n, rule, frequent, max(8, partitions(spark) // 2)), "jaccard-index")
     entries = materialize(_enough(entries, rule), "jaccard-entries")
-    packed = materialize(_sets_of(documents, entries.select("sig").distinct().join(classes, "sig"), n), "jaccard-sets")
     docs_in = materialize(_blocks(entries), "jaccard-blocks")
+    packed = materialize(_sets_of(documents, docs_in.join(classes, "sig"), n), "jaccard-sets")
     shards = 4 * partitions(spark)
-    where_is = docs_in.select(F.col("sig").alias("v"), "blk")
     # neighbours by size on each list
     on_list = Window.partitionBy("key").orderBy("n", "sig")
     chain = entries.select("sig", "n", F.lead("sig").over(on_list).alias("v"), F.lead("n").over(on_list).alias("n2")).where(F.col("v").isNotNull() & rule.fits(F.col("n"), F.col("n2")))
     chain = chain.groupBy(F.col("sig").alias("u"), "v").agg(F.count("*").alias("c"), rule.least_shared(F.min("n"), F.min("n2")).alias("least")).where(F.col("c") * 2 >= F.col("least"))
-    first = materialize(chain.join(where_is, "v").select("u", "blk").distinct(), "jaccard-chain")
-    linked = materialize(_search(first, docs_in, packed, rule, shards), "jaccard-links")
+    home = docs_in.select(F.col("sig").alias("u"), F.col("blk").alias("own"))
+    first = chain.join(docs_in.select(F.col("sig").alias("v"), "blk"), "v").join(home, "u").where("blk <> own").select("u", "blk").distinct()
+    first = materialize(first, "jaccard-chain")
+    linked = materialize(_search(first, packed, rule, shards, True), "jaccard-links")
     group = components(linked)
     # what is left: documents of smaller components against blocks that hold others
     member = docs_in.join(group.select(F.col("u").alias("sig"), F.col("v").alias("g")), "sig", "left").withColumn("g", F.coalesce("g", "sig"))
@@ -407,9 +446,9 @@ def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> Dat
     asking = known.join(other, "key").where("rank < best").select("key", F.col("sig").alias("u"), "n", "rank")
     met = asking.join(held, "key").where((F.col("top") > F.col("rank")) & (F.col("hi") * den >= F.col("n") * num) & (F.col("lo") * num <= F.col("n") * den))
     # the smallest partner that fits asks for least
-    met = met.groupBy("u", "blk").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") >= rule.few(F.col("n"))).select("u", "blk")
+    met = met.join(home, "u").where("blk <> own").groupBy("u", "blk").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") >= rule.few(F.col("n"))).select("u", "blk")
     rest = materialize(met.join(first, ["u", "blk"], "left_anti"), "jaccard-rest")
-    more = materialize(_search(rest, docs_in, packed, rule, shards), "jaccard-links")
+    more = materialize(_search(rest, packed, rule, shards, False), "jaccard-links")
     group = components(group.union(more))
     named = classes.join(group.select(F.col("u").alias("sig"), F.col("v").alias("g")), "sig", "left").select("sig", "doc_id", F.coalesce("g", "sig").alias("g"))
     smallest = named.groupBy("g").agg(F.min("doc_id").alias("component_id"))
