@@ -6,6 +6,7 @@ configuration and seed alone, so any lost image is made again the same.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 from typing import Any
@@ -175,17 +176,16 @@ def oriented_step(angle: float, n: int = 96, seed: int = 123, low: float = 0.18,
 
 def pixels(spark: SparkSession, configs: Sequence[dict[str, Any]], maker=make_sample, key: str = "id") -> DataFrame:
     """img, y, x, v, gt of one image for each configuration, made on the executors."""
-    frame = pd.DataFrame(list(configs))
+    rows = [(json.dumps(c),) for c in configs]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for cfg in f.to_dict("records"):
-                cfg = {k: (None if isinstance(v, float) and math.isnan(v) else v) for k, v in cfg.items()}
+            for cfg in map(json.loads, f["cfg"]):
                 img, gt = maker(cfg)
                 y, x = np.indices(img.shape)
                 yield pd.DataFrame({"img": str(cfg[key]), "y": y.ravel(), "x": x.ravel(), "v": img.ravel(), "gt": gt.ravel()})
 
-    return spark.createDataFrame(frame).repartition(max(1, min(len(frame), 64))).mapInPandas(run, PIXELS)
+    return spark.createDataFrame(rows, "cfg string").repartition(max(1, min(len(rows), 64))).mapInPandas(run, PIXELS)
 
 
 def cases(spark: SparkSession, n: int = 160) -> DataFrame:
