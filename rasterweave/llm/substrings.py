@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table, texts, utf8
-from .jaccard import BLOOM_BITS, _bloom
+from .jaccard import _passing
 from .suffix import SuffixAutomaton, merged
 from .wordhash import GRAM_BASE, grams, hash_words, mix, powers
 
@@ -232,8 +232,11 @@ def _spans(stretches: DataFrame, window: int) -> DataFrame:
     return stretches.groupBy("shard").applyInPandas(run, "cls long, spans binary")
 
 
-def remove_repeats(documents: DataFrame, *, window: int = 35) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words kept, joined by one space) of every row."""
+KEPT = "doc_id long, n_words long, n_removed long, kept string"
+
+
+def remove_repeats(documents: DataFrame, *, window: int = 35, view=None, schema: str = KEPT) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words kept, joined by one space) of every row, or what ``view`` makes of such a batch."""
     spark = documents.sparkSession
     buckets = max(8, partitions(spark))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -246,17 +249,7 @@ def remove_repeats(documents: DataFrame, *, window: int = 35) -> DataFrame:
     by_class = dealt.groupBy("cls").agg(F.collect_list("hit").alias("hits"))
     classes = docs.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     wanted = materialize(by_class.join(classes, "cls").select("cls", "doc_id", "hits"), "substrings-wanted")
-    sent = spark.sparkContext.broadcast(_bloom(wanted.where("doc_id IS NOT NULL").select("doc_id")))  # BLOOM_BITS
-
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).view(bool)
-        for b in batches:
-            x, ok = np.asarray(b.column(0).fill_null(0)).view(np.uint64), np.ones(b.num_rows, bool)
-            for k in (0x9E37, 0x85EB):
-                ok &= bits[mix(x ^ np.uint64(k)) & np.uint64(BLOOM_BITS - 1)]
-            yield b.filter(pa.array(ok | np.asarray(b.column(0).is_null())))
-
-    some = rows.mapInArrow(may, rows.schema)
+    some = _passing(rows, "doc_id", wanted.where("doc_id IS NOT NULL").select("doc_id"))
     joined = some.join(wanted, some.doc_id.eqNullSafe(wanted.doc_id)).select(some.doc_id, "text", "cls", "hits")
     n_hits = hits.count()
     shards = max(buckets, -(-n_hits // SHARD_HITS))
@@ -287,20 +280,18 @@ def remove_repeats(documents: DataFrame, *, window: int = 35) -> DataFrame:
                     keep = words
                 gone.append(len(words) - len(keep))
                 kept.append(b" ".join(keep))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            made = pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield view(made) if view else made
 
     out = rows.join(cuts, rows.doc_id.eqNullSafe(cuts["_id"]), "left").select("doc_id", "text", "cuts")
-    return out.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return out.mapInArrow(cut, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents"))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([hashlib.sha256(x).hexdigest() for x in texts(b.column(3))], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def digest(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([hashlib.sha256(x).hexdigest() for x in texts(b.column(3))], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return out.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(table(spark, sf_dir, "documents"), view=digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 OP2_SQL = r"""
