@@ -6,7 +6,10 @@ bytes (0x20, 0x09-0x0D) of a text's UTF-8 form; ``bytes.split()`` cuts at exactl
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +56,26 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def texts(column: pa.Array) -> list[bytes]:
-    """Each value as bytes; a null is empty."""
+def each_text(column: pa.Array) -> Iterator[bytes]:
+    """Each value as bytes, one at a time; a null is empty."""
     offsets, data = utf8(column)
     raw = memoryview(data)
-    return [bytes(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield bytes(raw[a:b])
+
+
+def texts(column: pa.Array) -> list[bytes]:
+    return list(each_text(column))
+
+
+try:
+    _trim = ctypes.CDLL(ctypes.util.find_library("c")).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
+
+
+def tidy() -> None:
+    """Give a finished task's free memory back to the system; Spark keeps its Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts, utf8
+from .common import materialize, table, tidy, utf8
 from .wordhash import PUNCT, hash_words
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -218,6 +218,7 @@ def _mark(documents: DataFrame, items: DataFrame, window: int, text: str, keep:
                 put = {"_n_words": pa.array(n, pa.int32()), "_hit": pa.array(hit, pa.binary()), "_items": pa.array(found, pa.list_(pa.string()))}
                 out_batch = pa.RecordBatch.from_arrays([put.get(c, b.column(i)) for i, c in enumerate(names)], names=names)
                 yield last(out_batch) if last else out_batch
+            tidy()
 
         out = out.mapInArrow(run, schema if last and schema else out.schema)
         if after is not None:

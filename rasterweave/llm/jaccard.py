@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table, utf8
+from .common import materialize, partitions, table, tidy, utf8
 from .components import components, contract
 from .wordhash import grams, hash_words, mix
 
@@ -200,6 +200,7 @@ def _scan(documents: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), pa.array([x for x, _ in each], pa.int64()), pa.array([x for _, x in each], pa.int64()), no, no], names=names)
         if size:
             yield counts()
+        tidy()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, sig long, h long, c long")
 
@@ -272,6 +273,7 @@ def _index(documents: DataFrame, n: int, rule: Rule, frequent: Frequent, buckets
                     size = 0
         if held:
             yield flush()
+        tidy()
 
     def lists(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = int(frame["bucket"].iloc[0])
@@ -294,6 +296,7 @@ def _index(documents: DataFrame, n: int, rule: Rule, frequent: Frequent, buckets
         keep = np.zeros(len(key), bool)
         keep[1:] |= near
         keep[:-1] |= near
+        tidy()
         return pd.DataFrame({"key": key[keep].astype(np.int64) | (bucket << 32), "sig": s[keep], "n": m[keep]})
 
     packed = documents.select("text").mapInArrow(pack, "bucket int, keys binary, sigs binary, ns binary")
@@ -369,6 +372,7 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for b in batches:
             got = [(signature(s), s.tobytes()) for s in sets(b.column(1).filter(only.passing(b.column(0))), n) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["sig", "set"])
+        tidy()
 
     some = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "sig long, set binary")
     return some.join(wanted.select("sig", "blk"), "sig").dropDuplicates(["sig"])

@@ -18,7 +18,7 @@ repeated rows are judged each; other columns are passed through only by ``identi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import each_text, table, texts, tidy
 from .wordhash import LOWER
 
 UND = "und"
@@ -127,8 +127,8 @@ class Scorer:
             out[i : i + GROUP] = z - np.log(np.exp(z).sum(1, keepdims=True))
         return out
 
-    def predict(self, some: list[bytes | None]) -> tuple[list[str], list[float]]:
-        lang, score = [UND] * len(some), [0.0] * len(some)
+    def predict(self, some: Iterable[bytes | None], n: int) -> tuple[list[str], list[float]]:
+        lang, score = [UND] * n, [0.0] * n
         at, groups, held = [], [], 0
 
         def flush() -> None:
@@ -213,8 +213,9 @@ def identify(documents: DataFrame, network: Network, keep: Sequence[str] = ("doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for b in batches:
-            lang, score = scorer.predict(texts(b.column(b.num_columns - 1)))
+            lang, score = scorer.predict(each_text(b.column(b.num_columns - 1)), b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "_lang", "_score"])
+        tidy()
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

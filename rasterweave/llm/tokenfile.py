@@ -33,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, texts
+from .common import shared_dir, table, tidy, utf8
 from .rangecoder import BLOCK_IDS, decode, encode
 
-MAX_UNITS = 300_000
+MAX_UNITS = 200_000
 PIECE = 1 << 21  # bytes of text encoded in one go
 FILE_SCHEMA = "shard int, record int, first long, alphabet int, doc_ids binary, doc_nulls binary, n_tokens binary, ids binary"
 
@@ -178,14 +178,12 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2,
         for b in batches:
             doc = b.column(0)
             nulls, doc = np.asarray(doc.is_null()), np.asarray(doc.fill_null(0))
-            raw = texts(b.column(1))
+            offsets, data = utf8(b.column(1))
             i = 0
-            while i < len(raw):
-                j, size = i, 0
-                while j < len(raw) and (j == i or size + len(raw[j]) <= PIECE):
-                    size += len(raw[j])
-                    j += 1
-                ids, each = enc.encode([t.decode() for t in raw[i:j]], end_id)
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+                cut = offsets[i : j + 1].tolist()
+                ids, each = enc.encode([data[a:z].tobytes().decode() for a, z in zip(cut[:-1], cut[1:], strict=True)], end_id)
                 at = 0
                 a = 0
                 # records are cut between documents
@@ -204,6 +202,8 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2,
                 i = j
         if held_ids:
             yield flush()
+        enc.units.clear()  # the worker may go on to another stage
+        tidy()
 
     rows.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
@@ -225,6 +225,7 @@ def _read(spark: SparkSession, path: str, view, columns: str) -> DataFrame:
                 if len(n) and cuts[-1] != len(ids):
                     raise ValueError("token counts and ids disagree")
                 yield pd.DataFrame({"doc_id": doc, "shard": r.shard, "place": r.first + cuts - n, "n_tokens": n} | view(ids, n, cuts))
+        tidy()
 
     # one record is some megabytes of ids: a batch of few rows keeps memory bounded
     return spark.read.schema(FILE_SCHEMA).parquet(path).mapInPandas(run, f"doc_id long, shard int, place long, n_tokens long, {columns}")
