@@ -135,3 +135,49 @@ def variable_tolerance(df: DataFrame, score: str, gt: str, n_thresholds: int = 6
     one = benchmark(d, score, gt, F.col("tol"), n_thresholds, 1.0, most, True)
     half = benchmark(d, score, gt, F.col("tol"), n_thresholds, 0.5, most, True).select(F.col("ODS").alias("F05_ODS"), F.col("OIS").alias("F05_OIS"))
     return one.crossJoin(half)  # one row each
+
+
+def benchmark_by(df: DataFrame, score: str, gt: str, by: Sequence[str], tol: int = 2, n_thresholds: int = 99, beta: float = 1.0) -> DataFrame:
+    """``benchmark`` for each group of whole images (a configuration, say), all groups in one plan."""
+    by, name = list(by), F.concat_ws("/", *by, "img")
+    keyed = df.withColumns({"_one": F.col("img"), "img": name})
+    ok = F.when(finite(F.col(score)), F.col(score))
+    cuts = lambda: F.array_sort(F.array_distinct(F.percentile(ok, F.lit(threshold_probs(n_thresholds))))).alias("t")
+    groups = keyed.select("img", *by).distinct()
+    prep = prepared(keyed, score, gt, tol).join(groups, "img")
+    pooled = curve(prep, df.groupBy(*by).agg(F.count_if(gt).alias("ngt")), df.groupBy(*by).agg(cuts()), by, beta)
+    best = F.max_by(F.struct("f", "threshold", "precision", "recall"), F.struct(F.col("f"), -F.col("threshold")))
+    ods = pooled.groupBy(*by).agg(best.alias("b"), F.coalesce(F.max(F.when(F.col("precision") >= 0.5, F.col("recall"))), F.lit(0.0)).alias("R50"))
+    w = Window.partitionBy(*by).orderBy("recall", "threshold")
+    env = pooled.withColumn("p", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing))).select(*by, "recall", "threshold", "p")
+    env = env.withColumns({"pr": F.lag("recall").over(w), "pp": F.lag("p").over(w)})
+    first = F.when(F.col("pr").isNull(), F.col("recall") * F.col("p")).otherwise((F.col("recall") - F.col("pr")) * (F.col("p") + F.col("pp")) / 2)
+    ap = env.groupBy(*by).agg(F.sum(first).alias("a"), F.max_by(F.struct("recall", "p"), F.struct("recall", "threshold")).alias("z")).select(*by, (F.col("a") + (1 - F.col("z.recall")) * F.col("z.p") / 2).alias("AP"))
+    own = curve(prep, keyed.groupBy(*by, "img").agg(F.count_if(gt).alias("ngt")), keyed.groupBy(*by, "img").agg(cuts()), [*by, "img"], beta)
+    ois = own.groupBy(*by, "img").agg(F.max("f").alias("f")).groupBy(*by).agg(F.avg("f").alias("OIS"))
+    c = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(gt).alias("p"), F.count_if(~F.col(gt)).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pos, neg = F.sum("p").cast("double"), F.sum("n").cast("double")
+    auc = c.withColumn("_b", below).groupBy(*by).agg(F.when((pos > 0) & (neg > 0), F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2.0)) / (pos * neg)).alias("ROC_AUC"))
+    out = ods.join(ois, by).join(ap, by).join(auc, by)
+    return out.select(*by, F.col("b.f").alias("ODS"), F.col("b.threshold").alias("ODS_threshold"), F.col("b.precision").alias("ODS_precision"), F.col("b.recall").alias("ODS_recall"), "OIS", "AP", "R50", "ROC_AUC", F.lit(n_thresholds).alias("n_thresholds"))
+
+
+def point_curve(counts: DataFrame, by: Sequence[str], point: Sequence[str], beta: float = 1.0) -> DataFrame:
+    """by, ODS, its point, OIS, AP from binary maps: counts hold by, point, img, mp, npred, mg, ngt.
+
+    A point is a setting that takes the place of a threshold: a threshold before postprocessing, a pair of Canny thresholds.
+    """
+    by, point = list(by), list(point)
+    c = [F.col(k) for k in ("mp", "npred", "mg", "ngt")]
+    each = counts.withColumn("f", prf(*c, beta)[2]).groupBy(*by, "img").agg(F.max("f").alias("f")).groupBy(*by).agg(F.avg("f").alias("OIS"))
+    pooled = counts.groupBy(*by, *point).agg(*[F.sum(k).alias(k) for k in ("mp", "npred", "mg", "ngt")])
+    p, r, f = prf(*c, beta)
+    pooled = pooled.select(*by, *point, p.alias("precision"), r.alias("recall"), f.alias("f"))
+    w = Window.partitionBy(*by).orderBy("recall", *point)
+    env = pooled.withColumn("p", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing))).withColumns({"pr": F.lag("recall").over(w)})
+    env = env.withColumn("pp", F.lag("p").over(w))
+    first = F.when(F.col("pr").isNull(), F.col("recall") * F.col("p")).otherwise((F.col("recall") - F.col("pr")) * (F.col("p") + F.col("pp")) / 2)
+    ap = env.groupBy(*by).agg(F.sum(first).alias("a"), F.max_by(F.struct("recall", "p"), F.struct("recall", *point)).alias("z")).select(*by, (F.col("a") + (1 - F.col("z.recall")) * F.col("z.p") / 2).alias("AP"))
+    best = pooled.groupBy(*by).agg(F.max_by(F.struct("f", "precision", "recall", *point), F.struct("f", *[-F.col(k) for k in point])).alias("b"))
+    return best.join(each, by).join(ap, by).select(*by, F.col("b.f").alias("ODS"), F.col("b.precision").alias("ODS_precision"), F.col("b.recall").alias("ODS_recall"), *[F.col(f"b.{k}").alias(k) for k in point], "OIS", "AP")

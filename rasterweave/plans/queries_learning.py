@@ -253,3 +253,48 @@ def operator_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = E.curve(prep, feats.groupBy("operator").agg(F.count_if("gt").alias("ngt")), cuts, ("operator",))
     best = c.groupBy("operator").agg(F.round(F.max("f"), 4).alias("ODS"), F.round(F.max_by("threshold", F.struct(F.col("f"), -F.col("threshold"))), 4).alias("ODS_threshold"))
     return sweep.rank(best, ("ODS",), ("operator",), 20)
+
+
+def _images(spark: SparkSession, kinds: str = "'vertical', 'box', 'circle'") -> DataFrame:
+    from .storage import materialize
+
+    return materialize(S.cases(spark, 48).where(f"img IN ({kinds})"), "images")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query("exp_classic_gates")
+def exp_classic_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import experiments as X
+
+    return _rounded(X.classic(_images(spark), ("scharr", "sobel"), (0.6, 0.8), (0, 1), 15, scales=(5, 3)))
+
+
+@query("exp_canny_grid")
+def exp_canny_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import experiments as X
+
+    return _rounded(X.canny_grid(_images(spark), scales=(5, 3)))
+
+
+@query("exp_staged_selection")
+def exp_staged_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import experiments as X
+
+    return _rounded(X.staged(_images(spark), _images(spark, "'diagonal', 'two_scale'"), ("none", "median"), n_thresholds=7, scales=(5, 3))["pooled"])
+
+
+@query("exp_measure_competition")
+def exp_measure_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import experiments as X
+
+    return _rounded(X.competition(spark, _images(spark), _images(spark), _images(spark, "'diagonal', 'two_scale'"), top=5, n_thresholds=9)[1])
+
+
+@query("exp_region_cost")
+def exp_region_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import experiments as X
+
+    return _rounded(X.region_cost(X.mfi(_images(spark), scales=(5, 3))).select("img", "share", "difference"))
