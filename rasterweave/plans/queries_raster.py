@@ -5,8 +5,6 @@ The images are event values by user and day, one for each event type; truth mask
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -413,5 +411,3 @@ def continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scored(spark, sf_dir).withColumn("on", F.col("v") >= 0.7)
     return K.per_image_row(d, ["on", "gt"], lambda a, b: K.continuity(a, b), "edge_components_on_gt int, largest_component_gt_coverage double, endpoint_count int")
 
-
-del math
