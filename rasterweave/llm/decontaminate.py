@@ -33,6 +33,7 @@ from .wordhash import PUNCT, hash_words
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SHARD_WORDS = 200_000
+GROUP = 1 << 22  # bytes of text hashed in one go
 
 
 def normalised(text: bytes) -> list[bytes]:
@@ -207,14 +208,21 @@ def _mark(documents: DataFrame, items: DataFrame, window: int, text: str, keep:
             s = sent.value
             for b in batches:
                 names = b.schema.names
-                hashes, counts = hash_words(*utf8(b.column(names.index("_text"))), cut=PUNCT, lower=True)
-                n = np.diff(counts)
+                offsets, data = utf8(b.column(names.index("_text")))
+                n = np.zeros(b.num_rows, np.int64)
                 hit, found = b.column(names.index("_hit")).to_pylist(), b.column(names.index("_items")).to_pylist()
-                for t, marks, occurring in s.scan(hashes, counts):
-                    if hit[t]:
-                        marks |= np.unpackbits(np.frombuffer(hit[t], np.uint8), count=len(marks)).astype(bool)
-                    hit[t] = np.packbits(marks).tobytes()
-                    found[t] = found[t] + [s.automaton.names[x] for x in sorted(occurring)]
+                i = 0
+                while i < b.num_rows:  # some megabytes of text at a time
+                    j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + GROUP, "right")) - 1)
+                    hashes, counts = hash_words(offsets[i : j + 1], data, cut=PUNCT, lower=True)
+                    n[i:j] = np.diff(counts)
+                    for t, marks, occurring in s.scan(hashes, counts):
+                        t += i
+                        if hit[t]:
+                            marks |= np.unpackbits(np.frombuffer(hit[t], np.uint8), count=len(marks)).astype(bool)
+                        hit[t] = np.packbits(marks).tobytes()
+                        found[t] = found[t] + [s.automaton.names[x] for x in sorted(occurring)]
+                    i = j
                 put = {"_n_words": pa.array(n, pa.int32()), "_hit": pa.array(hit, pa.binary()), "_items": pa.array(found, pa.list_(pa.string()))}
                 out_batch = pa.RecordBatch.from_arrays([put.get(c, b.column(i)) for i, c in enumerate(names)], names=names)
                 yield last(out_batch) if last else out_batch
