@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, tidy, utf8
+from .common import bounded_batches, materialize, table, tidy, utf8
 from .wordhash import PUNCT, hash_words
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -196,6 +196,7 @@ def _mark(documents: DataFrame, items: DataFrame, window: int, text: str, keep:
     """``finish`` (a function of a batch, with the ``schema`` it makes) is applied in the same pass to
     ``keep``'s columns as k0, k1, ... and _text, _n_words int, _hit binary (a bit for each word; empty: none), _items array<string>."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     out = documents.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("_text"), F.lit(0).alias("_n_words"), F.lit(b"").alias("_hit"), F.array().cast("array<string>").alias("_items"))
     todo = shards(items, window, shard_words=shard_words)
     shard, after = next(todo), next(todo, None)

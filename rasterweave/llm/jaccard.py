@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table, tidy, utf8
+from .common import bounded_batches, materialize, partitions, table, tidy, utf8
 from .components import components, contract
 from .wordhash import grams, hash_words, mix
 
@@ -418,6 +418,7 @@ def _search(queries: DataFrame, packed: DataFrame, rule: Rule, shards: int, own:
 def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), class_id."""
     spark, rule = documents.sparkSession, Rule(num, den)
+    bounded_batches(spark)
     scanned = materialize(_scan(documents, n), "jaccard-scan")
     docs = scanned.where("kind = 0").select("doc_id", "n", "sig")
     total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_text, table, texts, tidy
+from .common import bounded_batches, each_text, table, texts, tidy
 from .wordhash import LOWER
 
 UND = "und"
@@ -167,6 +167,7 @@ def _scorer(model: bytes) -> Scorer:
 
 def fit(labelled: DataFrame, *, train_docs: int = 1500, train_windows: int = 6, max_languages: int = 512, seed: int = 3) -> Network:
     """Train on rows (text, lang) with both present; at most about train_docs documents a language reach the driver."""
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
@@ -206,6 +207,7 @@ def identify(documents: DataFrame, network: Network, keep: Sequence[str] = ("doc
     """``keep``'s columns, then lang_pred and score."""
     import pickle
 
+    bounded_batches(documents.sparkSession)
     model = pickle.dumps(network)
     rows = documents.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     schema = rows.drop("_text").schema.add("_lang", "string").add("_score", "double")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table, texts, utf8
+from .common import bounded_batches, materialize, partitions, table, texts, utf8
 from .jaccard import _passing
 from .suffix import SuffixAutomaton, merged
 from .wordhash import GRAM_BASE, grams, hash_words, mix, powers
@@ -238,6 +238,7 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string"
 def remove_repeats(documents: DataFrame, *, window: int = 35, view=None, schema: str = KEPT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words kept, joined by one space) of every row, or what ``view`` makes of such a batch."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     buckets = max(8, partitions(spark))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialize(_scan(rows, window, buckets), "substrings-scan")

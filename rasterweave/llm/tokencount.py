@@ -27,7 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts
+from .common import bounded_batches, table, texts
 
 MARK = "▁"
 START = ""
@@ -236,6 +236,8 @@ def _counter(path: str) -> Counter:
 def count_tokens(documents: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; ``model`` is the path of a vocabulary file present on every executor."""
 
+    bounded_batches(documents.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model)
         for b in batches:

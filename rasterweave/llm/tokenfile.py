@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, tidy, utf8
+from .common import bounded_batches, shared_dir, table, tidy, utf8
 from .rangecoder import BLOCK_IDS, decode, encode
 
 MAX_UNITS = 200_000
@@ -156,6 +156,7 @@ def _encoder(path: str) -> Encoder:
 
 def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", record_ids: int = BLOCK_IDS) -> None:
     """Write all documents' ids to ``path``, in ascending id order."""
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import bounded_batches, table, utf8
 from .langid import fold
 from .wordhash import PUNCT, hash_words
 
@@ -150,6 +150,7 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score of every row."""
     import pickle
 
+    bounded_batches(documents.sparkSession)
     model = pickle.dumps(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
