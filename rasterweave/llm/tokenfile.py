@@ -8,9 +8,7 @@ container, so any store that Spark reaches can hold them, commits are atomic and
 Reading.  Each record is decoded by itself, checksums verified.  A document's place among all ids is its
 shard's place (a sum over one number for each shard) plus its place in the shard.
 
-Tokenising.  Ids are those of the tokenizer itself.  With byte-level pre-tokenisation, no token crosses a single space or line
-end between two non-spaces, so such units are encoded once by the library and kept; texts with other white
-space go to the library whole.
+Tokenising.  Texts go to the tokenizers library whole, some at a time.
 
 Edge cases: null and empty texts hold the end id only; null ids come first; rows with one doc_id follow each other by text;
 texts of any length are encoded whole, in as many blocks as needed; no documents give an empty file; only doc_id and
@@ -19,7 +17,6 @@ text are read.
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from array import array
@@ -36,117 +33,29 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, shared_dir, table, tidy, utf8
 from .rangecoder import BLOCK_IDS, decode, encode
 
-MAX_UNITS = 200_000
-PIECE = 1 << 21  # bytes of text encoded in one go
+PIECE = 1 << 19  # bytes of text (or one text) that the library encodes in one go
 FILE_SCHEMA = "shard int, record int, first long, alphabet int, doc_ids binary, doc_nulls binary, n_tokens binary, ids binary"
 
 
-class _Both(dict):
-    """A passing table before a lasting one."""
-
-    def __init__(self, lasting: dict, passing: dict):
-        super().__init__(passing)
-        self.lasting = lasting
-
-    def __missing__(self, key):
-        return self.lasting[key]
-
-
 class Encoder:
-    """Ids by the tokenizers library, as little-endian unsigned 32-bit integers; frequent units are encoded once."""
+    """Ids by the tokenizers library, on one thread."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        pre = repr(self.tk.pre_tokenizer)
-        self.by_unit = "ByteLevel(add_prefix_space=False" in pre and "use_regex=True" in pre and self.tk.normalizer is None
         self.size = self.tk.get_vocab_size()
-        self.units: dict[str, bytes | None] = {}
-        self.line_end = self._library(["\n"])[0]
-        self.line_end_id = int(np.frombuffer(self.line_end, "<u4")[0])
-        self.stops = dict(zip(",.", self._library([",", "."]), strict=True))
-        self.by_unit &= len(self.line_end) == 4
-
-    def _library(self, some: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tk.encode_batch_fast(some, add_special_tokens=False)] if some else []
-
-    def _words(self, some: list[str]) -> list[bytes]:
-        """As _library, for texts without white space but one space first: encoded as the lines of one text."""
-        out: list[bytes] = []
-        for i in range(0, len(some), 20_000):
-            part = some[i : i + 20_000]
-            ids = np.array(self.tk.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_end_id).tolist()
-            raw = ids.tobytes()
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the line end is not a token of its own")
-            out += [raw[4 * a : 4 * z] for a, z in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
-        return out
-
-    def _learn(self, units: set[str]) -> dict[str, bytes | None]:
-        """The known units with those of this set; the first MAX_UNITS, with the frequent ones among them, stay.
-
-        A comma or full stop after a letter, at a unit's end, is a token sequence of its own, as is a line end.
-        """
-        known = self.units
-        fresh = [u for u in units if u not in known]
-        got: dict[str, bytes | None] = {}
-        plan: list[tuple[str, list[str]]] = []
-        for u in fresh:
-            size = len(u) - (u[0] == " ")
-            bare = u.split()
-            if len(bare) == 1 and len(bare[0]) == size:
-                plan.append((u, [u]))
-            elif size and sum(map(len, bare)) == size - (len(bare) - 1) and len(lines := u.split("\n")) == len(bare) and u[-1] != "\n":
-                plan.append((u, lines))
-            else:
-                got[u] = None  # other white space: the whole text goes to the library
-        base = {}
-        for _, lines in plan:
-            for p in lines:
-                base[p] = p[:-1] if len(p) > 2 and p[-1] in ",." and p[-2].isalpha() else p
-        need = [b for b in set(base.values()) if b not in known]
-        ids = dict(zip(need, self._words(need), strict=True))
-        room = MAX_UNITS - len(known)
-        for b in need[: max(0, room)]:
-            known[b] = ids[b]
-
-        def one(p: str) -> bytes:
-            b = base[p]
-            x = ids.get(b) or known[b]
-            return x if len(b) == len(p) else x + self.stops[p[-1]]
-
-        for u, lines in plan:
-            got[u] = one(u) if len(lines) == 1 else self.line_end.join([one(p) for p in lines])
-        room = MAX_UNITS - len(known)
-        if len(got) <= room:
-            known.update(got)
-            return known
-        for u in itertools.islice(got, max(0, room)):
-            known[u] = got[u]
-        return _Both(known, got)
 
     def encode(self, some: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, number of each text), each text ended by ``end_id``."""
-        out: list[bytes | None]
-        if self.by_unit:
-            split = [t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else [""] for t in some]
-            get = self._learn({u for x in split for u in x if u}).__getitem__
-            out, whole = [], []
-            for no, x in enumerate(split):
-                try:
-                    out.append(b"".join(map(get, x)))
-                except (TypeError, KeyError):  # an odd unit, or an empty text
-                    out.append(None)
-                    whole.append(no)
-        else:
-            out, whole = [None] * len(some), range(len(some))
-        for no, ids in zip(whole, self._library([some[no] for no in whole]), strict=True):
-            out[no] = ids
-        end = array("I", [end_id]).tobytes()
-        return np.frombuffer(end.join([*out, b""]), "<u4"), np.array([len(x) // 4 + 1 for x in out], np.int64)
+        out, each = array("I"), []
+        for e in self.tk.encode_batch_fast(some, add_special_tokens=False):
+            ids = e.ids
+            each.append(len(ids) + 1)
+            out.extend(ids)
+            out.append(end_id)
+        return np.frombuffer(out, np.uint32) if each else np.zeros(0, np.uint32), np.array(each, np.int64)
 
 
 @lru_cache(2)
@@ -203,7 +112,6 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2,
                 i = j
         if held_ids:
             yield flush()
-        enc.units.clear()  # the worker may go on to another stage
         tidy()
 
     rows.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
