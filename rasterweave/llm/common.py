@@ -40,7 +40,7 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -80,7 +80,9 @@ def texts(column: pa.Array) -> list[bytes]:
 
 
 try:
-    _trim = ctypes.CDLL(ctypes.util.find_library("c")).malloc_trim
+    _libc = ctypes.CDLL(ctypes.util.find_library("c"))
+    _trim = _libc.malloc_trim
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays over 1 MB go back to the system as soon as they are freed
 except (AttributeError, OSError, TypeError):  # another C library
     _trim = None
 

@@ -33,7 +33,7 @@ from .wordhash import PUNCT, hash_words
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SHARD_WORDS = 200_000
-GROUP = 1 << 22  # bytes of text hashed in one go
+GROUP = 1 << 21  # bytes of text hashed in one go
 
 
 def normalised(text: bytes) -> list[bytes]:

@@ -43,9 +43,9 @@ from .wordhash import grams, hash_words, mix
 CHUNK = 1 << 21  # shingles counted at a time; one that a chunk holds once is not counted
 MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 64
-FLUSH = 1 << 20  # index entries packed at a time
+FLUSH = 1 << 18  # index entries packed at a time
 BLOOM_BITS = 1 << 24
-GROUP = 1 << 22  # bytes of text hashed in one go
+GROUP = 1 << 21  # bytes of text hashed in one go
 MU = 0.5  # DivideSkip's cost ratio of probing and merging
 FEW = 2048  # postings that are merged by a heap
 BLOCK = 512  # documents of a search block
@@ -426,7 +426,7 @@ def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> Dat
     often = scanned.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= bound).toPandas()
     frequent = Frequent(often["h"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64))
     classes = docs.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    entries = materialize(_index(documents, n, rule, frequent, max(8, partitions(spark) // 2)), "jaccard-index")
+    entries = materialize(_index(documents, n, rule, frequent, max(8, partitions(spark))), "jaccard-index")
     entries = materialize(_enough(entries, rule), "jaccard-entries")
     docs_in = materialize(_blocks(entries), "jaccard-blocks")
     packed = materialize(_sets_of(documents, docs_in.join(classes, "sig"), n), "jaccard-sets")
