@@ -118,9 +118,8 @@ def running(df: DataFrame, value: str, amount: Column, by: Sequence[str], n_buck
         return df.withColumn("_before", F.coalesce(F.sum(amount).over(w), F.lit(0))), F.col("_before")
     df = df.withColumn("_bucket", buckets(df, value, n_buckets)).withColumn("_amount", amount)
     w = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy("_bucket").agg(F.sum("_amount").alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_bucket", "_o")
-    # one row for each of at most n_buckets buckets
-    out = df.withColumn("_in", F.coalesce(F.sum("_amount").over(w), F.lit(0))).join(F.broadcast(offsets), "_bucket")
+    sums = sorted((r["_bucket"], r["_s"] or 0) for r in df.groupBy("_bucket").agg(F.sum("_amount").alias("_s")).collect())  # at most n_buckets rows
+    out = df.withColumn("_in", F.coalesce(F.sum("_amount").over(w), F.lit(0))).withColumn("_o", _offsets(sums))
     return out.withColumn("_before", F.col("_in") + F.col("_o")).drop("_in", "_o", "_bucket", "_amount"), F.col("_before")
 
 
@@ -167,11 +166,17 @@ def percentile_confidence(df: DataFrame, value: str, ties: Sequence[str], by: Se
         n = F.count(F.lit(1)).over(w)
         return df.withColumn(out, F.when(n > 1, (F.row_number().over(w.orderBy(*order)) - 1) / (n - 1)).otherwise(0.0))
     df = df.withColumn("_bucket", buckets(df, value, n_buckets))
-    sizes = df.groupBy("_bucket").count()
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("count").over(Window.partitionBy()).alias("_n"))
+    sizes = sorted((r["_bucket"], r["count"]) for r in df.groupBy("_bucket").count().collect())  # at most n_buckets rows
+    total = sum(n for _, n in sizes)
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    ranked = df.withColumn("_r", rank).join(F.broadcast(offsets), "_bucket")  # one row a bucket
-    return ranked.withColumn(out, F.when(F.col("_n") > 1, (F.col("_r") + F.col("_o")) / (F.col("_n") - 1)).otherwise(0.0)).drop("_bucket", "_r", "_o", "_n")
+    place = (rank + _offsets(sizes)) / float(total - 1) if total > 1 else F.lit(0.0)
+    return df.withColumn(out, place).drop("_bucket")
+
+
+def _offsets(sizes: list[tuple[int, int]]) -> Column:
+    """What lies in lower buckets, looked up by _bucket in a literal of as many entries as there are buckets."""
+    most = max((b for b, _ in sizes), default=0)
+    return F.get(F.lit([int(sum(n for c, n in sizes if c < b)) for b in range(most + 1)]).cast("array<bigint>"), F.col("_bucket"))
 
 
 def hard_gate(score: Column, roi: Column) -> Column:
