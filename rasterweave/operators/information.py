@@ -123,11 +123,11 @@ def running(df: DataFrame, value: str, amount: Column, by: Sequence[str], n_buck
     return out.withColumn("_before", F.col("_in") + F.col("_o")).drop("_in", "_o", "_bucket", "_amount"), F.col("_before")
 
 
-def surprisal(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "bits", quantile: float = 0.60, eps: float = 1e-9, max_samples: int = 250_000, n_buckets: int = 64, seed: int = 0) -> DataFrame:
+def surprisal(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "bits", quantile: float = 0.60, eps: float = 1e-9, max_samples: int | None = None, n_buckets: int = 64, seed: int = 0) -> DataFrame:
     """-log2 of the empirical upper tail against a background: the values up to a quantile.
 
-    With fewer than 100 background values all finite ones are background.  Beyond ``max_samples`` the background is
-    thinned by a hash to about that many.  Values are counted once each, so ties cost nothing.
+    With fewer than 100 background values all finite ones are background.  The whole background counts; with
+    ``max_samples`` a larger one is thinned by a hash to about that many.  Values are counted once each, so ties cost nothing.
     """
     by = list(by)
     v = F.col(value)
@@ -143,9 +143,10 @@ def surprisal(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "bit
         r = df.agg(F.count(F.when(ok & (v <= F.col("_cut")), 1)).alias("b"), F.count(F.when(ok, v)).alias("a")).first()
         df = df.withColumns({"_bg_n": F.lit(r.b), "_all": F.lit(r.a)})
     bg = F.when(F.col("_bg_n") < 100, ok).otherwise(ok & (v <= F.col("_cut")))
-    size = F.when(F.col("_bg_n") < 100, F.col("_all")).otherwise(F.col("_bg_n"))
-    spread = F.pmod(F.xxhash64(F.lit(seed), v, F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)
-    bg = bg & ((size <= max_samples) | (spread < F.lit(float(max_samples)) / size))
+    if max_samples is not None:
+        size = F.when(F.col("_bg_n") < 100, F.col("_all")).otherwise(F.col("_bg_n"))
+        spread = F.pmod(F.xxhash64(F.lit(seed), v, F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)
+        bg = bg & ((size <= max_samples) | (spread < F.lit(float(max_samples)) / size))
     df = df.withColumn("_bg", bg)
     counts = df.where(ok).groupBy(*by, value).agg(F.count_if("_bg").alias("_nb"))
     ranked, before = running(counts, value, F.col("_nb"), by, n_buckets)

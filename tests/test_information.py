@@ -63,6 +63,15 @@ def test_surprisal(spark, nums):
     assert 5.5 < thinned < 8
 
 
+def test_surprisal_of_a_large_background(spark):
+    v = np.arange(420_000) * 7919 % 420_000 / 420_000
+    want = brute_bits(v)  # 252,000 background rows
+    d = spark.range(420_000).select("id", (F.col("id") * 7919 % 420_000 / 420_000).alias("v"), F.lit("a").alias("img"))
+    for by in ([], ["img"]):
+        got = I.surprisal(d, "v", by=by).agg(F.sum("bits").alias("s"), F.max("bits").alias("m")).first()
+        assert got.m == pytest.approx(want.max()) and got.s == pytest.approx(want.sum())
+
+
 def test_percentile_confidence(nums):
     want = np.empty(700)
     want[np.argsort(V, kind="stable")] = np.linspace(0, 1, 700)
