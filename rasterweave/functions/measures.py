@@ -299,3 +299,58 @@ def _capacity(x, n, spec, context):
     if len(spec["capacity_table"]) != 1 << n:
         raise ValueError("the capacity table does not fit the criteria")
     return _lookup(x, spec["capacity_table"])
+
+
+# ---- arrays
+
+
+def _array_q(x: np.ndarray, mode: str) -> np.ndarray:
+    """``raw_q`` over the last axis."""
+    x = np.clip(x, EPS, 1)
+    n, s, p, mean = x.shape[-1], x.sum(-1), x.prod(-1), x.mean(-1)
+    forms = {
+        "max": lambda: x.max(-1),
+        "min": lambda: x.min(-1),
+        "prod": lambda: p,
+        "mean": lambda: mean,
+        "geomean": lambda: np.exp(np.log(x).mean(-1)),
+        "harmmean": lambda: n / (1 / x).sum(-1),
+        "lukasiewicz": lambda: np.maximum(s - (n - 1.0), 0),
+        "hamacher": lambda: np.where(s - p > EPS, p / np.maximum(s - p, EPS), 0.0),
+        "odiv": lambda: (p + x.min(-1)) / n,
+        "dispersion": lambda: x.std(-1) / (mean + EPS),
+    }
+    return forms[mode]()
+
+
+def array_tails(x: np.ndarray, spec: Mapping[str, Any], scale=None, label: str | None = None, context: Mapping[str, Callable] | None = None) -> np.ndarray:
+    """``tail_capacities`` of arrays (..., n) for the kinds of ``registry``; ``context`` holds functions that give what it names."""
+    spec, x, n = resolve(spec, scale, label), np.clip(x, 0, 1), x.shape[-1]
+    kind, mode = str(spec.get("kind", "power")).lower(), str(spec.get("mode", "reliability")).lower()
+    power = lambda q: ((n - np.arange(n)) / n) ** np.asarray(q, float)[..., None]
+    order = np.argsort(x, axis=-1, kind="stable")
+    if kind == "power":
+        return power(np.full(x.shape[:-1], float(spec.get("q", 0.1))))
+    if kind == "adaptive_power":
+        q = context["dispersion"]() if mode == "dispersion" else _array_q(x, mode)
+        return power(np.clip(q, float(spec.get("q_min", 0.02)), float(spec.get("q_max", 1.0))))
+    if kind == "heterogeneity_power":
+        z = context["heterogeneity"]()
+        lo, hi = float(spec.get("q_min", 0.05)), float(spec.get("q_max", 1.0))
+        return power(lo + (1 - z if spec.get("inverse") else z) * (hi - lo))
+    if kind in ("additive", "local_additive"):
+        if kind == "additive":
+            w = np.broadcast_to(normalised_weights(spec["weights"]), x.shape)
+        else:
+            floor = float(spec.get("floor", 1e-3))
+            if mode == "reliability":
+                w = context["weights"](int(spec.get("window", 5)), floor)
+            elif mode == "evidence":
+                w = (x + floor) ** float(spec.get("gamma", 1.0))
+            else:
+                w = np.exp((x - x.max(-1, keepdims=True)) * float(spec.get("temperature", 4.0)))
+            w = w / np.maximum(w.sum(-1, keepdims=True), EPS)
+        return np.cumsum(np.take_along_axis(w, order, -1)[..., ::-1], -1)[..., ::-1]
+    if "capacity_table" in spec:
+        return np.asarray(spec["capacity_table"], float)[np.cumsum((1 << order)[..., ::-1], -1)[..., ::-1]]
+    raise ValueError(f"no array form of the measure kind: {kind}")

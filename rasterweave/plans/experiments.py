@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -150,18 +151,117 @@ def measure_bank(pixels: DataFrame, measures: Sequence[dict], window: int = 5, m
     return E.benchmark_by(long, "score", "gt", ["config"], 2, n_thresholds)
 
 
-def competition(spark: SparkSession, fit: DataFrame, select: DataFrame, test: DataFrame, window: int = 5, mode: str = "oriented", top: int = 3, n_thresholds: int = 25) -> tuple[DataFrame, DataFrame]:
-    """Learn measures on some images, rank all measures on others, evaluate the best on test images: (selection, test)."""
+# The competition's scales, region quantiles, and sums of Sugeno densities.
+SCALES = (25, 13, 7, 5, 3)
+REGION_QS = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85)
+SUMS = (0.6, 0.8, 1.0, 1.2, 1.4)
+
+
+def prepared_images(pixels: DataFrame) -> DataFrame:
+    """img, y, x, v after a median filter, gt, oracle: the coarse context that the image's name ends in."""
+    return materialize(conditioned(pixels, "median").withColumn("oracle", sweep.coarse_context(F.substring_index("img", "_", -1))), "prepared")
+
+
+def contexts(images: DataFrame) -> DataFrame:
+    """img, oracle, c0 to c5: descriptors of the whole image."""
+    made = K.per_image_row(images, ["v"], lambda v: {f"c{i}": float(c) for i, c in enumerate(K.context(v))}, ", ".join(f"c{i} double" for i in range(6)))
+    return made.join(images.select("img", "oracle").distinct(), "img")
+
+
+def competing(fit: DataFrame, scales: Sequence[int], mode: str) -> dict[str, dict[str, Any]]:
+    """The learned measures: global ones, and banks by scale and by context (oracle and estimated)."""
     from ..operators import learning as LN
 
     n = len(K.MODES[mode])
-    s = K.per_image(fit, ["v", "gt"], lambda v, gt: {"desc": K.descriptors(v, window, mode)[0], "truth": K.dilate(gt, 1)}, "desc array<double>, truth boolean")
-    s = materialize(LN.balanced_sample(s.select("img", "desc", F.col("truth").cast("double").alias("target"), F.xxhash64("img", "y", "x").alias("id")), "desc", "target", 2000, by=["img"]), "competition")
-    learned = {"additive_learned": LN.learn_additive(s, n, "desc", "target"), "sugeno_0.6": LN.learn_sugeno(s, n, "desc", "target", 0.6), "two_additive_learned": LN.learn_two_additive(s, n, "desc", "target")}
-    specs = {m["name"]: m for m in M.registry(n, learned) if m.get("mode") != "reliability"}
-    ranked = rank(measure_bank(select, list(specs.values()), window, mode, n_thresholds), top)
-    names = [r.config.split("|")[0] for r in ranked.collect()]
-    return ranked, measure_bank(test, [specs[k] for k in names], window, mode, n_thresholds)
+
+    def made(v, gt):
+        return {f"d{s}": K.descriptors(v, int(s), mode)[0] for s in scales} | {"truth": K.dilate(gt, 1)}
+
+    d = K.per_image(fit, ["v", "gt"], made, ", ".join([*[f"d{s} array<double>" for s in scales], "truth boolean"]))
+    rows = F.array(*[F.struct(F.lit(str(s)).alias("scale"), F.col(f"d{s}").alias("x")) for s in scales])
+    d = d.join(F.broadcast(fit.select("img", "oracle").distinct()), "img")  # one row an image
+    d = d.select("img", "oracle", F.col("truth").cast("double").alias("y"), F.xxhash64("img", "y", "x").alias("id"), F.explode(rows).alias("r")).select("img", "oracle", "y", "id", "r.*")
+    d = materialize(d, "competition")
+    groups = [r.oracle for r in d.select("oracle").distinct().orderBy("oracle").collect()]
+
+    def pool(part: DataFrame, most: int, seed: int) -> DataFrame:
+        maps = part.select("img", "scale").distinct().count()
+        some = LN.balanced_sample(part, max_samples=max(500, most // max(maps, 1)), seed=seed, by=["img", "scale"])
+        return materialize(some.orderBy(F.xxhash64(F.lit(seed), "id", "scale"), "id", "scale").limit(most), "pool")
+
+    every = pool(d, 30_000, 123)
+    learned: dict[str, dict[str, Any]] = {"additive_learned": LN.learn_additive(every, n)}
+    learned |= {f"sugeno_learned_sum{s:.2f}": LN.learn_sugeno(every, n, target_sum=s) for s in SUMS}
+    learned["2additive_learned"] = LN.learn_two_additive(every, n)
+    learned["full_capacity_learned"] = LN.learn_full(pool(d, 10_000, 321), n)
+    by_scale = {str(s): pool(d.where(F.col("scale") == str(s)), 12_000, 1000 + i) for i, s in enumerate(scales)}
+    by_context = {g: pool(d.where(F.col("oracle") == g), 14_000, 2000 + i) for i, g in enumerate(groups)}
+    for name, learn in (("additive", LN.learn_additive), ("2additive", LN.learn_two_additive)):
+        default = learned[f"{name}_learned"]
+        learned[f"scale_{name}_learned"] = {"kind": "scale_router", "measures": {k: learn(p, n) for k, p in by_scale.items()}, "default": default}
+        bank = {k: learn(p, n) for k, p in by_context.items()}
+        for routing in ("oracle", "estimated"):
+            learned[f"context_{name}_{routing}"] = {"kind": "context_router", "measures": bank, "default": default, "routing": routing}
+    return learned
+
+
+def gated_by_measure(images: DataFrame, pairs: Sequence[tuple[dict, Sequence[float]]], scales: Sequence[int], mode: str) -> DataFrame:
+    """measure, roi_q, img, h, w, score, gt, coverage, fraction: suppressed gradients inside each measure's regions.
+
+    ``images`` holds img, y, x, v, gt, oracle, estimated; descriptors are made once an image.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        v, gt = K.to_raster(f, ["v", "gt"])
+        gt, rows = gt.astype(bool), []
+        feats = [K.descriptors(v, int(s), mode)[::2] for s in scales]
+        edges, near = K.suppress(K.detector(v, "scharr"), K.orientation(v)), K.dilate(gt, 1)
+        for spec, qs in pairs:
+            label = f[spec["routing"]].iloc[0] if "routing" in spec else None
+            conf = K.ordinal(K.multiscale(feats, scales, spec, label))
+            for q in qs:
+                roi = conf >= q
+                rows.append((spec["name"], float(q), f["img"].iloc[0], *v.shape, (edges * roi).ravel(), gt.ravel(), float((roi & near).sum() / max(near.sum(), 1)), float(roi.mean())))
+        return pd.DataFrame(rows, columns=["measure", "roi_q", "img", "h", "w", "score", "gt", "coverage", "fraction"])
+
+    return images.groupBy("img").applyInPandas(run, "measure string, roi_q double, img string, h int, w int, score array<double>, gt array<boolean>, coverage double, fraction double")
+
+
+def compared(maps: DataFrame, tol: int = 2, n_thresholds: int = 41) -> DataFrame:
+    """The benchmark of each measure and region quantile: a group holds the images of one split."""
+    names = ["ODS", "ODS_threshold", "ODS_precision", "ODS_recall", "OIS", "AP", "R50", "ROC_AUC"]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("img")
+        some = [(np.asarray(r.score, float).reshape(r.h, r.w), np.asarray(r.gt, bool).reshape(r.h, r.w)) for r in f.itertuples()]
+        m = K.benchmark(some, E.threshold_probs(n_thresholds), tol)
+        return pd.DataFrame([(f["measure"].iloc[0], f["roi_q"].iloc[0], *[m[k] for k in names], f["coverage"].mean(), f["fraction"].mean())], columns=["measure", "roi_q", *names, "roi_gt_coverage", "roi_fraction"])
+
+    return maps.groupBy("measure", "roi_q").applyInPandas(run, "measure string, roi_q double, " + ", ".join(f"{k} double" for k in [*names, "roi_gt_coverage", "roi_fraction"]))
+
+
+def competition(spark: SparkSession, fit: DataFrame, select: DataFrame, test: DataFrame, scales: Sequence[int] = SCALES, mode: str = "oriented", top: int = 10, n_thresholds: int = 41, qs: Sequence[float] = REGION_QS) -> tuple[DataFrame, DataFrame]:
+    """Learn measures on some images, rank all measures (each with its best region quantile) on others, evaluate the best on test images: (selection, test)."""
+    from ..operators import learning as LN
+
+    fit = prepared_images(fit)
+    specs = {m["name"]: m for m in M.registry(len(K.MODES[mode]), competing(fit, scales, mode))}
+    known = materialize(contexts(fit), "contexts")
+    cols = [f"c{i}" for i in range(6)]
+    centroids, spread = LN.fit_centroids(known, "oracle", cols)
+
+    def labelled(pixels: DataFrame) -> DataFrame:
+        images = prepared_images(pixels)
+        told = LN.nearest_centroid(contexts(images), "img", "oracle", centroids, spread, cols).select("img", F.col("predicted").alias("estimated"))
+        return images.join(F.broadcast(told), "img")  # one row an image
+
+    maps = gated_by_measure(labelled(select), [(s, qs) for s in specs.values()], scales, mode)
+    scored = materialize(compared(materialize(maps, "competition-maps"), 2, n_thresholds), "competition-scores")
+    best = F.row_number().over(Window.partitionBy("measure").orderBy(F.desc("ODS"), F.desc("AP"), F.desc("OIS"), "roi_q"))
+    ranked = rank(scored.withColumn("_r", best).where("_r = 1").drop("_r"), top, ties=("measure",))
+    chosen = ranked.select("measure", "roi_q", "selection_rank").collect()
+    tested = compared(gated_by_measure(labelled(test), [(specs[r.measure], [r.roi_q]) for r in chosen], scales, mode), 2, n_thresholds)
+    return ranked, tested.join(F.broadcast(spark.createDataFrame([(r.measure, r.selection_rank) for r in chosen], "measure string, selection_rank int")), "measure")  # top rows
 
 
 def factorial(spark: SparkSession, pixels: DataFrame, path: str, operators: Sequence[dict], measures: Sequence[dict], chunk: int = 8, **options: Any) -> list[tuple[int, int]]:

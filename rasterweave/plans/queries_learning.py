@@ -290,7 +290,9 @@ def exp_staged_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exp_measure_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import experiments as X
 
-    return _rounded(X.competition(spark, _images(spark), _images(spark), _images(spark, "'diagonal', 'two_scale'"), top=5, n_thresholds=9)[1])
+    validation = S.split("validation", 40, 41000)
+    fit, select, test = (S.pixels(spark, c) for c in (validation[:20], validation[20:], S.split("test", 60, 51000)))
+    return _rounded(X.competition(spark, fit, select, test)[1])
 
 
 @query("exp_region_cost")

@@ -50,6 +50,65 @@ def test_measures_and_chunks(spark, images, tmp_path):
     assert spark.read.parquet(path).count() == 6
 
 
+def test_array_measures_are_the_columns(spark):
+    """All kinds that the competition ranks, on random descriptors."""
+    import numpy as np
+
+    from rasterweave.functions import binary
+    from rasterweave.operators import kernels as K
+    from rasterweave.operators.choquet import integral
+
+    rng = np.random.default_rng(8)
+    x, h = rng.random((150, 8)).round(2), rng.random(150)
+    full = {"kind": "full_capacity", "capacity_table": [(m.bit_count() / 8) ** (0.3 + 0.1 * (m & 1)) if m not in (0, 255) else m / 255 for m in range(256)]}
+    specs = M.registry(8, {"full": full, "router": {"kind": "scale_router", "measures": {"5": full}, "default": M.DEFAULT}, "sugeno": {"kind": "sugeno_lambda", "capacity_table": M.sugeno_table([0.1] * 8).tolist()}})
+    assert len(specs) == 24 + 3
+    w = K.reliability(x.reshape(10, 15, 8), 5, 1e-3).reshape(150, 8)
+    d = spark.createDataFrame([(i, r.tolist(), float(v), u.tolist()) for i, (r, v, u) in enumerate(zip(x, h, w))], "id int, x array<double>, h double, w array<double>")
+    columns = {"heterogeneity": F.col("h"), "dispersion": F.col("h"), "weights": F.col("w")}
+    arrays = {"heterogeneity": lambda: h, "dispersion": lambda: h, "weights": lambda size, floor: w}
+    xs, cl = np.sort(x, -1), binary.array("CL")
+    got = d.orderBy("id").select(*[integral(F.col("x"), 8, "CF1F2", f1="CL", f2="CL", spec=s, scale=5, context=columns).alias(f"m{i}") for i, s in enumerate(specs)]).toPandas()
+    for i, s in enumerate(specs):
+        mu = M.array_tails(x, s, 5, None, arrays)
+        want = np.clip(xs[:, 0] + (cl(xs[:, 1:], mu[:, 1:]) - cl(xs[:, :-1], mu[:, 1:])).sum(-1), 0, 1)
+        assert got[f"m{i}"].to_numpy() == pytest.approx(want), s["name"]
+
+
+def test_array_benchmark_is_the_plain_one(images):
+    from rasterweave.operators import kernels as K
+
+    d = images.toPandas()
+    m = K.benchmark([tuple(K.to_raster(g, ["v", "gt"])) for _, g in d.groupby("img")], E.threshold_probs(11), 2)
+    plain = E.benchmark(images, "v", "gt", 2, 11).first()
+    for c in m:
+        assert m[c] == pytest.approx(plain[c]), c
+
+
+def test_array_multiscale_is_the_columns(images):
+    from rasterweave.operators import kernels as K
+    from rasterweave.operators.information import collapse_scales
+    from rasterweave.operators.multiscale import features, refine
+
+    spec = {"kind": "local_additive", "mode": "reliability", "window": 5}
+    feats = X.materialize(features(images, (5, 3), "oriented"), "features")
+    got = collapse_scales(refine(feats, (5, 3), 8, f1="CL", f2="CL", spec=spec), ["img", "y", "x"]).toPandas()
+    for i, f in images.toPandas().groupby("img"):
+        v = K.to_raster(f, ["v"])[0]
+        want = K.multiscale([K.descriptors(v, s, "oriented")[::2] for s in (5, 3)], (5, 3), spec)
+        assert (abs(K.to_raster(got[got["img"] == i], ["final_bits"])[0] - want) > 1e-6).mean() < 0.02
+
+
+def test_competition_ranks_all_measures(images, monkeypatch):
+    from rasterweave.operators import learning as LN
+
+    for name in ("learn_additive", "learn_sugeno", "learn_two_additive", "learn_full"):
+        monkeypatch.setattr(LN, name, lambda d, n, **k: {"kind": "additive", "weights": [1 / n] * n})
+    specs = M.registry(8, X.competing(X.prepared_images(images), (5, 3), "oriented"))
+    assert len({s["name"] for s in specs}) == 38 and len(X.REGION_QS) == 8
+    assert sum(s.get("kind") == "context_router" for s in specs) == 4 and sum(s.get("kind") == "scale_router" for s in specs) == 2
+
+
 def test_region_cost(images):
     r = X.region_cost(X.mfi(images, **OPTIONS), "median").collect()
     assert len(r) == 2 and all(0 < x.share <= 1 and x.difference < 0.05 for x in r)
