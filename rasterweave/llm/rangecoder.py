@@ -22,8 +22,8 @@ import numpy as np
 
 MAGIC = b"RWC1"
 HEADER = struct.Struct("<4sIIII")
-LANES, LANE_IDS = 4096, 64  # most lanes; fewest ids in a lane of a block with several
-BLOCK_IDS = 1 << 20
+LANES, LANE_IDS = 8192, 64  # most lanes; fewest ids in a lane of a block with several
+BLOCK_IDS = 1 << 21
 _W0, _WEIGHTS = 22, 8  # bits of the order-0 total and of the weights
 _TOTAL = _W0 + _WEIGHTS
 _TABLE2 = 1 << 20

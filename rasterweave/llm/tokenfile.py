@@ -8,15 +8,18 @@ container, so any store that Spark reaches can hold them, commits are atomic and
 Reading.  Each record is decoded by itself, checksums verified.  A document's place among all ids is its
 shard's place (a sum over one number for each shard) plus its place in the shard.
 
-Tokenising.  Texts go to the tokenizers library whole, some at a time.
+Tokenising.  Texts are cut where the tokenizer's own pre-tokenizer cuts in any case; the tokenizers library encodes each
+piece when it is first met, and numpy puts the pieces' ids side by side.
 
-Edge cases: null and empty texts hold the end id only; null ids come first; rows with one doc_id follow each other by text;
+Edge cases: null and empty texts hold the end id only; null ids come first; rows with one doc_id follow each other
+by a hash of the text, then the text;
 texts of any length are encoded whole, in as many blocks as needed; no documents give an empty file; only doc_id and
 text are read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -32,13 +35,27 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_dir, table, tidy, utf8
 from .rangecoder import BLOCK_IDS, decode, encode
+from .wordhash import hash_spans
 
-PIECE = 1 << 19  # bytes of text (or one text) that the library encodes in one go
+PIECE = 1 << 20  # bytes of text (or one text) that are encoded in one go
+SLOTS = 1 << 20  # places of the table of pieces, half of them used at most
+LINES = 512  # words that the library gets as one text
+POOL = 1 << 23  # ids that the table's pieces have, about
 FILE_SCHEMA = "shard int, record int, first long, alphabet int, doc_ids binary, doc_nulls binary, n_tokens binary, ids binary"
+_SOLID = np.zeros(256, bool)  # visible ASCII characters
+_SOLID[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 class Encoder:
-    """Ids by the tokenizers library, on one thread."""
+    """Ids by the tokenizers library, which sees each piece of text once as long as the table of pieces lasts.
+
+    Text is cut where the byte-level pre-tokenizer begins a word in any case: before a single space or around a single line
+    end between visible characters (ASCII, or of two bytes from U+00C0 on), and between a Latin letter and ASCII punctuation
+    that no special string holds.  So the pieces' ids side by side are the text's.  A tokenizer of another kind gets whole texts.
+    When the table is full, pieces met again since the last time stay and the others go.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,16 +63,154 @@ class Encoder:
 
         self.tk = Tokenizer.from_file(path)
         self.size = self.tk.get_vocab_size()
-
-    def encode(self, some: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids one after another, number of each text), each text ended by ``end_id``."""
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        before = parts.get("pre_tokenizer") or {}
+        special = "".join(t["content"] for t in parts["added_tokens"])
+        plain = special.isascii() and not any(c.isspace() for c in special) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"])
+        self.stops = _SOLID & ~_LETTER  # punctuation that ends a word
+        self.stops[[*range(0x30, 0x3A), *special.encode()]] = False
+        self.cuts = bool(plain and parts.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"))
+        line = self.tk.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key = np.zeros(SLOTS, np.uint64)
+        self.start, self.count = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.again = np.zeros(SLOTS, bool)
+        self.pool, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _prune(self) -> None:
+        stay = np.flatnonzero(self.again)
+        if len(stay) > SLOTS // 4 or int(self.count[stay].sum()) > POOL // 2:
+            stay = stay[:0]
+        h, start, count, pool = self.key[stay], self.start[stay], self.count[stay].astype(np.int64), self.pool
+        self._clear()
+        self._put(h, pool[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))], count)
+
+    def _library(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out, each = array("I"), []
         for e in self.tk.encode_batch_fast(some, add_special_tokens=False):
             ids = e.ids
-            each.append(len(ids) + 1)
+            each.append(len(ids))
             out.extend(ids)
-            out.append(end_id)
-        return np.frombuffer(out, np.uint32) if each else np.zeros(0, np.uint32), np.array(each, np.int64)
+        return np.frombuffer(out, np.uint32) if len(out) else np.zeros(0, np.uint32), np.array(each, np.int64)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is in the table; -1 where it is not."""
+        at, left = np.full(len(h), -1, np.int64), np.arange(len(h))
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            k = self.key[slot]
+            hit = k == h[left]
+            at[left[hit]] = slot[hit]
+            on = ~hit & (k != 0)
+            left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
+        return at
+
+    def _learn(self, h: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Put pieces (distinct, not in the table yet) into it: words go to the library as lines, LINES at a time, others one by one."""
+        blank = np.concatenate([np.zeros(1, np.int64), np.cumsum(text <= 0x20)])
+        first, last, before = text[begin], text[end - 1], text[np.maximum(end - 2, 0)]
+        word = (blank[end] - blank[begin] == (first == 0x20)) & (_SOLID[last] | ((end - begin > 2) & (before >= 0xC3) & (before < 0xE0))) & (self.line >= 0)
+        at, rest = np.flatnonzero(word), np.flatnonzero(~word)
+        size = end[at] - begin[at] + 1
+        stop = np.cumsum(size)
+        lines = text[np.minimum(np.repeat(begin[at] - (stop - size), size) + np.arange(int(size.sum())), len(text) - 1)]
+        lines[stop - 1] = 0x0A
+        cut = [0, *stop[LINES - 1 :: LINES].tolist(), len(lines)]
+        ids, _ = self._library([lines[a:z].tobytes().decode() for a, z in zip(cut[:-1], cut[1:], strict=True) if z > a])
+        ends = np.flatnonzero(ids == self.line)
+        if len(ends) == len(at):
+            self._put(h[at], np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+        else:  # another vocabulary may hold the line end in a longer token
+            rest = np.arange(len(h))
+        raw = text.tobytes() if len(rest) else b""
+        self._put(h[rest], *self._library([raw[a:z].decode() for a, z in zip(begin[rest].tolist(), end[rest].tolist(), strict=True)]))
+
+    def _put(self, h: np.ndarray, ids: np.ndarray, each: np.ndarray) -> None:
+        """Put pieces (distinct, not in the table yet) into it."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(each) - each
+        self.used += len(ids)
+        self.held += len(h)
+        left, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = self.key[slot] == 0
+            put = np.flatnonzero(free)
+            _, first = np.unique(slot[put], return_index=True)  # of pieces that meet in a slot, one takes it
+            put = put[first]
+            who, where = left[put], slot[put]
+            self.key[where], self.start[where], self.count[where] = h[who], start[who], each[who]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, slot = left[rest], slot[rest]
+            slot = np.where(self.key[slot] != 0, (slot + 1) & (SLOTS - 1), slot)
+
+    def _cuts(self, text: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Where pieces begin, ``places`` among them."""
+        begins = np.zeros(len(text) + 1, bool)
+        begins[places] = True
+        if len(text) < 3:
+            return np.flatnonzero(begins)
+        solid = _SOLID[text]
+        two = (text >= 0xC3) & (text < 0xE0)  # begins a character of two bytes, none of them white space
+        opens = solid | two
+        closes = solid.copy()
+        closes[1:] |= two[:-1]
+        closed, opened = closes[:-2], opens[2:]
+        between = closed & opened  # of the byte in the middle
+        middle = text[1:-1]
+        line = between & (middle == 0x0A)
+        latin = _LETTER[text]
+        # two bytes C3 to C9 are letters, but for U+00D7 and U+00F7
+        lead = (text[:-1] >= 0xC3) & (text[:-1] <= 0xC9) & ~((text[:-1] == 0xC3) & ((text[1:] == 0x97) | (text[1:] == 0xB7)))
+        latin[1:] |= lead
+        begins[1:-2] |= (between & (middle == 0x20)) | line
+        begins[2:-1] |= line
+        begins[1:-1] |= latin[:-1] & self.stops[text[1:]]
+        return np.flatnonzero(begins)
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, number of each text), each text ended by ``end_id``; texts are data[offsets[i] : offsets[i + 1]]."""
+        lo, n = int(offsets[0]), len(offsets) - 1
+        text = data[lo : int(offsets[-1])]
+        places = offsets - lo
+        if not self.cuts:
+            raw, cut = text.tobytes(), places.tolist()
+            ids, each = self._library([raw[a:z].decode() for a, z in zip(cut[:-1], cut[1:], strict=True)])
+            ends = np.cumsum(each)
+            return np.insert(ids, ends, end_id), each + 1
+        cut = self._cuts(text, places)  # empty texts share a place
+        begin, end = cut[:-1], cut[1:]
+        h = hash_spans(text, begin, end)
+        at = self._slots(h)
+        self.again[at[at >= 0]] = True
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            hashes, first = np.unique(h[new], return_index=True)
+            if self.held + len(hashes) > SLOTS // 2 or self.used > POOL:
+                self._prune()
+                new = np.flatnonzero(self._slots(h) < 0)
+                hashes, first = np.unique(h[new], return_index=True)
+            if len(hashes) > SLOTS // 2:
+                raise ValueError("more pieces than the table holds in one go")
+            some = new[first]
+            self._learn(hashes, text, begin[some], end[some])
+            at = self._slots(h)
+        count = self.count[at].astype(np.int64)
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+        each = np.diff(before[np.searchsorted(cut, places)]) + 1
+        ends = np.cumsum(each)
+        out = np.empty(int(before[-1]) + n, np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[ends - 1] = False
+        out[~keep] = end_id
+        out[keep] = self.pool[np.repeat(self.start[at] - before[:-1], count) + np.arange(int(before[-1]))]
+        return out, each
 
 
 @lru_cache(2)
@@ -66,8 +221,9 @@ def _encoder(path: str) -> Encoder:
 def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", record_ids: int = BLOCK_IDS) -> None:
     """Write all documents' ids to ``path``, in ascending id order."""
     bounded_batches(documents.sparkSession)
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("spread"))
+    # the hash deals rows of one id (or without any) to several ranges
+    rows = rows.repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = _encoder(tokenizer), TaskContext.get().partitionId()
@@ -92,8 +248,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2,
             i = 0
             while i < b.num_rows:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
-                cut = offsets[i : j + 1].tolist()
-                ids, each = enc.encode([data[a:z].tobytes().decode() for a, z in zip(cut[:-1], cut[1:], strict=True)], end_id)
+                ids, each = enc.encode(offsets[i : j + 1], data, end_id)
                 at = 0
                 a = 0
                 # records are cut between documents

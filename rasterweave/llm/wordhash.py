@@ -17,6 +17,7 @@ BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(
 BASE, GRAM_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Bytes hashed in one go; longer texts are cut between words.
 PIECE = 1 << 20
+SPAN_PIECE = 1 << 17
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -112,6 +113,22 @@ def hash_words(offsets: np.ndarray, data: np.ndarray, cut: np.ndarray = SPACE, l
     return (np.concatenate(hashes, -1) if hashes else np.zeros((1 + len(prefix), 0) if prefix else 0, np.uint64)), count
 
 
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes (none is 0) of data[begin : end]; spans ascend and do not overlap."""
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + SPAN_PIECE, "right")))
+        lo, hi = int(begin[i]), int(end[j - 1])
+        up, down = powers(BASE, hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(BYTE[data[lo:hi]] * up[: hi - lo], out=total[1:])
+        a, z = begin[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((total[z] - total[a]) * down[a] + (z - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        i = j
+    return out
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words, by its first word; shorter inputs give none."""
     if len(words) < n:
