@@ -5,7 +5,7 @@ maximum over the window, rectified, feeds a softmax over the languages.  A docum
 windows that overlap by the widest filter less one, so the whole text is read and no n-gram is lost; its
 score is the softmax of the windows' mean log-probabilities.
 
-Training reads text and lang only: at most about ``train_docs`` documents a language (chosen by a hash of the
+Training reads text and lang only: at most ``train_docs`` different texts a language (chosen by a hash of the
 text, so no id has a say) with ``train_windows`` windows each, from anywhere in the text.  That bound does
 not grow with the data; prediction covers all rows.  For speed, prediction adds rows of two tables
 indexed by byte pairs, which hold the sums of the filters' weights.
@@ -23,10 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, each_text, table, texts, tidy
+from .common import bounded_batches, each_text, private, table, texts, tidy
 from .wordhash import LOWER
 
 UND = "und"
@@ -65,12 +65,12 @@ class Network:
         self.p["w"] = rng.normal(0, 0.3, (len(WIDTHS) * FILTERS, len(labels))).astype(np.float32)
         self.p["c"] = np.zeros(len(labels), np.float32)
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 900, batch: int = 64, rate: float = 0.01, seed: int = 6) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, of: Sequence[np.ndarray], steps: int = 900, batch: int = 64, rate: float = 0.01, seed: int = 6) -> None:
         rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         rows, filters = np.arange(batch)[:, None], np.arange(FILTERS)
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(x), batch)
+            pick = np.array([of[k][int(u * len(of[k]))] for k, u in zip(rng.integers(0, len(of), batch).tolist(), rng.random(batch).tolist(), strict=True)])
             a, t = x[pick].astype(np.intp), y[pick]
             peaks, where = [], []
             for w in WIDTHS:
@@ -165,19 +165,37 @@ def _scorer(model: bytes) -> Scorer:
     return Scorer(pickle.loads(model))
 
 
-def fit(labelled: DataFrame, *, train_docs: int = 1500, train_windows: int = 6, max_languages: int = 512, seed: int = 3) -> Network:
-    """Train on rows (text, lang) with both present; at most about train_docs documents a language reach the driver."""
+def drawn(rows: DataFrame, group: str, most: dict, seed: int) -> DataFrame:
+    """At most most[g] rows (text, group) of each group g, with different texts, by a hash of the text.
+
+    A hash picks somewhat more texts than are wanted, by a count of different texts; copies of one text count once, and a last rank by
+    hash cuts what is too many, over the few that were picked.
+    """
+    h = F.xxhash64(F.lit(seed), F.col("text"))
+    counts = {r[0]: r[1] for r in rows.groupBy(group).agg(F.approx_count_distinct(h, 0.02)).collect()}  # one row for each key of ``most``
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * most[k] / max(n, 1)))])
+    some = rows.select(F.col(group), "text", h.alias("_h")).where(F.pmod(F.col("_h"), F.lit(1 << 20)) / float(1 << 20) < share[F.col(group)])
+    one = some.groupBy(group, "_h").agg(F.min("text").alias("text"))
+    limit = F.create_map(*[F.lit(x) for k in counts for x in (k, most[k])])
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_h"))
+    return one.withColumn("_rank", rank).where(F.col("_rank") <= limit[F.col(group)]).select(group, "text")
+
+
+def fit(labelled: DataFrame, *, train_docs: int = 1500, train_windows: int = 6, max_languages: int = 512, max_windows: int = 120_000, seed: int = 3) -> Network:
+    """Train on rows (text, lang) with both present.
+
+    At most ``train_docs`` different texts a language and ``train_windows`` windows of each reach the driver, and at most
+    ``max_windows`` windows (of WINDOW bytes, 30 MB) in all: with many languages, each has fewer texts.
+    """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
+    names = [r.lang for r in labelled.select("lang").distinct().limit(max_languages + 1).collect()]
+    if len(names) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    labels = sorted(counts, key=str.encode)
-    if not labels:
+    if not names:
         return Network([])
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, train_docs / n))])
-    spread = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = labelled.where(spread < share[F.col("lang")])
+    each = max(1, min(train_docs, max_windows // (train_windows * len(names))))
+    chosen = drawn(labelled, "lang", dict.fromkeys(names, each), seed).select("text", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,31 +214,33 @@ def fit(labelled: DataFrame, *, train_docs: int = 1500, train_windows: int = 6,
     if len(labels) > 1:
         x, y = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW), np.array([labels.index(k) for k, _ in got])
         # languages alike often, however many rows they have
-        size = np.bincount(y)
-        most = size.max()
-        again = np.concatenate([np.resize(np.flatnonzero(y == i), most) for i in range(len(labels))])
-        net.train(x[again], y[again])
+        of = [np.flatnonzero(y == i) for i in range(len(labels))]
+        net.train(x, y, of)
     return net
 
 
-def identify(documents: DataFrame, network: Network, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep``'s columns, then lang_pred and score."""
-    import pickle
-
-    bounded_batches(documents.sparkSession)
-    model = pickle.dumps(network)
-    rows = documents.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
-    schema = rows.drop("_text").schema.add("_lang", "string").add("_score", "double")
+def _told(model: bytes, text: Column) -> Column:
+    """A struct of lang and score; only the texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, score double")
+    def tell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _scorer(model)
         for b in batches:
-            lang, score = scorer.predict(each_text(b.column(b.num_columns - 1)), b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "_lang", "_score"])
+            lang, score = scorer.predict(each_text(b), len(b))
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
         tidy()
 
-    out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return tell.asNondeterministic()(text)  # else a filter on the result would run it twice
+
+
+def identify(documents: DataFrame, network: Network, keep: Sequence[str] = ("doc_id",), lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``keep``'s columns, then the predicted language and its score, named ``lang`` and ``score``."""
+    import pickle
+
+    bounded_batches(documents.sparkSession)
+    (told,) = private(documents.columns, "told")
+    out = documents.withColumn(told, _told(pickle.dumps(network), F.col("text")))
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"{told}.lang").alias(lang), F.col(f"{told}.score").alias(score))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
