@@ -9,13 +9,13 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only on one machine whose session names no shared folder (tests).
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets one only where the session has none."""
+    """The folder that driver and executors share; a cluster's session must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = FALLBACK_DIR
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return base
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return FALLBACK_DIR
 
 
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
@@ -37,18 +39,42 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
 
 
-BATCH_BYTES = 8 << 20
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for t in tables:
+        jvm, spark = t.sparkSession._jvm, t.sparkSession
+        where = jvm.org.apache.hadoop.fs.Path(t._kept_at)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+BATCH_BYTES = 4 << 20
+ROW_GROUP_BYTES = 16 << 20
+READ_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let a batch of texts on its way to Python hold at most BATCH_BYTES (rows are long, and both sides hold copies)."""
+    """Let a batch of texts on its way to Python, and a row group on its way to a file, hold at most so many bytes, and a batch read from
+    a file so many rows (rows are long, and their buffers grow by doubling)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
     if now is not None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
+    spark.conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+
+
+def private(names: Sequence[str], *wanted: str) -> list[str]:
+    """``wanted`` with underscores put before them until none is among ``names`` (case aside, as Spark compares them)."""
+    taken = {n.lower() for n in names}
+    lead = "_"
+    while any((lead + w).lower() in taken for w in wanted):
+        lead += "_"
+    return [lead + w for w in wanted]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, tidy
 
 SCHEMA = "u long, v long"
 
@@ -37,6 +37,7 @@ def contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes = list(parent)
         out = pd.DataFrame({"u": nodes, "v": [find(x) for x in nodes]}, dtype="int64")
         yield out[out["u"] != out["v"]]
+    tidy()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -60,6 +61,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = now.agg(F.count("u").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state.n:
             return now
-        before = state
-        now = materialize(_star(_star(now, True), False), "stars")
+        before, last = state, now
+        now = materialize(_star(_star(last, True), False), "stars")
+        release(last)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, partitions, table, tidy, utf8
+from .common import bounded_batches, materialize, partitions, private, release, table, tidy, utf8
 from .components import components, contract
 from .wordhash import grams, hash_words, mix
 
@@ -44,12 +44,16 @@ CHUNK = 1 << 21  # shingles counted at a time; one that a chunk holds once is no
 MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 64
 FLUSH = 1 << 18  # index entries packed at a time
-BLOOM_BITS = 1 << 24
-GROUP = 1 << 21  # bytes of text hashed in one go
+BLOOM_BITS = 1 << 27  # 16 MB at most
+BUCKET = 1 << 23  # shingles a bucket of the index, about
+SHARD = 1 << 12  # documents of a search shard, about
+ASKED = 1 << 9  # queries that one copy of a block answers, about
+GROUP = 1 << 20  # bytes of text hashed in one go
 MU = 0.5  # DivideSkip's cost ratio of probing and merging
 FEW = 2048  # postings that are merged by a heap
 BLOCK = 512  # documents of a search block
 SHORT = 8  # members of a list whose pairs are counted
+SUB_LIST = 256  # members of a part of a long list, about
 PART = 20  # one more shared index entry is asked for with this many shingles
 
 
@@ -174,10 +178,10 @@ class Block:
 
 
 def _scan(documents: DataFrame, n: int) -> DataFrame:
-    """kind 0: a document's doc_id, n, sig; kind 1: a shingle h met c times in a chunk."""
+    """kind 0: a document's doc_id, th (a hash of its text), n, sig; kind 1: a shingle h met c times in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "sig", "h", "c"]
+        names = ["kind", "doc_id", "th", "n", "sig", "h", "c"]
         held: list[np.ndarray] = []
         size = 0
 
@@ -185,7 +189,7 @@ def _scan(documents: DataFrame, n: int) -> DataFrame:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             h, c = h[c > 1], c[c > 1]
             no = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), no, no, no, pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), no, no, no, no, pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=names)
 
         for b in batches:
             each = []
@@ -197,12 +201,13 @@ def _scan(documents: DataFrame, n: int) -> DataFrame:
                     yield counts()
                     held, size = [], 0
             no = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), pa.array([x for x, _ in each], pa.int64()), pa.array([x for _, x in each], pa.int64()), no, no], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), b.column(2), pa.array([x for x, _ in each], pa.int64()), pa.array([x for _, x in each], pa.int64()), no, no], names=names)
         if size:
             yield counts()
         tidy()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, sig long, h long, c long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    return rows.mapInArrow(run, "kind int, doc_id long, th long, n long, sig long, h long, c long")
 
 
 class Frequent:
@@ -214,6 +219,17 @@ class Frequent:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.h & np.uint64((1 << 20) - 1)] = True
 
+    def ways(self, h: np.ndarray) -> np.ndarray:
+        """Into how many sub-lists each shingle's list is dealt."""
+        out = np.ones(len(h), np.uint64)
+        at = np.flatnonzero(self.maybe[h & np.uint64((1 << 20) - 1)])
+        if len(at):
+            p = np.searchsorted(self.h, h[at])
+            p[p == len(self.h)] = 0
+            ok = self.h[p] == h[at]
+            out[at[ok]] = np.minimum(-(-self.c[p[ok]] // SUB_LIST), (1 << 24) - 1)
+        return out
+
     def order(self, s: np.ndarray, most: int) -> np.ndarray:
         """The first ``most`` of a sorted set in the global order."""
         at = np.flatnonzero(self.maybe[s & np.uint64((1 << 20) - 1)])
@@ -231,8 +247,12 @@ class Frequent:
 
 
 def _index(documents: DataFrame, n: int, rule: Rule, frequent: Frequent, buckets: int) -> DataFrame:
-    """key, sig, n of index entries whose list has another entry of a fitting size."""
+    """key, part, sig, n, m of index entries whose list, of m entries, has another entry of a fitting size.
+
+    Long lists (of frequent shingles) are dealt into parts by the documents' size, then by hash; their entries all stay.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT shingles
+    width = np.log(rule.den / rule.num)  # documents that link lie in one class of sizes or in neighbouring ones
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
@@ -246,15 +266,23 @@ def _index(documents: DataFrame, n: int, rule: Rule, frequent: Frequent, buckets
             times = [len(x) for x, _ in held]
             s, m = np.repeat(np.array(sig, np.int64), times), np.repeat(np.array([k for _, k in held], np.uint32), times)
             key = mix(h ^ np.uint64(0xE7037ED1A0B428DB))
-            bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            ways = f.ways(h)
+            part = np.zeros(len(h), np.uint64)
+            hot = np.flatnonzero(ways > 1)
+            part[hot] = np.uint64(1 << 62) | (np.log(m[hot]) / width).astype(np.uint64) << np.uint64(48) | ways[hot] << np.uint64(24) | mix(s[hot].view(np.uint64)) % ways[hot]
+            bucket = (mix(key + part) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            key, s, m, bucket = key.astype(np.uint32)[order], s[order], m[order], bucket[order]
-            ids, start = np.unique(bucket, return_index=True)
+            ids, start = np.unique(bucket[order], return_index=True)
             ends = [*start[1:].tolist(), len(bucket)]
-            part = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(start.tolist(), ends, strict=True)], pa.binary())
+            cut = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(start.tolist(), ends, strict=True)], pa.binary())
+            # parts are few: only hot entries carry theirs, by place
+            some = part[order]
+            parts = pa.array([np.flatnonzero(some[x:y]).astype(np.uint32).tobytes() for x, y in zip(start.tolist(), ends, strict=True)], pa.binary())
+            which = pa.array([some[x:y][some[x:y] > 0].tobytes() for x, y in zip(start.tolist(), ends, strict=True)], pa.binary())
+            count = pa.array([y - x for x, y in zip(start.tolist(), ends, strict=True)], pa.int32())
             held.clear()
             sig.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), part(key), part(s), part(m)], names=["bucket", "keys", "sigs", "ns"])
+            return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), count, cut(key[order]), cut(s[order]), cut(m[order]), parts, which], names=["bucket", "count", "keys", "sigs", "ns", "hot", "parts"])
 
         for b in batches:
             for s in sets(b.column(0), n):
@@ -276,8 +304,11 @@ def _index(documents: DataFrame, n: int, rule: Rule, frequent: Frequent, buckets
         tidy()
 
     def lists(frame: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(frame["bucket"].iloc[0])
-        key, s, m = (np.frombuffer(b"".join(frame.pop(c)), k) for c, k in (("keys", np.uint32), ("sigs", np.int64), ("ns", np.uint32)))
+        key, s, m = (np.frombuffer(b"".join(frame.pop(c)), k) for c, k in (("keys", np.uint64), ("sigs", np.int64), ("ns", np.uint32)))
+        part, at = np.zeros(len(key), np.uint64), 0
+        for places, values, count in zip(frame["hot"], frame["parts"], frame["count"].tolist(), strict=True):
+            part[at + np.frombuffer(places, np.uint32).astype(np.int64)] = np.frombuffer(values, np.uint64)
+            at += count
         # lists of one entry are most: drop them before the costlier sort
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -285,22 +316,27 @@ def _index(documents: DataFrame, n: int, rule: Rule, frequent: Frequent, buckets
         many = np.zeros(len(k), bool)
         many[1:] |= same
         many[:-1] |= same
-        order = order[many]
-        key, s, m = key[order], s[order], m[order].astype(np.int64)
-        order = np.lexsort((s, m, key))
-        key, s, m = key[order], s[order], m[order]
+        order = order[many | (part[order] > 0)]
+        key, s, m, part = key[order], s[order], m[order].astype(np.int64), part[order]
+        order = np.lexsort((s, m, part, key))
+        key, s, m, part = key[order], s[order], m[order], part[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (s[1:] != s[:-1])
-        key, s, m = key[fresh], s[fresh], m[fresh]
+        key, s, m, part = key[fresh], s[fresh], m[fresh], part[fresh]
         near = (key[1:] == key[:-1]) & (m[:-1] * rule.den >= m[1:] * rule.num)
-        keep = np.zeros(len(key), bool)
+        keep = part > 0
         keep[1:] |= near
         keep[:-1] |= near
+        key, s, m, part = key[keep], s[keep], m[keep], part[keep]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))[: len(key)])
+        times = np.diff(np.append(first, len(key)))
+        length = np.repeat(times, times)
+        length[part > 0] += SHORT  # its other parts have more
         tidy()
-        return pd.DataFrame({"key": key[keep].astype(np.int64) | (bucket << 32), "sig": s[keep], "n": m[keep]})
+        return pd.DataFrame({"key": key.view(np.int64), "part": part.view(np.int64), "sig": s, "n": m, "m": length})
 
-    packed = documents.select("text").mapInArrow(pack, "bucket int, keys binary, sigs binary, ns binary")
-    return packed.groupBy("bucket").applyInPandas(lists, "key long, sig long, n long")
+    packed = documents.select("text").mapInArrow(pack, "bucket int, count int, keys binary, sigs binary, ns binary, hot binary, parts binary")
+    return packed.groupBy("bucket").applyInPandas(lists, "key long, part long, sig long, n long, m long")
 
 
 def _enough(entries: DataFrame, rule: Rule) -> DataFrame:
@@ -310,32 +346,40 @@ def _enough(entries: DataFrame, rule: Rule) -> DataFrame:
     a longer list may be shared with anyone.  A class stays if its best partner's count and its entries on long lists
     together are enough, so classes that meet many others once each by chance go.
     """
-    sized = entries.withColumn("m", F.count("*").over(Window.partitionBy("key")))
-    lists = sized.where(F.col("m") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("sig", "n")).alias("l"))
+    lists = entries.where(F.col("m") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("sig", "n")).alias("l"))
     after = lambda a, i: F.transform(F.slice("l", i + 2, F.lit(SHORT)), lambda b: F.struct(a.alias("a"), b.alias("b")))
     pairs = lists.select(F.explode(F.flatten(F.transform("l", after))).alias("p")).where(rule.fits(F.col("p.a.n"), F.col("p.b.n")))
     pairs = pairs.groupBy(F.least("p.a.sig", "p.b.sig").alias("u"), F.greatest("p.a.sig", "p.b.sig").alias("v")).agg(F.count("*").alias("c"))
     best = pairs.select(F.explode(F.array("u", "v")).alias("sig"), "c").groupBy("sig").agg(F.max("c").alias("best"))
-    long = sized.groupBy("sig", "n").agg(F.count_if(F.col("m") > SHORT).alias("long"))
+    long = entries.groupBy("sig", "n").agg(F.count_if(F.col("m") > SHORT).alias("long"))
     able = long.join(best, "sig", "left").where(F.coalesce("best", F.lit(0)) + F.col("long") >= rule.few(F.col("n"))).select("sig")
     return entries.join(able, "sig", "left_semi")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over a column of longs; partial filters are made on the executors."""
+def _probes(x: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [mix(x ^ np.uint64(k)) & np.uint64(bits - 1) for k in (0x9E37, 0x85EB)]
+
+
+def _bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter over a column of longs, as 64-bit words, and its bits: some 16 an id, at most BLOOM_BITS.
+
+    Each task sends the words that it sets, once each; they are united before they reach the driver.
+    """
+    bits = min(BLOOM_BITS, 1 << max(20, (16 * ids.count()).bit_length()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(BLOOM_BITS, bool)
         for f in frames:
-            x = f.iloc[:, 0].to_numpy(np.int64).view(np.uint64)
-            for k in (0x9E37, 0x85EB):
-                bits[mix(x ^ np.uint64(k)) & np.uint64(BLOOM_BITS - 1)] = True
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+            if len(f):
+                at = np.sort(np.concatenate(_probes(f.iloc[:, 0].to_numpy(np.int64).view(np.uint64), bits)))
+                word = at >> np.uint64(6)
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                yield pd.DataFrame({"word": word[first].astype(np.int64), "mask": np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first).view(np.int64)})
+        tidy()
 
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in ids.coalesce(8).mapInPandas(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r.bits, np.uint8)
-    return out
+    got = ids.mapInPandas(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out, bits
 
 
 class _Filter:
@@ -345,11 +389,10 @@ class _Filter:
         self.sent = spark.sparkContext.broadcast(_bloom(ids))  # BLOOM_BITS
 
     def passing(self, column: pa.Array) -> pa.Array:
-        bits, x = self.sent.value, np.asarray(column.fill_null(0)).view(np.uint64)
+        (words, bits), x = self.sent.value, np.asarray(column.fill_null(0)).view(np.uint64)
         ok = np.ones(len(x), bool)
-        for k in (0x9E37, 0x85EB):
-            at = mix(x ^ np.uint64(k)) & np.uint64(BLOOM_BITS - 1)
-            ok &= (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
+        for at in _probes(x, bits):
+            ok &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return pa.array(ok | np.asarray(column.is_null()))
 
 
@@ -360,6 +403,7 @@ def _passing(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(only.passing(b.column(at)))
+        tidy()
 
     return df.mapInArrow(run, df.schema)
 
@@ -379,27 +423,32 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _blocks(entries: DataFrame) -> DataFrame:
-    """sig, n, blk: at most BLOCK documents a block, neighbours by size on the longest list that they are on."""
-    long = entries.withColumn("m", F.count("*").over(Window.partitionBy("key"))).groupBy("sig", "n").agg(F.max_by("key", F.struct("m", "key")).alias("home"))
-    place = F.row_number().over(Window.partitionBy("home").orderBy("n", "sig")) - 1
-    return long.withColumn("part", F.floor(place / BLOCK)).select("sig", "n", F.xxhash64("home", "part").alias("blk"))
+    """sig, n, blk: at most BLOCK documents a block, neighbours by size on the longest (part of a) list that they are on."""
+    long = entries.groupBy("sig", "n").agg(F.max(F.struct("m", "key", "part")).alias("home")).select("sig", "n", "home.key", "home.part")
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("n", "sig")) - 1
+    return long.withColumn("cut", F.floor(place / BLOCK)).select("sig", "n", F.xxhash64("key", "part", "cut").alias("blk"))
 
 
 def _search(queries: DataFrame, packed: DataFrame, rule: Rule, shards: int, own: bool) -> DataFrame:
-    """A spanning forest u, v of the links of queries (u, blk) with a block's documents, and if ``own``, of a block's with each other."""
-    shard = F.pmod(F.xxhash64("blk"), F.lit(shards))
+    """A spanning forest u, v of the links of queries (u, blk) with a block's documents, and if ``own``, of a block's with each other.
+
+    A block that many documents ask for is there several times, and they are dealt among its copies.
+    """
+    asked = queries.groupBy("blk").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("ways")).where("ways > 1")
     held = packed if own else _passing(packed, "blk", queries.select("blk"))
-    held = held.select(shard.alias("shard"), "blk", "sig", "set")
+    held = held.join(asked, "blk", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)))
+    held = held.select(F.pmod(F.xxhash64("blk", "copy"), F.lit(shards)).alias("shard"), "blk", "copy", "sig", "set")
     sets_ = _passing(packed.select("sig", "set"), "sig", queries.select("u"))
-    asking = queries.join(sets_.select(F.col("sig").alias("u"), F.col("set").alias("q")), "u").select(shard.alias("to"), F.col("blk").alias("at"), "u", "q")
+    dealt = queries.join(asked, "blk", "left").withColumn("copy", F.pmod(F.xxhash64("u"), F.coalesce("ways", F.lit(1))).cast("int"))
+    asking = dealt.join(sets_.select(F.col("sig").alias("u"), F.col("set").alias("q")), "u").select(F.pmod(F.xxhash64("blk", "copy"), F.lit(shards)).alias("to"), F.col("blk").alias("at"), "copy", "u", "q")
 
     def run(blocks: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         u, v = [], []
-        by = dict(iter(some.groupby("at", sort=False)))
-        for blk, rows in blocks.groupby("blk", sort=False):
-            asked = [(q, np.frombuffer(raw, np.uint64)) for q, raw in zip(by[blk]["u"].tolist(), by[blk]["q"], strict=True)] if blk in by else []
+        by = dict(iter(some.groupby(["at", "copy"], sort=False)))
+        for at, rows in blocks.groupby(["blk", "copy"], sort=False):
+            asked = [(q, np.frombuffer(raw, np.uint64)) for q, raw in zip(by[at]["u"].tolist(), by[at]["q"], strict=True)] if at in by else []
             sig, held_sets = rows["sig"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["set"]]
-            if own and len(sig) > 1:
+            if own and at[1] == 0 and len(sig) > 1:
                 asked += list(zip(sig.tolist(), held_sets, strict=True))
             if not asked:
                 continue
@@ -410,30 +459,36 @@ def _search(queries: DataFrame, packed: DataFrame, rule: Rule, shards: int, own:
                 u += [q] * len(got)
                 v += got.tolist()
         # a forest says as much about components
-        return next(contract(iter([pd.DataFrame({"u": u, "v": v}, dtype="int64")])))
+        out = next(contract(iter([pd.DataFrame({"u": u, "v": v}, dtype="int64")])))
+        tidy()
+        return out
 
     return held.groupBy("shard").cogroup(asking.groupBy("to")).applyInPandas(run, "u long, v long")
 
 
-def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), class_id."""
+def _linked(documents: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n, sig of every row; sig, doc_id (the smallest with that set), g (the component) of every class)."""
     spark, rule = documents.sparkSession, Rule(num, den)
     bounded_batches(spark)
     scanned = materialize(_scan(documents, n), "jaccard-scan")
-    docs = scanned.where("kind = 0").select("doc_id", "n", "sig")
+    docs = scanned.where("kind = 0").select("doc_id", "th", "n", "sig")
     total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
     bound = max(LEAST_FREQUENT, total // MOST_FREQUENT)  # so at most MOST_FREQUENT can reach it
-    often = scanned.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= bound).toPandas()
-    frequent = Frequent(often["h"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64))
+    often = scanned.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= bound).toArrow()
+    frequent = Frequent(often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy())
     classes = docs.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    entries = materialize(_index(documents, n, rule, frequent, max(8, partitions(spark))), "jaccard-index")
-    entries = materialize(_enough(entries, rule), "jaccard-entries")
+    found = materialize(_index(documents, n, rule, frequent, max(8, partitions(spark), total // BUCKET)), "jaccard-index")
+    entries = materialize(_enough(found, rule), "jaccard-entries")
+    release(found)
     docs_in = materialize(_blocks(entries), "jaccard-blocks")
     packed = materialize(_sets_of(documents, docs_in.join(classes, "sig"), n), "jaccard-sets")
-    shards = 4 * partitions(spark)
+    shards = max(4 * partitions(spark), docs_in.count() // SHARD)
     # neighbours by size on each list
-    on_list = Window.partitionBy("key").orderBy("n", "sig")
-    chain = entries.select("sig", "n", F.lead("sig").over(on_list).alias("v"), F.lead("n").over(on_list).alias("n2")).where(F.col("v").isNotNull() & rule.fits(F.col("n"), F.col("n2")))
+    # a long list is dealt for this otherwise than for blocks, so that neighbours are of different blocks
+    ways = F.shiftright("part", 24).bitwiseAND(F.lit((1 << 24) - 1))
+    dealt = entries.withColumns({"class": F.shiftright("part", 48), "turn": F.when(F.col("part") == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("sig"), ways))})
+    on_list = Window.partitionBy("key", "class", "turn").orderBy("n", "sig")
+    chain = dealt.select("sig", "n", F.lead("sig").over(on_list).alias("v"), F.lead("n").over(on_list).alias("n2")).where(F.col("v").isNotNull() & rule.fits(F.col("n"), F.col("n2")))
     chain = chain.groupBy(F.col("sig").alias("u"), "v").agg(F.count("*").alias("c"), rule.least_shared(F.min("n"), F.min("n2")).alias("least")).where(F.col("c") * 2 >= F.col("least"))
     home = docs_in.select(F.col("sig").alias("u"), F.col("blk").alias("own"))
     first = chain.join(docs_in.select(F.col("sig").alias("v"), "blk"), "v").join(home, "u").where("blk <> own").select("u", "blk").distinct()
@@ -454,8 +509,15 @@ def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> Dat
     met = met.join(home, "u").where("blk <> own").groupBy("u", "blk").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") >= rule.few(F.col("n"))).select("u", "blk")
     rest = materialize(met.join(first, ["u", "blk"], "left_anti"), "jaccard-rest")
     more = materialize(_search(rest, packed, rule, shards, False), "jaccard-links")
-    group = components(group.union(more))
-    named = classes.join(group.select(F.col("u").alias("sig"), F.col("v").alias("g")), "sig", "left").select("sig", "doc_id", F.coalesce("g", "sig").alias("g"))
+    release(packed, entries, rest, first, member)
+    joined = components(group.union(more))
+    release(linked, more, group)
+    return docs, classes.join(joined.select(F.col("u").alias("sig"), F.col("v").alias("g")), "sig", "left").select("sig", "doc_id", F.coalesce("g", "sig").alias("g"))
+
+
+def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), class_id."""
+    docs, named = _linked(documents, n, num, den)
     smallest = named.groupBy("g").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "g").select("sig", "component_id", F.col("doc_id").alias("class_id"))
     out = docs.join(named, "sig", "left")
@@ -463,6 +525,26 @@ def link(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+def one_of_each(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``documents`` with one row of each component: the one with the smallest id (none comes last), then the smallest text hash, then
+    the smallest other columns.  Rows without words stay.  Rows are told apart by id and text (a 64-bit hash), so unlinked rows of
+    one id all stay, as do rows without an id; column names may be any."""
+    names = documents.columns
+    docs, named = _linked(documents, n, num, den)
+    rows = docs.where("n > 0").join(named.select("sig", "g"), "sig").select("g", "doc_id", "th")
+    best = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("b")).select("g", "b.doc_id", "b.th")
+    times = rows.groupBy("doc_id", "th").agg(F.count("*").alias("times"))
+    own_id, own_th, id_, th, times_ = private(names, "own_id", "own_th", "id", "th", "times")
+    keys = best.join(times, best.doc_id.eqNullSafe(times.doc_id) & (best.th == times.th)).select(best.doc_id.alias(id_), best.th.alias(th), F.col("times").alias(times_))
+    keyed = documents.withColumns({own_id: F.col("doc_id").cast("long"), own_th: F.xxhash64("text")})
+    met = keyed.join(keys, F.col(own_id).eqNullSafe(F.col(id_)) & (F.col(own_th) == F.col(th)))
+    quoted = [F.col(f"`{c}`") for c in names]
+    once = met.where(F.col(times_) == 1).select(*quoted)
+    again = met.where(F.col(times_) > 1).groupBy(own_id, own_th).agg(F.min(F.struct(*quoted)).alias("r")).select("r.*")
+    bare = documents.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return once.union(again).union(bare)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
