@@ -1,6 +1,6 @@
 """The training-data pipeline: five stages, each written and read again.
 
-language     documents whose language the byte network cannot tell go (``und`` or a score under MIN_SCORE);
+language     documents whose language the byte network cannot tell go (``und``, or hardly likelier than chance);
              a missing lang is filled with the predicted one
 near copies  one document of each group of n-gram Jaccard links stays, the one with the smallest doc_id
 leaks        passages of benchmark items are cut out; documents that are mostly such passages go
@@ -14,44 +14,50 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import materialize, table
+from rasterweave.llm.common import materialize, private, table
 from rasterweave.llm.decontaminate import clean
-from rasterweave.llm.jaccard import link
+from rasterweave.llm.jaccard import one_of_each
 from rasterweave.llm.langid import UND, fit, fold, identify
 from rasterweave.llm.mixing import mixed
 from rasterweave.llm.tokenfile import encode_and_read
 
-#: A document stays if its best language has this probability at least (four languages at a loss give a quarter each).
-MIN_SCORE = 0.3
+#: A document stays if its best language is this much likelier than chance (one in as many as were learned) at least.
+OVER_CHANCE = 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts and texts without a letter go; other rows are judged by their text alone, repeated ones alike; without any labelled
+    row nothing can be told and all stay; further columns pass through under any names."""
     names = docs.columns
     network = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
-    told = identify(docs, network, keep=names)
-    told = told.where((F.col("lang_pred") != UND) & (F.col("score") >= MIN_SCORE))
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
+    if not network.labels:
+        return docs
+    lang, score = private(names, "lang", "score")
+    told = identify(docs, network, keep=names, lang=lang, score=score)
+    least = OVER_CHANCE / len(network.labels) if len(network.labels) > 1 else 0.0
+    told = told.where((F.col(lang) != UND) & (F.col(score) >= least))
+    return told.select(*[F.coalesce(F.col("lang"), F.col(lang)).alias(c) if c == "lang" else F.col(f"`{c}`") for c in names])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    # a document without an id can't be told from another one, and stays
-    kept = link(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).count()
-    met = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = met.where("count = 1 OR doc_id IS NULL").select(*names)
-    again = met.where("count > 1 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in names if c != "text"])).alias("r")).select(*[F.col(f"r.`{c}`").alias(c) for c in names])
-    return once.union(again)
+    """Rows are told apart by id and text: of linked ones (equal texts among them) one stays, whatever their ids, and unlinked ones all
+    stay, those without words too; ties go to the smaller text hash and columns; names may be any."""
+    return one_of_each(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row by itself, repeated ids or not; null texts stay; without items all stay as they are; names may be any."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of one id are documents of their own; a null source is a source; texts without words are never taken; names may be any."""
     return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row, null ids first, rows of one id by a hash of their text; null texts hold the end id only; only doc_id and
+    text are read."""
     return encode_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
