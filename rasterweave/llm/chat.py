@@ -5,19 +5,20 @@ dialogue is rendered in turn order: the speaker's turns as ``assistant``, all ot
 ``user name=<role>``; the mask marks the spans (start, length in characters) of the assistant's
 contents and end marks, on which a model would be trained.
 
-A conversation's turns must come together to be rendered; rows of one conversation are first packed
-turn by turn, and each perspective is a transformation of that one array, so a conversation is
-shuffled once however many speakers it has.  The array is as long as the conversation, which is one
-training example.
+A turn is masked in its own role's perspective only, where all headers before it are as in the plain dialogue but for those of the
+role's earlier turns, each shorter or longer by one constant.  So one window a conversation, in turn order, gives every span;
+no perspective folds over its turns.  The turns and the spans of a conversation are then packed side by side, so it is shuffled once
+however many speakers it has.  Each result holds a whole dialogue, which is one training example; nothing else is gathered.
 
-Edge cases: null texts render as empty; a null role speaks as ``unknown``; turns with equal numbers are
-ordered by role, then text, nulls first; repeated rows are repeated turns; a null conv_id is a
-conversation of its own; no rows give no rows.  Only conv_id, turn, role and text are read.
+Edge cases: null texts render as empty; a null role speaks as ``unknown``, but is a participant of its own (its perspective is null)
+beside one of that name; turns with equal numbers are ordered by role, then text, nulls first; repeated rows are repeated turns; a row
+without conv_id is a conversation of one turn, as nothing tells what it belongs to (so they meet in no task); no rows give no
+rows.  Only conv_id, turn, role and text are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -28,25 +29,29 @@ UNKNOWN = "unknown"
 
 def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, perspective, n_turns, n_masked (turns trained on), rendered, mask (array of start, length)."""
-    said = conversations.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("said"))
-    whole = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
-    each = whole.select("conv_id", "turns", F.explode(F.array_sort(F.array_distinct(F.transform("turns", lambda t: t["role"])))).alias("perspective"))
-    head = lambda t: F.when(t["role"] == F.col("perspective"), F.lit(OPEN + "assistant\n")).otherwise(F.concat(F.lit(OPEN + "user name="), t["role"], F.lit("\n")))
-    parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), (t["role"] == F.col("perspective")).alias("own")))
-    each = each.select("conv_id", "perspective", F.size("turns").cast("long").alias("n_turns"), parts.alias("parts"))
-    width = lambda p: F.length(p["head"]) + F.length(p["body"])
-    # one fold carries the length so far and the spans found
-    spans = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + width(p)).alias("at"),
-            F.when(p["own"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    rendered = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "")
-    return each.select("conv_id", "perspective", "n_turns", F.size(F.filter("parts", lambda p: p["own"])).cast("long").alias("n_masked"), rendered.alias("rendered"), spans.alias("mask"))
+    named = lambda c: F.col(f"`{c}`")
+    said = conversations.select(named(conv).alias("conv_id"), named(turn).alias("turn"), named(role).alias("role"), F.coalesce(named(text), F.lit("")).alias("text"))
+    own, other = F.lit(OPEN + "assistant\n"), lambda r: F.concat(F.lit(OPEN + "user name="), F.coalesce(r, F.lit(UNKNOWN)), F.lit("\n"))
+    body = F.concat(F.col("text"), F.lit(CLOSE))
+    said = said.select("*", other(F.col("role")).alias("head"), body.alias("body"))
+
+    def packed(rows: DataFrame, before: Column, earlier: Column) -> DataFrame:
+        """Rows with the length of the plain dialogue before them and the number of the role's earlier turns."""
+        start = before + earlier * (F.length(own) - F.length("head")) + F.length(own)
+        return rows.select("conv_id", F.struct("turn", "role", "text", "head", "body", start.cast("int").alias("start")).alias("said"))
+
+    together, order = Window.partitionBy("conv_id"), ["turn", "role", "text"]
+    so_far = F.sum(F.length("head") + F.length("body")).over(together.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "text")) - 1
+    placed = said.where("conv_id IS NOT NULL").withColumn("so_far", F.coalesce(so_far, F.lit(0))).withColumn("nth", nth)
+    whole = packed(placed, F.col("so_far"), F.col("nth")).groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
+    alone = packed(said.where("conv_id IS NULL"), F.lit(0), F.lit(0)).select("conv_id", F.array("said").alias("turns"))
+    whole = whole.union(alone)
+    each = whole.select("conv_id", "turns", F.explode(F.array_distinct(F.transform("turns", lambda t: t["role"]))).alias("perspective"))
+    is_own = lambda t: t["role"].eqNullSafe(F.col("perspective"))
+    rendered = F.array_join(F.transform("turns", lambda t: F.concat(F.when(is_own(t), own).otherwise(t["head"]), t["body"])), "")
+    mask = F.transform(F.filter("turns", is_own), lambda t: F.struct(t["start"].alias("start"), F.length(t["body"]).alias("length")))
+    return each.select("conv_id", "perspective", F.size("turns").cast("long").alias("n_turns"), F.size(mask).cast("long").alias("n_masked"), rendered.alias("rendered"), mask.alias("mask"))
 
 
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,17 +62,17 @@ def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH s AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS perspective FROM s),
+WITH s AS (SELECT CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT alone, conv_id, role AS perspective FROM s),
 r AS (
-  SELECT p.conv_id, p.perspective, s.turn, s.role, s.text,
-    CASE WHEN s.role = p.perspective THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || s.role || chr(10) END AS head,
+  SELECT p.alone, p.conv_id, p.perspective, s.turn, s.role, s.text, s.role IS NOT DISTINCT FROM p.perspective AS own,
+    CASE WHEN s.role IS NOT DISTINCT FROM p.perspective THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || coalesce(s.role, 'unknown') || chr(10) END AS head,
     s.text || '<|im_end|>' || chr(10) AS body
-  FROM p JOIN s ON s.conv_id IS NOT DISTINCT FROM p.conv_id)
-SELECT conv_id, perspective, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE role = perspective)::BIGINT AS n_masked,
-  sum(length(head || body))::BIGINT AS n_chars, sum(CASE WHEN role = perspective THEN length(body) ELSE 0 END)::BIGINT AS n_masked_chars,
-  sha256(string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text)) AS rendered_sha256,
-  sha256(string_agg(CASE WHEN role = perspective THEN body ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS trained_sha256,
-  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered
-FROM r GROUP BY conv_id, perspective
+  FROM p JOIN s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.alone IS NOT DISTINCT FROM p.alone)
+SELECT conv_id, perspective, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE own)::BIGINT AS n_masked,
+  sum(length(head || body))::BIGINT AS n_chars, sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS n_masked_chars,
+  sha256(string_agg(head || body, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS rendered_sha256,
+  sha256(string_agg(CASE WHEN own THEN body ELSE '' END, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS trained_sha256,
+  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS rendered
+FROM r GROUP BY alone, conv_id, perspective
 """

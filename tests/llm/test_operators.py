@@ -56,7 +56,7 @@ def world(tmp_path_factory):
     vectors = [list(map(float, v)) for v in x]
     vectors[7], vectors[8], vectors[9] = None, [1.0] * 5, [float("nan")] * 12
     vectors[11][3] = None
-    conv = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello\nthere"), (1, 2, "user", None), (1, 2, "user", "again"), (2, 0, None, "who"), (2, 1, "system", ""), (3, 5, "a", "x"), (3, 4, "b", "y"), (3, 4, "b", "y"), (3, 6, "c", "z")]
+    conv = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello\nthere"), (1, 2, "user", None), (1, 2, "user", "again"), (2, 0, None, "who"), (2, 1, "system", ""), (3, 5, "a", "x"), (3, 4, "b", "y"), (3, 4, "b", "y"), (3, 6, "c", "z"), (2, 2, "unknown", "me too"), (2, 3, None, "and me"), (None, 0, "a", "alone"), (None, 1, "a", "alone too")]
     write(d, "documents", pa.Table.from_pandas(docs, preserve_index=False))
     write(d, "benchmark", pa.Table.from_pandas(bench, preserve_index=False))
     write(d, "embeddings", pa.table({"vec_id": list(range(220)), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": [0] * 220, "id": ["z"] * 220}))
@@ -208,14 +208,15 @@ def test_op5_perspectives(spark, world):
     want = {}
     by = defaultdict(list)
     for c, turn, role, text in conv:
-        by[c].append((turn, role or "unknown", text or ""))
+        by[c if c is not None else object()].append((turn, role, text or ""))
     for c, turns in by.items():
-        turns.sort()
+        c = None if type(c) is object else c
+        turns.sort(key=lambda t: (t[0], t[1] is not None, t[1] or "", t[2]))
         for p in {r for _, r, _ in turns}:
             out, masked = "", ""
             for _, r, t in turns:
                 body = t + "<|im_end|>\n"
-                out += ("<|im_start|>assistant\n" if r == p else f"<|im_start|>user name={r}\n") + body
+                out += ("<|im_start|>assistant\n" if r == p else f"<|im_start|>user name={r or 'unknown'}\n") + body
                 masked += body if r == p else ""
             want[c, p] = (out, hashlib.sha256(masked.encode()).hexdigest(), len(masked))
     got = {(r.conv_id, r.perspective): (r.rendered, r.trained_sha256, r.n_masked_chars) for r in Q.QUERIES["op5_chat_perspectives"](spark, d).collect()}
