@@ -10,9 +10,13 @@ finitely many.  Each transition (state, character) is annotated with the number
 Synchronisation.  No piece holds a space mark after another character, so before a space mark that
 follows one the transducer is back in its start state, as it is around characters that are in no longer
 piece.  Runs between such points (units, nearly words) are paths from start to start; their sums are kept
-as single transitions.  A chunk of text is therefore a state map with three parts: what precedes its first
-synchronising point, the tokens between the first and last, and what follows the last.  Maps compose
-associatively; long texts are cut into chunks whose maps meet in a prefix scan of log2(chunks) rounds.
+as single transitions.
+
+Chunks.  A chunk of text is a state map: from the state in which the transducer enters it to the state in which it leaves it and the tokens it
+emits.  A chunk with a synchronising point leaves in one state whatever it was entered in, so its map is that state, the tokens from the
+point on, and the few characters before the point, which are walked once the entry state is known; a chunk without one is walked
+whole.  Maps compose associatively, and a prefix scan (log2(chunks) rounds up and down) gives the map of every beginning of the text; the last
+one, applied to the start state, is the count.
 
 Edge cases: null and empty texts have 0 tokens; unknown characters cost a token for each UTF-8 byte; texts
 of any length are counted whole; repeated rows are counted each; only doc_id and text are read.
@@ -23,17 +27,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded_batches, table, texts
+from .common import bounded_batches, table, texts, tidy
 
 MARK = "▁"
 START = ""
 #: Units kept as single transitions, and states, before the tables are begun anew.
 MAX_UNITS, MAX_STATES = 700_000, 300_000
-CHUNK = 1 << 16  # characters of a chunk of a long text
+CHUNK = 1 << 14  # characters of a chunk
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _SYNC = re.compile(f"(?<=[^{MARK}]){MARK}")
 
@@ -163,43 +168,53 @@ class _Runs(Exception):
     pass
 
 
-class ChunkMap:
-    """What a chunk does from any entry state: ``head`` is open to the left, ``tail`` to the right.
+class Place(NamedTuple):
+    """Where the transducer is: its state, and whether the character before was no space mark (so that a mark synchronises)."""
 
-    Without a synchronising point, ``tail`` is None and ``head`` is the whole chunk.
-    """
+    state: State
+    after: bool
 
-    __slots__ = ("head", "body", "tail")
 
-    def __init__(self, head: str, body: int = 0, tail: str | None = None):
-        self.head, self.body, self.tail = head, body, tail
+class ChunkMap:
+    """What a chunk does from any entry: the characters up to its first synchronising point, then tokens and the exit, which are the same
+    for all entries.  Without such a point, ``exit`` is None and ``head`` is the whole chunk (or several)."""
+
+    __slots__ = ("head", "body", "exit")
+
+    def __init__(self, head: tuple[str, ...], body: int = 0, exit: Place | None = None):
+        self.head, self.body, self.exit = head, body, exit
 
     @classmethod
     def of(cls, text: str, counter: Counter) -> ChunkMap:
-        points = [m.start() for m in _SYNC.finditer(text)]
-        if not points:
-            return cls(text)
-        return cls(text[: points[0]], counter.closed(text[points[0] : points[-1]]), text[points[-1] :])
+        first = _SYNC.search(text)
+        if first is None:
+            return cls((text,))
+        last = max(first.start(), *(m.start() for m in _SYNC.finditer(text, first.start())))
+        place, n = counter.walk(counter.begin(), text[last:])
+        return cls((text[: first.start()],), counter.closed(text[first.start() : last]) + n, place)
+
+    def apply(self, entry: Place, counter: Counter) -> tuple[Place, int]:
+        """(exit, tokens) from an entry."""
+        total = 0
+        for text in self.head:
+            entry, n = counter.walk(entry, text)
+            total += n
+        return (entry, total) if self.exit is None else (self.exit, total + self.body)
 
     def then(self, other: ChunkMap, counter: Counter) -> ChunkMap:
-        left = self.head if self.tail is None else self.tail
-        cut = bool(left) and left[-1] != MARK and other.head[:1] == MARK
-        if self.tail is None and other.tail is None:
-            return ChunkMap(left, 0, other.head) if cut else ChunkMap(left + other.head)
-        if self.tail is None:
-            return ChunkMap(left, counter.closed(other.head) + other.body, other.tail) if cut else ChunkMap(left + other.head, other.body, other.tail)
-        if other.tail is None:
-            return ChunkMap(self.head, self.body + counter.closed(left), other.head) if cut else ChunkMap(self.head, self.body, left + other.head)
-        return ChunkMap(self.head, self.body + counter.closed(left + other.head) + other.body, other.tail)
+        if self.exit is None:
+            return ChunkMap(self.head + other.head, other.body, other.exit)
+        place, n = other.apply(self.exit, counter)
+        return ChunkMap(self.head, self.body + n, place)
 
 
 def prefix_scan(maps: list[ChunkMap], counter: Counter) -> list[ChunkMap]:
-    """Inclusive scan in log2(n) rounds (each round's compositions are independent of one another)."""
-    maps, gap = list(maps), 1
-    while gap < len(maps):
-        maps = [m if i < gap else maps[i - gap].then(m, counter) for i, m in enumerate(maps)]
-        gap *= 2
-    return maps
+    """Inclusive scan: pairs are composed, their scan taken, and what lies between filled in; about two compositions a map, and those of one
+    round are independent of one another."""
+    if len(maps) < 2:
+        return maps
+    inner = prefix_scan([maps[i].then(maps[i + 1], counter) for i in range(0, len(maps) - 1, 2)], counter)
+    return [maps[0], *(inner[i // 2] if i % 2 else inner[i // 2 - 1].then(maps[i], counter) for i in range(1, len(maps)))]
 
 
 class Counter:
@@ -210,22 +225,35 @@ class Counter:
         """Tokens of text (with space marks) between two synchronising points."""
         return sum(self.units.t.count(u) for u in _UNIT.findall(marked))
 
+    def begin(self) -> Place:
+        return Place(self.units.t.start, False)
+
+    def walk(self, place: Place, text: str) -> tuple[Place, int]:
+        """(where a text leads from a place, tokens on the way), character by character."""
+        t, (state, after), total = self.units.t, place, 0
+        for c in text:
+            if after and c == MARK:
+                state = t.start
+            after = c != MARK
+            if c in t.v.inside:
+                state, emitted = state.next.get(c) or t.step(state, c)
+                total += emitted
+            else:
+                total += 1 if c in t.v.order else t.v.unknown_cost(c)
+                state = t.start
+        return Place(state, after), total
+
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if len(text) > CHUNK:
-            marked = MARK + text.replace(" ", MARK)
-            maps = [ChunkMap.of(marked[i : i + CHUNK], self) for i in range(0, len(marked), CHUNK)]
-            while len(maps) > 1:  # only the whole text's map is wanted: the scan's up-sweep
-                maps = [maps[i].then(maps[i + 1], self) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-            m = maps[0]
-            return self.closed(m.head) + m.body + (self.closed(m.tail) if m.tail else 0)
-        if MARK not in text:
+        if len(text) <= CHUNK and MARK not in text:  # one chunk from the start state: its units side by side
             try:
                 return sum(map(self.units.__getitem__, text.split(" ")))
             except _Runs:
                 pass
-        return self.closed(MARK + text.replace(" ", MARK))
+        marked = MARK + text.replace(" ", MARK)
+        maps = [ChunkMap.of(marked[i : i + CHUNK], self) for i in range(0, len(marked), CHUNK)]
+        return prefix_scan(maps, self)[-1].apply(self.begin(), self)[1]
 
 
 @lru_cache(2)
@@ -244,6 +272,7 @@ def count_tokens(documents: DataFrame, model: str, limit: int = 4096) -> DataFra
             raw = texts(b.column(1))
             n = [counter.count(t.decode()) for t in raw]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(t) for t in raw], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        tidy()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

@@ -198,9 +198,11 @@ def test_chunk_maps_compose_in_any_order():
         left = maps[0]
         for m in maps[1:]:
             left = left.then(m, c)
-        scan = T.prefix_scan(maps, c)[-1]
-        total = lambda m: c.closed(m.head) + m.body + c.closed(m.tail or "")
-        assert total(left) == total(scan) == c.closed(text)
+        scan = T.prefix_scan(maps, c)
+        total = lambda m: m.apply(c.begin(), c)[1]
+        assert total(left) == total(scan[-1]) == c.closed(text) == c.walk(c.begin(), text)[1]
+        for i, m in enumerate(scan):
+            assert total(m) == c.walk(c.begin(), text[: (i + 1) * size])[1]
 
 
 def test_op5_perspectives(spark, world):
