@@ -1,7 +1,8 @@
 """Stencils on rasters in long form (image, y, x, value).
 
 3x3 stencils need two windows, along rows and then along columns, after which the nine values are one array on
-the row and any stencil is an expression.  Wider separable filters run on whole rows as arrays.  Work is keyed by
+the row and any stencil is an expression.  Wider separable filters gather, for each pixel, the few values under the stencil by a bounded
+window along each axis, so time is linear in the pixels.  Work is keyed by
 (image, row) and (image, column), so one image spreads over many tasks.  ``reflect`` borders repeat the edge
 pixel (half-sample symmetric).
 """
@@ -120,29 +121,23 @@ def gaussian_kernel(sigma: float, order: int = 0, truncate: float = 4.0) -> list
     return [v * (i * i / s2 - 1) / s2 for v, i in zip(g, range(-r, r + 1), strict=True)]
 
 
-def _at(a: Column, i: Column, border: str) -> Column:
-    n = F.size(a)
-    if border == "nearest":
-        return F.get(a, F.least(n - 1, F.greatest(F.lit(0), i)))
-    p = F.pmod(i, 2 * n)
-    return F.get(a, F.when(p < n, p).otherwise(2 * n - 1 - p))
+def _along(df: DataFrame, col: str, along: str, fold, border: str, r0: int, r1: int) -> DataFrame:
+    """``col`` as fold(its neighbours -r0..r1 along an axis); each pixel holds as many values as the stencil is wide."""
+    line = Window.partitionBy("img", "y" if along == "x" else "x")
+    order = line.orderBy(along)
+    near = F.collect_list(F.struct(F.col(col).alias("v"))).over(order.rowsBetween(-r0, r1))
+    df = df.withColumns({"_near": near, "_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(line).cast("int")})
+    i, n = F.col("_i"), F.col("_n")
 
+    def place(k: Column) -> Column:
+        if border == "nearest":
+            return F.least(n - 1, F.greatest(F.lit(0), i + k))
+        p = F.pmod(i + k, 2 * n)
+        return F.when(p < n, p).otherwise(2 * n - 1 - p)
 
-def _along(a: Column, fold, border: str, r0: int, r1: int) -> Column:
-    """fold(list of the neighbours -r0..r1) at each place of an array."""
-    return F.transform(a, lambda _, i: fold(F.transform(F.sequence(F.lit(-r0), F.lit(r1)), lambda k: _at(a, i + k, border))))
-
-
-def _rows(df: DataFrame, cols: Sequence[str], along: str) -> DataFrame:
-    other = "y" if along == "x" else "x"
-    g = df.groupBy("img", other).agg(F.sort_array(F.collect_list(F.struct(along, *cols))).alias("_line"))
-    return g.select("img", other, F.col(f"_line.{along}").alias(f"_{along}"), *[F.col(f"_line.`{c}`").alias(c) for c in cols])
-
-
-def _unrows(df: DataFrame, cols: Sequence[str], along: str) -> DataFrame:
-    other = "y" if along == "x" else "x"
-    z = F.arrays_zip(F.col(f"_{along}").alias(along), *cols)
-    return df.select("img", other, F.explode(z).alias("_z")).select("img", other, F.col(f"_z.{along}").alias(along), *[F.col(f"_z.`{c}`").alias(c) for c in cols])
+    # a place beyond the border falls back into what the frame holds
+    values = F.transform(F.lit(list(range(-r0, r1 + 1))), lambda k: F.get(F.col("_near"), place(k) - F.greatest(F.lit(0), i - r0))["v"])
+    return df.withColumn(col, fold(values)).drop("_near", "_i", "_n")
 
 
 def separable(df: DataFrame, col: str, kernel_y: Sequence[float], kernel_x: Sequence[float], out: str, border: str = "reflect") -> DataFrame:
@@ -152,8 +147,7 @@ def separable(df: DataFrame, col: str, kernel_y: Sequence[float], kernel_x: Sequ
         r = len(k) // 2
         w = F.lit([float(v) for v in k])
         dot = lambda n, w=w: F.aggregate(F.zip_with(n, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        rows = _rows(df, [out], along)
-        df = _unrows(rows.withColumn(out, _along(F.col(out), dot, border, r, len(k) - 1 - r)), [out], along)
+        df = _along(df, out, along, dot, border, r, len(k) - 1 - r)
     return df.select(*KEYS, out)
 
 
@@ -167,8 +161,7 @@ def box(df: DataFrame, col: str, size: int, out: str, fold: str = "mean", border
     df = df.select("img", "y", "x", F.col(col).alias(out))
     folds = {"mean": lambda n: F.aggregate(n, F.lit(0.0), lambda a, b: a + b) / float(size), "max": F.array_max, "min": F.array_min}
     for along in ("x", "y"):
-        rows = _rows(df, [out], along)
-        df = _unrows(rows.withColumn(out, _along(F.col(out), folds[fold], border, size // 2, size - 1 - size // 2)), [out], along)
+        df = _along(df, out, along, folds[fold], border, size // 2, size - 1 - size // 2)
     return df.select(*KEYS, out)
 
 

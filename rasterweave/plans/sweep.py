@@ -26,19 +26,25 @@ def grid(spark: SparkSession, **axes: Sequence[Any]) -> DataFrame:
 def pair_checks(spark: SparkSession, steps: int = 101, tol: float = 1e-9) -> DataFrame:
     """F1, F2, dominates, F1_first_increasing, boundary_ok, passes, min_margin of all pairs of registered functions.
 
-    All functions are evaluated once on the grid (steps**2 rows); the pairs are columns of one aggregate.
+    The functions are evaluated on the grid (steps**2 rows); the pairs of a point are its rows, reduced by a partial aggregate.
     """
     names = binary.names()
     n = steps - 1
     g = spark.range(steps * steps).select((F.floor(F.col("id") / steps) / n).alias("x"), (F.col("id") % steps / n).alias("y"))
-    g = g.select("x", "y", *[binary.column(k)(F.col("x"), F.col("y")).alias(k) for k in names])
-    w = Window.partitionBy("y").orderBy("x")
-    rise = g.select("x", "y", *names, *[(F.col(k) - F.lag(k).over(w)).alias(f"d_{k}") for k in names])
-    at = lambda k, x, y: F.max(F.when((F.col("x") == x) & (F.col("y") == y), F.col(k)))
-    margins = [F.min(F.col(a) - F.col(b)).alias(f"m_{a}_{b}") for a in names for b in names]
-    one = rise.agg(*margins, *[F.min(f"d_{k}").alias(f"d_{k}") for k in names], *[at(k, 0.0, 1.0).alias(f"lo_{k}") for k in names], *[at(k, 1.0, 1.0).alias(f"hi_{k}") for k in names])
-    rows = F.array(*[F.struct(F.lit(a).alias("F1"), F.lit(b).alias("F2"), F.col(f"m_{a}_{b}").alias("min_margin"), (F.col(f"d_{a}") >= -tol).alias("F1_first_increasing"), ((F.abs(f"lo_{a}") < 1e-7) & (F.abs(f"lo_{b}") < 1e-7) & (F.abs(F.col(f"hi_{a}") - 1) < 1e-7)).alias("boundary_ok")) for a in names for b in names])
-    out = one.select(F.explode(rows).alias("r")).select("r.*").withColumn("dominates", F.col("min_margin") >= -tol)
+    values = F.array(*[F.struct(F.lit(k).alias("f"), binary.column(k)(F.col("x"), F.col("y")).alias("v")) for k in names])
+    long = g.select("x", "y", F.explode(values).alias("r")).select("x", "y", "r.*")  # a row for each grid point and function
+    rise = F.col("v") - F.lag("v").over(Window.partitionBy("f", "y").orderBy("x"))
+    at = lambda x, y: F.max(F.when((F.col("x") == x) & (F.col("y") == y), F.col("v")))
+    one = long.withColumn("d", rise).groupBy("f").agg(F.min("d").alias("d"), at(0.0, 1.0).alias("lo"), at(1.0, 1.0).alias("hi"))
+    first = F.broadcast(one.select(F.col("f").alias("F1"), (F.col("d") >= -tol).alias("F1_first_increasing"), ((F.abs("lo") < 1e-7) & (F.abs(F.col("hi") - 1) < 1e-7)).alias("ok1")))  # a row for each function
+    second = F.broadcast(one.select(F.col("f").alias("F2"), (F.abs("lo") < 1e-7).alias("ok2")))
+    # all functions at a point are one array, so a pair costs a subtraction
+    point = g.select(F.array(*[binary.column(k)(F.col("x"), F.col("y")) for k in names]).alias("v"))
+    pairs = point.select("v", F.explode(F.lit(list(range(len(names))))).alias("i"))
+    pairs = pairs.select("i", F.posexplode(F.transform("v", lambda b: F.get(F.col("v"), F.col("i")) - b)).alias("j", "m")).groupBy("i", "j").agg(F.min("m").alias("min_margin"))
+    called = F.lit(names)
+    out = pairs.select(F.get(called, F.col("i")).alias("F1"), F.get(called, F.col("j")).alias("F2"), "min_margin").join(first, "F1").join(second, "F2")
+    out = out.select("F1", "F2", "min_margin", "F1_first_increasing", (F.col("ok1") & F.col("ok2")).alias("boundary_ok"), (F.col("min_margin") >= -tol).alias("dominates"))
     return out.withColumn("passes", F.col("dominates") & F.col("F1_first_increasing") & F.col("boundary_ok"))
 
 
