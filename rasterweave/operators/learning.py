@@ -6,11 +6,12 @@ size depends on the number of criteria only.  The programs are solved by operato
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +55,28 @@ def reliability_weights(df: DataFrame, n: int, x: str = "x", y: str = "y", floor
 
 
 def gram(df: DataFrame, design: Sequence[Column], y: Column) -> tuple[np.ndarray, np.ndarray, int]:
-    """(D'D / m, D'y / m, m) by one aggregate."""
+    """(D'D / m, D'y / m, m) over the rows without nulls: each task multiplies its rows in NumPy, and the tasks' sums are added up."""
     p = len(design)
-    d = df.select(F.array(*design).alias("d"), y.cast("double").alias("y"))
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    r = d.agg(*[F.avg(F.col("d")[i] * F.col("d")[j]) for i, j in pairs], *[F.avg(F.col("d")[i] * F.col("y")) for i in range(p)], F.count("*")).first()
-    g = np.zeros((p, p))
-    for k, (i, j) in enumerate(pairs):
-        g[i, j] = g[j, i] = r[k] or 0.0
-    return g, np.array([r[len(pairs) + i] or 0.0 for i in range(p)]), r[len(r) - 1]
+    d = df.select(F.array(*design, y.cast("double")).alias("d")).where(~F.exists("d", lambda v: v.isNull()))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((p + 1, p + 1)), 0
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, p + 1)
+            total += x.T @ x
+            n += len(x)
+        i, j = np.divmod(np.arange((p + 1) ** 2), p + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(total.ravel(), n))], names=["i", "j", "s"])
+
+    g = np.zeros((p + 1, p + 1))
+    size = 0
+    for r in d.mapInArrow(products, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # (p + 1)**2 + 1 rows
+        if r.i < 0:
+            size = int(r.s)
+        else:
+            g[r.i, r.j] = r.s
+    g /= max(size, 1)
+    return g[:p, :p], g[:p, p], size
 
 
 def sparse_gram(df: DataFrame, n: int, x: str = "x", y: str = "y") -> tuple[np.ndarray, np.ndarray, int]:
@@ -191,7 +205,7 @@ def learn_sugeno(df: DataFrame, n: int, x: str = "x", y: str = "y", target_sum:
     return _report("sugeno_lambda", M.sugeno_table(g), densities=g.tolist(), target_sum=float(target_sum))
 
 
-def learned_specs(df: DataFrame, n: int, x: str = "x", y: str = "y", scale: str | None = None, context: str | None = None, sums: Sequence[float] = (0.6, 0.7, 0.8, 1.0, 1.2)) -> dict[str, dict[str, Any]]:
+def learned_specs(df: DataFrame, n: int, x: str = "x", y: str = "y", scale: str | None = None, context: str | None = None, sums: Sequence[float] = (0.6, 0.8, 1.0, 1.2, 1.4)) -> dict[str, dict[str, Any]]:
     """Global measures, and banks by scale and by context where those columns are given."""
     out: dict[str, dict[str, Any]] = {"additive_learned": learn_additive(df, n, x, y)}
     out |= {f"sugeno_sum{s:g}": learn_sugeno(df, n, x, y, s) for s in sums}

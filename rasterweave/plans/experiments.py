@@ -279,7 +279,7 @@ def region_cost(pixels: DataFrame, method: str = "bilateral", q: float = 0.7) ->
         a = time.perf_counter()
         whole = K.condition(v, method)
         b = time.perf_counter()
-        part, share = K.condition_roi(v, conf >= q, method, blend_radius=0)
+        part, share = K.condition_tiles(v, conf >= q, method)
         c = time.perf_counter()
         on = conf >= q
         return {"share": share, "difference": float(abs(whole - part)[on].mean()) if on.any() else 0.0, "whole_s": b - a, "region_s": c - b}

@@ -93,7 +93,7 @@ def learn_full_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("learn_sugeno")
 def learn_sugeno(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model_rows(spark, {f"sugeno_{s:g}": LN.learn_sugeno(emb8(spark, sf_dir), N, target_sum=s) for s in (0.6, 0.7, 0.8, 1.0, 1.2)})
+    return _model_rows(spark, {f"sugeno_{s:g}": LN.learn_sugeno(emb8(spark, sf_dir), N, target_sum=s) for s in (0.6, 0.8, 1.0, 1.2, 1.4)})
 
 
 @query("interpretability")

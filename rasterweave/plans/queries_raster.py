@@ -386,7 +386,14 @@ def conditioning_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("condition_roi", None)
 def condition_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(K.per_image(px(spark, sf_dir), ["v"], lambda v: {"out": K.condition_roi(v, v >= 0.7, "bilateral")[0]}, "out double"), "out")
+    from ..operators.tiles import conditioned_region
+
+    return _summary(conditioned_region(px(spark, sf_dir), F.col("v") >= 0.7, "bilateral"), "out")
+
+
+@query("distance_map", None)
+def distance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(K.per_image(bright(spark, sf_dir), ["on"], lambda m: {"out": K.distance(~m)}, "out double"), "out")
 
 
 @query("descriptor_modes", None)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,10 +157,10 @@ def test_canny_and_conditioning():
     assert not K.canny(a, 1.5, 0.8, 0.95, np.zeros_like(gt)).any()
     for m in ("none", "gaussian", "box", "median", "bilateral", "meanshift", "anisotropic", "gravitational"):
         out = K.condition(a, m)
-        assert out.shape == a.shape and 0 <= out.min() <= out.max() <= 1 and K.support(m) >= 1
+        assert out.shape == a.shape and 0 <= out.min() <= out.max() <= 1 and K.halo_of(m) >= 1
     roi = np.zeros_like(gt)
     roi[10:20, 10:20] = True
-    out, share = K.condition_roi(a, roi, "median")
+    out, share = K.condition_tiles(a, roi, "median")
     assert 0 < share < 1 and (out[40:] == a[40:]).all() and (out != a)[12:18, 12:18].any()
     with pytest.raises(ValueError):
         K.condition(a, "nope")
@@ -167,6 +168,21 @@ def test_canny_and_conditioning():
         K.detector(a, "nope")
 
 
+def test_tiles_as_keys_equal_the_array_form(spark):
+    from pyspark.sql import functions as F
+
+    from rasterweave.operators.tiles import conditioned_region, share_read
+
+    a, _ = synthetic.make_case("circle", 80)
+    y, x = np.indices(a.shape)
+    rows = spark.createDataFrame(pd.DataFrame({"img": "a", "y": y.ravel(), "x": x.ravel(), "v": a.ravel()}), "img string, y int, x int, v double")
+    for method in ("median", "bilateral", "anisotropic"):
+        want, share = K.condition_tiles(a, a >= 0.6, method, tile=16)
+        got = conditioned_region(rows, F.col("v") >= 0.6, method, 16).toPandas()
+        assert np.allclose(want[got["y"], got["x"]], got["out"])
+        assert share_read(rows, F.col("v") >= 0.6, method, 16).first().share == pytest.approx(share)
+
+
 def test_descriptors():
     a, _ = synthetic.make_case("circle", 48)
     for mode, names in K.MODES.items():
