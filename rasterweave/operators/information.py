@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 EPS = 1e-12
 FEW = 20_000  # values of a bracket that may be gathered
 
@@ -127,36 +129,47 @@ def surprisal(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "bit
     """-log2 of the empirical upper tail against a background: the values up to a quantile.
 
     With fewer than 100 background values all finite ones are background.  The whole background counts; with
-    ``max_samples`` a larger one is thinned by a hash to about that many.  Values are counted once each, so ties cost nothing.
+    ``max_samples`` a larger one is thinned on request, value by value (a value's share is rounded by its hash, so reruns and other
+    partitionings agree).
+
+    Values are counted once each; the table of distinct values is written, and all that follows, quantile, background and ranks, is read from
+    it.  The background is the beginning of the sorted values, so a value's place in it is its place among all, or the background's end.
     """
-    by = list(by)
-    v = F.col(value)
-    ok = finite(v)
+    by, v = list(by), F.col(value)
+    group = Window.partitionBy(*by) if by else None
+    counts = df.where(finite(v)).groupBy(*by, v.cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    if not by:
+        counts = materialize(counts, "values")
+    ranked, before = running(counts, "_v", F.col("_n"), by, n_buckets)
+    ranked = ranked.select(*by, "_v", "_n", before.alias("_at"))
     if by:
-        cut = df.groupBy(*by).agg(F.percentile(F.when(ok, v), F.lit(float(quantile))).alias("_cut"), F.count(F.when(ok, v)).alias("_all"))
-        df = df.join(cut, by)
-        below = F.count(F.when(ok & (v <= F.col("_cut")), 1)).over(Window.partitionBy(*by))
-        df = df.withColumn("_bg_n", below)
+        total = F.sum("_n").over(group)
+        k = F.lit(quantile) * (total - 1)
+        stat = lambda at: F.max(F.when((F.col("_at") <= at) & (at < F.col("_at") + F.col("_n")), F.col("_v"))).over(group)
+        low, high = stat(F.floor(k)), stat(F.ceil(k))
+        ranked = ranked.withColumns({"_all": total, "_cut": low + (high - low) * (k - F.floor(k))})
+        ranked = ranked.withColumn("_bg", F.sum(F.when(F.col("_v") <= F.col("_cut"), F.col("_n")).otherwise(0)).over(group))
     else:
-        q = exact_quantiles(df, {value: [quantile]})[value][0]
-        df = df.withColumn("_cut", F.lit(q).cast("double"))
-        r = df.agg(F.count(F.when(ok & (v <= F.col("_cut")), 1)).alias("b"), F.count(F.when(ok, v)).alias("a")).first()
-        df = df.withColumns({"_bg_n": F.lit(r.b), "_all": F.lit(r.a)})
-    bg = F.when(F.col("_bg_n") < 100, ok).otherwise(ok & (v <= F.col("_cut")))
+        ranked = materialize(ranked, "ranks")
+        total = ranked.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first().n
+        k = quantile * (total - 1)
+        stats = [r["_v"] for at in (math.floor(k), math.ceil(k)) for r in ranked.where((F.col("_at") <= at) & (F.lit(at) < F.col("_at") + F.col("_n"))).select("_v").limit(1).collect()] or [0.0, 0.0]
+        cut = stats[0] + (stats[1] - stats[0]) * (k - math.floor(k))
+        r = ranked.agg(F.coalesce(F.sum(F.when(F.col("_v") <= cut, F.col("_n"))), F.lit(0)).alias("b")).first()
+        ranked = ranked.withColumns({"_all": F.lit(total), "_bg": F.lit(r.b)})
+    size = F.when(F.col("_bg") < 100, F.col("_all")).otherwise(F.col("_bg"))
+    place = F.least("_at", size)
     if max_samples is not None:
-        size = F.when(F.col("_bg_n") < 100, F.col("_all")).otherwise(F.col("_bg_n"))
-        spread = F.pmod(F.xxhash64(F.lit(seed), v, F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)
-        bg = bg & ((size <= max_samples) | (spread < F.lit(float(max_samples)) / size))
-    df = df.withColumn("_bg", bg)
-    counts = df.where(ok).groupBy(*by, value).agg(F.count_if("_bg").alias("_nb"))
-    ranked, before = running(counts, value, F.col("_nb"), by, n_buckets)
-    total = df.groupBy(*by).agg(F.count_if("_bg").alias("_n"))
-    ranked = ranked.select(*by, F.col(value).alias("_v"), before.alias("_idx"))
-    ranked = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))  # one row
-    tail = (F.col("_n") - F.col("_idx") + 1) / (F.col("_n") + 1.0)
+        share = F.least(F.lit(1.0), F.lit(float(max_samples)) / size)
+        chance = F.pmod(F.xxhash64(F.lit(seed), "_v"), F.lit(1 << 20)) / float(1 << 20)
+        thin = F.when(share >= 1, F.col("_n")).otherwise(F.floor(F.col("_n") * share + chance))
+        thinned = ranked.withColumn("_thin", F.when(F.col("_at") < size, thin).otherwise(0)).drop("_at")
+        ranked, before = running(thinned, "_v", F.col("_thin"), by, n_buckets)
+        ranked = ranked.withColumn("_at", before).withColumn("_size", F.sum("_thin").over(group if by else Window.partitionBy()) if by else F.lit(thinned.agg(F.sum("_thin").alias("s")).first().s or 0))
+        place, size = F.col("_at"), F.col("_size")
+    tail = (size - place + 1) / (size + 1.0)
     ranked = ranked.select(*by, "_v", (-F.log2(F.greatest(tail, F.lit(eps)))).alias(out))
-    joined = df.withColumn("_v", v).join(ranked, [*by, "_v"], "left")
-    return joined.drop("_v", "_cut", "_all", "_bg_n", "_bg")
+    return df.withColumn("_v", F.when(finite(v), v.cast("double"))).join(ranked, [*by, "_v"], "left").drop("_v")
 
 
 def percentile_confidence(df: DataFrame, value: str, ties: Sequence[str], by: Sequence[str] = (), out: str = "conf", n_buckets: int = 64) -> DataFrame:

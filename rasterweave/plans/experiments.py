@@ -24,7 +24,7 @@ from ..operators.information import collapse_scales, hard_gate, percentile_confi
 from ..operators.multiscale import features, refine
 from ..operators.raster import KEYS
 from . import sweep
-from .storage import materialize
+from ..operators.storage import materialize
 
 
 def rank(df: DataFrame, k: int = 100, keys: Sequence[str] = ("ODS", "AP", "OIS"), ties: Sequence[str] = ("config",)) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import information as I
 from ..operators import lattice as L
 from ..operators.choquet import integral, relational
 from . import sweep
+from ..operators.storage import materialize
 from .views import EMB_SQL, LI_SQL, emb8, li_desc
 
 Q: dict = {}
@@ -229,11 +230,12 @@ _BITS = "cut AS (SELECT quantile_cont(raw, 0.6) AS c FROM raw), bg AS (SELECT ra
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return li_desc(spark, sf_dir).withColumn("raw", F.round(integral(F.col("x"), 4, "CF1F2", f1="CL", f2="CL"), 9))
+    raw = li_desc(spark, sf_dir).withColumn("raw", F.round(integral(F.col("x"), 4, "CF1F2", f1="CL", f2="CL"), 9))
+    return materialize(raw.select(*BY, "raw"), "raw")  # read several times
 
 
 def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.surprisal(_raw(spark, sf_dir).select(*BY, "raw"), "raw").withColumn("bits", F.round("bits", 9))
+    return I.surprisal(_raw(spark, sf_dir), "raw").withColumn("bits", F.round("bits", 9))
 
 
 @query("surprisal_bits", f"WITH {_RAW}, {_BITS}, z AS (SELECT {_BY}, bits AS value FROM bits) {_SUMMARY}")
@@ -275,7 +277,7 @@ def roi_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flagship_roi", f"WITH {_RAW}, {_BITS}, q AS (SELECT quantile_cont(bits, 0.7) AS t FROM bits) SELECT {_BY}, count(*) AS n, round(sum(raw), 4) AS total_raw, round(avg(bits), 6) AS mean_bits, round(avg((bits >= t)::INTEGER), 6) AS roi_fraction FROM bits, q GROUP BY {_BY}")
 def flagship_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptors, CF1F2(CL,CL) under a power measure, surprisal, and the share of rows in the region of interest."""
-    b = _bits(spark, sf_dir)
+    b = materialize(_bits(spark, sf_dir), "bits")
     t = I.exact_quantiles(b, {"bits": [0.7]})["bits"][0]
     return b.groupBy(*BY).agg(F.count("*").alias("n"), F.round(F.sum("raw"), 4).alias("total_raw"), F.round(F.avg("bits"), 6).alias("mean_bits"), F.round(F.avg((F.col("bits") >= t).cast("double")), 6).alias("roi_fraction"))
 

@@ -241,7 +241,7 @@ def orientation_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def operator_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operators of known pairs, ranked by pooled best F on the small synthetic cases."""
     from ..operators import kernels as K
-    from .storage import materialize
+    from ..operators.storage import materialize
 
     feats = K.per_image(S.cases(spark, 64), ["v", "gt"], lambda v, gt: {"desc": K.descriptors(v, 5)[0], "gt": gt}, "desc array<double>, gt boolean")
     specs = [r.asDict() for r in sweep.operator_specs(spark, "knownpairs").collect()]
@@ -256,7 +256,7 @@ def operator_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _images(spark: SparkSession, kinds: str = "'vertical', 'box', 'circle'") -> DataFrame:
-    from .storage import materialize
+    from ..operators.storage import materialize
 
     return materialize(S.cases(spark, 48).where(f"img IN ({kinds})"), "images")
 
