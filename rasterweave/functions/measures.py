@@ -208,7 +208,7 @@ def tail_capacities(x: Column, n: int, spec: Mapping[str, Any] | None = None, *,
     """mu of the coalition of the i-th smallest value and all larger ones, for i = 1..n.
 
     ``context`` names columns: ``dispersion`` and ``heterogeneity`` (normalised to [0,1] over their image),
-    ``weights`` (an array, for local reliability).
+    ``weights`` (an array, for local reliability), and ``raster`` where rows are pixels (reliability then asks for weights).
     """
     spec = resolve(spec, scale, label)
     kind = str(spec.get("kind", "power")).lower()
@@ -262,6 +262,8 @@ def _local(x, n, spec, context):
     mode, floor = str(spec.get("mode", "reliability")).lower(), float(spec.get("floor", 1e-3))
     if mode in ("reliability", "snr") and "weights" in context:
         z = context["weights"]
+    elif mode in ("reliability", "snr") and context.get("raster"):
+        raise ValueError("reliability on rasters needs the pixels' weights in the context")
     elif mode in ("evidence", "reliability", "snr"):  # without an image, reliability is evidence
         z = F.transform(x, lambda v: F.pow(v + floor, F.lit(float(spec.get("gamma", 1.0)))))
     elif mode == "softmax":

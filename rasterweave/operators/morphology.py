@@ -91,6 +91,8 @@ def components(df: DataFrame, mask: str, out: str = "label", connectivity: int =
         if not new.where("new <> l").limit(1).count():
             break
         label = new.select("img", "run", F.col("new").alias("l"))
+    else:
+        raise RuntimeError(f"labels did not settle in {rounds} rounds")
     return px.join(label, ["img", "run"]).select(*KEYS, F.col("l").alias(out))
 
 

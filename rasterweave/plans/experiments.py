@@ -143,7 +143,7 @@ def measure_bank(pixels: DataFrame, measures: Sequence[dict], window: int = 5, m
 
     feats = K.per_image(pixels, ["v", "gt"], made, "desc array<double>, hetero double, gt boolean")
     d = robust01(materialize(feats, "bank").withColumn("disp", M.raw_q(F.col("desc"), "dispersion")), ["hetero", "disp"], by=["img"], lo=2, hi=98)
-    context = {"heterogeneity": F.col("hetero"), "dispersion": F.col("disp")}
+    context = {"heterogeneity": F.col("hetero"), "dispersion": F.col("disp"), "raster": True}
     some = operators or [{"operator": "CF1F2_CL_CL", "family": "CF1F2", "F1": "CL", "F2": "CL"}]
     one = lambda m, o: integral(F.col("desc"), n, o["family"], f=o.get("F") or "TP", f1=o.get("F1") or "TP", f2=o.get("F2") or "TL", spec=m, scale=window, label=label, context=context)
     rows = F.array(*[F.struct(F.lit(f"{m['name']}|{o['operator']}").alias("config"), one(m, o).alias("score")) for m in measures for o in some])

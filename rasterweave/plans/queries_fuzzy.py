@@ -65,7 +65,11 @@ def pair_check_admissible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.pair_checks(spark).select("F1", "F2", "dominates", "F1_first_increasing", "boundary_ok", "passes", (F.round("min_margin", 6) + 0.0).alias("min_margin"))
 
 
-@query("operator_specs", None)
+_CF = "UNION ALL ".join(f"SELECT 'CF_{k}' AS operator, 'CF' AS family, '{k}' AS F, NULL AS F1, NULL AS F2 " for k in binary.names())
+_CC = "UNION ALL ".join(f"SELECT 'CC_{k}', 'CC', '{k}', NULL, NULL " for k in binary.names() if k in binary.COPULA_LIKE)
+
+
+@query("operator_specs", f"WITH pc AS ({SQL['pair_check_admissible']}) {_CF} UNION ALL {_CC} UNION ALL SELECT 'CF1F2_' || F1 || '_' || F2, 'CF1F2', NULL, F1, F2 FROM pc WHERE passes")
 def operator_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.operator_specs(spark)
 

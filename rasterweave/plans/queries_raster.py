@@ -340,9 +340,16 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.roc_auc(scored(spark, sf_dir), "v", "gt").select(F.round("ROC_AUC", 6).alias("ROC_AUC"))
 
 
-@query("benchmark_metrics", None)
+@query(
+    "benchmark_metrics",
+    f"""WITH {_CURVE}, best AS (SELECT t, p, r, f FROM curve ORDER BY f DESC, t LIMIT 1)
+SELECT round(best.f, 6) AS ODS, round(best.t, 6) AS ODS_threshold, round(best.p, 6) AS ODS_precision, round(best.r, 6) AS ODS_recall,
+  (SELECT round(avg(best_f), 5) FROM ({SQL["ois"]})) AS OIS, (SELECT AP FROM ({SQL["average_precision"]})) AS AP, (SELECT R50 FROM ({SQL["ods_r50"]})) AS R50,
+  (SELECT ROC_AUC FROM ({SQL["roc_auc"]})) AS ROC_AUC, {_N} AS n_thresholds FROM best""",
+)
 def benchmark_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.benchmark(scored(spark, sf_dir), "v", "gt", 1, _N)
+    m = E.benchmark(scored(spark, sf_dir), "v", "gt", 1, _N)
+    return m.select(*[F.round(c, 5 if c == "OIS" else 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
 @query("variable_tolerance", None)

@@ -112,6 +112,21 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.png", truth: bool
     return files.mapInPandas(run, f"img string, y int, x int, {'gt boolean' if truth else 'v double'}")
 
 
+def read_decoded(spark: SparkSession, path: str) -> DataFrame:
+    """img, y, x, v as ``read_images``, of any files that Spark's image source decodes (JPEG, PNG, BMP, GIF); others are left out."""
+    files = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, h, w, channels, raw in f.itertuples(index=False):
+                a = np.frombuffer(raw, np.uint8).reshape(h, w, channels)
+                v = gray(a[..., 0] if channels == 1 else a[..., 2::-1])  # stored blue first
+                y, x = np.indices(v.shape)
+                yield pd.DataFrame({"img": p.rsplit("/", 1)[-1].rsplit(".", 1)[0], "y": y.ravel(), "x": x.ravel(), "v": v.ravel()})
+
+    return files.mapInPandas(run, "img string, y int, x int, v double")
+
+
 def images_as_png(pixels: DataFrame, col: str = "v") -> DataFrame:
     """img, png: one encoded image a row, from values in [0,1] or booleans."""
 

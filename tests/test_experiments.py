@@ -1,5 +1,6 @@
 """Experiment drivers on a few small generated images."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,17 @@ def test_measures_that_need_the_image(images):
     for spec in ({"kind": "local_additive", "mode": "reliability"}, {"kind": "heterogeneity_power"}, {"kind": "adaptive_power", "mode": "dispersion"}):
         d = multiscale_detect(images, (5,), spec=spec)
         assert d.count() == 2 * 32 * 32 and d.where("final_bits IS NULL OR isnan(final_bits)").count() == 0
+
+
+def test_images_decoded_by_the_source_equal_ours(spark, tmp_path):
+    from rasterweave.sources import files
+
+    a = np.random.default_rng(4).integers(0, 256, (9, 7, 3)).astype(np.uint8)
+    (tmp_path / "one.png").write_bytes(files.encode_png(a))
+    jpeg = spark._jvm.java.io.File(str(tmp_path / "two.jpg"))
+    image = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.File(str(tmp_path / "one.png")))
+    assert spark._jvm.javax.imageio.ImageIO.write(image, "jpg", jpeg)
+    ours = {(r.y, r.x): r.v for r in files.read_images(spark, str(tmp_path)).collect()}
+    got = files.read_decoded(spark, str(tmp_path)).collect()
+    assert {(r.y, r.x): r.v for r in got if r.img == "one"} == pytest.approx(ours)
+    assert sum(r.img == "two" for r in got) == 63
