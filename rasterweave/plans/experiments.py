@@ -206,7 +206,8 @@ def competing(fit: DataFrame, scales: Sequence[int], mode: str) -> dict[str, dic
 
 
 def gated_by_measure(images: DataFrame, pairs: Sequence[tuple[dict, Sequence[float]]], scales: Sequence[int], mode: str) -> DataFrame:
-    """measure, roi_q, img, h, w, score, gt, coverage, fraction: suppressed gradients inside each measure's regions.
+    """measure, roi_q, img, h, w, at, score, gt_at, coverage, fraction: suppressed gradients inside each measure's regions, of which only the
+    few pixels that are not zero are kept (their numbers and values, and the numbers of the true ones).
 
     ``images`` holds img, y, x, v, gt, oracle, estimated; descriptors are made once an image.
     """
@@ -221,10 +222,12 @@ def gated_by_measure(images: DataFrame, pairs: Sequence[tuple[dict, Sequence[flo
             conf = K.ordinal(K.multiscale(feats, scales, spec, label))
             for q in qs:
                 roi = conf >= q
-                rows.append((spec["name"], float(q), f["img"].iloc[0], *v.shape, (edges * roi).ravel(), gt.ravel(), float((roi & near).sum() / max(near.sum(), 1)), float(roi.mean())))
-        return pd.DataFrame(rows, columns=["measure", "roi_q", "img", "h", "w", "score", "gt", "coverage", "fraction"])
+                score = (edges * roi).ravel()
+                at = np.flatnonzero(score)
+                rows.append((spec["name"], float(q), f["img"].iloc[0], *v.shape, at.astype(np.int32), score[at], np.flatnonzero(gt).astype(np.int32), float((roi & near).sum() / max(near.sum(), 1)), float(roi.mean())))
+        return pd.DataFrame(rows, columns=["measure", "roi_q", "img", "h", "w", "at", "score", "gt_at", "coverage", "fraction"])
 
-    return images.groupBy("img").applyInPandas(run, "measure string, roi_q double, img string, h int, w int, score array<double>, gt array<boolean>, coverage double, fraction double")
+    return images.groupBy("img").applyInPandas(run, "measure string, roi_q double, img string, h int, w int, at array<int>, score array<double>, gt_at array<int>, coverage double, fraction double")
 
 
 def compared(maps: DataFrame, tol: int = 2, n_thresholds: int = 41) -> DataFrame:
@@ -233,7 +236,11 @@ def compared(maps: DataFrame, tol: int = 2, n_thresholds: int = 41) -> DataFrame
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("img")
-        some = [(np.asarray(r.score, float).reshape(r.h, r.w), np.asarray(r.gt, bool).reshape(r.h, r.w)) for r in f.itertuples()]
+        some = []
+        for r in f.itertuples():
+            score, gt = np.zeros(r.h * r.w), np.zeros(r.h * r.w, bool)
+            score[r.at], gt[r.gt_at] = r.score, True
+            some.append((score.reshape(r.h, r.w), gt.reshape(r.h, r.w)))
         m = K.benchmark(some, E.threshold_probs(n_thresholds), tol)
         return pd.DataFrame([(f["measure"].iloc[0], f["roi_q"].iloc[0], *[m[k] for k in names], f["coverage"].mean(), f["fraction"].mean())], columns=["measure", "roi_q", *names, "roi_gt_coverage", "roi_fraction"])
 
