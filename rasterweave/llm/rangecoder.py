@@ -50,8 +50,8 @@ class Model:
         total, room = int(self.count.sum()), (1 << _W0) - self.n
         f = 1 + self.count * room // total
         f[int(self.count.argmax())] += (1 << _W0) - int(f.sum())
-        self.f = f
-        self.cum = np.zeros(self.n + 1, np.int64)
+        self.f = f.astype(np.int32)
+        self.cum = np.zeros(self.n + 1, np.int32)
         np.cumsum(f, out=self.cum[1:])
         self.near = None
 
@@ -59,7 +59,7 @@ class Model:
         """The ids whose share of the order-0 line holds y."""
         if self.near is None:  # the id at each 64th place of the line: how many shares have ended there
             places = 1 << _W0 - 6
-            self.near = np.cumsum(np.bincount(self.cum[1:] + 63 >> 6, minlength=places + 1)[:places])
+            self.near = np.cumsum(np.bincount(self.cum[1:] + 63 >> 6, minlength=places + 1)[:places]).astype(np.int32)
         x = self.near.take(y >> 6, mode="clip")
         x += self.cum.take(x + 1, mode="clip") <= y
         late = np.flatnonzero(self.cum.take(x + 1, mode="clip") <= y)
@@ -221,7 +221,7 @@ def decode_block(record: bytes, at: int = 0) -> tuple[np.ndarray, int]:
         if len(o):  # by order 0
             a = a0[o]
             skip = (after2[o] >= 0) * a2[o] + (after1[o] >= 0) * a1[o]
-            y = model.find((v[o] - skip) // a)
+            y = model.find(((v[o] - skip) / a).astype(np.int64))  # exact: 30 bits by 9
             x[o], begin[o], width[o] = y, a * model.cum.take(y, mode="clip") + skip, a * model.f.take(y, mode="clip")
         lo += begin.view(np.uint64) * sz
         sz *= width.view(np.uint64)

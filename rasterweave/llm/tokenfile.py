@@ -46,6 +46,19 @@ _SOLID = np.zeros(256, bool)  # visible ASCII characters
 _SOLID[0x21:0x7F] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+# fixed values: the characters by which byte-level vocabularies write bytes; visible ones stand for themselves, others follow U+0100
+_SHOWN = np.zeros(256, bool)
+_SHOWN[[*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]] = True
+_WRITTEN = np.where(_SHOWN, np.arange(256), 0xFF + np.cumsum(~_SHOWN)).astype("<u4")
+
+
+def _letters(text: np.ndarray) -> np.ndarray:
+    """Which bytes are of Latin letters: ASCII, and of the characters of two bytes C3 to C9 all but U+00D7 and U+00F7."""
+    latin = _LETTER[text]
+    lead = (text[:-1] >= 0xC3) & (text[:-1] <= 0xC9) & ~((text[:-1] == 0xC3) & ((text[1:] == 0x97) | (text[1:] == 0xB7)))
+    latin[:-1] |= lead
+    latin[1:] |= lead
+    return latin
 
 
 class Encoder:
@@ -54,6 +67,7 @@ class Encoder:
     Text is cut where the byte-level pre-tokenizer begins a word in any case: before a single space or around a single line
     end between visible characters (ASCII, or of two bytes from U+00C0 on), and between a Latin letter and ASCII punctuation
     that no special string holds.  So the pieces' ids side by side are the text's.  A tokenizer of another kind gets whole texts.
+    A piece of Latin letters, with or without a space before them, is one word of that pre-tokenizer and goes to the library's model.
     When the table is full, pieces met again since the last time stay and the others go.
     """
 
@@ -70,6 +84,7 @@ class Encoder:
         plain = special.isascii() and not any(c.isspace() for c in special) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"])
         self.stops = _SOLID & ~_LETTER  # punctuation that ends a word
         self.stops[[*range(0x30, 0x3A), *special.encode()]] = False
+        self.words = all(not _letters(np.frombuffer(t["content"].encode(), np.uint8)).all() for t in parts["added_tokens"])
         self.cuts = bool(plain and parts.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"))
         line = self.tk.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else -1
@@ -109,8 +124,26 @@ class Encoder:
             left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
         return at
 
-    def _learn(self, h: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        """Put pieces (distinct, not in the table yet) into it: words go to the library as lines, LINES at a time, others one by one."""
+    def _learn(self, h: np.ndarray, text: np.ndarray, latin: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Put pieces (distinct, not in the table yet) into it: words of letters go to the library's model, other words to the
+        library as lines, LINES at a time, others one by one."""
+        if self.words:
+            odd = np.concatenate([np.zeros(1, np.int64), np.cumsum(~latin)])
+            solid = begin + (text[begin] == 0x20)
+            pure = (solid < end) & (odd[end] == odd[np.minimum(solid, end)])
+            at = np.flatnonzero(pure)
+            size = end[at] - begin[at]
+            stop = np.cumsum(size)
+            shown = _WRITTEN[text[np.repeat(begin[at] - (stop - size), size) + np.arange(int(size.sum()))]].tobytes().decode("utf-32-le")
+            out, each, tokenize = [], [], self.tk.model.tokenize
+            for a, z in zip((stop - size).tolist(), stop.tolist(), strict=True):
+                ids = [t.id for t in tokenize(shown[a:z])]
+                each.append(len(ids))
+                out += ids
+            self._put(h[at], np.array(out, np.uint32), np.array(each, np.int64))
+            h, begin, end = h[~pure], begin[~pure], end[~pure]
+            if not len(h):
+                return
         blank = np.concatenate([np.zeros(1, np.int64), np.cumsum(text <= 0x20)])
         first, last, before = text[begin], text[end - 1], text[np.maximum(end - 2, 0)]
         word = (blank[end] - blank[begin] == (first == 0x20)) & (_SOLID[last] | ((end - begin > 2) & (before >= 0xC3) & (before < 0xE0))) & (self.line >= 0)
@@ -150,7 +183,7 @@ class Encoder:
             left, slot = left[rest], slot[rest]
             slot = np.where(self.key[slot] != 0, (slot + 1) & (SLOTS - 1), slot)
 
-    def _cuts(self, text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def _cuts(self, text: np.ndarray, latin: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Where pieces begin, ``places`` among them."""
         begins = np.zeros(len(text) + 1, bool)
         begins[places] = True
@@ -165,10 +198,6 @@ class Encoder:
         between = closed & opened  # of the byte in the middle
         middle = text[1:-1]
         line = between & (middle == 0x0A)
-        latin = _LETTER[text]
-        # two bytes C3 to C9 are letters, but for U+00D7 and U+00F7
-        lead = (text[:-1] >= 0xC3) & (text[:-1] <= 0xC9) & ~((text[:-1] == 0xC3) & ((text[1:] == 0x97) | (text[1:] == 0xB7)))
-        latin[1:] |= lead
         begins[1:-2] |= (between & (middle == 0x20)) | line
         begins[2:-1] |= line
         begins[1:-1] |= latin[:-1] & self.stops[text[1:]]
@@ -184,7 +213,8 @@ class Encoder:
             ids, each = self._library([raw[a:z].decode() for a, z in zip(cut[:-1], cut[1:], strict=True)])
             ends = np.cumsum(each)
             return np.insert(ids, ends, end_id), each + 1
-        cut = self._cuts(text, places)  # empty texts share a place
+        latin = _letters(text)
+        cut = self._cuts(text, latin, places)  # empty texts share a place
         begin, end = cut[:-1], cut[1:]
         h = hash_spans(text, begin, end)
         at = self._slots(h)
@@ -194,13 +224,14 @@ class Encoder:
             hashes, first = np.unique(h[new], return_index=True)
             if self.held + len(hashes) > SLOTS // 2 or self.used > POOL:
                 self._prune()
-                new = np.flatnonzero(self._slots(h) < 0)
+                at = self._slots(h)
+                new = np.flatnonzero(at < 0)
                 hashes, first = np.unique(h[new], return_index=True)
             if len(hashes) > SLOTS // 2:
                 raise ValueError("more pieces than the table holds in one go")
             some = new[first]
-            self._learn(hashes, text, begin[some], end[some])
-            at = self._slots(h)
+            self._learn(hashes, text, latin, begin[some], end[some])
+            at[new] = self._slots(h[new])
         count = self.count[at].astype(np.int64)
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
         each = np.diff(before[np.searchsorted(cut, places)]) + 1
