@@ -188,7 +188,22 @@ def test_encoder_cuts_nowhere_that_matters():
     by_piece, whole = Encoder(path), Encoder(path)
     whole.cuts = False
     letters = [*"abcXYZ  \n\n\t\r.,'!?|<>-_09", "é", "×", "÷", "ñ", " ", "\u0085", "日", "🙂", "́", "ß", " ", "α", "ж", "ͅ", " 'll", "'s", "<|endoftext|>", "\x00", "ʰ"]
+    letters += map(chr, range(0xA0, 0x280, 7))  # every kind of character of two bytes
     for _ in range(60):
         offsets, data = utf8(pa.array(["".join(R.choice(letters) for _ in range(R.randrange(0, 60))) for _ in range(50)] + [None, ""]))
         a, b = by_piece.encode(offsets, data, 2), whole.encode(offsets, data, 2)
         assert all(x.tolist() == y.tolist() for x, y in zip(a, b))
+
+
+def test_every_character_of_two_bytes_in_a_word():
+    import public_tokenizers
+    from rasterweave.llm.common import utf8
+    from rasterweave.llm.tokenfile import Encoder
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f(chr(c)) for c in range(0x80, 0x280) for f in (lambda c: c, lambda c: f" a{c}b", lambda c: f"{c}{c} {c}")]
+    offsets, data = utf8(pa.array(texts))
+    ids, each = e.encode(offsets, data, 2)
+    ends = each.cumsum()
+    for t, k, z in zip(texts, each, ends):
+        assert ids[z - k : z].tolist() == [*e.tk.encode(t, add_special_tokens=False).ids, 2]
