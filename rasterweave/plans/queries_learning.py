@@ -167,6 +167,19 @@ def best_per_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.best_per(r, ["method"], ["ODS", "AP"], ["config", "first_o"], ["config", "family"])
 
 
+@query("running_best", f"WITH {_RES}, b AS (SELECT method, family, config, max([ODS, AP, OIS]) OVER (PARTITION BY method, family ORDER BY config) AS best FROM res) SELECT method, family, config, best[1] AS best_ODS, best[2] AS best_AP, best[3] AS best_OIS FROM b")
+def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = sweep.running_best(results(spark, sf_dir), ["method", "family"], ["config"], ["ODS", "AP", "OIS"])
+    return b.select("method", "family", "config", "best_ODS", "best_AP", "best_OIS")
+
+
+@query("remaining_configs", "SELECT DISTINCT l_returnflag AS method, l_suppkey AS config FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem d WHERE d.l_returnflag = l.l_returnflag AND d.l_suppkey = l.l_suppkey AND d.l_linestatus = 'F' AND d.l_discount >= 0.1 AND d.l_tax >= 0.08)")
+def remaining_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_suppkey").alias("config"), "l_linestatus", "l_discount", "l_tax")
+    done = li.where((F.col("l_linestatus") == "F") & (F.col("l_discount") >= 0.1) & (F.col("l_tax") >= 0.08))
+    return sweep.remaining(li.select("method", "config").distinct(), done, ["method", "config"])
+
+
 @query("orientation_stability", f"WITH {_RES} SELECT method, round(avg(ODS), 6) AS mean, min(ODS) AS least, max(ODS) AS most, round(stddev_samp(ODS), 6) AS std, round(max(ODS) - min(ODS), 6) AS range FROM res GROUP BY method")
 def orientation_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sweep.stability(results(spark, sf_dir), "method", "ODS")

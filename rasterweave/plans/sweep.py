@@ -88,6 +88,18 @@ def best_per(df: DataFrame, group: Sequence[str], keys: Sequence[str], columns:
     return df.select(*group, *[F.first(c, ignorenulls=True).over(w).alias(c) for c in columns]).distinct()
 
 
+def running_best(df: DataFrame, group: Sequence[str], order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Each row with best_<key>: the lexicographically greatest keys among its group's rows up to it, by the order (unique in a group)."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = df.withColumn("_best", F.max(F.struct(*keys)).over(w))
+    return best.select(*df.columns, *[F.col("_best")[k].alias(f"best_{k}") for k in keys])
+
+
+def remaining(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not done yet; a null key is never done."""
+    return df.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def stability(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mean, least, most, sample deviation and range of a value by group."""
     return df.groupBy(group).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.stddev_samp(value).alias("std")).withColumn("range", F.col("most") - F.col("least"))
