@@ -19,7 +19,7 @@ A shard's automaton holds only distinct repeated words of the shard, and shards
 the data.  A word is a 64-bit hash; distinct words meet with a chance near 2**-64.
 
 Edge cases: null and empty texts have no words and keep nothing; texts with fewer words than a window stay whole; repeated rows
-repeat each other; rows with one id but different texts are told apart by their words; null ids are an id; texts are read whole;
+repeat each other; rows are told apart by id and text together, so null or repeated ids cost nothing; texts are read whole;
 only doc_id and text are read.
 """
 
@@ -43,6 +43,7 @@ RUN = 12
 FLUSH = 1 << 19  # minimizers packed at a time
 HOT_HITS = 100_000  # hits of a route that go to one shard at most
 SHARD_HITS = 20_000  # hits in a shard, about
+BUCKET_BYTES = 64 << 20  # of text whose minimizers a bucket holds, about
 
 
 def word_class(words: np.ndarray) -> int:
@@ -84,8 +85,8 @@ def _each(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _scan(documents: DataFrame, window: int, buckets: int) -> DataFrame:
-    """kind 0: a document's doc_id, cls, n; kind 1: packed minimizers of a bucket."""
-    names = ["kind", "doc_id", "cls", "n", "bucket", "keys", "classes", "places"]
+    """kind 0: a document's key, cls, n; kind 1: packed minimizers of a bucket.  documents: key, text."""
+    names = ["kind", "key", "cls", "n", "bucket", "keys", "classes", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, int]] = []
@@ -126,7 +127,7 @@ def _scan(documents: DataFrame, window: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, cls long, n long, bucket int, keys binary, classes binary, places binary")
+    return documents.select("key", "text").mapInArrow(run, "kind int, key long, cls long, n long, bucket int, keys binary, classes binary, places binary")
 
 
 def _hits(packed: DataFrame) -> DataFrame:
@@ -158,8 +159,25 @@ def _hits(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "cls long, place long, key long, route long")
 
 
+def _first_of_each(rows: DataFrame) -> DataFrame:
+    """One row of each key (the first column) that a task reads, as far as it can tell; further ones are the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            new = []
+            for k in keys:
+                new.append(k not in seen)
+                if len(seen) < 1 << 20:
+                    seen.add(k)
+            yield b.filter(pa.array(new, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _stretches(rows: DataFrame, window: int, shards: int) -> DataFrame:
-    """shard, cls, first, words of the stretches around consecutive hits of one route; rows: doc_id, text, cls, hits."""
+    """shard, cls, first, words of the stretches around consecutive hits of one route; rows: text, cls, hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +185,7 @@ def _stretches(rows: DataFrame, window: int, shards: int) -> DataFrame:
             hits = b.column(b.schema.names.index("hits"))
             wanted = b.column(b.schema.names.index("cls")).to_pylist()
             for i, words in enumerate(_each(b.column(b.schema.names.index("text")))):
-                if word_class(words) != wanted[i]:  # another text with this id
+                if word_class(words) != wanted[i]:  # another row with this key
                     continue
                 h = hits[i].values
                 place, key, route, ways = (h.field(c).to_numpy() for c in ("place", "key", "route", "ways"))
@@ -239,25 +257,33 @@ def remove_repeats(documents: DataFrame, *, window: int = 35, view=None, schema:
     """doc_id, n_words, n_removed, kept (the words kept, joined by one space) of every row, or what ``view`` makes of such a batch."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    buckets = max(8, partitions(spark))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a row's key stands for its id and text: null or repeated ids don't bring different texts together
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    buckets = max(8, partitions(spark), size // BUCKET_BYTES)
     scanned = materialize(_scan(rows, window, buckets), "substrings-scan")
-    docs = scanned.where("kind = 0").select("doc_id", "cls", "n").where(F.col("n") >= window)
+    docs = scanned.where("kind = 0").select("key", "cls", "n").where(F.col("n") >= window)
     hits = materialize(_hits(scanned.where("kind = 1").select("bucket", "keys", "classes", "places")), "substrings-hits")
     hot = hits.groupBy("route").count().where(F.col("count") > HOT_HITS).select("route", F.ceil(F.col("count") / HOT_HITS).cast("long").alias("ways"))
     # at most one route in HOT_HITS hits is hot
     dealt = hits.join(F.broadcast(hot), "route", "left").select("cls", F.struct("place", "key", "route", F.coalesce("ways", F.lit(1).cast("long")).alias("ways")).alias("hit"))
     by_class = dealt.groupBy("cls").agg(F.collect_list("hit").alias("hits"))
-    classes = docs.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    wanted = materialize(by_class.join(classes, "cls").select("cls", "doc_id", "hits"), "substrings-wanted")
-    some = _passing(rows, "doc_id", wanted.where("doc_id IS NOT NULL").select("doc_id"))
-    joined = some.join(wanted, some.doc_id.eqNullSafe(wanted.doc_id)).select(some.doc_id, "text", "cls", "hits")
+    # a class is read from the rows of one key: one row, but where id and text are repeated together
+    classes = docs.groupBy("cls", "key").agg(F.count("*").alias("same")).groupBy("cls").agg(F.min(F.struct("key", "same")).alias("of"), F.sum("same").alias("copies"))
+    wanted = materialize(by_class.join(classes, "cls").select("cls", "of.key", "of.same", "hits"), "substrings-wanted")
+    once, several = wanted.where("same = 1").drop("same"), wanted.where("same > 1").drop("same")
+    text_of = rows.select("key", "text")
+    joined = _passing(text_of, "key", once.select("key")).join(once, "key").select("text", "cls", "hits")
+    if several.limit(1).count():
+        alike = _first_of_each(_passing(text_of, "key", several.select("key"))).groupBy("key").agg(F.first("text").alias("text"))
+        joined = joined.unionByName(alike.join(several, "key").select("text", "cls", "hits"))
     n_hits = hits.count()
     shards = max(buckets, -(-n_hits // SHARD_HITS))
     spans = materialize(_spans(_stretches(joined, window, shards), window), "substrings-spans")
     spans = spans.groupBy("cls").agg(F.collect_list("spans").alias("spans"))
     found = docs.join(classes.select("cls", "copies"), "cls").join(spans, "cls", "left").where("copies > 1 OR spans IS NOT NULL")
-    cuts = found.select("doc_id", F.struct("cls", (F.col("copies") > 1).alias("all"), "spans").alias("cut")).distinct().groupBy("doc_id").agg(F.collect_list("cut").alias("cuts")).withColumnRenamed("doc_id", "_id")
+    # one cut a key (hashes aside): the rows that share it share their text
+    cuts = found.select("key", F.struct("cls", (F.col("copies") > 1).alias("all"), "spans").alias("cut")).distinct().groupBy("key").agg(F.collect_list("cut").alias("cuts")).withColumnRenamed("key", "_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,7 +310,7 @@ def remove_repeats(documents: DataFrame, *, window: int = 35, view=None, schema:
             made = pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
             yield view(made) if view else made
 
-    out = rows.join(cuts, rows.doc_id.eqNullSafe(cuts["_id"]), "left").select("doc_id", "text", "cuts")
+    out = rows.join(cuts, rows["key"] == cuts["_key"], "left").select("doc_id", "text", "cuts")
     return out.mapInArrow(cut, schema)
 
 
