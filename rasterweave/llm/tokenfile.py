@@ -39,6 +39,7 @@ from .wordhash import hash_spans
 
 PIECE = 1 << 20  # bytes of text (or one text) that are encoded in one go
 SLOTS = 1 << 20  # places of the table of pieces, half of them used at most
+PART = SLOTS // 4  # pieces that are looked up in one go
 LINES = 512  # words that the library gets as one text
 POOL = 1 << 23  # ids that the table's pieces have, about
 FILE_SCHEMA = "shard int, record int, first long, alphabet int, doc_ids binary, doc_nulls binary, n_tokens binary, ids binary"
@@ -203,18 +204,8 @@ class Encoder:
         begins[1:-1] |= latin[:-1] & self.stops[text[1:]]
         return np.flatnonzero(begins)
 
-    def encode(self, offsets: np.ndarray, data: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids one after another, number of each text), each text ended by ``end_id``; texts are data[offsets[i] : offsets[i + 1]]."""
-        lo, n = int(offsets[0]), len(offsets) - 1
-        text = data[lo : int(offsets[-1])]
-        places = offsets - lo
-        if not self.cuts:
-            raw, cut = text.tobytes(), places.tolist()
-            ids, each = self._library([raw[a:z].decode() for a, z in zip(cut[:-1], cut[1:], strict=True)])
-            ends = np.cumsum(each)
-            return np.insert(ids, ends, end_id), each + 1
-        latin = _letters(text)
-        cut = self._cuts(text, latin, places)  # empty texts share a place
+    def _pieces(self, text: np.ndarray, latin: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids one after another) of at most PART pieces, which the table can hold whatever they are."""
         begin, end = cut[:-1], cut[1:]
         h = hash_spans(text, begin, end)
         at = self._slots(h)
@@ -227,12 +218,26 @@ class Encoder:
                 at = self._slots(h)
                 new = np.flatnonzero(at < 0)
                 hashes, first = np.unique(h[new], return_index=True)
-            if len(hashes) > SLOTS // 2:
-                raise ValueError("more pieces than the table holds in one go")
             some = new[first]
             self._learn(hashes, text, latin, begin[some], end[some])
             at[new] = self._slots(h[new])
         count = self.count[at].astype(np.int64)
+        return count, self.pool[np.repeat(self.start[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, number of each text), each text ended by ``end_id``; texts are data[offsets[i] : offsets[i + 1]]."""
+        lo, n = int(offsets[0]), len(offsets) - 1
+        text = data[lo : int(offsets[-1])]
+        places = offsets - lo
+        if not self.cuts:
+            raw, cut = text.tobytes(), places.tolist()
+            ids, each = self._library([raw[a:z].decode() for a, z in zip(cut[:-1], cut[1:], strict=True)])
+            ends = np.cumsum(each)
+            return np.insert(ids, ends, end_id), each + 1
+        latin = _letters(text)
+        cut = self._cuts(text, latin, places)  # empty texts share a place
+        got = [self._pieces(text, latin, cut[i : i + PART + 1]) for i in range(0, len(cut) - 1, PART)]
+        count = np.concatenate([c for c, _ in got]) if got else np.zeros(0, np.int64)
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
         each = np.diff(before[np.searchsorted(cut, places)]) + 1
         ends = np.cumsum(each)
@@ -240,7 +245,8 @@ class Encoder:
         keep = np.ones(len(out), bool)
         keep[ends - 1] = False
         out[~keep] = end_id
-        out[keep] = self.pool[np.repeat(self.start[at] - before[:-1], count) + np.arange(int(before[-1]))]
+        if got:
+            out[keep] = np.concatenate([i for _, i in got])
         return out, each
 
 
