@@ -39,7 +39,7 @@ TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 NO_TERM = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 PIECE = 4 << 20  # bytes of a text gone through at once
 SEGMENT = 1 << 15  # counters that are merged as one
-HELD = 200_000  # different terms that a task holds before it passes them on
+HELD = 600_000  # different terms that a task holds before it passes them on
 UNIT = 1_000_000_000
 
 
