@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .information import EPS, exact_quantiles, finite, running
+from .ordering import group_quantiles, laid_out
 from .morphology import diamond, dilate
 from .raster import KEYS
 
@@ -63,13 +64,13 @@ def prepared(df: DataFrame, score: str, gt: str, tol: int | Column = 2, max_tol:
 def curve(prep: DataFrame, truths: DataFrame, cuts: DataFrame, by: Sequence[str] = (), beta: float = 1.0) -> DataFrame:
     """by, threshold, precision, recall, f; ``cuts`` holds by and a sorted array ``t``, ``truths`` by and ``ngt``."""
     by = list(by)
-    # cuts has one row, or one for each image
-    binned = (prep.join(F.broadcast(cuts), by) if by else prep.crossJoin(F.broadcast(cuts))).withColumn("bin", F.size(F.filter("t", lambda t: t <= F.col("s"))))
+    # without by, cuts is one row
+    binned = (prep.join(cuts, by) if by else prep.crossJoin(F.broadcast(cuts))).withColumn("bin", F.size(F.filter("t", lambda t: t <= F.col("s"))))
     counts = binned.groupBy(*by, "bin").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("all", "correct", "truth")])
     full = cuts.select(*by, F.posexplode("t").alias("i", "threshold"))
     cond = [full[c] == counts[c] for c in by]
     joined = full.join(counts, [*cond, counts["bin"] > full["i"]], "left").groupBy(*[full[c] for c in by], "threshold").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("all", "correct", "truth")])
-    joined = joined.join(F.broadcast(truths), by) if by else joined.crossJoin(F.broadcast(truths))
+    joined = joined.join(truths, by) if by else joined.crossJoin(F.broadcast(truths))
     p, r, f = prf(F.col("correct"), F.col("all"), F.col("truth"), F.col("ngt"), beta)
     return joined.select(*by, "threshold", p.alias("precision"), r.alias("recall"), f.alias("f"))
 
@@ -81,10 +82,16 @@ def pr_curve(df: DataFrame, score: str, gt: str, tol: int | Column = 2, n_thresh
     return curve(prepared(df, score, gt, tol, max_tol), df.agg(F.count_if(gt).alias("ngt")), cuts, (), beta)
 
 
+def _cuts(df: DataFrame, by: Sequence[str], score: str, n_thresholds: int) -> DataFrame:
+    """by, t: each group's own thresholds."""
+    q = group_quantiles(df, by, {score: threshold_probs(n_thresholds)})
+    return q.select(*by, F.array_sort(F.array_distinct(score)).alias("t"))
+
+
 def image_best(df: DataFrame, score: str, gt: str, tol: int | Column = 2, n_thresholds: int = 99, beta: float = 1.0, shared: Sequence[float] | None = None, max_tol: int | None = None) -> DataFrame:
     """img, best f over the image's own thresholds (or shared ones)."""
     if shared is None:
-        cuts = df.groupBy("img").agg(F.array_sort(F.array_distinct(F.percentile(F.when(finite(F.col(score)), F.col(score)), F.lit(threshold_probs(n_thresholds))))).alias("t"))
+        cuts = _cuts(df, ["img"], score, n_thresholds)
     else:
         cuts = df.select("img").distinct().withColumn("t", F.lit([float(v) for v in shared]))
     c = curve(prepared(df, score, gt, tol, max_tol), df.groupBy("img").agg(F.count_if(gt).alias("ngt")), cuts, ("img",), beta)
@@ -104,7 +111,7 @@ def average_precision(c: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, gt: str, n_buckets: int = 64) -> DataFrame:
     """Chance that a positive outranks a negative, ties half; null where a class is missing."""
     c = df.groupBy(F.col(score).alias("s")).agg(F.count_if(gt).alias("p"), F.count_if(~F.col(gt)).alias("n"))
-    ranked, below = running(c, "s", F.col("n"), (), n_buckets)
+    ranked, below = running(c, "s", F.col("n"), n_buckets)
     pos, neg = F.sum("p").cast("double"), F.sum("n").cast("double")
     return ranked.agg(F.when((pos > 0) & (neg > 0), F.sum(F.col("p") * (below + F.col("n") / 2.0)) / (pos * neg)).alias("ROC_AUC"))
 
@@ -126,7 +133,7 @@ def image_tolerance(df: DataFrame, frac_diag: float = 0.0075) -> tuple[DataFrame
     size = df.groupBy("img").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     size = size.select("img", F.greatest(F.lit(1), F.rint(F.sqrt(F.col("h").cast("double") ** 2 + F.col("w").cast("double") ** 2) * frac_diag).cast("int")).alias("tol"))
     most = size.agg(F.max("tol")).first()[0] or 1
-    return df.join(F.broadcast(size), "img"), most  # one row for each image
+    return df.join(size, "img"), most
 
 
 def variable_tolerance(df: DataFrame, score: str, gt: str, n_thresholds: int = 61, frac_diag: float = 0.0075) -> DataFrame:
@@ -141,11 +148,9 @@ def benchmark_by(df: DataFrame, score: str, gt: str, by: Sequence[str], tol: int
     """``benchmark`` for each group of whole images (a configuration, say), all groups in one plan."""
     by, name = list(by), F.concat_ws("/", *by, "img")
     keyed = df.withColumns({"_one": F.col("img"), "img": name})
-    ok = F.when(finite(F.col(score)), F.col(score))
-    cuts = lambda: F.array_sort(F.array_distinct(F.percentile(ok, F.lit(threshold_probs(n_thresholds))))).alias("t")
     groups = keyed.select("img", *by).distinct()
     prep = prepared(keyed, score, gt, tol).join(groups, "img")
-    pooled = curve(prep, df.groupBy(*by).agg(F.count_if(gt).alias("ngt")), df.groupBy(*by).agg(cuts()), by, beta)
+    pooled = curve(prep, df.groupBy(*by).agg(F.count_if(gt).alias("ngt")), _cuts(df, by, score, n_thresholds), by, beta)
     best = F.max_by(F.struct("f", "threshold", "precision", "recall"), F.struct(F.col("f"), -F.col("threshold")))
     ods = pooled.groupBy(*by).agg(best.alias("b"), F.coalesce(F.max(F.when(F.col("precision") >= 0.5, F.col("recall"))), F.lit(0.0)).alias("R50"))
     w = Window.partitionBy(*by).orderBy("recall", "threshold")
@@ -153,12 +158,11 @@ def benchmark_by(df: DataFrame, score: str, gt: str, by: Sequence[str], tol: int
     env = env.withColumns({"pr": F.lag("recall").over(w), "pp": F.lag("p").over(w)})
     first = F.when(F.col("pr").isNull(), F.col("recall") * F.col("p")).otherwise((F.col("recall") - F.col("pr")) * (F.col("p") + F.col("pp")) / 2)
     ap = env.groupBy(*by).agg(F.sum(first).alias("a"), F.max_by(F.struct("recall", "p"), F.struct("recall", "threshold")).alias("z")).select(*by, (F.col("a") + (1 - F.col("z.recall")) * F.col("z.p") / 2).alias("AP"))
-    own = curve(prep, keyed.groupBy(*by, "img").agg(F.count_if(gt).alias("ngt")), keyed.groupBy(*by, "img").agg(cuts()), [*by, "img"], beta)
+    own = curve(prep, keyed.groupBy(*by, "img").agg(F.count_if(gt).alias("ngt")), _cuts(keyed, [*by, "img"], score, n_thresholds), [*by, "img"], beta)
     ois = own.groupBy(*by, "img").agg(F.max("f").alias("f")).groupBy(*by).agg(F.avg("f").alias("OIS"))
     c = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(gt).alias("p"), F.count_if(~F.col(gt)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pos, neg = F.sum("p").cast("double"), F.sum("n").cast("double")
-    auc = c.withColumn("_b", below).groupBy(*by).agg(F.when((pos > 0) & (neg > 0), F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2.0)) / (pos * neg)).alias("ROC_AUC"))
+    auc = laid_out(c, by, ["s"], F.col("n")).groupBy(*by).agg(F.when((pos > 0) & (neg > 0), F.sum(F.col("p") * (F.col("_before") + F.col("n") / 2.0)) / (pos * neg)).alias("ROC_AUC"))
     out = ods.join(ois, by).join(ap, by).join(auc, by)
     return out.select(*by, F.col("b.f").alias("ODS"), F.col("b.threshold").alias("ODS_threshold"), F.col("b.precision").alias("ODS_precision"), F.col("b.recall").alias("ODS_recall"), "OIS", "AP", "R50", "ROC_AUC", F.lit(n_thresholds).alias("n_thresholds"))
 

@@ -1,28 +1,27 @@
 """Normalisation, surprisal, ranks and regions of interest.
 
-Everything here works on images (rows keyed by ``by`` columns, each image bounded) and on whole tables
-(``by`` empty).  Whole tables never meet in one task: order statistics are found by narrowing brackets with
-mergeable aggregates, and ranks by windows inside value buckets plus the buckets' offsets.
+Everything here works on images (rows keyed by ``by`` columns) and on whole tables (``by`` empty).  Neither a table nor an image meets
+in one task: a table's order statistics are found by narrowing brackets with mergeable aggregates, its ranks by windows inside value
+buckets plus the buckets' offsets, and those of images by ranges of (image, value) in the same way (``ordering``).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import finite, group_quantiles, laid_out, statistic, value_counts
 from .storage import materialize
 
 EPS = 1e-12
 FEW = 20_000  # values of a bracket that may be gathered
 
 
-def finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-
-
 def clip01(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
@@ -99,8 +98,9 @@ def robust01(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), lo: flo
     if not by:
         q = exact_quantiles(df, dict.fromkeys(cols, p))
         return df.withColumns({c + suffix: scaled(F.col(c), *q[c]) for c in cols})
-    q = df.groupBy(*by).agg(*[F.percentile(F.when(finite(F.col(c)), F.col(c)), F.lit(p)).alias(f"_p_{c}") for c in cols])
-    out = df.join(q, list(by)).withColumns({c + suffix: scaled(F.col(c), F.col(f"_p_{c}")[0], F.col(f"_p_{c}")[1]) for c in cols})
+    q = group_quantiles(df, by, dict.fromkeys(cols, p))
+    q = q.withColumnsRenamed({c: f"_p_{c}" for c in cols})
+    out = df.join(q, list(by), "left").withColumns({c + suffix: scaled(F.col(c), F.col(f"_p_{c}")[0], F.col(f"_p_{c}")[1]) for c in cols})
     return out.drop(*[f"_p_{c}" for c in cols])
 
 
@@ -113,11 +113,8 @@ def buckets(df: DataFrame, value: str, n: int) -> Column:
     return F.size(F.filter(F.lit([float(x) for x in cuts]), lambda c: c <= F.col(value))) if cuts else F.lit(0)
 
 
-def running(df: DataFrame, value: str, amount: Column, by: Sequence[str], n_buckets: int) -> tuple[DataFrame, Column]:
-    """Sum of ``amount`` over smaller values (rows have distinct values), as a column of the returned rows."""
-    if by:
-        w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("_before", F.coalesce(F.sum(amount).over(w), F.lit(0))), F.col("_before")
+def running(df: DataFrame, value: str, amount: Column, n_buckets: int) -> tuple[DataFrame, Column]:
+    """Sum of ``amount`` over smaller values of a whole table (rows have distinct values), as a column of the returned rows."""
     df = df.withColumn("_bucket", buckets(df, value, n_buckets)).withColumn("_amount", amount)
     w = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     sums = sorted((r["_bucket"], r["_s"] or 0) for r in df.groupBy("_bucket").agg(F.sum("_amount").alias("_s")).collect())  # at most n_buckets rows
@@ -136,49 +133,49 @@ def surprisal(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "bit
     it.  The background is the beginning of the sorted values, so a value's place in it is its place among all, or the background's end.
     """
     by, v = list(by), F.col(value)
-    group = Window.partitionBy(*by) if by else None
-    counts = df.where(finite(v)).groupBy(*by, v.cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts, n = value_counts(df, by, value)
+
+    def placed(rows: DataFrame, amount: Column) -> DataFrame:
+        if by:
+            return laid_out(rows, by, ["_v"], amount, n)
+        total = rows.agg(F.coalesce(F.sum(amount), F.lit(0)).alias("n")).first().n
+        return running(rows, "_v", amount, n_buckets)[0].withColumn("_all", F.lit(total))
+
+    ranked = placed(counts, F.col("_n"))
     if not by:
-        counts = materialize(counts, "values")
-    ranked, before = running(counts, "_v", F.col("_n"), by, n_buckets)
-    ranked = ranked.select(*by, "_v", "_n", before.alias("_at"))
+        ranked = materialize(ranked, "ranks")
+    k = F.lit(quantile) * (F.col("_all") - 1)
+    end = (F.col("_before") + F.col("_n")).alias("end")
+    two = [statistic(f(k), F.col("_v").alias("v"), end).alias(name) for f, name in ((F.floor, "_low"), (F.ceil, "_high"))]
+    stats = ranked.groupBy(*by).agg(*two, F.max(k - F.floor(k)).alias("_part"))
+    cut = F.col("_low.v") + (F.col("_high.v") - F.col("_low.v")) * F.col("_part")
+    stats = stats.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.when(cut >= F.col("_high.v"), F.col("_high.end")).otherwise(F.col("_low.end")).alias("_bg"))
     if by:
-        total = F.sum("_n").over(group)
-        k = F.lit(quantile) * (total - 1)
-        stat = lambda at: F.max(F.when((F.col("_at") <= at) & (at < F.col("_at") + F.col("_n")), F.col("_v"))).over(group)
-        low, high = stat(F.floor(k)), stat(F.ceil(k))
-        ranked = ranked.withColumns({"_all": total, "_cut": low + (high - low) * (k - F.floor(k))})
-        ranked = ranked.withColumn("_bg", F.sum(F.when(F.col("_v") <= F.col("_cut"), F.col("_n")).otherwise(0)).over(group))
+        same = [F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)]
+        ranked = ranked.join(stats, reduce(and_, same)).drop(*[f"_g{i}" for i in range(len(by))])
     else:
-        ranked = materialize(ranked, "ranks")
-        total = ranked.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first().n
-        k = quantile * (total - 1)
-        stats = [r["_v"] for at in (math.floor(k), math.ceil(k)) for r in ranked.where((F.col("_at") <= at) & (F.lit(at) < F.col("_at") + F.col("_n"))).select("_v").limit(1).collect()] or [0.0, 0.0]
-        cut = stats[0] + (stats[1] - stats[0]) * (k - math.floor(k))
-        r = ranked.agg(F.coalesce(F.sum(F.when(F.col("_v") <= cut, F.col("_n"))), F.lit(0)).alias("b")).first()
-        ranked = ranked.withColumns({"_all": F.lit(total), "_bg": F.lit(r.b)})
+        ranked = ranked.withColumn("_bg", F.lit(stats.first()["_bg"]))
     size = F.when(F.col("_bg") < 100, F.col("_all")).otherwise(F.col("_bg"))
-    place = F.least("_at", size)
+    place = F.least("_before", size)
     if max_samples is not None:
         share = F.least(F.lit(1.0), F.lit(float(max_samples)) / size)
         chance = F.pmod(F.xxhash64(F.lit(seed), "_v"), F.lit(1 << 20)) / float(1 << 20)
         thin = F.when(share >= 1, F.col("_n")).otherwise(F.floor(F.col("_n") * share + chance))
-        thinned = ranked.withColumn("_thin", F.when(F.col("_at") < size, thin).otherwise(0)).drop("_at")
-        ranked, before = running(thinned, "_v", F.col("_thin"), by, n_buckets)
-        ranked = ranked.withColumn("_at", before).withColumn("_size", F.sum("_thin").over(group if by else Window.partitionBy()) if by else F.lit(thinned.agg(F.sum("_thin").alias("s")).first().s or 0))
-        place, size = F.col("_at"), F.col("_size")
+        thinned = ranked.withColumn("_thin", F.when(F.col("_before") < size, thin).otherwise(0)).drop("_before", "_all")
+        ranked = placed(thinned, F.col("_thin"))
+        place, size = F.col("_before"), F.col("_all")
     tail = (size - place + 1) / (size + 1.0)
-    ranked = ranked.select(*by, "_v", (-F.log2(F.greatest(tail, F.lit(eps)))).alias(out))
-    return df.withColumn("_v", F.when(finite(v), v.cast("double"))).join(ranked, [*by, "_v"], "left").drop("_v")
+    ranked = ranked.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col("_v").alias("_w"), (-F.log2(F.greatest(tail, F.lit(eps)))).alias(out))
+    same = [F.when(finite(v), v.cast("double")) == F.col("_w"), *[F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)]]
+    return df.join(ranked, reduce(and_, same), "left").drop("_w", *[f"_g{i}" for i in range(len(by))])
 
 
 def percentile_confidence(df: DataFrame, value: str, ties: Sequence[str], by: Sequence[str] = (), out: str = "conf", n_buckets: int = 64) -> DataFrame:
     """Ordinal rank in [0,1]; ties in the order of ``ties``."""
     order = [F.col(value), *[F.col(t) for t in ties]]
     if by:
-        w = Window.partitionBy(*by)
-        n = F.count(F.lit(1)).over(w)
-        return df.withColumn(out, F.when(n > 1, (F.row_number().over(w.orderBy(*order)) - 1) / (n - 1)).otherwise(0.0))
+        n = F.col("_all")
+        return laid_out(df, by, order).withColumn(out, F.when(n > 1, F.col("_before") / (n - 1)).otherwise(0.0)).drop("_before", "_all")
     df = df.withColumn("_bucket", buckets(df, value, n_buckets))
     sizes = sorted((r["_bucket"], r["count"]) for r in df.groupBy("_bucket").count().collect())  # at most n_buckets rows
     total = sum(n for _, n in sizes)

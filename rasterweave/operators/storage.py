@@ -6,12 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where the session names no shared folder.
+#: Used only on one machine whose session names no shared folder (tests).
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder that driver and executors share; a cluster's session must name it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return FALLBACK_DIR
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Filters over the part of an image that a region covers, tile by tile.
+"""Images tile by tile: filters of a bounded reach, filters over a region, thinning in rounds.
 
-A tile is a key: every pixel goes to the tiles whose halo holds it, only tiles that hold a pixel of the region are kept, and each is filtered by
-itself.  So one image spreads over as many tasks as it has tiles, and a task holds one tile with its halo.
+A tile is a key: every pixel goes to the tiles whose halo holds it, and each tile is worked on by itself.  So one image spreads over as many
+tasks as it has tiles, and a task holds one tile with its halo.  What needs more than a bounded reach goes in rounds: a round does as many
+steps as the halo allows, and the next one takes only the tiles that changed and their neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from typing import Any
 
 import numpy as np
@@ -16,8 +18,76 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .information import clip01
 from .raster import KEYS
+from .storage import materialize
 
 TILE = 32
+SIDE = 64  # of tiles that are not kept to a region
+STEPS = 8  # of thinning in a round
+
+
+def dealt(pixels: DataFrame, halo: int, tile: int) -> DataFrame:
+    """Each pixel once for each tile (ty, tx) whose halo holds it."""
+    around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int")))
+    return pixels.withColumn("ty", around("y")).withColumn("tx", around("x"))
+
+
+def by_tile(pixels: DataFrame, cols: Sequence[str], fn: Callable[..., dict[str, np.ndarray]], halo: int, schema: str, tile: int = SIDE) -> DataFrame:
+    """img, y, x and what ``fn`` makes of the columns' rasters, for dense images and functions that read at most ``halo`` pixels around a place.
+
+    A block ends where its halo does or where the image does, so the function's own border rule holds at the image's borders.
+    """
+    cells = dealt(pixels.select(*KEYS, *cols), halo, tile)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        y, x = f["y"].to_numpy(), f["x"].to_numpy()
+        mine = (y // tile == f["ty"].iloc[0]) & (x // tile == f["tx"].iloc[0])
+        if not mine.any():  # a tile beyond the image
+            return pd.DataFrame({"img": f["img"].iloc[:0], "y": y[:0], "x": x[:0]} | {c.split()[0]: [] for c in schema.split(", ")})
+        j, i = y - y.min(), x - x.min()
+        blocks = []
+        for c in cols:
+            blocks.append(np.zeros((j.max() + 1, i.max() + 1), bool if f[c].dtype == bool else float))
+            blocks[-1][j, i] = f[c].to_numpy()
+        made = fn(*blocks)
+        out = {k: list(v[j[mine], i[mine]]) if v.ndim == 3 else v[j[mine], i[mine]] for k, v in made.items()}
+        return pd.DataFrame({"img": f["img"].iloc[0], "y": y[mine], "x": x[mine]} | out)
+
+    return cells.groupBy("img", "ty", "tx").applyInPandas(run, f"img string, y int, x int, {schema}")
+
+
+def thin(df: DataFrame, mask: str, out: str = "thin", tile: int = SIDE, steps: int = STEPS) -> DataFrame:
+    """Rows with ``out``: the pixel is on the skeleton of the mask, as ``kernels.thin`` makes it of the whole image.
+
+    Thinning removes pixels by their neighbours, two pixels far in a step at most.  Only pixels of the mask are moved; a round does ``steps``
+    steps on tiles with twice as wide a halo.  A tile rests while neither it nor a neighbour has lost a pixel, for then it can't change.
+    """
+    halo = 2 * steps
+    if halo > tile:
+        raise ValueError("the halo of a round must not be wider than a tile")
+    cell = lambda c: F.floor(F.col(c) / tile).cast("int")
+    left = materialize(df.where(F.col(mask)).select(*KEYS, cell("y").alias("own_y"), cell("x").alias("own_x"), F.lit(True).alias("live")), "thin")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(f["ty"].iloc[0]), int(f["tx"].iloc[0])
+        y, x = f["y"].to_numpy(), f["x"].to_numpy()
+        j, i = y - ty * tile + halo, x - tx * tile + halo
+        m = np.zeros((tile + 2 * halo, tile + 2 * halo), bool)
+        m[j, i] = True
+        mine = (y // tile == ty) & (x // tile == tx)
+        return pd.DataFrame({"img": f["img"].iloc[0], "y": y[mine], "x": x[mine], "own_y": ty, "own_x": tx, "on": K.thin(m, steps)[j[mine], i[mine]]})
+
+    while True:
+        awake = left.where("live").select("img", F.col("own_y").alias("ty"), F.col("own_x").alias("tx")).distinct()
+        near = dealt(left.select(*KEYS), halo, tile).join(awake, ["img", "ty", "tx"], "left_semi")
+        moved = materialize(near.groupBy("img", "ty", "tx").applyInPandas(run, "img string, y int, x int, own_y int, own_x int, on boolean"), "thin")
+        changed = moved.where("NOT on").select("img", "own_y", "own_x").distinct()
+        step = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
+        waking = changed.select("img", step("own_y"), "own_x").select("img", "own_y", step("own_x")).distinct().withColumn("wakes", F.lit(True))
+        stay = left.where("NOT live").select(*KEYS, "own_y", "own_x").union(moved.where("on").select(*KEYS, "own_y", "own_x"))
+        left = materialize(stay.join(waking, ["img", "own_y", "own_x"], "left").select(*KEYS, "own_y", "own_x", F.coalesce("wakes", F.lit(False)).alias("live")), "thin")
+        if not left.where("live").limit(1).count():
+            break
+    return df.join(left.select(*KEYS, F.lit(True).alias("_on")), list(KEYS), "left").withColumn(out, F.coalesce("_on", F.lit(False))).drop("_on")
 
 
 def spread(pixels: DataFrame, region: Column, halo: int, tile: int = TILE) -> DataFrame:

@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import distance as D
 from ..operators import evaluation as E
 from ..operators import information as I
 from ..operators import kernels as K
+from ..operators import linking as L
 from ..operators import morphology as MO
 from ..operators import raster as R
+from ..operators import tiles as T
 from .views import EV_SQL, ev_img
 
 Q: dict = {}
@@ -357,21 +360,69 @@ def variable_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.variable_tolerance(scored(spark, sf_dir), "v", "gt", _N)
 
 
-# ---- dense kernels (one image a group)
+# ---- thin lines, links and distances
+
+
+def _rounds_sql(steps: int) -> str:
+    """t: the mask after each step of two-pass thinning, up to the one that changes nothing."""
+    at = {"p2": (-1, 0), "p3": (-1, 1), "p4": (0, 1), "p5": (1, 1), "p6": (1, 0), "p7": (1, -1), "p8": (0, -1), "p9": (-1, -1)}
+    pick = ", ".join(f"bool_or(q.m AND q.y = p.y + {dy} AND q.x = p.x + {dx}) AS {n}" for n, (dy, dx) in at.items())
+    both = lambda a, b: f"({a} OR {b})::INTEGER"
+    crossings = " + ".join(f"(NOT {a} AND ({b} OR {c}))::INTEGER" for a, b, c in (("p2", "p3", "p4"), ("p4", "p5", "p6"), ("p6", "p7", "p8"), ("p8", "p9", "p2")))
+    one = " + ".join(both(a, b) for a, b in (("p9", "p2"), ("p3", "p4"), ("p5", "p6"), ("p7", "p8")))
+    two = " + ".join(both(a, b) for a, b in (("p2", "p3"), ("p4", "p5"), ("p6", "p7"), ("p8", "p9")))
+
+    def half(src: str, side: str) -> str:
+        near = f"SELECT p.img, p.y, p.x, any_value(p.step) AS step, any_value(p.was) AS was, {pick} FROM (SELECT * FROM {src} WHERE m) p JOIN {src} q ON q.img = p.img AND q.y BETWEEN p.y - 1 AND p.y + 1 AND q.x BETWEEN p.x - 1 AND p.x + 1 GROUP BY p.img, p.y, p.x"
+        return f"(SELECT img, y, x, step, was, NOT (({crossings}) = 1 AND least({one}, {two}) BETWEEN 2 AND 3 AND NOT ({side})) AS m FROM ({near}))"
 
+    first = half("(SELECT img, y, x, step, true AS m, true AS was FROM t)", "(p2 OR p3 OR NOT p5) AND p4")
+    kept = f"(SELECT img, y, x, step, m, was FROM {first} WHERE m)"
+    second = half(kept, "(p6 OR p7 OR NOT p9) AND p8")
+    return f"t AS (SELECT img, y, x, 0 AS step FROM br WHERE on_ UNION ALL SELECT img, y, x, step + 1 FROM (SELECT img, y, x, step, count(*) OVER () AS n2, (SELECT count(*) FROM t) AS n1 FROM {second} WHERE m) WHERE n2 < n1 AND step < {steps})"
 
-@query("thin", None)
+
+_BRIGHT = "br AS (SELECT img, y, x, v >= 0.7 AS on_ FROM px)"
+
+
+@query("thin", f"WITH RECURSIVE {PX}, {_BRIGHT}, {_rounds_sql(1000)}, z AS (SELECT img, y, x FROM t WHERE step = (SELECT max(step) FROM t)), m AS (SELECT px.img, px.y, px.x, (z.y IS NOT NULL)::INTEGER::DOUBLE AS v FROM px LEFT JOIN z USING (img, y, x)) {_summary_sql('m')}")
 def thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(K.per_image(bright(spark, sf_dir), ["on"], lambda m: {"out": K.thin(m)}, "out boolean"), "out")
+    return _summary(T.thin(bright(spark, sf_dir), "on", "out"), "out")
+
+
+def _scharr(v):
+    gx, gy = K.three(v, "scharr")
+    return {"raw": (gx * gx + gy * gy) ** 0.5, "theta": K.orientation(v)}
 
 
 @query("geodesic_link", None)
 def geodesic_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = T.by_tile(px(spark, sf_dir), ["v"], _scharr, 8, "raw double, theta double")
+    d = I.robust01(d, ["raw"], by=["img"], suffix="_s").withColumnRenamed("raw_s", "score")
+    d = R.inner(R.nine(d.withColumn("v", F.col("score"))))
+    d = d.withColumn("edge", R.suppress(F.col("n9"), F.col("theta"), F.col("_inner")) >= 0.5)
+    return _summary(L.geodesic_link(d.select("img", "y", "x", "score", "theta", "edge"), "edge", "score", "score", "theta", "out"), "out")
+
+
+@query("distance_map", f"WITH {PX}, {_BRIGHT}, m AS (SELECT p.img, p.y, p.x, min(sqrt(power(p.y - q.y, 2) + power(p.x - q.x, 2))) AS v FROM br p JOIN (SELECT * FROM br WHERE on_) q ON p.img = q.img GROUP BY p.img, p.y, p.x) {_summary_sql('m')}")
+def distance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(D.distance(bright(spark, sf_dir), "on", "out"), "out")
+
+
+@query("descriptor_modes", None)
+def descriptor_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"{m}_{n}" for m in K.MODES for n in K.MODES[m]]
+
     def run(v):
-        score, theta = K.detector(v, "scharr"), K.orientation(v)
-        return {"out": K.postprocess(K.suppress(score, theta), 0.5, "geodesic", score, theta)}
+        return {f"{m}_{n}": x for m in K.MODES for n, x in K.raw_descriptors(v, 5, m)[0].items()}
+
+    raw = T.by_tile(px(spark, sf_dir), ["v"], run, max(K.descriptor_halo(5, m) for m in K.MODES), ", ".join(f"{n} double" for n in names))
+    out = I.robust01(raw, names, by=["img"])
+    total = lambda m: F.round(F.sum(sum(F.col(f"{m}_{n}") for n in K.MODES[m])), 4).alias(m)
+    return out.groupBy("img").agg(*[total(m) for m in K.MODES])
+
 
-    return _summary(K.per_image(px(spark, sf_dir), ["v"], run, "out boolean"), "out")
+# ---- dense kernels (one image a group)
 
 
 @query("canny", None)
@@ -398,21 +449,6 @@ def condition_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(conditioned_region(px(spark, sf_dir), F.col("v") >= 0.7, "bilateral"), "out")
 
 
-@query("distance_map", None)
-def distance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(K.per_image(bright(spark, sf_dir), ["on"], lambda m: {"out": K.distance(~m)}, "out double"), "out")
-
-
-@query("descriptor_modes", None)
-def descriptor_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(v):
-        return {m: K.descriptors(v, 5, m)[0] for m in K.MODES}
-
-    out = K.per_image(px(spark, sf_dir), ["v"], run, ", ".join(f"{m} array<double>" for m in K.MODES))
-    total = lambda c: F.round(F.sum(F.aggregate(c, F.lit(0.0), lambda a, b: a + b)), 4).alias(c)
-    return out.groupBy("img").agg(*[total(m) for m in K.MODES])
-
-
 @query("context_vectors", None)
 def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("noise_mad", "impulse", "sharpness", "mean_gradient", "texture", "contrast")

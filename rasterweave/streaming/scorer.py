@@ -31,7 +31,7 @@ class Background:
         if below.limit(100).count() < 100:
             below = every
         counts = below.groupBy("v").agg(F.count("*").alias("n"))
-        ranked, before = running(counts, "v", F.col("n"), (), 64)
+        ranked, before = running(counts, "v", F.col("n"), 64)
         ranked = ranked.select("v", "n", before.alias("at"))
         size = ranked.agg(F.count("*").alias("values"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         if size["values"] > max_values:
