@@ -2,12 +2,12 @@
 
 An integral sorts a row's descriptors, weighs the tail coalitions by a measure and folds neighbours with binary
 functions.  It is one expression over one row: no shuffle, no UDF.  ``relational`` says the same with explode, window
-and group, for engines or checks that have no array functions.
+and group, for engines or checks that have no array functions.  ``aggregate`` integrates a column over the rows of a group of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binary
 from ..functions.measures import clip, ordered, tail_capacities
+from .ordering import laid_out, value_counts
 
 FAMILIES = ("choquet", "expanded", "CF", "CC", "CF1F2")
 
@@ -81,3 +82,34 @@ def relational(rows: DataFrame, key: str, x: str, mu: list[float], family: str,
         term = F.when(F.col("r") == 1, b).otherwise(binary.column(f1)(b, m) - binary.column(f2)(a, m))
     out = F.sum(term)
     return t.groupBy(key).agg((out if kind in ("CHOQUET", "EXPANDED") else clip(out)).alias("value"), F.count("*").alias("n")).where(F.col("n") == n).drop("n")
+
+
+def aggregate(rows: DataFrame, by: Sequence[str], value: str, capacity: Callable[[Column], Column], family: str = "choquet", f: str | Callable = "TP") -> DataFrame:
+    """by, n, integral: the integral of a column's finite values over each group, whose capacity depends on the share of its rows only.
+
+    Values are counted once each; a value's coalition is the rows that are not below it.  Of equal values the first has the whole coalition, and the
+    others add nothing (so ``CF`` asks for an f with f(0, w) = 0).  The counts merge, and places in a group come from ranges (``laid_out``), so
+    no task holds or sorts a group.
+    """
+    kind, by = family.lower(), list(by)
+    if kind not in ("choquet", "cf", "cc"):
+        raise ValueError(f"no aggregate form of the family: {family}")
+    counts, n = value_counts(rows, by, value)
+    placed = laid_out(counts, by, ["_v"], F.col("_n"), n)
+    share = lambda before: (F.col("_all") - before) / F.col("_all").cast("double")
+    here = capacity(share(F.col("_before")))
+    v = F.col("_v")
+    if kind == "choquet":
+        after = F.col("_before") + F.col("_n")
+        term = v * (here - F.when(after < F.col("_all"), capacity(share(after))).otherwise(0.0))
+    else:  # the value below is the one whose rows end where this one's begin
+        names = [f"_of{i}" for i in range(len(by))]
+        below = placed.select(*[F.col(b).alias(k) for b, k in zip(by, names, strict=True)], (F.col("_before") + F.col("_n")).alias("_end"), v.alias("_a"))
+        same = F.col("_before") == F.col("_end")
+        for b, k in zip(by, names, strict=True):
+            same = same & F.col(b).eqNullSafe(F.col(k))
+        placed = placed.join(below, same, "left").drop(*names, "_end")
+        a, g = F.coalesce("_a", F.lit(0.0)), _function(f)
+        term = g(v - a, here) if kind == "cf" else g(v, here) - g(a, here)
+    total = F.sum(term)
+    return placed.groupBy(*by).agg(F.sum("_n").alias("n"), (total if kind == "choquet" else clip(total)).alias("integral"))

@@ -6,7 +6,7 @@ size depends on the number of criteria only.  The programs are solved by operato
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 from typing import Any
 
@@ -19,6 +19,10 @@ from ..functions import measures as M
 from .information import clip01, finite
 
 
+FEW = 12  # columns of a design whose products are summed in one aggregate
+MOST = 12  # criteria of a full capacity
+
+
 def clean(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Rows with finite descriptors and target; descriptors in [0,1]."""
     ok = F.forall(x, finite) & finite(F.col(y))
@@ -55,9 +59,18 @@ def reliability_weights(df: DataFrame, n: int, x: str = "x", y: str = "y", floor
 
 
 def gram(df: DataFrame, design: Sequence[Column], y: Column) -> tuple[np.ndarray, np.ndarray, int]:
-    """(D'D / m, D'y / m, m) over the rows without nulls: each task multiplies its rows in NumPy, and the tasks' sums are added up."""
+    """(D'D / m, D'y / m, m) over the rows without nulls: sums of products in one aggregate where they are few; else each task multiplies
+    its rows in NumPy, and the tasks' sums are added up."""
     p = len(design)
     d = df.select(F.array(*design, y.cast("double")).alias("d")).where(~F.exists("d", lambda v: v.isNull()))
+    if p <= FEW:
+        at = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+        r = d.agg(F.count(F.lit(1)), *[F.sum(F.col("d")[i] * F.col("d")[j]) for i, j in at]).first()
+        g = np.zeros((p + 1, p + 1))
+        for (i, j), s in zip(at, r[1:], strict=True):
+            g[i, j] = g[j, i] = s or 0.0
+        g /= max(r[0], 1)
+        return g[:p, :p], g[:p, p], r[0]
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((p + 1, p + 1)), 0
@@ -94,15 +107,15 @@ def sparse_gram(df: DataFrame, n: int, x: str = "x", y: str = "y") -> tuple[np.n
     size = s.count()
     pairs = s.select("t", F.explode("t").alias("a")).select("a", F.explode("t").alias("b")).groupBy(F.col("a.m").alias("i"), F.col("b.m").alias("j")).agg(F.sum(F.col("a.d") * F.col("b.d")).alias("s"))
     g, c = np.zeros((full - 1, full - 1)), np.zeros(full - 1)
-    for r in pairs.collect():  # at most 2**(2n) rows, n <= 8
-        g[r.i - 1, r.j - 1] = r.s / max(size, 1)
+    got = pairs.toArrow()  # at most 2**(2n) rows, n <= MOST
+    g[got.column(0).to_numpy() - 1, got.column(1).to_numpy() - 1] = got.column(2).to_numpy() / max(size, 1)
     for r in s.select("r", F.explode("t").alias("a")).groupBy(F.col("a.m").alias("i")).agg(F.sum(F.col("a.d") * F.col("r")).alias("s")).collect():
         c[r.i - 1] = r.s / max(size, 1)
     return g, c, size
 
 
-def solve(g: np.ndarray, c: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, iterations: int = 4000, tol: float = 1e-9) -> np.ndarray:
-    """min z'gz/2 - c'z with lo <= az <= hi, by operator splitting (ADMM) with a step that adapts."""
+def solve(g: np.ndarray, c: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, iterations: int = 4000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(z, multipliers): min z'gz/2 - c'z with lo <= az <= hi, by operator splitting (ADMM) with a step that adapts."""
     rho, z = 1.0, start.copy()
     w, u = np.clip(a @ z, lo, hi), np.zeros(len(a))
     ata, eye = a.T @ a, np.eye(len(z)) * 1e-9
@@ -118,7 +131,24 @@ def solve(g: np.ndarray, c: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.nd
         if k % 50 == 49 and not 0.1 < primal / max(dual, 1e-15) < 10:
             rho = float(np.clip(rho * np.sqrt(primal / max(dual, 1e-15)), 1e-6, 1e6))
             inverse = np.linalg.inv(g + rho * ata + eye)
-    return z
+    return z, u
+
+
+def solve_lazily(g: np.ndarray, c: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, violated: Callable[[np.ndarray, int], np.ndarray], most: int = 512, rounds: int = 200, tol: float = 1e-8, **options: Any) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(z, multipliers, rows): as ``solve`` with further rows that must not fall below zero, of which only those that a solution breaks are
+    put in: ``violated(z, most)`` makes the ones broken most, and where it makes none, the solution is the whole program's."""
+    rows = np.zeros((0, len(z0 := start)))
+    for _ in range(rounds):
+        z, u = solve(g, c, np.vstack([a, rows]), np.concatenate([lo, np.zeros(len(rows))]), np.concatenate([hi, np.full(len(rows), np.inf)]), z0, **options)
+        new = violated(z, most)
+        new = new[new @ z < -tol] if len(new) else new
+        if len(rows) and len(new):  # a row that is there already is broken within the solver's tolerance only
+            have = {r.tobytes() for r in rows}
+            new = new[[r.tobytes() not in have for r in new]]
+        if not len(new):
+            break
+        rows, z0 = np.vstack([rows, new]), z
+    return z, u, rows
 
 
 def learn_additive(df: DataFrame, n: int, x: str = "x", y: str = "y", ridge: float = 1e-4) -> dict[str, Any]:
@@ -127,24 +157,27 @@ def learn_additive(df: DataFrame, n: int, x: str = "x", y: str = "y", ridge: flo
     g, c, _ = gram(df, [F.col(x)[i] for i in range(n)], F.col(y))
     a = np.vstack([np.eye(n), np.ones((1, n))])
     lo, hi = np.append(np.zeros(n), 1.0), np.append(np.ones(n), 1.0)
-    w = np.clip(solve(g + ridge * np.eye(n), c + ridge / n, a, lo, hi, first), 0, None)
+    w = np.clip(solve(g + ridge * np.eye(n), c + ridge / n, a, lo, hi, first)[0], 0, None)
     w /= max(w.sum(), M.EPS)
     return {"kind": "additive", "weights": w.tolist(), "capacity_table": M.additive_table(w).tolist(), "fit_success": True}
 
 
-def two_additive_rows(n: int) -> np.ndarray:
-    """Monotonicity: a criterion's own weight and its pair weights with any set of others do not fall below zero."""
+def two_additive_broken(n: int) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Monotonicity of a 2-additive capacity: a criterion's own weight and its pair weights with any set of others do not fall below zero.
+
+    Of a criterion's 2**(n - 1) rows the one with all negative pair weights is broken most, so n rows tell whether any is."""
     pairs = {p: n + k for k, p in enumerate(combinations(range(n), 2))}
-    rows = []
-    for i in range(n):
-        others = [j for j in range(n) if j != i]
-        own = np.zeros((1 << (n - 1), n + len(pairs)))
-        own[:, i] = 1
-        member = (np.arange(1 << (n - 1))[:, None] >> np.arange(n - 1)) & 1
-        for k, j in enumerate(others):
-            own[:, pairs[min(i, j), max(i, j)]] = member[:, k]
-        rows.append(own)
-    return np.vstack(rows)
+
+    def broken(z: np.ndarray, most: int) -> np.ndarray:
+        rows = np.zeros((n, n + len(pairs)))
+        for i in range(n):
+            rows[i, i] = 1
+            for j in range(n):
+                if j != i and z[pairs[min(i, j), max(i, j)]] < 0:
+                    rows[i, pairs[min(i, j), max(i, j)]] = 1
+        return rows
+
+    return broken
 
 
 def _report(kind: str, table: np.ndarray, **more: Any) -> dict[str, Any]:
@@ -157,12 +190,10 @@ def learn_two_additive(df: DataFrame, n: int, x: str = "x", y: str = "y", ridge:
     g, c, _ = gram(df, design, F.col(y))
     p = n + len(pairs)
     g[n:, n:] += ridge * np.eye(len(pairs))
-    mono = two_additive_rows(n)
-    a = np.vstack([np.eye(p), np.ones((1, p)), mono])
-    lo = np.concatenate([np.zeros(n), -np.ones(len(pairs)), [1.0], np.zeros(len(mono))])
-    hi = np.concatenate([np.ones(p), [1.0], np.full(len(mono), np.inf)])
+    a = np.vstack([np.eye(p), np.ones((1, p))])
+    lo, hi = np.concatenate([np.zeros(n), -np.ones(len(pairs)), [1.0]]), np.ones(p + 1)
     first = np.append(reliability_weights(df, n, x, y), np.zeros(len(pairs)))
-    z = solve(g, c, a, lo, hi, first)
+    z, _, _ = solve_lazily(g, c, a, lo, hi, first, two_additive_broken(n))
     single, matrix = np.maximum(z[:n], 0), np.zeros((n, n))
     for k, (i, j) in enumerate(pairs):
         matrix[i, j] = matrix[j, i] = z[n + k]
@@ -174,30 +205,36 @@ def learn_two_additive(df: DataFrame, n: int, x: str = "x", y: str = "y", ridge:
     return _report("two_additive", table, singletons=single.tolist(), pairs=matrix.tolist(), fit_success=bool(ok))
 
 
-def full_rows(n: int) -> np.ndarray:
-    """Differences along the lattice's inner edges, over masks 1..2**n - 2."""
+def full_broken(n: int) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Differences along the lattice's inner edges, over masks 1..2**n - 2, that fall below zero; the worst ones first."""
     full = (1 << n) - 1
-    edges = [(m, m | 1 << i) for m in range(1, full) for i in range(n) if not m >> i & 1 and m | 1 << i != full]
-    out = np.zeros((len(edges), full - 1))
-    for k, (m, s) in enumerate(edges):
-        out[k, s - 1], out[k, m - 1] = 1, -1
-    return out
+    low = np.array([m for i in range(n) for m in range(1, full) if not m >> i & 1 and m | 1 << i != full])
+    high = np.array([m | 1 << i for i in range(n) for m in range(1, full) if not m >> i & 1 and m | 1 << i != full])
+
+    def broken(z: np.ndarray, most: int) -> np.ndarray:
+        gap = z[high - 1] - z[low - 1]
+        worst = np.argsort(gap, kind="stable")[:most]
+        worst = worst[gap[worst] < 0]
+        rows = np.zeros((len(worst), full - 1))
+        rows[np.arange(len(worst)), high[worst] - 1] = 1
+        rows[np.arange(len(worst)), low[worst] - 1] = -1
+        return rows
+
+    return broken
 
 
 def learn_full(df: DataFrame, n: int, x: str = "x", y: str = "y", ridge: float = 5e-4, prior_q: float = 0.1) -> dict[str, Any]:
-    if n > 8:
-        raise ValueError("a full capacity is learned over 8 criteria at most")
+    """A full capacity; of the n * 2**(n - 1) edges of the lattice only those that a solution breaks become rows of the program."""
+    if n > MOST:
+        raise ValueError(f"a full capacity is learned over {MOST} criteria at most")
     g, c, _ = sparse_gram(df, n, x, y)
     p = len(c)
     prior = np.array([(m.bit_count() / n) ** prior_q for m in range(1, p + 1)])
-    mono = full_rows(n)
-    a = np.vstack([np.eye(p), mono])
-    lo, hi = np.zeros(len(a)), np.concatenate([np.ones(p), np.full(len(mono), np.inf)])
-    z = np.clip(solve(g + ridge / p * np.eye(p), c + ridge / p * prior, a, lo, hi, prior), 0, 1)
-    table = np.concatenate([[0.0], z, [1.0]])
+    z, _, rows = solve_lazily(g + ridge / p * np.eye(p), c + ridge / p * prior, np.eye(p), np.zeros(p), np.ones(p), prior, full_broken(n))
+    table = np.concatenate([[0.0], np.clip(z, 0, 1), [1.0]])
     for m in range(1, p + 1):  # level what the solver's tolerance left
         table[m] = max(table[m], *(table[m & ~(1 << i)] for i in range(n) if m >> i & 1))
-    return _report("full_capacity", table, fit_success=M.is_capacity(table, 1e-8))
+    return _report("full_capacity", table, fit_success=M.is_capacity(table, 1e-8), n_edges=len(rows))
 
 
 def learn_sugeno(df: DataFrame, n: int, x: str = "x", y: str = "y", target_sum: float = 0.7) -> dict[str, Any]:
@@ -210,7 +247,7 @@ def learned_specs(df: DataFrame, n: int, x: str = "x", y: str = "y", scale: str
     out: dict[str, dict[str, Any]] = {"additive_learned": learn_additive(df, n, x, y)}
     out |= {f"sugeno_sum{s:g}": learn_sugeno(df, n, x, y, s) for s in sums}
     out["two_additive_learned"] = learn_two_additive(df, n, x, y)
-    if n <= 8:
+    if n <= MOST:
         out["full_learned"] = learn_full(df, n, x, y)
     for column, kind in ((scale, "scale_router"), (context, "context_router")):
         if column:

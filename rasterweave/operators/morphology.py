@@ -96,14 +96,19 @@ def components(df: DataFrame, mask: str, out: str = "label", connectivity: int =
     return px.join(label, ["img", "run"]).select(*KEYS, F.col("l").alias(out))
 
 
+def linked(df: DataFrame, weak: Column, strong: Column, out: str, connectivity: int = 1) -> DataFrame:
+    """Rows with ``out``: a weak pixel whose component (of weak pixels) holds a strong one."""
+    marked = df.withColumns({"_weak": weak, "_strong": strong & weak})
+    lab = components(marked, "_weak", "_label", connectivity)
+    keep = lab.join(marked.where("_strong").select(*KEYS), list(KEYS)).select("img", "_label").distinct()
+    on = lab.join(keep, ["img", "_label"], "left_semi").select(*KEYS, F.lit(True).alias("_on"))
+    return df.join(on, list(KEYS), "left").withColumn(out, F.coalesce("_on", F.lit(False))).drop("_on")
+
+
 def hysteresis(df: DataFrame, score: str, low: float, high: float, out: str, connectivity: int = 1, at_least: bool = False) -> DataFrame:
     """Pixels over ``low`` whose component holds one over ``high`` (or, ``at_least``, one not under it)."""
     s = F.col(score)
-    weak = df.withColumn("_weak", s > low).withColumn("_strong", (s >= high) if at_least else (s > high))
-    lab = components(weak, "_weak", "_label", connectivity)
-    keep = lab.join(weak.where("_strong").select(*KEYS), list(KEYS)).select("img", "_label").distinct()
-    on = lab.join(keep, ["img", "_label"], "left_semi").select(*KEYS, F.lit(True).alias("_on"))
-    return df.join(on, list(KEYS), "left").withColumn(out, F.coalesce("_on", F.lit(False))).drop("_on")
+    return linked(df, s > low, (s >= high) if at_least else (s > high), out, connectivity)
 
 
 def near_pairs(points: DataFrame, id_col: str, radius: float) -> DataFrame:

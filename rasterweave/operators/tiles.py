@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .information import clip01
+from .ordering import group_quantiles
 from .raster import KEYS
 from .storage import materialize
 
@@ -31,16 +32,34 @@ def dealt(pixels: DataFrame, halo: int, tile: int) -> DataFrame:
     return pixels.withColumn("ty", around("y")).withColumn("tx", around("x"))
 
 
-def by_tile(pixels: DataFrame, cols: Sequence[str], fn: Callable[..., dict[str, np.ndarray]], halo: int, schema: str, tile: int = SIDE) -> DataFrame:
+def wrapped(pixels: DataFrame, halo: int) -> DataFrame:
+    """Dense images from (0, 0) on, with _h, _w, and copies of the pixels up to ``halo`` beyond the borders, where the image begins again.
+
+    An image is repeated as often as its halo asks for."""
+    size = pixels.groupBy("img").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    out = pixels.join(size, "img")
+    for c, n in (("y", "_h"), ("x", "_w")):
+        first, last = F.ceil((-halo - F.col(c)) / F.col(n)).cast("int"), F.floor((F.col(n) - 1 + halo - F.col(c)) / F.col(n)).cast("int")
+        out = out.withColumn("_times", F.explode(F.sequence(first, last))).withColumn(c, (F.col(c) + F.col("_times") * F.col(n)).cast("int")).drop("_times")
+    return out
+
+
+def by_tile(pixels: DataFrame, cols: Sequence[str], fn: Callable[..., dict[str, np.ndarray]], halo: int, schema: str, tile: int = SIDE, wrap: bool = False) -> DataFrame:
     """img, y, x and what ``fn`` makes of the columns' rasters, for dense images and functions that read at most ``halo`` pixels around a place.
 
-    A block ends where its halo does or where the image does, so the function's own border rule holds at the image's borders.
+    A block ends where its halo does or where the image does, so the function's own border rule holds at the image's borders; with ``wrap``
+    the image goes on beyond them from its other side.
     """
-    cells = dealt(pixels.select(*KEYS, *cols), halo, tile)
+    cells = dealt(wrapped(pixels.select(*KEYS, *cols), halo) if wrap else pixels.select(*KEYS, *cols), halo, tile)
+    if wrap:  # tiles of the image only
+        inside = lambda t, n: F.col(t).between(F.lit(0), F.floor((F.col(n) - 1) / tile))
+        cells = cells.where(inside("ty", "_h") & inside("tx", "_w"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         y, x = f["y"].to_numpy(), f["x"].to_numpy()
         mine = (y // tile == f["ty"].iloc[0]) & (x // tile == f["tx"].iloc[0])
+        if wrap:
+            mine &= (y < f["_h"].iloc[0]) & (x < f["_w"].iloc[0])
         if not mine.any():  # a tile beyond the image
             return pd.DataFrame({"img": f["img"].iloc[:0], "y": y[:0], "x": x[:0]} | {c.split()[0]: [] for c in schema.split(", ")})
         j, i = y - y.min(), x - x.min()
@@ -55,6 +74,62 @@ def by_tile(pixels: DataFrame, cols: Sequence[str], fn: Callable[..., dict[str,
     return cells.groupBy("img", "ty", "tx").applyInPandas(run, f"img string, y int, x int, {schema}")
 
 
+def diffusion(pixels: DataFrame, value: str, out: str = "out", niter: int = 10, kappa: float = 0.10, gamma: float = 0.15, tile: int = SIDE) -> DataFrame:
+    """img, y, x, ``out``: anisotropic diffusion of dense images whose borders meet.  A step reads one pixel around, so a halo of ``niter`` pixels
+    holds what all steps on a tile need."""
+    v = pixels.select(*KEYS, clip01(F.col(value).cast("double")).alias("v"))
+    return by_tile(v, ["v"], lambda a: {out: K.anisotropic(a, niter, kappa, gamma)}, niter, f"{out} double", tile, wrap=True)
+
+
+def mean_shift(pixels: DataFrame, value: str, out: str = "out", sp: float = 5, sr: float = 18, max_level: int = 1, rounds: int = 5, tile: int = SIDE) -> DataFrame:
+    """img, y, x, ``out``: mean shift over a filtered pyramid as ``kernels.mean_shift`` has it, for dense images with values in [0,1].
+
+    A level is a table of whole tones: it is smoothed by tile and every other pixel kept for the next one; the filtered level above is spread over
+    even places and filled in by tile; tiles are shifted with a halo as wide as all rounds can reach.  Small images stay out of the levels above."""
+    tone = lambda c: F.rint(clip01(F.col(c).cast("double")) * 255)
+    wide = int(sp) * (rounds + 1) + 2
+    wide += wide % 2  # blocks begin at even places, as halves are rounded to even ones
+
+    def level(a: DataFrame, left: int) -> DataFrame:
+        own = by_tile(a, ["a"], lambda v: {"own": K.shifted(v, sp, sr, rounds)}, wide, "own double", tile)
+        if left <= 0:
+            return own
+        size = a.groupBy("img").agg(F.least(F.max("y"), F.max("x")).alias("n")).where(F.col("n") + 1 >= K.SMALL).select("img")
+        large = a.join(size, "img", "left_semi")
+        half = by_tile(large, ["a"], lambda v: {"a": K.reduced(v)}, 2, "a double", tile).where("y % 2 = 0 AND x % 2 = 0")
+        half = materialize(half.select("img", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x"), "a"), "pyramid")
+        small = level(half, left - 1).select("img", (F.col("y") * 2).alias("y"), (F.col("x") * 2).alias("x"), F.rint("own").alias("up"))
+        apart = large.select(*KEYS).join(small, list(KEYS), "left").withColumn("up", F.coalesce("up", F.lit(0.0)))
+        up = by_tile(apart, ["up"], lambda v: {"up": K.spaced(v)}, 2, "up double", tile)
+        both = a.join(own, list(KEYS)).join(up, list(KEYS), "left")
+        return both.select(*KEYS, F.when(F.abs(F.col("up") - F.col("a")) <= sr, F.col("up")).otherwise(F.col("own")).alias("own"))
+
+    start = materialize(pixels.select(*KEYS, tone(value).alias("a")), "pyramid")
+    return level(start, max_level).select(*KEYS, clip01(F.col("own") / 255).alias(out))
+
+
+def gravitational(pixels: DataFrame, value: str, out: str = "out", G: float = 0.05, omega_c: float = 20.0, iterations: int = 30, interaction_radius_frac: float = 0.02, step: float = 0.20, tile: int = SIDE) -> DataFrame:
+    """img, y, x, ``out``: the gravitational filter of ``kernels`` in rounds.  A round moves all tiles' pixels, finds how far each image's 0.995 quantile of
+    moves goes, and holds the larger ones back; images of one radius go together."""
+    a = materialize(pixels.select(*KEYS, clip01(F.col(value).cast("double")).alias("a")), "gravity")
+    size = a.groupBy("img").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    reach = F.greatest(F.lit(1), F.ceil(interaction_radius_frac * F.sqrt((F.col("h") * F.col("h") + F.col("w") * F.col("w")).cast("double"))).cast("int"))
+    radii = materialize(size.select("img", reach.alias("r")), "gravity")
+    for _ in range(iterations):
+        moves = None
+        for (r,) in sorted(radii.select("r").distinct().collect()):  # as many as the images have sizes, about
+            some = a.join(radii.where(F.col("r") == r).select("img"), "img", "left_semi")
+            made = by_tile(some, ["a"], lambda v, r=r: {"move": K.attraction(v, r, G, omega_c)}, r, "move double", tile)
+            moves = made if moves is None else moves.union(made)
+        if moves is None:
+            break
+        moves = materialize(a.join(moves, list(KEYS)).withColumn("far", F.abs("move")), "gravity")
+        most = group_quantiles(moves, ["img"], {"far": [0.995]}).select("img", F.col("far")[0].alias("most"))
+        held = F.when(F.col("most") > 0, F.least(F.col("most"), F.greatest(-F.col("most"), F.col("move")))).otherwise(F.col("move"))
+        a = materialize(moves.join(most, "img").select(*KEYS, clip01(F.col("a") + step * held).alias("a")), "gravity")
+    return a.withColumnRenamed("a", out)
+
+
 def thin(df: DataFrame, mask: str, out: str = "thin", tile: int = SIDE, steps: int = STEPS) -> DataFrame:
     """Rows with ``out``: the pixel is on the skeleton of the mask, as ``kernels.thin`` makes it of the whole image.
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import context as C
 from ..operators import distance as D
+from ..operators import edges as ED
 from ..operators import evaluation as E
 from ..operators import information as I
 from ..operators import kernels as K
@@ -422,24 +424,31 @@ def descriptor_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("img").agg(*[total(m) for m in K.MODES])
 
 
-# ---- dense kernels (one image a group)
+# ---- edges, conditioning and context by tile
 
 
 @query("canny", None)
 def canny(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(K.per_image(px(spark, sf_dir), ["v"], lambda v: {"out": K.canny(v, 1.0, 0.7, 0.9)}, "out boolean"), "out")
+    return _summary(ED.canny(px(spark, sf_dir), "v", 1.0, 0.7, 0.9, "out"), "out")
 
 
 @query("canny_persistence", None)
 def canny_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(K.per_image(px(spark, sf_dir), ["v"], lambda v: {"out": K.canny_persistence(v)}, "out double"), "out")
+    return _summary(ED.canny_persistence(px(spark, sf_dir), "v", "out"), "out")
 
 
 @query("conditioning_bank", None)
 def conditioning_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways = ("gaussian", "box", "median", "bilateral", "meanshift", "anisotropic", "gravitational")
-    out = K.per_image(px(spark, sf_dir), ["v"], lambda v: {m: K.condition(v, m) for m in ways}, ", ".join(f"{m} double" for m in ways))
-    return out.groupBy("img").agg(*[F.round(F.sum(m), 4).alias(m) for m in ways])
+    near = ("gaussian", "box", "median", "bilateral")
+    p = px(spark, sf_dir)
+    out = T.by_tile(p, ["v"], lambda v: {m: K.condition(v, m) for m in near}, max(K.halo_of(m) for m in near) + 2, ", ".join(f"{m} double" for m in near))
+    out = out.join(T.mean_shift(p, "v", "meanshift"), ["img", "y", "x"]).join(T.diffusion(p, "v", "anisotropic"), ["img", "y", "x"])
+    return out.groupBy("img").agg(*[F.round(F.sum(m), 4).alias(m) for m in (*near, "meanshift", "anisotropic")])
+
+
+@query("gravity_rounds", None)
+def gravity_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(T.gravitational(px(spark, sf_dir), "v", "out", iterations=6), "out")
 
 
 @query("condition_roi", None)
@@ -451,13 +460,9 @@ def condition_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("context_vectors", None)
 def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("noise_mad", "impulse", "sharpness", "mean_gradient", "texture", "contrast")
-    out = K.per_image_row(px(spark, sf_dir), ["v"], lambda v: dict(zip(names, map(float, K.context(v)), strict=True)), ", ".join(f"{n} double" for n in names))
-    return out.select("img", *[F.round(n, 6).alias(n) for n in names])
+    return C.context_vectors(px(spark, sf_dir)).select("img", *[F.round(n, 6).alias(n) for n in C.NAMES])
 
 
 @query("continuity", None)
 def continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scored(spark, sf_dir).withColumn("on", F.col("v") >= 0.7)
-    return K.per_image_row(d, ["on", "gt"], lambda a, b: K.continuity(a, b), "edge_components_on_gt int, largest_component_gt_coverage double, endpoint_count int")
-
+    return L.continuity(scored(spark, sf_dir).withColumn("on", F.col("v") >= 0.7), "on", "gt")

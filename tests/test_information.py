@@ -181,7 +181,7 @@ def test_learners(labelled):
         v /= v.sum()
         assert ((X @ v - Y) ** 2).mean() >= la - 1e-4
     with pytest.raises(ValueError):
-        LN.learn_full(labelled, 9)
+        LN.learn_full(labelled, LN.MOST + 1)
 
 
 def test_gram_and_banks(labelled):

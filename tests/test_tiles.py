@@ -182,3 +182,49 @@ def test_a_cluster_must_name_its_shared_folder(spark):
         storage.shared_dir(Session())
     Context.master = "local[4]"
     assert storage.shared_dir(Session()) == storage.FALLBACK_DIR
+
+
+# ---- edges, context, continuity, pyramids
+
+
+def test_canny_on_rows(spark):
+    from rasterweave.operators import edges as ED
+
+    images = [K.gaussian(G.random((50, 40)), 1.5), K.gaussian(G.random((33, 71)), 1.0)]
+    df = frame(spark, images)
+    for a, img in zip(arrays(ED.canny(df, "v", 1.0, 0.6, 0.9), "edge", images), images, strict=True):
+        want = K.canny(img, 1.0, 0.6, 0.9)
+        assert (a == want).all() and want.any()
+    roi = [np.pad(np.ones((30, 20), bool), 10), np.pad(np.ones((13, 51), bool), 10)]
+    masked = df.join(frame(spark, roi, "m"), ["img", "y", "x"])
+    for a, img, m in zip(arrays(ED.canny(masked, "v", 1.2, 0.6, 0.9, roi=F.col("m")), "edge", images), images, roi, strict=True):
+        assert (a == K.canny(img, 1.2, 0.6, 0.9, m)).all()
+    for a, img in zip(arrays(ED.canny_persistence(df, "v"), "persistence", images), images, strict=True):
+        assert np.allclose(a, K.canny_persistence(img))
+
+
+def test_context_on_rows(spark):
+    from rasterweave.operators import context as C
+
+    images = [G.random((70, 30)), K.gaussian(G.random((20, 90)), 1.0), np.full((9, 9), 0.5)]
+    got = {r.img: r for r in C.context_vectors(frame(spark, images)).collect()}
+    for i, img in enumerate(images):
+        assert np.allclose([got[f"i{i}"][n] for n in C.NAMES], K.context(img), atol=1e-9)
+
+
+def test_continuity_on_rows(spark):
+    preds = [blobs(40, 60, 0.2), np.zeros((10, 10), bool), blobs(30, 30, 0.3, 1.0)]
+    truths = [blobs(40, 60, 0.1, 3.0), np.ones((10, 10), bool), np.zeros((30, 30), bool)]
+    df = frame(spark, preds, "p").join(frame(spark, truths, "g"), ["img", "y", "x"])
+    got = {r.img: r.asDict() for r in L.continuity(df, "p", "g").collect()}
+    for i, (p, g) in enumerate(zip(preds, truths, strict=True)):
+        want = K.continuity(p, g)
+        assert {k: v for k, v in got[f"i{i}"].items() if k != "img"} == pytest.approx(want)
+
+
+def test_mean_shift_over_a_pyramid(spark):
+    images = [np.round(K.gaussian(G.random((70, 41)), 2.0), 3), G.random((6, 30)), np.kron(G.random((5, 4)), np.ones((9, 9)))]
+    df = frame(spark, images)
+    for levels in (0, 2):
+        for a, img in zip(arrays(T.mean_shift(df, "v", "o", 3, 18, levels, 2, tile=32), "o", images), images, strict=True):
+            assert np.allclose(a, K.mean_shift(img, 3, 18, levels, 2)), levels
