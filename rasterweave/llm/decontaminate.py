@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from .common import bounded_batches, materialize, table, tidy, utf8
+from .common import bounded, materialize, table, tidy, utf8
 from .jaccard import _bloom, _probes
 from .wordhash import PUNCT, grams, hash_words, mix
 
@@ -216,7 +216,6 @@ def _mark(documents: DataFrame, items: DataFrame, window: int, text: str, keep:
     """``finish`` (a function of a batch, with the ``schema`` it makes) is applied in the same pass to
     ``keep``'s columns as k0, k1, ... and _text, _n_words int, _hit binary (a bit for each word; empty: none), _items array<string>."""
     spark = documents.sparkSession
-    bounded_batches(spark)
     rows = documents.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("_text"))
     marked = StructType([*rows.schema.fields[:-1], *DataType.fromDDL(MARKS).fields])
     schema, finish = schema or marked, finish or (lambda b: b)
@@ -377,7 +376,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return _mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, "text", ("doc_id",), SHARD_WORDS, digest, schema)
+    return _mark(bounded(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10, "text", ("doc_id",), SHARD_WORDS, digest, schema)
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

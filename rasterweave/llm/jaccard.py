@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, partitions, private, release, table, tidy, utf8
+from .common import bounded, materialize, partitions, private, release, table, tidy, utf8
 from .components import components, contract
 from .wordhash import grams, hash_words, mix
 
@@ -469,7 +469,6 @@ def _search(queries: DataFrame, packed: DataFrame, rule: Rule, shards: int, own:
 def _linked(documents: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, n, sig of every row; sig, doc_id (the smallest with that set), g (the component) of every class)."""
     spark, rule = documents.sparkSession, Rule(num, den)
-    bounded_batches(spark)
     scanned = materialize(_scan(documents, n), "jaccard-scan")
     docs = scanned.where("kind = 0").select("doc_id", "th", "n", "sig")
     total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
@@ -546,7 +545,7 @@ def one_of_each(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return link(bounded(table(spark, sf_dir, "documents"))).select("doc_id", "n_shingles", "component_id")
 
 
 OP6_SQL = r"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, each_text, private, table, texts, tidy
+from .common import bounded, each_text, private, table, texts, tidy
 from .wordhash import LOWER
 
 UND = "und"
@@ -187,7 +187,6 @@ def fit(labelled: DataFrame, *, train_docs: int = 1500, train_windows: int = 6,
     At most ``train_docs`` different texts a language and ``train_windows`` windows of each reach the driver, and at most
     ``max_windows`` windows (of WINDOW bytes, 30 MB) in all: with many languages, each has fewer texts.
     """
-    bounded_batches(labelled.sparkSession)
     labelled = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     names = [r.lang for r in labelled.select("lang").distinct().limit(max_languages + 1).collect()]
     if len(names) > max_languages:
@@ -237,14 +236,13 @@ def identify(documents: DataFrame, network: Network, keep: Sequence[str] = ("doc
     """``keep``'s columns, then the predicted language and its score, named ``lang`` and ``score``."""
     import pickle
 
-    bounded_batches(documents.sparkSession)
     (told,) = private(documents.columns, "told")
     out = documents.withColumn(told, _told(pickle.dumps(network), F.col("text")))
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"{told}.lang").alias(lang), F.col(f"{told}.score").alias(score))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = bounded(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
     net = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
     out = identify(docs, net)
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -28,7 +28,7 @@ from itertools import cycle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table
+from .common import bounded, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 1_000_000  # rows that the driver may hold
@@ -98,7 +98,6 @@ def _taken(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, quota_blocks and shard of the document's shard, taken, and ``row`` if given."""
     spark = documents.sparkSession
-    bounded_batches(spark)
     own = [F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("spread")]
     numbers = materialize(documents.select(*own), "mix-sizes")  # four numbers a document, read below instead of the texts
     per_source = numbers.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
@@ -183,4 +182,4 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
+    return mix(bounded(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")

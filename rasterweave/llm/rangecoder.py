@@ -139,7 +139,7 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         return HEADER.pack(MAGIC, 0, 0, alphabet, crc)
     model = Model(alphabet)
     # a row holds what is next in each lane, so that lanes read and write side by side
-    rounds = np.zeros(lanes * each, np.int64)
+    rounds = np.zeros(lanes * each, np.int32)
     rounds[:n] = ids
     rounds = np.ascontiguousarray(rounds.reshape(lanes, each).T)
     out = np.zeros((2 * each + 8, lanes), "<u2")
@@ -149,13 +149,14 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     before, before2 = np.full(lanes, alphabet, np.int64), np.full(lanes, alphabet, np.int64)
     for r in range(each):
         m = lanes if (lanes - 1) * each + r < n else lanes - 1
-        x = rounds[r, :m]
+        y = rounds[r, :m]
+        x = y.astype(np.int64)
         p = model.predict(before[:m], before2[:m])
         _, _, _, e2, e1, _, a0, a2, a1 = p
-        hit2, hit1 = e2 == x, e1 == x
+        hit2, hit1 = e2 == y, e1 == y
         lo, sz = low[:m], size[:m]
         sz >>= _U(_TOTAL)
-        lo += (a0 * model.cum.take(x, mode="clip") + (e2 < x) * a2 + (e1 < x) * a1).view(np.uint64) * sz
+        lo += (a0 * model.cum.take(x, mode="clip") + (e2 < y) * a2 + (e1 < y) * a1).view(np.uint64) * sz
         sz *= (a0 * model.f.take(x, mode="clip") + hit2 * a2 + hit1 * a1).view(np.uint64)
         k = _moving(lo, sz)
         while len(k):  # only lanes that have moved can move again

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, partitions, table, texts, utf8
+from .common import bounded, materialize, partitions, table, texts, utf8
 from .jaccard import _passing
 from .suffix import SuffixAutomaton, merged
 from .wordhash import GRAM_BASE, grams, hash_words, mix, powers
@@ -256,7 +256,6 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string"
 def remove_repeats(documents: DataFrame, *, window: int = 35, view=None, schema: str = KEPT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words kept, joined by one space) of every row, or what ``view`` makes of such a batch."""
     spark = documents.sparkSession
-    bounded_batches(spark)
     # a row's key stands for its id and text: null or repeated ids don't bring different texts together
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
@@ -318,7 +317,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([hashlib.sha256(x).hexdigest() for x in texts(b.column(3))], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return remove_repeats(table(spark, sf_dir, "documents"), view=digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(bounded(table(spark, sf_dir, "documents")), view=digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 OP2_SQL = r"""

@@ -32,7 +32,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded_batches, table, texts, tidy
+from .common import bounded, table, texts, tidy
 
 MARK = "▁"
 START = ""
@@ -264,7 +264,6 @@ def _counter(path: str) -> Counter:
 def count_tokens(documents: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; ``model`` is the path of a vocabulary file present on every executor."""
 
-    bounded_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model)
@@ -280,4 +279,4 @@ def count_tokens(documents: DataFrame, model: str, limit: int = 4096) -> DataFra
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(bounded(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))

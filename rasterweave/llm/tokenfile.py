@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, table, tidy, utf8
+from .common import bounded, shared_dir, table, tidy, utf8
 from .rangecoder import BLOCK_IDS, decode, encode
 from .wordhash import hash_spans
 
@@ -129,9 +129,9 @@ class Encoder:
         """Put pieces (distinct, not in the table yet) into it: words of letters go to the library's model, other words to the
         library as lines, LINES at a time, others one by one."""
         if self.words:
-            odd = np.concatenate([np.zeros(1, np.int64), np.cumsum(~latin)])
+            odd = np.flatnonzero(~latin)
             solid = begin + (text[begin] == 0x20)
-            pure = (solid < end) & (odd[end] == odd[np.minimum(solid, end)])
+            pure = (solid < end) & (np.searchsorted(odd, solid) == np.searchsorted(odd, end))
             at = np.flatnonzero(pure)
             size = end[at] - begin[at]
             stop = np.cumsum(size)
@@ -145,9 +145,9 @@ class Encoder:
             h, begin, end = h[~pure], begin[~pure], end[~pure]
             if not len(h):
                 return
-        blank = np.concatenate([np.zeros(1, np.int64), np.cumsum(text <= 0x20)])
+        blank = np.flatnonzero(text <= 0x20)
         first, last, before = text[begin], text[end - 1], text[np.maximum(end - 2, 0)]
-        word = (blank[end] - blank[begin] == (first == 0x20)) & (_SOLID[last] | ((end - begin > 2) & (before >= 0xC3) & (before < 0xE0))) & (self.line >= 0)
+        word = (np.searchsorted(blank, end) - np.searchsorted(blank, begin) == (first == 0x20)) & (_SOLID[last] | ((end - begin > 2) & (before >= 0xC3) & (before < 0xE0))) & (self.line >= 0)
         at, rest = np.flatnonzero(word), np.flatnonzero(~word)
         size = end[at] - begin[at] + 1
         stop = np.cumsum(size)
@@ -257,7 +257,6 @@ def _encoder(path: str) -> Encoder:
 
 def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", record_ids: int = BLOCK_IDS) -> None:
     """Write all documents' ids to ``path``, in ascending id order."""
-    bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("spread"))
     # the hash deals rows of one id (or without any) to several ranges
     rows = rows.repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text").select("doc_id", "text")
@@ -372,4 +371,4 @@ def encode_and_read(documents: DataFrame, tokenizer: str) -> DataFrame:
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return encode_and_read(bounded(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table, tidy, utf8
+from .common import bounded, materialize, table, tidy, utf8
 from .langid import drawn, fold
 from .wordhash import PUNCT, hash_words, mix
 
@@ -113,7 +113,6 @@ def train(found: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarr
 def fit(documents: DataFrame, labels: DataFrame, *, train_docs: int = 4000, train_terms: int = 4096, seed: int = 8) -> Machine:
     """Train on documents (doc_id, text) with labels (doc_id, toxic): at most train_docs texts of each class and train_terms terms of each
     (4 bytes a term, so 131 MB at most, reach the driver)."""
-    bounded_batches(documents.sparkSession)
     one = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     nothing = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
     counts = {r.label: r["count"] for r in one.groupBy("label").count().collect()}
@@ -170,7 +169,6 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score of every row."""
     import pickle
 
-    bounded_batches(documents.sparkSession)
     model = pickle.dumps(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +187,7 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = bounded(table(spark, sf_dir, "documents")).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
     machine = fit(docs, labels)
     out = score(docs, machine)

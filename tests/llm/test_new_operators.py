@@ -311,3 +311,28 @@ def test_op7_text_of_many_words():
     ids, each = enc.encode(np.array([0, len(raw), len(raw)]), np.frombuffer(raw, np.uint8), 2)
     want = enc.tk.encode(text, add_special_tokens=False).ids
     assert each.tolist() == [len(want) + 1, 1] and ids.tolist() == [*want, 2, 2]
+
+
+# ---- sessions
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_no_setting_survives_a_query(spark, name):
+    before = dict(spark.conf.getAll)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001") if name not in ("op3_language_id", "op8_toxicity") else None
+    assert dict(spark.conf.getAll) == before
+
+
+def test_bounded_tables_have_settings_of_their_own(spark):
+    from rasterweave.llm.common import READ_ROWS, bounded
+
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        df = spark.range(20).selectExpr("id", "id AS `a.b`", "id AS `doc id`", "cast(null AS string) AS text")
+        own = bounded(df)
+        assert own.columns == df.columns and own.count() == 20 and own.sparkSession is not spark
+        conf = own.sparkSession.conf
+        assert conf.get("spark.sql.shuffle.partitions") == "5" and conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(READ_ROWS)
+        assert own.join(df, "id").count() == 20 and not spark.catalog.listTables("global_temp")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
