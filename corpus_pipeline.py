@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import bounded, materialize, private, table
+from rasterweave.llm.common import materialize, private, settings, table
 from rasterweave.llm.decontaminate import clean
 from rasterweave.llm.jaccard import one_of_each
 from rasterweave.llm.langid import UND, fit, fold, identify
@@ -25,10 +25,17 @@ from rasterweave.llm.tokenfile import encode_and_read
 OVER_CHANCE = 1.2
 
 
+def settle(spark: SparkSession) -> None:
+    """The pipeline's settings for its long texts: a stage's result is read and written by its caller, so they hold from here on; ``run`` puts
+    the session's own back in the end."""
+    for key, value in settings(spark).items():
+        spark.conf.set(key, value)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts and texts without a letter go; other rows are judged by their text alone, repeated ones alike; without any labelled
     row nothing can be told and all stay; further columns pass through under any names."""
-    docs = bounded(docs)
+    settle(spark)
     names = docs.columns
     network = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
     if not network.labels:
@@ -43,23 +50,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by id and text: of linked ones (equal texts among them) one stays, whatever their ids, and unlinked ones all
     stay, those without words too; ties go to the smaller text hash and columns; names may be any."""
-    return one_of_each(bounded(docs))
+    settle(spark)
+    return one_of_each(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row by itself, repeated ids or not; null texts stay; without items all stay as they are; names may be any."""
-    return clean(bounded(docs), table(spark, sf_dir, "benchmark"))
+    settle(spark)
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of one id are documents of their own; a null source is a source; texts without words are never taken; names may be any."""
-    return mixed(bounded(docs))
+    settle(spark)
+    return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each row, null ids first, rows of one id by a hash of their text; null texts hold the end id only; only doc_id and
     text are read."""
-    return encode_and_read(bounded(docs), public_tokenizers.path("byte_bpe_50k.json"))
+    settle(spark)
+    return encode_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language", language), ("near copies", near_copies), ("leaks", leaks), ("mixing", mixing), ("tokens", tokens)]
@@ -69,7 +80,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return docs
+    before = {key: spark.conf.get(key, None) for key in settings(spark)}
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        return docs
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)

@@ -57,25 +57,22 @@ ROW_GROUP_BYTES = 16 << 20
 READ_ROWS = 256
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` in a session of its own, whose batches of texts on their way to Python, and row groups on their way to a file, hold at most so
-    many bytes, and whose batches read from a file so many rows (rows are long, and their buffers grow by doubling).  It has all other settings of
-    ``df``'s session, which keeps its own."""
-    spark = df.sparkSession
+def settings(spark: SparkSession) -> dict[str, str]:
+    """What lets a batch of texts on its way to Python, and a row group on its way to a file, hold at most so many bytes, and a batch read
+    from a file so many rows (rows are long, and their buffers grow by doubling)."""
+    out = {"parquet.block.size": str(ROW_GROUP_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS)}
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    return out if spark.conf.get(key, None) is None else out | {key: f"{BATCH_BYTES}b"}
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """A session with ``settings`` and all else that ``spark`` has set; tables are read with the settings of the session that opens them, and
+    ``spark`` keeps its own."""
     own = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if own.conf.isModifiable(key):
+    for key, value in (spark.conf.getAll | settings(spark)).items():
+        if key in settings(spark) or own.conf.isModifiable(key):
             own.conf.set(key, value)
-    if own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
-        own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-    own.conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
-    own.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
-    name = f"bounded_{uuid.uuid4().hex}"
-    df.createGlobalTempView(name)
-    try:
-        return own.table(f"global_temp.{name}")
-    finally:
-        spark.catalog.dropGlobalTempView(name)
+    return own
 
 
 def private(names: Sequence[str], *wanted: str) -> list[str]:

@@ -376,7 +376,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return _mark(bounded(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10, "text", ("doc_id",), SHARD_WORDS, digest, schema)
+    return _mark(table(bounded(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, "text", ("doc_id",), SHARD_WORDS, digest, schema)
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

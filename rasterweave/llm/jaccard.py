@@ -545,7 +545,7 @@ def one_of_each(documents: DataFrame, *, n: int = 5, num: int = 4, den: int = 5)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(bounded(table(spark, sf_dir, "documents"))).select("doc_id", "n_shingles", "component_id")
+    return link(table(bounded(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP6_SQL = r"""

@@ -242,7 +242,7 @@ def identify(documents: DataFrame, network: Network, keep: Sequence[str] = ("doc
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = bounded(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
+    docs = table(bounded(spark), sf_dir, "documents").select("doc_id", "text", "lang")
     net = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
     out = identify(docs, net)
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -182,4 +182,4 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(bounded(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
+    return mix(table(bounded(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")

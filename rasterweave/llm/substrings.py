@@ -317,7 +317,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([hashlib.sha256(x).hexdigest() for x in texts(b.column(3))], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return remove_repeats(bounded(table(spark, sf_dir, "documents")), view=digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(table(bounded(spark), sf_dir, "documents"), view=digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 OP2_SQL = r"""

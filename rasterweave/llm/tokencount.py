@@ -279,4 +279,4 @@ def count_tokens(documents: DataFrame, model: str, limit: int = 4096) -> DataFra
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(bounded(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(table(bounded(spark), sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

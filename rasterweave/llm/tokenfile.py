@@ -371,4 +371,4 @@ def encode_and_read(documents: DataFrame, tokenizer: str) -> DataFrame:
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_and_read(bounded(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
+    return encode_and_read(table(bounded(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

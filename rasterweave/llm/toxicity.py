@@ -187,7 +187,7 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = bounded(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    docs = table(bounded(spark), sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
     machine = fit(docs, labels)
     out = score(docs, machine)

@@ -323,16 +323,17 @@ def test_no_setting_survives_a_query(spark, name):
     assert dict(spark.conf.getAll) == before
 
 
-def test_bounded_tables_have_settings_of_their_own(spark):
-    from rasterweave.llm.common import READ_ROWS, bounded
+def test_sessions_with_settings_of_their_own(spark, tmp_path):
+    from rasterweave.llm.common import READ_ROWS, bounded, table
 
+    put(tmp_path, "some", {"id": list(range(20)), "a.b": list(range(20)), "doc id": list(range(20))})
     spark.conf.set("spark.sql.shuffle.partitions", "5")
     try:
-        df = spark.range(20).selectExpr("id", "id AS `a.b`", "id AS `doc id`", "cast(null AS string) AS text")
-        own = bounded(df)
-        assert own.columns == df.columns and own.count() == 20 and own.sparkSession is not spark
+        before = dict(spark.conf.getAll)
+        own = table(bounded(spark), str(tmp_path), "some")
+        assert own.count() == 20 and own.sparkSession is not spark
         conf = own.sparkSession.conf
-        assert conf.get("spark.sql.shuffle.partitions") == "5" and conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(READ_ROWS)
-        assert own.join(df, "id").count() == 20 and not spark.catalog.listTables("global_temp")
+        assert conf.get("spark.sql.shuffle.partitions") == "5" and conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(READ_ROWS) and conf.get("parquet.block.size")
+        assert own.join(table(spark, str(tmp_path), "some"), "id").count() == 20 and dict(spark.conf.getAll) == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
