@@ -23,6 +23,16 @@ def lattice(spark: SparkSession, tables: dict[str, Sequence[float]]) -> DataFram
     return df.select("name", "n", F.posexplode("t").alias("m", "mu")).select("name", "n", F.col("m").cast("long").alias("mask"), F.bit_count(F.col("m").cast("long")).alias("card"), "mu")
 
 
+def empirical(df: DataFrame, by: Sequence[str], x: str, n: int) -> DataFrame:
+    """name, n, mask, card, mu: for each group, how much of the best of all descriptors a coalition's own best makes up on average; a capacity,
+    as a larger coalition's best is no smaller.  2**n sums a group, partly added before the shuffle."""
+    masks = range(1 << n)
+    best = lambda m: F.array_max(F.array(*[F.greatest(F.col(x)[i], F.lit(0.0)) for i in range(n) if m >> i & 1])) if m else F.lit(0.0)
+    sums = df.groupBy(*by).agg(*[F.sum(best(m)).alias(f"_s{m}") for m in masks])
+    each = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m.bit_count()).alias("card"), (F.col(f"_s{m}") / F.col(f"_s{masks[-1]}")).alias("mu")) for m in masks])
+    return sums.where(F.col(f"_s{masks[-1]}") > 0).select(F.concat_ws("|", *by).alias("name"), F.lit(n).alias("n"), F.explode(each).alias("e")).select("name", "n", "e.*")
+
+
 def edges(lat: DataFrame) -> DataFrame:
     """name, n, i, mask, card, lower, upper: each criterion joining each coalition that lacks it."""
     low = lat.select("name", "n", "mask", "card", F.col("mu").alias("lower"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).where(F.col("mask").bitwiseAND(bit(F.col("i"))) == 0)

@@ -61,7 +61,7 @@ def by_tile(pixels: DataFrame, cols: Sequence[str], fn: Callable[..., dict[str,
         if wrap:
             mine &= (y < f["_h"].iloc[0]) & (x < f["_w"].iloc[0])
         if not mine.any():  # a tile beyond the image
-            return pd.DataFrame({"img": f["img"].iloc[:0], "y": y[:0], "x": x[:0]} | {c.split()[0]: [] for c in schema.split(", ")})
+            return pd.DataFrame({"img": f["img"].iloc[:0], "y": y[:0], "x": x[:0]} | {c.split()[0]: pd.Series(dtype=object) for c in schema.split(", ")})
         j, i = y - y.min(), x - x.min()
         blocks = []
         for c in cols:
@@ -130,6 +130,22 @@ def gravitational(pixels: DataFrame, value: str, out: str = "out", G: float = 0.
     return a.withColumnRenamed("a", out)
 
 
+def condition(pixels: DataFrame, value: str, method: str, out: str = "out", tile: int = SIDE, **params: Any) -> DataFrame:
+    """img, y, x, ``out``: dense images with values in [0,1] under a filter of ``kernels.condition``, chosen by name."""
+    name = method.lower()
+    rounds = {"meanshift": mean_shift, "anisotropic": diffusion, "gravitational": gravitational, "gravity": gravitational}
+    if name in rounds:
+        return rounds[name](pixels, value, out, tile=tile, **{k: v for k, v in params.items() if k != "halo"})
+    v = pixels.select(*KEYS, clip01(F.col(value).cast("double")).alias("_v"))
+    if name == "none":
+        return v.withColumnRenamed("_v", out)
+    if name not in K.HALO:
+        raise ValueError(f"unknown conditioning: {method}")
+    wide = {"gaussian": int(4 * float(params.get("sigma", 1.0)) + 0.5), "bilateral": max(5, 2 * int(np.ceil(3 * float(params.get("sigma_spatial", 2.0)))) + 1) // 2}
+    halo = max(K.halo_of(name, **params), wide.get(name, 0))
+    return by_tile(v, ["_v"], lambda a: {out: K.condition(a, name, **params)}, halo, f"{out} double", tile)
+
+
 def thin(df: DataFrame, mask: str, out: str = "thin", tile: int = SIDE, steps: int = STEPS) -> DataFrame:
     """Rows with ``out``: the pixel is on the skeleton of the mask, as ``kernels.thin`` makes it of the whole image.
 

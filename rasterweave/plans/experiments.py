@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from ..operators import context as C
 from ..operators import evaluation as E
 from ..operators import kernels as K
 from ..operators import morphology as MO
+from ..operators import raster as R
+from ..operators import tiles as T
 from ..operators.choquet import integral
 from ..operators.information import collapse_scales, hard_gate, percentile_confidence, robust01, soft_gate
 from ..operators.multiscale import features, refine
@@ -39,14 +42,22 @@ def mfi(pixels: DataFrame, scales: Sequence[int] = (9, 5, 3), mode: str = "orien
     return materialize(pixels.join(conf.select(*KEYS, "conf"), list(KEYS)), "mfi")
 
 
+def _plain(v, detectors, sigma):
+    """Detectors before they are scaled, and the gradient's direction."""
+    return {d: K.raw_detector(v, d, sigma) for d in detectors} | {"theta": K.orientation(v)}
+
+
 def detector_maps(pixels: DataFrame, detectors: Sequence[str], sigma: float = 1.0, thin: bool = True, extra: Sequence[str] = ()) -> DataFrame:
     """img, y, x, gt, extra and one column for each detector, suppressed along its direction if ``thin``."""
 
-    def run(v, gt, *more):
-        theta = K.orientation(v)
-        return {d: K.suppress(K.detector(v, d, sigma), theta) if thin else K.detector(v, d, sigma) for d in detectors} | {"gt": gt} | dict(zip(extra, more, strict=True))
-
-    return K.per_image(pixels, ["v", "gt", *extra], run, ", ".join([*[f"{d} double" for d in detectors], "gt boolean", *[f"{c} double" for c in extra]]))
+    halo = int(4 * max(sigma, 1.0) + 0.5) + 3
+    made = T.by_tile(pixels, ["v"], lambda v: _plain(v, detectors, sigma), halo, ", ".join(f"{d} double" for d in detectors) + ", theta double")
+    made = robust01(made, detectors, by=["img"])
+    if thin:
+        made = R.inner(made)
+        for d in detectors:
+            made = R.nine(made, d, "_n9").withColumn(d, R.suppress(F.col("_n9"), F.col("theta"), F.col("_inner"))).drop("_n9")
+    return made.select(*KEYS, *detectors, "theta").join(pixels.select(*KEYS, "gt", *extra), list(KEYS)).select(*KEYS, *detectors, "gt", *extra, "theta")
 
 
 def gated(maps: DataFrame, detectors: Sequence[str], qs: Sequence[float], dilations: Sequence[int], gates: Sequence[str] = ("hard", "soft")) -> DataFrame:
@@ -105,7 +116,9 @@ def postprocessed(maps: DataFrame, score: str, methods: Sequence[tuple[str, dict
 
 
 def conditioned(pixels: DataFrame, method: str, **params: Any) -> DataFrame:
-    return K.per_image(pixels, ["v", "gt"], lambda v, gt: {"v": K.condition(v, method, **params), "gt": gt}, "v double, gt boolean")
+    """``pixels`` with v filtered."""
+    made = T.condition(pixels, "v", method, "_out", **params)
+    return pixels.drop("v").join(made, list(KEYS)).withColumnRenamed("_out", "v")
 
 
 def staged(validation: DataFrame, test: DataFrame, preconditioners: Sequence[str] = ("none", "median", "gaussian"), detector: str = "scharr", qs: Sequence[float] = (0.6,), methods: Sequence[tuple[str, dict]] = (("none", {}), ("closing", {"radius": 1}), ("geodesic", {"max_gap": 8.0, "max_mean_cost": 0.6})), n_thresholds: int = 15, **options: Any) -> dict[str, Any]:
@@ -122,7 +135,8 @@ def staged(validation: DataFrame, test: DataFrame, preconditioners: Sequence[str
     _, chosen, base, q = best
 
     def with_theta(b: DataFrame) -> DataFrame:
-        return K.per_image(b, ["v", "gt", "conf"], lambda v, gt, conf: {"score": K.suppress(K.detector(v, detector), K.orientation(v)) * (conf >= q), "conf": conf, "theta": K.orientation(v), "gt": gt}, "score double, conf double, theta double, gt boolean")
+        m = detector_maps(b, [detector], extra=["conf"])
+        return m.select(*KEYS, (F.col(detector) * (F.col("conf") >= q).cast("double")).alias("score"), "conf", "theta", "gt")
 
     maps = materialize(with_theta(base), "staged")
     cuts = E.thresholds(maps.where("score > 0"), "score", n_thresholds)
@@ -137,11 +151,7 @@ def measure_bank(pixels: DataFrame, measures: Sequence[dict], window: int = 5, m
     """Measures (times operators) as single-scale scores, ranked; the descriptors are made once."""
     n = len(K.MODES[mode])
 
-    def made(v, gt):
-        desc, _, hetero = K.descriptors(v, window, mode)
-        return {"desc": desc, "hetero": hetero, "gt": gt}
-
-    feats = K.per_image(pixels, ["v", "gt"], made, "desc array<double>, hetero double, gt boolean")
+    feats = features(pixels, [window], mode).join(pixels.select(*KEYS, "gt"), list(KEYS))
     d = robust01(materialize(feats, "bank").withColumn("disp", M.raw_q(F.col("desc"), "dispersion")), ["hetero", "disp"], by=["img"], lo=2, hi=98)
     context = {"heterogeneity": F.col("hetero"), "dispersion": F.col("disp"), "raster": True}
     some = operators or [{"operator": "CF1F2_CL_CL", "family": "CF1F2", "F1": "CL", "F2": "CL"}]
@@ -158,13 +168,15 @@ SUMS = (0.6, 0.8, 1.0, 1.2, 1.4)
 
 
 def prepared_images(pixels: DataFrame) -> DataFrame:
-    """img, y, x, v after a median filter, gt, oracle: the coarse context that the image's name ends in."""
-    return materialize(conditioned(pixels, "median").withColumn("oracle", sweep.coarse_context(F.substring_index("img", "_", -1))), "prepared")
+    """img, y, x, v after a median filter, gt, oracle: the image's context, or the coarse one that its name ends in."""
+    if "oracle" not in pixels.columns:
+        pixels = pixels.withColumn("oracle", sweep.coarse_context(F.substring_index("img", "_", -1)))
+    return materialize(conditioned(pixels, "median").select(*KEYS, "v", "gt", "oracle"), "prepared")
 
 
 def contexts(images: DataFrame) -> DataFrame:
     """img, oracle, c0 to c5: descriptors of the whole image."""
-    made = K.per_image_row(images, ["v"], lambda v: {f"c{i}": float(c) for i, c in enumerate(K.context(v))}, ", ".join(f"c{i} double" for i in range(6)))
+    made = C.context_vectors(images).select("img", *[F.col(c).alias(f"c{i}") for i, c in enumerate(C.NAMES)])
     return made.join(images.select("img", "oracle").distinct(), "img")
 
 
@@ -174,13 +186,9 @@ def competing(fit: DataFrame, scales: Sequence[int], mode: str) -> dict[str, dic
 
     n = len(K.MODES[mode])
 
-    def made(v, gt):
-        return {f"d{s}": K.descriptors(v, int(s), mode)[0] for s in scales} | {"truth": K.dilate(gt, 1)}
-
-    d = K.per_image(fit, ["v", "gt"], made, ", ".join([*[f"d{s} array<double>" for s in scales], "truth boolean"]))
-    rows = F.array(*[F.struct(F.lit(str(s)).alias("scale"), F.col(f"d{s}").alias("x")) for s in scales])
-    d = d.join(F.broadcast(fit.select("img", "oracle").distinct()), "img")  # one row an image
-    d = d.select("img", "oracle", F.col("truth").cast("double").alias("y"), F.xxhash64("img", "y", "x").alias("id"), F.explode(rows).alias("r")).select("img", "oracle", "y", "id", "r.*")
+    truth = MO.dilate(fit.select(*KEYS, "gt", "oracle"), "gt", 1, "_truth").select(*KEYS, "oracle", F.col("_truth").cast("double").alias("truth"))
+    d = features(fit, scales, mode).join(truth, list(KEYS))
+    d = d.select("img", "oracle", F.col("truth").alias("y"), F.xxhash64("img", "y", "x").alias("id"), F.col("scale").cast("string").alias("scale"), F.col("desc").alias("x"))
     d = materialize(d, "competition")
     groups = [r.oracle for r in d.select("oracle").distinct().orderBy("oracle").collect()]
 
@@ -260,7 +268,7 @@ def competition(spark: SparkSession, fit: DataFrame, select: DataFrame, test: Da
     def labelled(pixels: DataFrame) -> DataFrame:
         images = prepared_images(pixels)
         told = LN.nearest_centroid(contexts(images), "img", "oracle", centroids, spread, cols).select("img", F.col("predicted").alias("estimated"))
-        return images.join(F.broadcast(told), "img")  # one row an image
+        return images.join(told, "img")
 
     maps = gated_by_measure(labelled(select), [(s, qs) for s in specs.values()], scales, mode)
     scored = materialize(compared(materialize(maps, "competition-maps"), 2, n_thresholds), "competition-scores")
@@ -279,16 +287,9 @@ def factorial(spark: SparkSession, pixels: DataFrame, path: str, operators: Sequ
 
 
 def region_cost(pixels: DataFrame, method: str = "bilateral", q: float = 0.7) -> DataFrame:
-    """img, share of pixels filtered, mean absolute difference inside the region to filtering the whole image, and both times."""
-    import time
-
-    def run(v, conf):
-        a = time.perf_counter()
-        whole = K.condition(v, method)
-        b = time.perf_counter()
-        part, share = K.condition_tiles(v, conf >= q, method)
-        c = time.perf_counter()
-        on = conf >= q
-        return {"share": share, "difference": float(abs(whole - part)[on].mean()) if on.any() else 0.0, "whole_s": b - a, "region_s": c - b}
-
-    return K.per_image_row(pixels, ["v", "conf"], run, "share double, difference double, whole_s double, region_s double")
+    """img, share of pixels that filtering the region reads, mean absolute difference inside the region to filtering the whole image."""
+    on = F.col("conf") >= q
+    whole = T.condition(pixels, "v", method, "_whole")
+    part = T.conditioned_region(pixels.select(*KEYS, "v", "conf"), on, method).join(whole, list(KEYS))
+    gap = part.groupBy("img").agg(F.coalesce(F.avg(F.when(on, F.abs(F.col("_whole") - F.col("out")))), F.lit(0.0)).alias("difference"))
+    return T.share_read(pixels, on, method).join(gap, "img").select("img", F.coalesce("share", F.lit(0.0)).alias("share"), "difference")

@@ -46,23 +46,30 @@ def fuzzy_fn_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li_desc(spark, sf_dir).groupBy(*BY).agg(*[F.round(F.sum(binary.column(k)(x[1], x[0])), 4).alias(k) for k in binary.names()])
 
 
-_GRID = "g AS (SELECT a.i / 100.0::DOUBLE AS x, b.i / 100.0::DOUBLE AS y FROM (SELECT unnest(range(0, 101)) AS i) a, (SELECT unnest(range(0, 101)) AS i) b)"
-_VALUES = "v AS (" + " UNION ALL ".join(f"SELECT '{k}' AS f, x, y, {binary.sql(k, 'x', 'y')} AS z FROM g" for k in binary.names()) + ")"
+_GRID = f"g AS (SELECT a.i / 100.0::DOUBLE AS x, b.i / 100.0::DOUBLE AS y FROM (SELECT unnest(range(0, 101)) AS i) a, (SELECT unnest(range(0, 101)) AS i) b), pt AS (SELECT x, y FROM g UNION SELECT round(x[2], 3), round(x[1], 3) FROM li), v AS (SELECT x, y, [{', '.join(binary.sql(k, 'x', 'y') for k in binary.names())}] AS z FROM pt)"
+_NAMES = "[" + ", ".join(f"'{k}'" for k in binary.names()) + "]"
+_K = len(binary.names())
 
 
 @query(
     "pair_check_admissible",
-    f"""WITH {_GRID}, {_VALUES},
-inc AS (SELECT f, min(d) AS d FROM (SELECT f, z - lag(z) OVER (PARTITION BY f, y ORDER BY x) AS d FROM v) GROUP BY f),
-lo AS (SELECT f, z FROM v WHERE x = 0 AND y = 1), hi AS (SELECT f, z FROM v WHERE x = 1 AND y = 1),
-m AS (SELECT a.f AS F1, b.f AS F2, min(a.z - b.z) AS m FROM v a JOIN v b USING (x, y) GROUP BY ALL)
-SELECT F1, F2, m >= -1e-9 AS dominates, inc.d >= -1e-9 AS F1_first_increasing,
+    f"""WITH {LI_SQL}, {_GRID}, u AS (SELECT x, y, unnest(z) AS z, unnest(range(1, {_K + 1})) AS i FROM v WHERE (x, y) IN (SELECT x, y FROM g)),
+inc AS (SELECT i, min(d) AS d FROM (SELECT i, z - lag(z) OVER (PARTITION BY i, y ORDER BY x) AS d FROM u) GROUP BY i),
+lo AS (SELECT i, z FROM u WHERE x = 0 AND y = 1), hi AS (SELECT i, z FROM u WHERE x = 1 AND y = 1),
+m AS (SELECT a.i AS i, b.j AS j, min(z[a.i] - z[b.j]) AS m FROM v, (SELECT unnest(range(1, {_K + 1})) AS i) a, (SELECT unnest(range(1, {_K + 1})) AS j) b GROUP BY a.i, b.j)
+SELECT {_NAMES}[m.i] AS F1, {_NAMES}[m.j] AS F2, m >= -1e-9 AS dominates, inc.d >= -1e-9 AS F1_first_increasing,
   abs(l1.z) < 1e-7 AND abs(l2.z) < 1e-7 AND abs(hi.z - 1) < 1e-7 AS boundary_ok,
   m >= -1e-9 AND inc.d >= -1e-9 AND abs(l1.z) < 1e-7 AND abs(l2.z) < 1e-7 AND abs(hi.z - 1) < 1e-7 AS passes, round(m, 6) + 0.0 AS min_margin
-FROM m JOIN inc ON inc.f = F1 JOIN lo l1 ON l1.f = F1 JOIN lo l2 ON l2.f = F2 JOIN hi ON hi.f = F1""",
+FROM m JOIN inc ON inc.i = m.i JOIN lo l1 ON l1.i = m.i JOIN lo l2 ON l2.i = m.j JOIN hi ON hi.i = m.i""",
 )
 def pair_check_admissible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.pair_checks(spark).select("F1", "F2", "dominates", "F1_first_increasing", "boundary_ok", "passes", (F.round("min_margin", 6) + 0.0).alias("min_margin"))
+    return sweep.pair_checks(spark, points=_points(spark, sf_dir)).select("F1", "F2", "dominates", "F1_first_increasing", "boundary_ok", "passes", (F.round("min_margin", 6) + 0.0).alias("min_margin"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of descriptors that occur in lineitem, each once."""
+    x = F.col("x")
+    return li_desc(spark, sf_dir).select(F.round(x[1], 3).alias("x"), F.round(x[0], 3).alias("y")).distinct()
 
 
 _CF = "UNION ALL ".join(f"SELECT 'CF_{k}' AS operator, 'CF' AS family, '{k}' AS F, NULL AS F1, NULL AS F2 " for k in binary.names())
@@ -71,7 +78,7 @@ _CC = "UNION ALL ".join(f"SELECT 'CC_{k}', 'CC', '{k}', NULL, NULL " for k in bi
 
 @query("operator_specs", f"WITH pc AS ({SQL['pair_check_admissible']}) {_CF} UNION ALL {_CC} UNION ALL SELECT 'CF1F2_' || F1 || '_' || F2, 'CF1F2', NULL, F1, F2 FROM pc WHERE passes")
 def operator_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.operator_specs(spark)
+    return sweep.operator_specs(spark, points=_points(spark, sf_dir))
 
 
 @query("robust01_lineitem", f"WITH {LI_SQL}, z AS (SELECT {_BY}, x[1] + 2 * x[2] + 3 * x[3] + 4 * x[4] AS value FROM li) {_SUMMARY}")
@@ -202,23 +209,28 @@ def measure_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- lattices
 
-_TABLES = {"additive": M.additive_table(_W), "full": _FULL, "sugeno": M.sugeno_table([0.3, 0.2, 0.25, 0.1]), "two_additive": M.two_additive_table(_SINGLE, _PAIRS), "broken": [0.0, 0.5, 0.3, 0.4, 0.1, 0.4, 0.35, 0.7, 0.15, 0.45, 0.5, 0.8, 0.3, 0.6, 0.65, 1.0]}
-_LAT = "lat AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, unnest([{', '.join(f'{float(v)!r}::DOUBLE' for v in t)}]) AS mu, unnest(range(0, 16)) AS mask" for k, t in _TABLES.items()) + "), ed AS (SELECT l.name, i, l.mask, bit_count(l.mask) AS card, l.mu AS lower, u.mu AS upper FROM lat l, (SELECT unnest(range(0, 4))::INTEGER AS i) b JOIN lat u ON u.name = l.name AND u.mask = (l.mask | (1 << i)) WHERE l.mask & (1 << i) = 0)"
+_MASKS = ", ".join("sum(" + ("greatest(" + ", ".join(f"x[{i + 1}]" for i in range(4) if m >> i & 1) + ", 0.0)" if m else "0.0") + ")" for m in range(16))
+_LAT = f"s AS (SELECT {_BY}, [{_MASKS}] AS t FROM li GROUP BY {_BY}), lat AS (SELECT l_returnflag || '|' || l_linestatus AS name, unnest(t) / t[16] AS mu, unnest(range(0, 16)) AS mask FROM s), ed AS (SELECT l.name, i, l.mask, bit_count(l.mask) AS card, l.mu AS lower, u.mu AS upper FROM lat l, (SELECT unnest(range(0, 4))::INTEGER AS i) b JOIN lat u ON u.name = l.name AND u.mask = (l.mask | (1 << i)) WHERE l.mask & (1 << i) = 0)"
+
+
+def _lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capacities that the descriptors of lineitem's groups have."""
+    return L.empirical(li_desc(spark, sf_dir), BY, "x", 4)
 
 
-@query("capacity_validate", f"WITH {_LAT}, b AS (SELECT name, bool_and(CASE WHEN mask = 0 THEN abs(mu) <= 1e-8 WHEN mask = 15 THEN abs(mu - 1) <= 1e-8 ELSE true END) AS boundary_ok, bool_and(mu >= -1e-8 AND mu <= 1 + 1e-8) AS range_ok FROM lat GROUP BY name), m AS (SELECT name, bool_and(upper - lower >= -1e-8) AS monotone FROM ed GROUP BY name) SELECT name, boundary_ok, range_ok, monotone, boundary_ok AND range_ok AND monotone AS valid FROM b JOIN m USING (name)")
+@query("capacity_validate", f"WITH {LI_SQL}, {_LAT}, b AS (SELECT name, bool_and(CASE WHEN mask = 0 THEN abs(mu) <= 1e-8 WHEN mask = 15 THEN abs(mu - 1) <= 1e-8 ELSE true END) AS boundary_ok, bool_and(mu >= -1e-8 AND mu <= 1 + 1e-8) AS range_ok FROM lat GROUP BY name), m AS (SELECT name, bool_and(upper - lower >= -1e-8) AS monotone FROM ed GROUP BY name) SELECT name, boundary_ok, range_ok, monotone, boundary_ok AND range_ok AND monotone AS valid FROM b JOIN m USING (name)")
 def capacity_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.validate(L.lattice(spark, _TABLES))
+    return L.validate(_lattice(spark, sf_dir))
 
 
-@query("shapley_values", f"WITH {_LAT} SELECT name, i, round(sum(factorial(card::INTEGER) * factorial((3 - card)::INTEGER) / 24.0 * (upper - lower)), 6) AS shapley FROM ed GROUP BY name, i")
+@query("shapley_values", f"WITH {LI_SQL}, {_LAT} SELECT name, i, round(sum(factorial(card::INTEGER) * factorial((3 - card)::INTEGER) / 24.0 * (upper - lower)), 6) AS shapley FROM ed GROUP BY name, i")
 def shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.shapley(L.lattice(spark, _TABLES)).select("name", "i", F.round("shapley", 6).alias("shapley"))
+    return L.shapley(_lattice(spark, sf_dir)).select("name", "i", F.round("shapley", 6).alias("shapley"))
 
 
-@query("interaction_matrix", f"WITH {_LAT} SELECT a.name, a.i, b.j, round(sum(factorial(a.card::INTEGER) * factorial((2 - a.card)::INTEGER) / 6.0 * (c.upper - c.lower - a.upper + a.lower)), 6) + 0.0 AS interaction FROM ed a, (SELECT unnest(range(0, 4))::INTEGER AS j) b JOIN ed c ON c.name = a.name AND c.i = a.i AND c.mask = (a.mask | (1 << j)) WHERE j > a.i AND a.mask & (1 << j) = 0 GROUP BY ALL")
+@query("interaction_matrix", f"WITH {LI_SQL}, {_LAT} SELECT a.name, a.i, b.j, round(sum(factorial(a.card::INTEGER) * factorial((2 - a.card)::INTEGER) / 6.0 * (c.upper - c.lower - a.upper + a.lower)), 6) + 0.0 AS interaction FROM ed a, (SELECT unnest(range(0, 4))::INTEGER AS j) b JOIN ed c ON c.name = a.name AND c.i = a.i AND c.mask = (a.mask | (1 << j)) WHERE j > a.i AND a.mask & (1 << j) = 0 GROUP BY ALL")
 def interaction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.interaction(L.lattice(spark, _TABLES)).select("name", "i", "j", (F.round("interaction", 6) + 0.0).alias("interaction"))
+    return L.interaction(_lattice(spark, sf_dir)).select("name", "i", "j", (F.round("interaction", 6) + 0.0).alias("interaction"))
 
 
 @query("tail_masks", f"WITH {LI_SQL}, {_SORTED} SELECT {_BY}, k::INTEGER AS k, mask, count(*) AS n FROM r GROUP BY ALL")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..operators import evaluation as E
 from ..operators import learning as LN
+from ..operators.storage import materialize
 from ..sources import synthetic as S
 from . import sweep
+from .queries_raster import scored
 from .views import DOC_SQL, EMB_SQL, doc_eval, emb8, table
 
 Q: dict = {}
@@ -227,89 +231,96 @@ def annotator_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus(a).groupBy("x").agg(F.count("*").alias("n"), F.count_if("gt").alias("agreed"))
 
 
-# ---- experiments on generated rasters
+# ---- experiments on the events' images
+
+
+def _images(spark: SparkSession, sf_dir: str, kinds: str = "'click', 'error', 'purchase', 'signup', 'view'") -> DataFrame:
+    """img, y, x, v, gt of the events' images of some types."""
+    return materialize(scored(spark, sf_dir).where(f"img IN ({kinds})").select("img", "y", "x", "v", "gt"), "images")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _planted(images: DataFrame, configs: list[dict], maker) -> DataFrame:
+    """Every block of the images with every configuration's shape planted in it."""
+    spark = images.sparkSession
+    cut = materialize(S.blocks(images), "blocks")
+    named = spark.createDataFrame([(json.dumps(c),) for c in configs], "cfg string")
+    return S.planted(cut, cut.select("img").distinct().crossJoin(F.broadcast(named)), maker)  # a short list of configurations
 
 
 @query("synthetic_cases")
 def synthetic_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.cases(spark, 96).groupBy("img").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.count_if("gt").alias("edge"))
+    """The analytic shapes, planted in blocks of the events' images."""
+    configs = [{"id": k, "seed": i} for i, k in enumerate(S.CASES)]
+    p = _planted(_images(spark, sf_dir), configs, lambda c: S.make_case(c["id"], int(c["n"]), int(c["seed"])))
+    return p.groupBy("img").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.count_if("gt").alias("edge"))
 
 
 @query("synthetic_split")
 def synthetic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.pixels(spark, S.split("val", 20, 41000)).groupBy("img").agg(F.round(F.avg("v"), 6).alias("mean"), F.count_if("gt").alias("edge"))
+    """The benchmark's degraded primitives (ten families in turn), planted in blocks of the events' images."""
+    p = _planted(_images(spark, sf_dir, "'click', 'view'"), S.split("val", 20, 41000), S.make_sample)
+    return p.groupBy("img").agg(F.round(F.avg("v"), 6).alias("mean"), F.count_if("gt").alias("edge"))
 
 
 @query("orientation_benchmark")
 def orientation_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A detector's best F by edge angle."""
-    from ..operators import kernels as K
+    """A detector's best F on each image in its eight turns and mirrorings, and how stable it is over them."""
+    from . import experiments as X
 
-    o = S.orientations(spark, 15, 64)
-    score = K.per_image(o, ["v", "gt"], lambda v, gt: {"v": K.suppress(K.detector(v, "scharr"), K.orientation(v)), "gt": gt}, "v double, gt boolean")
-    return E.image_best(score, "v", "gt", 2, 25).select("img", F.round("best_f", 4).alias("best_f"))
+    score = X.detector_maps(S.turned(_images(spark, sf_dir)), ["scharr"])
+    best = E.image_best(materialize(score, "turned"), "scharr", "gt", 2, 25).withColumn("of", F.substring_index("img", "_", 1))
+    return _rounded(sweep.stability(best, "of", "best_f"))
 
 
 @query("operator_screen")
 def operator_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operators of known pairs, ranked by pooled best F on the small synthetic cases."""
-    from ..operators import kernels as K
-    from ..operators.storage import materialize
+    """Operators of known pairs, ranked by pooled best F on the events' images."""
+    from ..operators.multiscale import features
 
-    feats = K.per_image(S.cases(spark, 64), ["v", "gt"], lambda v, gt: {"desc": K.descriptors(v, 5)[0], "gt": gt}, "desc array<double>, gt boolean")
+    images = _images(spark, sf_dir)
+    feats = features(images, [5]).join(images.select("img", "y", "x", "gt"), ["img", "y", "x"])
     specs = [r.asDict() for r in sweep.operator_specs(spark, "knownpairs").collect()]
-    feats = materialize(feats.select("img", "y", "x", "gt", F.explode(sweep.integrals(F.col("desc"), 8, specs)).alias("s")).select("img", "y", "x", "gt", "s.operator", "s.value"), "screen")
-    # images of one operator are pooled: the operator is part of the image's name, and thresholds are its own
-    keyed = feats.withColumn("img", F.concat_ws("/", "operator", "img"))
-    cuts = feats.groupBy("operator").agg(F.array_sort(F.array_distinct(F.percentile("value", F.lit(E.threshold_probs(25))))).alias("t"))
-    prep = E.prepared(keyed, "value", "gt", 2).withColumn("operator", F.split("img", "/")[0])
-    c = E.curve(prep, feats.groupBy("operator").agg(F.count_if("gt").alias("ngt")), cuts, ("operator",))
-    best = c.groupBy("operator").agg(F.round(F.max("f"), 4).alias("ODS"), F.round(F.max_by("threshold", F.struct(F.col("f"), -F.col("threshold"))), 4).alias("ODS_threshold"))
-    return sweep.rank(best, ("ODS",), ("operator",), 20)
-
-
-def _images(spark: SparkSession, kinds: str = "'vertical', 'box', 'circle'") -> DataFrame:
-    from ..operators.storage import materialize
-
-    return materialize(S.cases(spark, 48).where(f"img IN ({kinds})"), "images")
-
-
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    feats = feats.select("img", "y", "x", "gt", F.explode(sweep.integrals(F.col("desc"), 8, specs)).alias("s")).select("img", "y", "x", "gt", "s.operator", F.round("s.value", 12).alias("value"))
+    scores = E.benchmark_by(materialize(feats, "screen"), "value", "gt", ["operator"], 2, 25)
+    return _rounded(sweep.rank(scores.select("operator", "ODS", "ODS_threshold", "AP", "OIS"), ("ODS", "AP", "OIS"), ("operator",), 20))
 
 
 @query("exp_classic_gates")
 def exp_classic_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import experiments as X
 
-    return _rounded(X.classic(_images(spark), ("scharr", "sobel"), (0.6, 0.8), (0, 1), 15, scales=(5, 3)))
+    return _rounded(X.classic(_images(spark, sf_dir), ("scharr", "sobel"), (0.6, 0.8), (0, 1), 15, scales=(5, 3)))
 
 
 @query("exp_canny_grid")
 def exp_canny_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import experiments as X
 
-    return _rounded(X.canny_grid(_images(spark), scales=(5, 3)))
+    return _rounded(X.canny_grid(_images(spark, sf_dir), scales=(5, 3)))
 
 
 @query("exp_staged_selection")
 def exp_staged_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import experiments as X
 
-    return _rounded(X.staged(_images(spark), _images(spark, "'diagonal', 'two_scale'"), ("none", "median"), n_thresholds=7, scales=(5, 3))["pooled"])
+    return _rounded(X.staged(_images(spark, sf_dir, "'click', 'error', 'purchase'"), _images(spark, sf_dir, "'signup', 'view'"), ("none", "median"), n_thresholds=7, scales=(5, 3))["pooled"])
 
 
 @query("exp_measure_competition")
 def exp_measure_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures learned on two types of events, ranked on two others and tested on the last; a type is a context."""
     from . import experiments as X
 
-    validation = S.split("validation", 40, 41000)
-    fit, select, test = (S.pixels(spark, c) for c in (validation[:20], validation[20:], S.split("test", 60, 51000)))
-    return _rounded(X.competition(spark, fit, select, test)[1])
+    some = lambda kinds: _images(spark, sf_dir, kinds).withColumn("oracle", F.col("img"))
+    return _rounded(X.competition(spark, some("'click', 'error'"), some("'purchase', 'signup'"), some("'view'"))[1])
 
 
 @query("exp_region_cost")
 def exp_region_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import experiments as X
 
-    return _rounded(X.region_cost(X.mfi(_images(spark), scales=(5, 3))).select("img", "share", "difference"))
+    return _rounded(X.region_cost(X.mfi(_images(spark, sf_dir), scales=(5, 3))))

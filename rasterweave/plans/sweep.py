@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,33 +25,43 @@ def grid(spark: SparkSession, **axes: Sequence[Any]) -> DataFrame:
     return out
 
 
-def pair_checks(spark: SparkSession, steps: int = 101, tol: float = 1e-9) -> DataFrame:
+def pair_checks(spark: SparkSession, steps: int = 101, tol: float = 1e-9, points: DataFrame | None = None) -> DataFrame:
     """F1, F2, dominates, F1_first_increasing, boundary_ok, passes, min_margin of all pairs of registered functions.
 
-    The functions are evaluated on the grid (steps**2 rows); the pairs of a point are its rows, reduced by a partial aggregate.
+    The functions are evaluated on the grid (steps**2 rows) and at further ``points`` (x, y in [0,1]: values and measures that occur), where
+    they are given; each task keeps the least margin of every pair, and these are put together.
     """
     names = binary.names()
-    n = steps - 1
+    n, k = steps - 1, len(names)
     g = spark.range(steps * steps).select((F.floor(F.col("id") / steps) / n).alias("x"), (F.col("id") % steps / n).alias("y"))
-    values = F.array(*[F.struct(F.lit(k).alias("f"), binary.column(k)(F.col("x"), F.col("y")).alias("v")) for k in names])
+    values = F.array(*[F.struct(F.lit(f).alias("f"), binary.column(f)(F.col("x"), F.col("y")).alias("v")) for f in names])
     long = g.select("x", "y", F.explode(values).alias("r")).select("x", "y", "r.*")  # a row for each grid point and function
     rise = F.col("v") - F.lag("v").over(Window.partitionBy("f", "y").orderBy("x"))
     at = lambda x, y: F.max(F.when((F.col("x") == x) & (F.col("y") == y), F.col("v")))
     one = long.withColumn("d", rise).groupBy("f").agg(F.min("d").alias("d"), at(0.0, 1.0).alias("lo"), at(1.0, 1.0).alias("hi"))
     first = F.broadcast(one.select(F.col("f").alias("F1"), (F.col("d") >= -tol).alias("F1_first_increasing"), ((F.abs("lo") < 1e-7) & (F.abs(F.col("hi") - 1) < 1e-7)).alias("ok1")))  # a row for each function
     second = F.broadcast(one.select(F.col("f").alias("F2"), (F.abs("lo") < 1e-7).alias("ok2")))
-    # all functions at a point are one array, so a pair costs a subtraction
-    point = g.select(F.array(*[binary.column(k)(F.col("x"), F.col("y")) for k in names]).alias("v"))
-    pairs = point.select("v", F.explode(F.lit(list(range(len(names))))).alias("i"))
-    pairs = pairs.select("i", F.posexplode(F.transform("v", lambda b: F.get(F.col("v"), F.col("i")) - b)).alias("j", "m")).groupBy("i", "j").agg(F.min("m").alias("min_margin"))
+    tried = g if points is None else g.union(points.select(F.col("x").cast("double"), F.col("y").cast("double")).where("x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1"))
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full((k, k), np.inf)
+        for b in batches:
+            v = b.column(0).flatten().to_numpy().reshape(-1, k)
+            for i in range(k):
+                if len(v):
+                    least[i] = np.minimum(least[i], (v[:, i, None] - v).min(axis=0))
+        i, j = np.divmod(np.arange(k * k), k)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(least.ravel())], names=["i", "j", "m"])
+
+    pairs = tried.select(F.array(*[binary.column(f)(F.col("x"), F.col("y")) for f in names]).alias("v")).mapInArrow(margins, "i long, j long, m double").groupBy("i", "j").agg(F.min("m").alias("min_margin"))
     called = F.lit(names)
     out = pairs.select(F.get(called, F.col("i")).alias("F1"), F.get(called, F.col("j")).alias("F2"), "min_margin").join(first, "F1").join(second, "F2")
     out = out.select("F1", "F2", "min_margin", "F1_first_increasing", (F.col("ok1") & F.col("ok2")).alias("boundary_ok"), (F.col("min_margin") >= -tol).alias("dominates"))
     return out.withColumn("passes", F.col("dominates") & F.col("F1_first_increasing") & F.col("boundary_ok"))
 
 
-def operator_specs(spark: SparkSession, mode: str = "screen") -> DataFrame:
-    """operator, family, F, F1, F2.  screen: all; default, cf21, diagonal21, knownpairs, allpairs: parts."""
+def operator_specs(spark: SparkSession, mode: str = "screen", points: DataFrame | None = None) -> DataFrame:
+    """operator, family, F, F1, F2.  screen: all; default, cf21, diagonal21, knownpairs, allpairs: parts.  Pairs are checked at ``points`` too."""
     schema = "operator string, family string, F string, F1 string, F2 string"
     cf = [(f"CF_{k}", "CF", k, None, None) for k in binary.names()]
     cc = [(f"CC_{k}", "CC", k, None, None) for k in binary.names() if k in binary.COPULA_LIKE]
@@ -57,7 +69,7 @@ def operator_specs(spark: SparkSession, mode: str = "screen") -> DataFrame:
     fixed = {"default": [pair("TP", "TL")], "cf21": cf, "diagonal21": [pair(k, k) for k in binary.names()], "knownpairs": [pair(a, b) for a, b in binary.KNOWN_PAIRS]}
     if mode in fixed:
         return spark.createDataFrame(fixed[mode], schema)
-    ok = pair_checks(spark).where("passes").select(F.concat(F.lit("CF1F2_"), "F1", F.lit("_"), "F2").alias("operator"), F.lit("CF1F2").alias("family"), F.lit(None).cast("string").alias("F"), "F1", "F2")
+    ok = pair_checks(spark, points=points).where("passes").select(F.concat(F.lit("CF1F2_"), "F1", F.lit("_"), "F2").alias("operator"), F.lit("CF1F2").alias("family"), F.lit(None).cast("string").alias("F"), "F1", "F2")
     if mode == "allpairs":
         return ok
     if mode != "screen":

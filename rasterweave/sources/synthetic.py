@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.kernels import convolve, dilate, gaussian
 
@@ -188,6 +189,39 @@ def pixels(spark: SparkSession, configs: Sequence[dict[str, Any]], maker=make_sa
     return spark.createDataFrame(rows, "cfg string").repartition(max(1, min(len(rows), 64))).mapInPandas(run, PIXELS)
 
 
+def planted(images: DataFrame, plans: DataFrame, maker: Callable[[dict[str, Any]], tuple[np.ndarray, np.ndarray]], weight: float = 0.7) -> DataFrame:
+    """img, y, x, v, gt: given images (img, y, x, v in [0,1]) with a made one planted in each: ``weight`` of it, the rest the given values.
+
+    ``plans`` (img, cfg as JSON) says what is planted where; an image with several plans comes several times, named img_id.  A task holds one
+    image, so large ones are cut into blocks beforehand (``blocks``)."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        cfg = json.loads(f["cfg"].iloc[0])
+        y, x = f["y"].to_numpy(), f["x"].to_numpy()
+        img, gt = maker(cfg | {"n": max(8, int(y.max()) + 1, int(x.max()) + 1)})
+        return pd.DataFrame({"img": f["img"].iloc[0] + "_" + str(cfg["id"]), "y": y, "x": x, "v": np.clip(weight * img[y, x] + (1 - weight) * f["v"].to_numpy(), 0, 1), "gt": gt[y, x]})
+
+    return images.select("img", "y", "x", "v").join(plans.select("img", "cfg"), "img").groupBy("img", "cfg").applyInPandas(run, PIXELS)
+
+
+def blocks(images: DataFrame, side: int = 96) -> DataFrame:
+    """The images cut into blocks of at most ``side`` pixels a side, named img-row-column, each from (0, 0) on."""
+    cell = lambda c: F.floor(F.col(c) / side).cast("int")
+    name = F.concat_ws("-", "img", cell("y"), cell("x"))
+    return images.withColumns({"img": name, "y": (F.col("y") % side).cast("int"), "x": (F.col("x") % side).cast("int")})
+
+
+def turned(images: DataFrame) -> DataFrame:
+    """Each image in its eight turns and mirrorings, named img_0 to img_7 (the second four are mirrored); further columns go along."""
+    size = images.groupBy("img").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
+    y, x, h, w = (F.col(c) for c in ("y", "x", "_h", "_w"))
+    ways = [(y, x), (x, h - y), (h - y, w - x), (w - x, y), (y, w - x), (w - x, h - y), (h - y, x), (x, y)]
+    each = F.array(*[F.struct(F.lit(i).alias("no"), a.cast("int").alias("y"), b.cast("int").alias("x")) for i, (a, b) in enumerate(ways)])
+    rest = [c for c in images.columns if c not in ("img", "y", "x")]
+    t = images.join(size, "img").select("img", *rest, F.explode(each).alias("t"))
+    return t.select(F.concat_ws("_", "img", "t.no").alias("img"), "t.y", "t.x", *rest)
+
+
 def cases(spark: SparkSession, n: int = 160) -> DataFrame:
     return pixels(spark, [{"id": k, "seed": i, "n": n} for i, k in enumerate(CASES)], lambda c: make_case(c["id"], int(c["n"]), int(c["seed"])))
 
