@@ -95,15 +95,38 @@ def learn_full_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model_rows(spark, {"full": LN.learn_full(emb8(spark, sf_dir), N)})
 
 
-@query("learn_sugeno")
+def _sugeno_sql(targets: dict[str, float]) -> str:
+    """su: name, mask, mu of the Sugeno measures whose densities are the reliability weights times a target; the root by bisection."""
+    named = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in targets.items())
+    f = lambda z: f"(list_sum(list_transform(g, lambda v: ln(1 + {z} * v))) - ln(1 + {z}))"
+    return f"""WITH RECURSIVE {EMB_SQL}, {_REL},
+gs AS (SELECT name, list(least(0.95::DOUBLE, greatest(1e-5::DOUBLE, weight * target)) ORDER BY i) AS g FROM w, (VALUES {named}) t(name, target) GROUP BY name),
+st0 AS (SELECT name, g, list_sum(g) AS s FROM gs),
+z AS (SELECT name, g, s, CASE WHEN s < 1 THEN 1e-9::DOUBLE ELSE -1 + 1e-12::DOUBLE END AS lo, CASE WHEN s < 1 THEN 1e9::DOUBLE ELSE -1e-12::DOUBLE END AS hi, 0 AS k FROM st0 UNION ALL
+  SELECT name, g, s, CASE WHEN ({f('(lo + hi) / 2')} > 0) = (s > 1) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ({f('(lo + hi) / 2')} > 0) = (s > 1) THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM z WHERE k < 140),
+la AS (SELECT name, g, s, CASE WHEN abs(s - 1) < 1e-9 THEN 0.0::DOUBLE ELSE (lo + hi) / 2 END AS la FROM z WHERE k = 140),
+bits AS (SELECT name, s, la, mask, list_transform(range(1, 9), lambda i: CASE WHEN (mask >> (i - 1)::BIGINT) & 1 = 1 THEN g[i] ELSE 0.0 END) AS own FROM la, (SELECT unnest(range(0, 256)) AS mask)),
+su AS (SELECT name, mask, CASE WHEN mask = 0 THEN 0.0 WHEN mask = 255 THEN 1.0 WHEN la = 0 THEN list_sum(own) / s ELSE least(1.0, greatest(0.0, (list_product(list_transform(own, lambda v: 1 + la * v)) - 1) / la)) END AS mu FROM bits)"""
+
+
+_SUMS = {f"sugeno_{s:g}": s for s in (0.6, 0.8, 1.0, 1.2, 1.4)}
+
+
+@query("learn_sugeno", _sugeno_sql(_SUMS) + " SELECT name AS measure, 'sugeno_lambda' AS kind, mask::INTEGER AS mask, round(mu, 4) AS mu FROM su")
 def learn_sugeno(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model_rows(spark, {f"sugeno_{s:g}": LN.learn_sugeno(emb8(spark, sf_dir), N, target_sum=s) for s in (0.6, 0.8, 1.0, 1.2, 1.4)})
+    return _model_rows(spark, {k: LN.learn_sugeno(emb8(spark, sf_dir), N, target_sum=s) for k, s in _SUMS.items()})
 
 
-@query("interpretability")
+@query(
+    "interpretability",
+    _sugeno_sql({"sugeno": 0.7})
+    + """, ed AS (SELECT l.name, i, l.mask, bit_count(l.mask) AS card, u.mu - l.mu AS gain FROM su l, (SELECT unnest(range(0, 8)) AS i) b JOIN su u ON u.name = l.name AND u.mask = (l.mask | (1::BIGINT << i)) WHERE l.mask & (1::BIGINT << i) = 0)
+SELECT name AS measure, 'e' || i AS feature, NULL::VARCHAR AS partner, round(sum(factorial(card::INTEGER) * factorial((7 - card)::INTEGER) / 40320.0::DOUBLE * gain), 6) + 0.0 AS value FROM ed GROUP BY name, i
+UNION ALL SELECT a.name, 'e' || a.i, 'e' || j, round(sum(factorial(a.card::INTEGER) * factorial((6 - a.card)::INTEGER) / 5040.0::DOUBLE * (c.gain - a.gain)), 6) + 0.0 FROM ed a, (SELECT unnest(range(0, 8)) AS j) b JOIN ed c ON c.name = a.name AND c.i = a.i AND c.mask = (a.mask | (1::BIGINT << j)) WHERE j > a.i AND a.mask & (1::BIGINT << j) = 0 GROUP BY ALL""",
+)
 def interpretability(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = {"sugeno": LN.learn_sugeno(emb8(spark, sf_dir), N)}
-    return spark.createDataFrame(LN.interpretability(specs, [f"e{i}" for i in range(N)]), "measure string, feature string, partner string, value double").withColumn("value", F.round("value", 6))
+    return spark.createDataFrame(LN.interpretability(specs, [f"e{i}" for i in range(N)]), "measure string, feature string, partner string, value double").withColumn("value", F.round("value", 6) + 0.0)
 
 
 _F3 = ["f0", "f1", "f2"]

@@ -357,9 +357,28 @@ def benchmark_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*[F.round(c, 5 if c == "OIS" else 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
-@query("variable_tolerance", None)
+_REACH = 12  # of the largest tolerance that the SQL below knows: images of up to 1,600 pixels
+
+
+@query(
+    "variable_tolerance",
+    f"""WITH {GT}, tl AS (SELECT img, greatest(1, round_even(sqrt(power(max(y) + 1, 2) + power(max(x) + 1, 2)) * 0.0075, 0)) AS tol FROM sc GROUP BY img),
+dg AS (SELECT p.img, p.y, p.x, any_value(p.v) AS v, any_value(p.gt) AS gt, bool_or(coalesce(q.gt, false)) AS dg, max(q.v) AS near FROM sc p JOIN tl ON tl.img = p.img JOIN (VALUES {', '.join(f'({a}, {b})' for a, b in MO.diamond(_REACH))}) k(dy, dx) ON abs(k.dy) + abs(k.dx) <= tl.tol LEFT JOIN sc q ON q.img = p.img AND q.y = p.y + k.dy AND q.x = p.x + k.dx GROUP BY p.img, p.y, p.x),
+th AS (SELECT DISTINCT unnest(quantile_cont(v, {_PROBS})) AS t FROM sc),
+ci AS (SELECT img, t, sum((v >= t)::INTEGER) AS npred, sum((v >= t AND dg)::INTEGER) AS mp, sum((gt AND near >= t)::INTEGER) AS mg, sum(gt::INTEGER) AS ngt FROM dg, th GROUP BY img, t),
+pi AS (SELECT img, mp / greatest(npred, 1)::DOUBLE AS p, mg / greatest(ngt, 1)::DOUBLE AS r FROM ci),
+oi AS (SELECT avg(f) AS OIS, avg(h) AS F05_OIS FROM (SELECT img, max(2 * p * r / greatest(p + r, 1e-12)) AS f, max(1.25 * p * r / greatest(0.25 * p + r, 1e-12)) AS h FROM pi GROUP BY img)),
+pr AS (SELECT t, sum(mp) / greatest(sum(npred), 1)::DOUBLE AS p, sum(mg) / greatest(sum(ngt), 1)::DOUBLE AS r FROM ci GROUP BY t),
+curve AS (SELECT t, p, r, 2 * p * r / greatest(p + r, 1e-12) AS f, 1.25 * p * r / greatest(0.25 * p + r, 1e-12) AS h FROM pr), best AS (SELECT t, p, r, f FROM curve ORDER BY f DESC, t LIMIT 1),
+e AS (SELECT t, r, max(p) OVER (ORDER BY r, t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM curve),
+a AS (SELECT 0.0::DOUBLE AS r, arg_min(p, (r, t)) AS p, -1 AS o FROM e UNION ALL SELECT r, p, row_number() OVER (ORDER BY r, t) FROM e UNION ALL SELECT 1.0, 0.0, 1000000),
+ap AS (SELECT round(sum((r - pr) * (p + pp) / 2), 6) AS AP FROM (SELECT r, p, lag(r) OVER (ORDER BY o) AS pr, lag(p) OVER (ORDER BY o) AS pp FROM a))
+SELECT round(best.f, 6) AS ODS, round(best.t, 6) AS ODS_threshold, round(best.p, 6) AS ODS_precision, round(best.r, 6) AS ODS_recall, round(OIS, 5) AS OIS, AP,
+  (SELECT round(coalesce(max(CASE WHEN p >= 0.5 THEN r END), 0), 6) FROM curve) AS R50, (SELECT ROC_AUC FROM ({SQL["roc_auc"]})) AS ROC_AUC, {_N} AS n_thresholds, (SELECT round(max(h), 6) FROM curve) AS F05_ODS, round(F05_OIS, 5) AS F05_OIS FROM best, oi, ap""",
+)
 def variable_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.variable_tolerance(scored(spark, sf_dir), "v", "gt", _N)
+    m = E.variable_tolerance(scored(spark, sf_dir), "v", "gt", _N)
+    return m.select(*[F.round(c, 5 if c.endswith("OIS") else 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
 # ---- thin lines, links and distances
@@ -451,7 +470,11 @@ def gravity_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(T.gravitational(px(spark, sf_dir), "v", "out", iterations=6), "out")
 
 
-@query("condition_roi", None)
+@query(
+    "condition_roi",
+    f"""WITH {PX}, k AS (SELECT unnest(range(-6, 7))::INTEGER AS dy), nb AS (SELECT p.img, p.y, p.x, p.v AS c, coalesce(q.v, 0.0) AS u, exp(-0.125 * (a.dy * a.dy + b.dy * b.dy)) * exp(-0.5 * power((coalesce(q.v, 0.0) - p.v) / 0.08, 2)) AS w FROM (SELECT * FROM px WHERE v >= 0.7) p CROSS JOIN k a CROSS JOIN k b LEFT JOIN px q ON q.img = p.img AND q.y = p.y + a.dy AND q.x = p.x + b.dy),
+f AS (SELECT img, y, x, least(1, greatest(0, sum(w * u) / sum(w))) AS v FROM nb GROUP BY img, y, x), m AS (SELECT px.img, px.y, px.x, coalesce(f.v, px.v) AS v FROM px LEFT JOIN f USING (img, y, x)) {_summary_sql('m')}""",
+)
 def condition_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.tiles import conditioned_region
 
