@@ -98,6 +98,11 @@ def image_best(df: DataFrame, score: str, gt: str, tol: int | Column = 2, n_thre
     return c.groupBy("img").agg(F.max("f").alias("best_f"))
 
 
+def best_f1(df: DataFrame, score: str, gt: str, tol: int | Column = 2, n_thresholds: int = 60) -> DataFrame:
+    """img, best_f1: each image by itself, over its own thresholds."""
+    return image_best(df, score, gt, tol, n_thresholds).withColumnRenamed("best_f", "best_f1")
+
+
 def average_precision(c: DataFrame) -> DataFrame:
     """AP: trapezoid under the precision envelope; a curve has at most as many rows as thresholds."""
     w = Window.orderBy("recall", "threshold")

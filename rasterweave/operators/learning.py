@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from .information import clip01, finite
+from .ordering import laid_out
 
 
 FEW = 12  # columns of a design whose products are summed in one aggregate
@@ -39,8 +40,9 @@ def balanced_sample(df: DataFrame, x: str = "x", y: str = "y", max_samples: int
     each = F.least("_p", "_n", F.lit(max_samples // 2))
     n = n.select(*by, F.when(each > 0, each).otherwise(max_samples).alias("_each"))
     df = df.join(n, list(by)) if by else df.crossJoin(F.broadcast(n))  # one row
-    rank = F.row_number().over(Window.partitionBy(*by, "_pos").orderBy(F.xxhash64(F.lit(seed), key), key))
-    return df.withColumn("_r", rank).where("_r <= _each").drop("_r", "_each", "_pos")
+    # a class may be most of the table: places come from ranges of the hash
+    placed = laid_out(df.withColumn("_order", F.xxhash64(F.lit(seed), key)), [*by, "_pos"], ["_order", key])
+    return placed.where("_before < _each").drop("_before", "_all", "_order", "_each", "_pos")
 
 
 def reliability(df: DataFrame, n: int, x: str = "x", y: str = "y", floor: float = 0.02) -> DataFrame:

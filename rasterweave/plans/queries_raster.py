@@ -403,10 +403,10 @@ def _rounds_sql(steps: int) -> str:
     return f"t AS (SELECT img, y, x, 0 AS step FROM br WHERE on_ UNION ALL SELECT img, y, x, step + 1 FROM (SELECT img, y, x, step, count(*) OVER () AS n2, (SELECT count(*) FROM t) AS n1 FROM {second} WHERE m) WHERE n2 < n1 AND step < {steps})"
 
 
-_BRIGHT = "br AS (SELECT img, y, x, v >= 0.7 AS on_ FROM px)"
+_ON = "br AS (SELECT img, y, x, v >= 0.7 AS on_ FROM px)"
 
 
-@query("thin", f"WITH RECURSIVE {PX}, {_BRIGHT}, {_rounds_sql(1000)}, z AS (SELECT img, y, x FROM t WHERE step = (SELECT max(step) FROM t)), m AS (SELECT px.img, px.y, px.x, (z.y IS NOT NULL)::INTEGER::DOUBLE AS v FROM px LEFT JOIN z USING (img, y, x)) {_summary_sql('m')}")
+@query("thin", f"WITH RECURSIVE {PX}, {_ON}, {_rounds_sql(1000)}, z AS (SELECT img, y, x FROM t WHERE step = (SELECT max(step) FROM t)), m AS (SELECT px.img, px.y, px.x, (z.y IS NOT NULL)::INTEGER::DOUBLE AS v FROM px LEFT JOIN z USING (img, y, x)) {_summary_sql('m')}")
 def thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(T.thin(bright(spark, sf_dir), "on", "out"), "out")
 
@@ -425,7 +425,7 @@ def geodesic_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(L.geodesic_link(d.select("img", "y", "x", "score", "theta", "edge"), "edge", "score", "score", "theta", "out"), "out")
 
 
-@query("distance_map", f"WITH {PX}, {_BRIGHT}, m AS (SELECT p.img, p.y, p.x, min(sqrt(power(p.y - q.y, 2) + power(p.x - q.x, 2))) AS v FROM br p JOIN (SELECT * FROM br WHERE on_) q ON p.img = q.img GROUP BY p.img, p.y, p.x) {_summary_sql('m')}")
+@query("distance_map", f"WITH {PX}, {_ON}, m AS (SELECT p.img, p.y, p.x, min(sqrt(power(p.y - q.y, 2) + power(p.x - q.x, 2))) AS v FROM br p JOIN (SELECT * FROM br WHERE on_) q ON p.img = q.img GROUP BY p.img, p.y, p.x) {_summary_sql('m')}")
 def distance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(D.distance(bright(spark, sf_dir), "on", "out"), "out")
 

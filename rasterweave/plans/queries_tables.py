@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import routing, tables
 from ..operators import tiles as T
 from ..operators.choquet import aggregate
-from .queries_raster import PX, _summary, _summary_sql, px
+from ..operators import evaluation as E
+from ..operators import morphology as MO
+from ..operators.storage import materialize, shared_dir
+from ..sources import files
+from . import sweep
+from .queries_raster import _DG, GT, PX, _cc, _summary, _summary_sql, px, scored
 from .views import table
 
 Q: dict = {}
@@ -102,3 +107,116 @@ m AS (SELECT img, y, x, v FROM t WHERE step = {_STEPS}) {_summary_sql('m')}""",
 )
 def diffusion_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(T.diffusion(px(spark, sf_dir), "v", "out", _STEPS), "out")
+
+
+# ---- evaluation entry points
+
+
+def _cut(probs: int) -> str:
+    return "[" + ", ".join(repr(v) for v in E.threshold_probs(probs)) + "]"
+
+
+@query(
+    "best_f1",
+    f"""WITH {GT}, {_DG}, th AS (SELECT DISTINCT img, unnest(q) AS t FROM (SELECT img, quantile_cont(v, {_cut(60)}) AS q FROM sc GROUP BY img)),
+cv AS (SELECT img, t, sum((v >= t)::INTEGER) AS npred, sum((v >= t AND dg)::INTEGER) AS mp, sum((gt AND near >= t)::INTEGER) AS mg, sum(gt::INTEGER) AS ngt FROM dg JOIN th USING (img) GROUP BY img, t),
+pr AS (SELECT img, mp / greatest(npred, 1)::DOUBLE AS p, mg / greatest(ngt, 1)::DOUBLE AS r FROM cv) SELECT img, round(max(2 * p * r / greatest(p + r, 1e-12)), 6) AS best_f1 FROM pr GROUP BY img""",
+)
+def best_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.best_f1(scored(spark, sf_dir), "v", "gt", 1).select("img", F.round("best_f1", 6).alias("best_f1"))
+
+
+@query("distinct_thresholds", f"WITH {PX}, t AS (SELECT DISTINCT unnest(quantile_cont(v, {_cut(61)})) AS t FROM px) SELECT row_number() OVER (ORDER BY t)::INTEGER - 1 AS i, round(t, 6) AS t FROM t")
+def distinct_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold grid: pooled quantiles, each once, in order."""
+    t = E.thresholds(px(spark, sf_dir), "v", 61)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(t)], "i int, t double").withColumn("t", F.round("t", 6))
+
+
+@query(
+    "hysteresis_from_threshold",
+    f"WITH RECURSIVE {PX}, br AS (SELECT img, y, x, v > 0.4 AS on_, v >= 0.8 AS hi FROM px), {_cc('on_', True)}, k AS (SELECT DISTINCT cc.img, label FROM cc JOIN br ON br.img = cc.img AND br.y::BIGINT * {1 << 20} + br.x = cc.id WHERE hi) SELECT img, count(*) AS n FROM cc JOIN k USING (img, label) GROUP BY img",
+)
+def hysteresis_from_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One threshold, and half of it as the lower one; values equal to the threshold are strong."""
+    h = MO.hysteresis(px(spark, sf_dir), "v", 0.4, 0.8, "out", at_least=True)
+    return h.where("out").groupBy("img").agg(F.count("*").alias("n"))
+
+
+# ---- rankings and what drivers write
+
+_RUNS = "rn AS (SELECT l_returnflag || '_' || l_linestatus || '_' || l_suppkey AS config, round(avg(l_discount), 4) AS ODS, round(avg(l_tax), 4) AS AP, round(avg(l_quantity), 2) AS OIS, round(avg((l_discount >= 0.05)::INTEGER), 4) AS coverage FROM lineitem GROUP BY l_returnflag, l_linestatus, l_suppkey)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """config, ODS, AP, OIS, coverage: means over lineitem by supplier and flags."""
+    g = table(spark, sf_dir, "lineitem").groupBy(F.concat_ws("_", "l_returnflag", "l_linestatus", "l_suppkey").alias("config"))
+    mean = lambda c, n: F.round(F.avg(c), n)
+    return g.agg(mean("l_discount", 4).alias("ODS"), mean("l_tax", 4).alias("AP"), mean("l_quantity", 2).alias("OIS"), mean((F.col("l_discount") >= 0.05).cast("int"), 4).alias("coverage"))
+
+
+for _name, _keys, _k in (("rank_by_coverage", ("ODS", "AP", "coverage"), 20), ("rank_by_four_keys", ("ODS", "AP", "OIS", "coverage"), 50)):
+
+    @query(_name, f"WITH {_RUNS} SELECT *, row_number() OVER (ORDER BY {', '.join(f'{k} DESC' for k in _keys)}, config)::INTEGER AS selection_rank FROM rn QUALIFY selection_rank <= {_k}")
+    def _ranked(spark: SparkSession, sf_dir: str, keys=_keys, k=_k) -> DataFrame:
+        return sweep.rank(_runs(spark, sf_dir), keys, ("config",), k)
+
+
+@query("driver_tables", f"WITH {_RUNS}, r AS (SELECT 'ranking' AS kind, config, ODS FROM rn QUALIFY row_number() OVER (ORDER BY ODS DESC, AP DESC, OIS DESC, config) <= 100 UNION ALL SELECT 'runs', config, ODS FROM rn) SELECT kind, config, round(ODS, 4) AS ODS FROM r")
+def driver_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of a driver as CSV in the shared folder, read back under their schemas."""
+    import uuid
+
+    runs = materialize(_runs(spark, sf_dir), "runs")
+    folder = f"{shared_dir(spark).rstrip('/')}/driver-{uuid.uuid4().hex}"
+    files.write_results({"runs": runs, "ranking": sweep.rank(runs, ("ODS", "AP", "OIS"), ("config",), 100)}, folder)
+    parts = []
+    for kind, more in (("ranking", ", selection_rank int"), ("runs", "")):
+        back = spark.read.schema("config string, ODS double, AP double, OIS double, coverage double" + more).option("header", True).csv(f"{folder}/{kind}")
+        parts.append(back.select(F.lit(kind).alias("kind"), "config", F.round("ODS", 4).alias("ODS")))
+    return parts[0].union(parts[1])
+
+
+@query("png_round_trip", f"WITH {PX}, m AS (SELECT img, y, x, round_even(v * 255, 0) / 255 AS v FROM px) {_summary_sql('m')}")
+def png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image as PNG, and its pixels from that; images go as blocks of bounded height."""
+    p = px(spark, sf_dir).withColumn("block", F.floor(F.col("y") / 1024).cast("int"))
+    png = files.images_as_png(p.select(F.concat_ws("#", "img", "block").alias("img"), (F.col("y") % 1024).alias("y"), "x", "v"))
+    back = files.decoded(png).select(F.substring_index("img", "#", 1).alias("img"), (F.col("y") + 1024 * F.substring_index("img", "#", -1).cast("int")).alias("y"), "x", "v")
+    return _summary(back, "v")
+
+
+@query(
+    "config_names",
+    """SELECT upper(lang) AS mode, lower(replace(source, 'src', 'Source-')) AS instruct, printf('%s_q%.2f_d%02d', lang, (n_chars % 100) / 100.0::DOUBLE, (doc_id % 30)::INTEGER) AS config, lpad((doc_id % 1000)::VARCHAR, 8, '0') AS padded, string_split(printf('%s/%s.csv', lang, source), '/')[2] AS file, regexp_replace(printf('%s.tar.csv', source), '\\.[^.]*$', '') AS stem, count(*) AS n FROM documents GROUP BY ALL""",
+)
+def config_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of configurations and files from their parts, and parts from names."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return d.groupBy(
+        F.upper("lang").alias("mode"),
+        F.lower(F.replace("source", F.lit("src"), F.lit("Source-"))).alias("instruct"),
+        F.format_string("%s_q%.2f_d%02d", "lang", (F.col("n_chars") % 100) / 100.0, (F.col("doc_id") % 30).cast("int")).alias("config"),
+        F.lpad((F.col("doc_id") % 1000).cast("string"), 8, "0").alias("padded"),
+        F.split(F.format_string("%s/%s.csv", "lang", "source"), "/")[1].alias("file"),
+        F.regexp_replace(F.format_string("%s.tar.csv", "source"), r"\.[^.]*$", "").alias("stem"),
+    ).agg(F.count("*").alias("n"))
+
+
+@query("factorial_chunks")
+def factorial_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators times measures over the events' images in resumable chunks; a second call finds all chunks there."""
+    import uuid
+
+    from ..functions import measures as M
+    from . import experiments as X
+
+    images = materialize(scored(spark, sf_dir).where("img IN ('click', 'view')").select("img", "y", "x", "v", "gt"), "images")
+    ops = [r.asDict() for r in sweep.operator_specs(spark, "knownpairs").collect()][:2]
+    some = [m for m in M.registry(8) if m["name"] in ("power_q0.1", "additive_uniform")]
+    path = f"{shared_dir(spark).rstrip('/')}/factorial-{uuid.uuid4().hex}"
+    written = X.factorial(spark, images, path, ops, some, 1, n_thresholds=9)
+    if len(written) != 2 or X.factorial(spark, images, path, ops, some, 1, n_thresholds=9):
+        raise RuntimeError("chunks were not written once each")
+    out = spark.read.parquet(path)
+    return out.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])

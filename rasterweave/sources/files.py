@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.kernels import gray
+from ..operators.ordering import laid_out
 
 MANIFEST = "case string, seed int, image string, ground_truth string"
 MANIFEST_V2 = (
@@ -28,12 +29,9 @@ def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> Dat
 
 
 def rows_between(df: DataFrame, order: str, start: int, stop: int | None = None) -> DataFrame:
-    """Rows start..stop by an order: a positional split of a small table."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy(order)) - 1
-    out = df.withColumn("_n", n).where(F.col("_n") >= start)
-    return (out if stop is None else out.where(F.col("_n") < stop)).drop("_n")
+    """Rows start..stop by an order: a positional split; places come from ranges, so no task holds the table."""
+    out = laid_out(df, (), [order]).where(F.col("_before") >= start)
+    return (out if stop is None else out.where(F.col("_before") < stop)).drop("_before", "_all")
 
 
 # ---- PNG, 8 or 16 bits, without a library
@@ -98,18 +96,24 @@ def encode_png(img: np.ndarray) -> bytes:
 
 def read_images(spark: SparkSession, path: str, glob: str = "*.png", truth: bool = False) -> DataFrame:
     """img (file name without its ending), y, x and v (gray in [0,1]) or, for truth masks, gt (first channel over half its range)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    return decoded(files.select(stem.alias("img"), F.col("content").alias("png")), truth)
+
+
+def decoded(images: DataFrame, truth: bool = False) -> DataFrame:
+    """img, y, x and v or gt of encoded images (img, png)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for p, raw in zip(f["path"], f["content"], strict=True):
+            for name, raw in zip(f["img"], f["png"], strict=True):
                 a = decode_png(raw)
                 first = a[..., 0] if a.ndim == 3 else a
                 v = first > np.iinfo(a.dtype).max / 2 if truth else gray(a if a.ndim == 2 or a.shape[-1] > 2 else first)
                 y, x = np.indices(v.shape)
-                yield pd.DataFrame({"img": p.rsplit("/", 1)[-1].rsplit(".", 1)[0], "y": y.ravel(), "x": x.ravel(), "gt" if truth else "v": v.ravel()})
+                yield pd.DataFrame({"img": name, "y": y.ravel(), "x": x.ravel(), "gt" if truth else "v": v.ravel()})
 
-    return files.mapInPandas(run, f"img string, y int, x int, {'gt boolean' if truth else 'v double'}")
+    return images.select("img", "png").mapInPandas(run, f"img string, y int, x int, {'gt boolean' if truth else 'v double'}")
 
 
 def read_decoded(spark: SparkSession, path: str) -> DataFrame:
@@ -239,6 +243,12 @@ def write_model(spark: SparkSession, model: Any, path: str) -> None:
     spark.createDataFrame([(json.dumps(json_safe(model), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_results(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table as CSV with a header under its name."""
+    for name, df in tables.items():
+        write_table(df, f"{folder.rstrip('/')}/{name}")
+
+
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     w = df.write.mode("overwrite")
     w.option("header", True).csv(path) if kind == "csv" else w.format(kind).save(path)
