@@ -12,7 +12,7 @@ Memory is bounded by ``BLOCK`` rows and ``CELLS`` components of candidates and o
 ``every``) and meets all rows in blocks; the query blocks are broadcast where they have at most QUERY_BYTES, else blocks are shuffled to
 each other.
 
-Edge cases: vectors that are null or hold a null or a non-finite component take no part; of two vectors of different length, the
+Edge cases: vectors that are null or hold a null or a non-finite component take no part, nor do rows without an id; of two vectors of different length, the
 components that both have count, and an empty vector scores 0 with all; ties go to the smaller id; two rows of one id are distinct candidates and, if asked
 for, distinct queries (each with its own ranks), and only the query's own row is left out; fewer than k candidates give fewer rows; no rows
 give no rows.  Only the id and vector columns are read.

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+import corpus_pipeline
+
 R = random.Random(11)
 VOCAB = [f"{a}{b}{c}" for a in ("be", "to", "ra", "mi") for b in ("lo", "ne", "ti", "su", "ka") for c in ("n", "r", "s", "ma", "do")]
 CLASH = ["size", "source_size", "target", "quota_blocks", "shard", "taken", "count", "_id", "lang_pred", "score", "_told", "told", "_lang", "lang_told", "_own_id", "own_id", "times", "_times", "g", "sig", "n", "row", "cut", "part", "spread", "order", "at", "_text", "_hit", "_items", "_n_words", "k0", "_hits", "_row", "_met", "doc id", "a.b"]
@@ -149,20 +150,35 @@ def test_machine_equals_explicit_pairs():
 
 
 def test_mix_lays_out_blocks_as_a_plain_walk_does(spark):
-    """Parts, shards and quotas against a walk over every word of every line."""
+    """Every word of every line is laid out, blocks are numbered, and the words in the blocks taken are counted by document."""
+    from pyspark.sql import functions as F
+
     from rasterweave.llm.mixing import mix
 
+    block, shard_words, max_shards, seed = 8, 200, 10, 17
     docs = spark.createDataFrame([(k, sentence(R.randrange(0, 60)), "ab"[k % 7 == 0]) for k in range(400)], "doc_id long, text string, source string").repartition(5)
-    a, b = ({r.doc_id: r.asDict() for r in mix(x, block=8, shard_words=200, max_shards=10).collect()} for x in (docs, docs.repartition(3)))
+    a, b = ({r.doc_id: r.asDict() for r in mix(x, block=block, shard_words=shard_words, max_shards=max_shards).collect()} for x in (docs, docs.repartition(3)))
     assert a == b and len({(r["source"], r["shard"]) for r in a.values()}) > 5
-    for key in {(r["source"], r["shard"]) for r in a.values()}:
-        mine = [r for r in a.values() if (r["source"], r["shard"]) == key]
-        words, quota = sum(r["size"] for r in mine), mine[0]["quota_blocks"]
-        blocks = -(-words // 8)
-        whole, rest = divmod(quota, blocks)
-        extra = sum(r["taken"] - whole * r["size"] for r in mine)
-        assert all(whole * r["size"] <= r["taken"] <= (whole + 1) * r["size"] for r in mine)
-        assert rest * 8 - 8 < extra <= rest * 8  # the last block of a line may be short
+    deal = lambda what: F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), F.lit(what)).alias(what)
+    dealt = {r.doc_id: r for r in docs.select("doc_id", deal("order"), deal("part"), F.xxhash64("text").alias("spread")).collect()}
+    each = max(shard_words, -(-sum(r["size"] for r in a.values()) // max_shards))
+    total, taken = dict.fromkeys("ab", 0), dict.fromkeys(a, 0)
+    for r in a.values():
+        total[r["source"]] += r["size"]
+    for key in sorted({(r["source"], r["shard"]) for r in a.values()}):
+        parts = max(1, -(-total[key[0]] // (max(1, -(-total[key[0]] // each)) * shard_words)))
+        mine = [i for i, r in a.items() if (r["source"], r["shard"]) == key]
+        mine.sort(key=lambda i: (dealt[i].part % parts, dealt[i].order, i, dealt[i].spread, a[i]["size"]))
+        line = [i for i in mine for _ in range(a[i]["size"])]
+        blocks = -(-len(line) // block)
+        whole, rest = divmod(a[mine[0]]["quota_blocks"], blocks)
+        first = spark.range(1).select(F.pmod(F.xxhash64(F.lit(seed), F.lit("ab".index(key[0])), F.lit(key[1]), F.lit("first")), F.lit(blocks))).first()[0]
+        times = [whole] * blocks
+        for k in range(rest):
+            times[(first + k) % blocks] += 1
+        for at, i in enumerate(line):
+            taken[i] += times[at // block]
+    assert taken == {i: r["taken"] for i, r in a.items()}
 
 
 def test_topk_with_repeated_ids_and_lengths(spark):

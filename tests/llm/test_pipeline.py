@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+import corpus_pipeline
+
 SF = "/root/testdata/sf0.001"
 
 
