@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..operators import context as C
+from ..operators import edges as ED
 from ..operators import evaluation as E
 from ..operators import kernels as K
+from ..operators import linking as L
 from ..operators import morphology as MO
 from ..operators import raster as R
 from ..operators import tiles as T
@@ -84,35 +86,39 @@ def classic(pixels: DataFrame, detectors: Sequence[str] = ("scharr", "sobel", "l
 def canny_grid(pixels: DataFrame, sigmas: Sequence[float] = (0.8, 1.2, 1.8), pairs: Sequence[tuple[float, float]] = ((0.5, 0.7), (0.6, 0.8), (0.7, 0.9), (0.8, 0.95)), qs: Sequence[float | None] = (None, 0.6), tol: int = 2, **options: Any) -> DataFrame:
     """Canny with and without a region; a pair of thresholds is a point of a configuration's curve."""
     base = mfi(pixels, **options)
+    parts = []
+    for q in qs:
+        e = ED.edges(ED.ridges(base, "v", sigmas, None if q is None else F.col("conf") >= q), pairs)
+        at = lambda values, i: F.get(F.lit([float(v) for v in values]), i)
+        sigma = F.get(F.lit([f"{s:g}" for s in sigmas]), F.col("setting"))
+        parts.append(e.select("img", "y", "x", F.concat(F.lit(f"q{q}_s"), sigma).alias("config"), at([p[0] for p in pairs], F.col("pair")).alias("low"), at([p[1] for p in pairs], F.col("pair")).alias("high"), "edge"))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.union(more)
+    return rank(E.point_curve(_counts(every, base, ["config", "low", "high"], tol), ["config"], ["low", "high"]))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        v, gt, conf = K.to_raster(f, ["v", "gt", "conf"])
-        near, rows = K.dilate(gt, tol), []
-        for q in qs:
-            for s in sigmas:
-                for lo, hi in pairs:
-                    e = K.canny(v, s, lo, hi, None if q is None else conf >= q)
-                    rows.append((f"q{q}_s{s:g}", lo, hi, f["img"].iloc[0], int((e & near).sum()), int(e.sum()), int((gt & K.dilate(e, tol)).sum()), int(gt.sum())))
-        return pd.DataFrame(rows, columns=["config", "low", "high", "img", "mp", "npred", "mg", "ngt"])
 
-    counts = base.groupBy("img").applyInPandas(run, "config string, low double, high double, img string, mp long, npred long, mg long, ngt long")
-    return rank(E.point_curve(counts, ["config"], ["low", "high"]))
+def _counts(maps: DataFrame, truth: DataFrame, point: Sequence[str], tol: int) -> DataFrame:
+    """point, img, mp, npred, mg, ngt of binary maps ``edge`` of images at several points, each an image of its own name."""
+    d = maps.join(truth.select(*KEYS, "gt"), list(KEYS)).withColumnRenamed("img", "own").withColumn("img", F.concat_ws("|", "own", *point))
+    return E.tolerant_counts(materialize(d, "points"), "edge", "gt", tol, [*point, "own"]).withColumnRenamed("own", "img")
 
 
 def postprocessed(maps: DataFrame, score: str, methods: Sequence[tuple[str, dict]], thresholds: Sequence[float], tol: int = 2) -> DataFrame:
-    """Counts of binary maps after postprocessing, by method and threshold; maps hold score, conf, theta, gt."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        s, conf, theta, gt = K.to_raster(f, [score, "conf", "theta", "gt"])
-        near, rows = K.dilate(gt, tol), []
-        for name, p in methods:
-            for t in thresholds:
-                e = K.postprocess(s, t, name, conf, theta, **p)
-                c = K.continuity(e, gt, tol)
-                rows.append((name, float(t), f["img"].iloc[0], int((e & near).sum()), int(e.sum()), int((gt & K.dilate(e, tol)).sum()), int(gt.sum()), c["largest_component_gt_coverage"], c["endpoint_count"]))
-        return pd.DataFrame(rows, columns=["config", "threshold", "img", "mp", "npred", "mg", "ngt", "coverage", "ends"])
-
-    return maps.groupBy("img").applyInPandas(run, "config string, threshold double, img string, mp long, npred long, mg long, ngt long, coverage double, ends long")
+    """Counts, cover and loose ends of binary maps after postprocessing, by method and threshold; maps hold score, conf, theta, gt.
+
+    An image at a threshold is an image of its own name, so a method goes once over all of them."""
+    cut = F.explode(F.lit([float(t) for t in thresholds])).alias("threshold")
+    each = maps.select(F.col("img").alias("own"), "y", "x", F.col(score).alias("_score"), "conf", "theta", "gt", cut)
+    each = materialize(each.withColumn("img", F.concat_ws("|", "own", "threshold")), "thresholds")
+    out = None
+    for name, p in methods:
+        e = materialize(L.postprocess(each, "_score", F.col("threshold"), name, **p), "postprocessed")
+        counts = E.tolerant_counts(e, "edge", "gt", tol, ["threshold", "own", "img"])
+        met = counts.join(L.continuity(e, "edge", "gt", tol), "img")
+        rows = met.select(F.lit(name).alias("config"), "threshold", F.col("own").alias("img"), "mp", "npred", "mg", "ngt", F.col("largest_component_gt_coverage").alias("coverage"), F.col("endpoint_count").cast("long").alias("ends"))
+        out = rows if out is None else out.union(rows)
+    return materialize(out, "postprocessed")
 
 
 def conditioned(pixels: DataFrame, method: str, **params: Any) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions import routing, tables
 from ..operators import tiles as T
 from ..operators.choquet import aggregate
 from ..operators import evaluation as E
+from ..operators import kernels as K
+from ..operators import linking as L
 from ..operators import morphology as MO
 from ..operators.storage import materialize, shared_dir
 from ..sources import files
@@ -143,6 +145,21 @@ def hysteresis_from_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.where("out").groupBy("img").agg(F.count("*").alias("n"))
 
 
+@query("postprocess_methods")
+def postprocess_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels that each way of postprocessing leaves of each image's thresholded values."""
+    d = T.by_tile(px(spark, sf_dir), ["v"], lambda v: {"s": v, "theta": K.orientation(v)}, 8, "s double, theta double")
+    d = materialize(d, "scores")
+    parts = []
+    for name in ("none", "closing", "geodesic", "hysteresis", "hyst_geo"):
+        e = L.postprocess(d, "s", 0.7, name, "s", "theta")
+        parts.append(e.groupBy("img").agg(F.count_if("edge").alias("n")).select("img", F.lit(name).alias("method"), "n"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
 # ---- rankings and what drivers write
 
 _RUNS = "rn AS (SELECT l_returnflag || '_' || l_linestatus || '_' || l_suppkey AS config, round(avg(l_discount), 4) AS ODS, round(avg(l_tax), 4) AS AP, round(avg(l_quantity), 2) AS OIS, round(avg((l_discount >= 0.05)::INTEGER), 4) AS coverage FROM lineitem GROUP BY l_returnflag, l_linestatus, l_suppkey)"

@@ -228,3 +228,15 @@ def test_mean_shift_over_a_pyramid(spark):
     for levels in (0, 2):
         for a, img in zip(arrays(T.mean_shift(df, "v", "o", 3, 18, levels, 2, tile=32), "o", images), images, strict=True):
             assert np.allclose(a, K.mean_shift(img, 3, 18, levels, 2)), levels
+
+
+def test_postprocessing_on_rows(spark):
+    scores = [np.clip(K.gaussian((G.random((36, 44)) > 0.97).astype(float), 0.9) * 6, 0, 1), K.gaussian(G.random((30, 26)), 1.2)]
+    thetas = [K.orientation(s) for s in scores]
+    df = frame(spark, scores, "s").join(frame(spark, thetas, "theta"), ["img", "y", "x"])
+    for method, p in (("none", {}), ("closing", {"radius": 2}), ("hysteresis", {"low_ratio": 0.7}), ("hyst_geo", {"max_gap": 6.0}), ("geodesic", {"max_mean_cost": 0.9})):
+        got = arrays(L.postprocess(df, "s", 0.5, method, "s", "theta", **p), "edge", scores)
+        for a, s, t in zip(got, scores, thetas, strict=True):
+            assert (a == K.postprocess(s, 0.5, method, s, t, **p)).all(), method
+    with pytest.raises(ValueError):
+        L.postprocess(df, "s", 0.5, "nope", "s", "theta")
