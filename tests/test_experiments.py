@@ -35,7 +35,7 @@ def test_classic_and_canny(images):
 
 
 def test_staged_selection(spark, images):
-    out = X.staged(images, images, ("none", "median"), n_thresholds=5, **OPTIONS)
+    out = X.staged(images, images, ("none", "median"), n_thresholds=3, **OPTIONS)
     assert out["chosen"]["preconditioner"] in ("none", "median") and len(out["linkers"]) == 3
     assert out["per_image"].count() == 2 and 0 < out["pooled"].first().F1 <= 1
 
