@@ -40,9 +40,9 @@ def envelope(x: np.ndarray, height: np.ndarray, at: np.ndarray) -> np.ndarray:
 def distance(df: DataFrame, mask: str, out: str = "distance") -> DataFrame:
     """Rows with ``out``: the distance to the nearest pixel of the mask in the image; infinite where it has none."""
     on = F.when(F.col(mask), F.col("y"))
-    column = Window.partitionBy("img", "x").orderBy("y")
+    column, back = (Window.partitionBy("img", "x").orderBy(o) for o in ("y", F.desc("y")))  # a frame that ends with the line is summed anew for each row
     above = F.col("y") - F.last(on, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    below = F.first(on, ignorenulls=True).over(column.rowsBetween(Window.currentRow, Window.unboundedFollowing)) - F.col("y")
+    below = F.last(on, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("y")
     near = df.select("img", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.least(above, below).cast("long").alias("g"))
     lines = near.groupBy("img", "y").agg(F.sort_array(F.collect_list(F.struct("x", "g"))).alias("line"))
     lines = lines.select("img", "y", F.col("line.x").alias("x"), F.col("line.g").alias("g"))
@@ -58,4 +58,4 @@ def distance(df: DataFrame, mask: str, out: str = "distance") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made, pa.list_(pa.float64()))], names=["img", "y", "x", "d"])
 
     met = lines.mapInArrow(run, "img string, y int, x array<int>, d array<double>").select("img", "y", F.explode(F.arrays_zip("x", "d")).alias("p"))
-    return df.join(met.select("img", "y", "p.x", F.col("p.d").alias(out)), list(KEYS))
+    return df.join(met.select("img", "y", "p.x", F.col("p.d").alias(out)).hint("merge"), list(KEYS))

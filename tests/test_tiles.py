@@ -238,3 +238,12 @@ def test_postprocessing_on_rows(spark):
             assert (a == K.postprocess(s, 0.5, method, s, t, **p)).all(), method
     with pytest.raises(ValueError):
         L.postprocess(df, "s", 0.5, "nope", "s", "theta")
+
+
+def test_distance_frames_do_not_end_with_the_line(spark):
+    from rasterweave.operators.distance import distance
+
+    df = spark.createDataFrame([("a", i, 0, i == 3) for i in range(8)], "img string, y int, x int, on boolean")
+    d = distance(df, "on")
+    assert "unboundedfollowing" not in plans_of(d).lower()  # such a frame is summed anew for each row
+    assert sorted((r.y, r.distance) for r in d.collect()) == [(i, abs(i - 3.0)) for i in range(8)]
