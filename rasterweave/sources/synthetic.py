@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.kernels import convolve, dilate, gaussian
+from ..operators.storage import few
 
 PIXELS = "img string, y int, x int, v double, gt boolean"
 # The benchmark's primitives and families, in their order.
@@ -218,7 +219,7 @@ def turned(images: DataFrame) -> DataFrame:
     ways = [(y, x), (x, h - y), (h - y, w - x), (w - x, y), (y, w - x), (w - x, h - y), (h - y, x), (x, y)]
     each = F.array(*[F.struct(F.lit(i).alias("no"), a.cast("int").alias("y"), b.cast("int").alias("x")) for i, (a, b) in enumerate(ways)])
     rest = [c for c in images.columns if c not in ("img", "y", "x")]
-    t = images.join(size, "img").select("img", *rest, F.explode(each).alias("t"))
+    t = images.join(few(size, "sizes"), "img").select("img", *rest, F.explode(each).alias("t"))
     return t.select(F.concat_ws("_", "img", "t.no").alias("img"), "t.y", "t.x", *rest)
 
 

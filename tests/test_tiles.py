@@ -247,3 +247,10 @@ def test_distance_frames_do_not_end_with_the_line(spark):
     d = distance(df, "on")
     assert "unboundedfollowing" not in plans_of(d).lower()  # such a frame is summed anew for each row
     assert sorted((r.y, r.distance) for r in d.collect()) == [(i, abs(i - 3.0)) for i in range(8)]
+
+
+def test_quantiles_shuffle_bins_of_large_tables(hot, ranges, monkeypatch):
+    seen, plain = [], O.laid_out
+    monkeypatch.setattr(O, "laid_out", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
+    O.group_quantiles(hot, ["img"], {"v": [0.01, 0.99]}).collect()
+    assert max(seen) < 5_000  # 250,000 values before
