@@ -240,6 +240,14 @@ def test_postprocessing_on_rows(spark):
         L.postprocess(df, "s", 0.5, "nope", "s", "theta")
 
 
+def test_most_within_is_the_diamond():
+    for shape, r in (((9, 4), 6), ((5, 12), 3), ((7, 7), 0), ((40, 3), 17)):
+        a = np.where(G.random(shape) < 0.3, G.random(shape), -np.inf)
+        y, x = np.mgrid[: shape[0], : shape[1]]
+        want = [[a[(abs(y - j) + abs(x - i)) <= r].max() for i in range(shape[1])] for j in range(shape[0])]
+        assert np.array_equal(K.most_within(a, r), np.array(want))
+
+
 def test_distance_frames_do_not_end_with_the_line(spark):
     from rasterweave.operators.distance import distance
 
@@ -249,6 +257,17 @@ def test_distance_frames_do_not_end_with_the_line(spark):
     assert sorted((r.y, r.distance) for r in d.collect()) == [(i, abs(i - 3.0)) for i in range(8)]
 
 
+def test_dilation_shuffles_a_pixel_once(spark):
+    from rasterweave.operators.morphology import dilate
+
+    m = G.random((20, 9)) < 0.05
+    df = spark.createDataFrame([("a", int(j), int(i), bool(m[j, i]), [1.0]) for j, i in np.ndindex(m.shape) if (j + i) % 7], "img string, y int, x int, on boolean, kept array<double>")
+    d = dilate(df, "on", 3, "out")
+    assert d.columns == ["img", "y", "x", "on", "kept", "out"] and "o.dy" not in plans_of(d) and "Join" not in plans_of(d)
+    some = m & (np.add.outer(np.arange(20), np.arange(9)) % 7 != 0)
+    assert all(r.out == K.dilate(some, 3)[r.y, r.x] and r.kept == [1.0] for r in d.collect())
+
+
 def test_quantiles_shuffle_bins_of_large_tables(hot, ranges, monkeypatch):
     seen, plain = [], O.laid_out
     monkeypatch.setattr(O, "laid_out", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
