@@ -186,3 +186,23 @@ def test_plan_has_no_python(samples):
     plan = samples.select(integral(F.col("x"), N, "CF1F2", spec={"kind": "capacity", "capacity_table": TABLES["two_additive"].tolist()}))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert math.isfinite(1.0)
+
+
+def test_few_descriptors_are_plain_arithmetic(spark, monkeypatch):
+    """The flat form equals the one over arrays, with ties, values beyond [0,1], nulls and no array; Spark compiles it, as it names no lambda."""
+    import random
+
+    random.seed(3)
+    odd = [0.0, 1.0, 0.25, 0.5, 0.5, 1.2, -0.1, None, float("nan")]
+    rows = [(i, [random.choice(odd) for _ in range(4)]) for i in range(600)] + [(600, None)]
+    d = spark.createDataFrame(rows, "id int, x array<double>")
+    table = [0.0, 0.2, 0.3, 0.5, 0.1, 0.4, 0.35, 0.7, 0.15, 0.45, 0.5, 0.8, 0.3, 0.6, 0.65, 1.0]
+    forms = [({"kind": "power", "q": 0.3}, "CC", {"f": "THP"}), ({"kind": "additive", "weights": [1, 2, 3, 4]}, "choquet", {}), ({"kind": "full_capacity", "capacity_table": table}, "CF1F2", {"f1": "TM", "f2": "CL"}), ({"kind": "sugeno_lambda", "densities": [0.3, 0.2, 0.25, 0.1]}, "expanded", {})]
+    forms += [({"kind": "local_additive", "mode": "evidence", "gamma": 1.5}, "choquet", {}), ({"kind": "local_additive", "mode": "softmax"}, "CF", {"f": "TM"})]
+    make = lambda: d.select("id", *[integral(F.col("x"), 4, k, spec=s, **fs).alias(f"v{i}") for i, (s, k, fs) in enumerate(forms)])
+    flat = make()
+    assert "lambda" not in flat._jdf.queryExecution().optimizedPlan().toString().lower()
+    monkeypatch.setattr(M, "FLAT", 0)
+    want = {r.id: r for r in make().collect()}
+    for r in flat.collect():
+        assert [v for v in r[1:]] == pytest.approx([v for v in want[r.id][1:]], abs=1e-13, nan_ok=True), r
