@@ -260,3 +260,34 @@ def test_frozen_background_stream(spark, tmp_path, nums):
     q.awaitTermination()
     total = spark.table("surprising").agg(F.sum("n"), F.sum("surprising")).first()
     assert tuple(total) == (700, int((brute_bits(V) >= 3).sum()))
+
+
+def test_quantiles_of_large_columns_need_no_sketches(spark, monkeypatch):
+    """Counts by bin and then by value, also where a column has no value, one value, or others that are not finite."""
+    d = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("double").alias("a"), F.lit(3.0).alias("b"), F.when(F.col("id") < 0, 1.0).alias("c"), F.when(F.col("id") % 2 == 0, float("inf")).otherwise(F.col("id") / 7).alias("d"))
+    p = [0.0, 0.013, 0.5, 0.99, 1.0]
+    want = I.exact_quantiles(d, dict.fromkeys("abcd", p))
+
+    def no(*_):
+        raise AssertionError("a sketch was asked for")
+
+    monkeypatch.setattr(F, "percentile_approx", no)
+    monkeypatch.setattr("rasterweave.operators.ordering.WHOLE", 100)
+    assert I.exact_quantiles(d, dict.fromkeys("abcd", p), small=0) == want and want["c"] == [None] * 5
+
+
+def test_surprisal_keeps_rows_in_place_where_values_are_few(spark):
+    """Many rows with few different values: the values' bits are sent to the rows, which are not shuffled; above the bound they are joined by a shuffle."""
+    d = spark.range(4000).select("id", (F.col("id") % 50 / 50.0).alias("v"))
+    old, spark_limit = I.FEW, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = I.surprisal(d, "v")
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+        I.FEW = 10
+        large = I.surprisal(d, "v")
+        assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(small.collect()) == sorted(large.collect())
+    finally:
+        I.FEW = old
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", spark_limit)
