@@ -135,3 +135,20 @@ def test_images_decoded_by_the_source_equal_ours(spark, tmp_path):
     got = files.read_decoded(spark, str(tmp_path)).collect()
     assert {(r.y, r.x): r.v for r in got if r.img == "one"} == pytest.approx(ours)
     assert sum(r.img == "two" for r in got) == 63
+
+
+def test_counts_of_many_points_from_one_row_a_pixel(spark):
+    """Fifty points (more than one word of bits): counts as of each binary map by itself; only edges are rows."""
+    from rasterweave.operators import kernels as K
+
+    rng = np.random.default_rng(8)
+    gt, maps = rng.random((70, 9)) < 0.1, rng.random((50, 70, 9)) < rng.random(50)[:, None, None] * 0.2
+    maps[7] = False
+    at = [(y, x) for y in range(70) for x in range(9)]
+    truth = spark.createDataFrame([("a/b", y, x, bool(gt[y, x])) for y, x in at], "img string, y int, x int, gt boolean")
+    on = spark.createDataFrame([("a/b", int(y), int(x), int(no)) for no, y, x in zip(*np.nonzero(maps), strict=True)], "img string, y int, x int, no int")
+    got = {r.k: r for r in X._counts(on, truth, [(f"k{i}", i / 50) for i in range(50)], ["k", "low"], 2).collect()}
+    assert len(got) == 50
+    for i in range(50):
+        near, want = K.dilate(maps[i], 2), got[f"k{i}"]
+        assert (want.img, want.low, want.mp, want.npred, want.mg, want.ngt) == ("a/b", i / 50, (maps[i] & K.dilate(gt, 2)).sum(), maps[i].sum(), (gt & near).sum(), gt.sum())

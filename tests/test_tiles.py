@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rasterweave.operators import distance as D
 from rasterweave.operators import information as I
 from rasterweave.operators import kernels as K
+from rasterweave.operators import morphology as MO
 from rasterweave.operators import linking as L
 from rasterweave.operators import ordering as O
 from rasterweave.operators import storage
@@ -273,3 +274,23 @@ def test_quantiles_shuffle_bins_of_large_tables(hot, ranges, monkeypatch):
     monkeypatch.setattr(O, "laid_out", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
     O.group_quantiles(hot, ["img"], {"v": [0.01, 0.99]}).collect()
     assert max(seen) < 5_000  # 250,000 values before
+
+
+@pytest.mark.parametrize("connectivity", [1, 2])
+def test_components_meet_across_tiles(spark, connectivity):
+    """Labels by tile, joined at the rims only: a snake over many tiles, dense noise, and an image inside one tile, for which no label goes in rounds."""
+    rng = np.random.default_rng(5)
+    snake = np.zeros((30, 21), bool)
+    snake[::4] = True
+    snake[2::8, -1] = snake[1::8, -1] = snake[3::8, -1] = True
+    snake[6::8, 0] = snake[5::8, 0] = snake[7::8, 0] = True
+    images = {"snake": snake, "noise": rng.random((33, 19)) < 0.5, "small": np.eye(4, dtype=bool)}
+    rows = [(k, int(y), int(x), True) for k, m in images.items() for y, x in zip(*np.nonzero(m), strict=True)]
+    df = spark.createDataFrame(rows, "img string, y int, x int, on boolean")
+    got = {(r.img, r.y, r.x): r.label for r in MO.components(df, "on", connectivity=connectivity, tile=4).collect()}
+    assert len(got) == len(rows)
+    for k, m in images.items():
+        own, n = K.label(m, connectivity == 2)
+        for c in range(1, n + 1):
+            at = [(int(y), int(x)) for y, x in zip(*np.nonzero(own == c), strict=True)]
+            assert {got[(k, y, x)] for y, x in at} == {min(y * (1 << 20) + x for y, x in at)}
