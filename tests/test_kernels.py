@@ -255,3 +255,23 @@ def test_manifest_pairs_models_and_chunks(spark, tmp_path):
     assert files.write_chunks(spark, str(tmp_path / "chunks"), 10, 4, made) == [(0, 4), (4, 8), (8, 10)]
     assert files.write_chunks(spark, str(tmp_path / "chunks"), 10, 4, made) == []
     assert spark.read.parquet(str(tmp_path / "chunks")).count() == 10
+
+
+def test_attraction_of_some_rows():
+    """Rows of a tile are pulled as in the whole image, and only pairs with one of them are looked at."""
+    a = np.random.default_rng(5).random((60, 9))
+    whole, some = K.attraction(a, 7, 0.05, 20.0), K.attraction(a, 7, 0.05, 20.0, (20, 30))
+    assert np.allclose(whole[20:30], some[20:30]) and not some[:20].any() and not some[30:].any()
+    y, x = np.mgrid[:60, :9]
+    near = ((y - 22) ** 2 + (x - 4) ** 2 <= 49) & ~((y == 22) & (x == 4))
+    gap, far = a[near] - a[22, 4], ((y - 22) ** 2 + (x - 4) ** 2)[near] / 49
+    assert np.isclose(whole[22, 4], (0.05 * gap / (far + (20 * gap) ** 2 + 1e-4) ** 1.5).mean())
+
+
+def test_gabor_kernels_go_along_the_axes():
+    a = np.random.default_rng(6).random((20, 17))
+    want = np.zeros_like(a)
+    for i in range(4):
+        k = K.gabor_kernel(0.25, np.pi * i / 4)
+        want = np.maximum(want, np.hypot(K.convolve(a, k.real.copy()), K.convolve(a, k.imag.copy())))
+    assert np.allclose(K.gabor_energy(a, 5), want, atol=1e-12)

@@ -294,3 +294,9 @@ def test_components_meet_across_tiles(spark, connectivity):
         for c in range(1, n + 1):
             at = [(int(y), int(x)) for y, x in zip(*np.nonzero(own == c), strict=True)]
             assert {got[(k, y, x)] for y, x in at} == {min(y * (1 << 20) + x for y, x in at)}
+
+
+def test_tiles_before_an_image_are_not_made(spark):
+    """A halo over the first row or column used to send pixels to tiles that hold none."""
+    got = T.dealt(frame(spark, [np.zeros((20, 5))]), 6, 8).select("ty", "tx").distinct()
+    assert sorted(map(tuple, got.collect())) == [(y, x) for y in range(4) for x in (0, 1)]
