@@ -152,3 +152,21 @@ def test_counts_of_many_points_from_one_row_a_pixel(spark):
     for i in range(50):
         near, want = K.dilate(maps[i], 2), got[f"k{i}"]
         assert (want.img, want.low, want.mp, want.npred, want.mg, want.ngt) == ("a/b", i / 50, (maps[i] & K.dilate(gt, 2)).sum(), maps[i].sum(), (gt & near).sum(), gt.sum())
+
+
+def test_measures_of_an_image_go_in_groups(images):
+    """An image's measures used to be one group; each now gives what it gives by itself."""
+    from pyspark.sql import functions as F
+    from rasterweave.operators import kernels as K
+
+    some = images.withColumns({"oracle": F.col("img"), "estimated": F.col("img")})
+    specs = [m for m in M.registry(8) if m.get("kind") != "context_router"][: X.TOGETHER + 1]
+    got = X.gated_by_measure(some, [(m, (0.5, 0.8)) for m in specs], (5, 3), "oriented").toPandas()
+    assert len(got) == 2 * 2 * len(specs) == len(got.drop_duplicates(["measure", "roi_q", "img"]))
+    frames = {i: K.to_raster(f, ["v"])[0] for i, f in images.toPandas().groupby("img")}
+    for spec in specs:
+        for i, v in frames.items():
+            conf = K.ordinal(K.multiscale([K.descriptors(v, s, "oriented")[::2] for s in (5, 3)], (5, 3), spec))
+            score = K.suppress(K.detector(v, "scharr"), K.orientation(v)) * (conf >= 0.8)
+            row = got[(got["measure"] == spec["name"]) & (got["img"] == i) & (got["roi_q"] == 0.8)].iloc[0]
+            assert list(row["at"]) == list(score.ravel().nonzero()[0]) and list(row["score"]) == list(score[score != 0])
