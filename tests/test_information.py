@@ -291,3 +291,32 @@ def test_surprisal_keeps_rows_in_place_where_values_are_few(spark):
     finally:
         I.FEW = old
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", spark_limit)
+
+
+def test_both_betas_of_a_variable_tolerance_read_one_count(maps, monkeypatch):
+    """Thresholds and scores around truth were made anew for each beta."""
+    calls = []
+    for name in ("prepared", "exact_quantiles"):
+        monkeypatch.setattr(E, name, lambda *a, f=getattr(E, name), n=name: calls.append(n) or f(*a))
+    E.variable_tolerance(maps[1], "v", "gt", 9, 0.05).first()
+    assert sorted(calls) == ["exact_quantiles", "prepared"]
+
+
+def test_variable_tolerance_of_no_image(maps):
+    m = E.variable_tolerance(maps[1].where("false"), "v", "gt", 9).first()
+    assert (m.ODS, m.ODS_threshold, m.F05_ODS, m.R50) == (0.0, 0.0, 0.0, 0.0) and m.OIS is None
+
+
+def test_quantiles_of_many_columns_read_a_table_once(spark, monkeypatch):
+    from rasterweave.operators import ordering as O
+
+    monkeypatch.setattr(O, "WHOLE", 10)
+    d = spark.range(300).selectExpr("id % 2 as g", *[f"IF(id % 7 = {i}, double('nan'), double((id * {i + 3}) % 101)) as c{i}" for i in range(5)])
+    seen = []
+    monkeypatch.setattr(O, "materialize", lambda t, name, f=O.materialize: seen.append((name, t._jdf.queryExecution().optimizedPlan().toString())) or f(t, name))
+    got = {r.g: r for r in O.group_quantiles(d, ["g"], {f"c{i}": [0.0, 0.31, 1.0] for i in range(5)}).collect()}
+    p = d.toPandas()
+    for g, own in p.groupby("g"):
+        for i in range(5):
+            assert list(got[g][f"c{i}"]) == pytest.approx(np.nanquantile(own[f"c{i}"], [0.0, 0.31, 1.0]))
+    assert {"bins", "values"} <= {n for n, _ in seen} and not any("Union" in plan for _, plan in seen)
