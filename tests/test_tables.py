@@ -214,3 +214,16 @@ def test_small_and_wide_designs_give_one_gram(spark, eight, monkeypatch):
 def test_models_are_json(spark):
     spec = {"kind": "power", "q": 0.3}
     assert json.loads(spark.range(1).select(F.to_json(routing.route(routing.spec_map({"default": spec}), F.lit(None).cast("string")))).first()[0]) == spec
+
+
+def test_days_of_events_are_not_sent_to_all_tasks(spark, tmp_path):
+    """Spark chose to send all the images' sums by way of the driver, as they are small in a file; days past the thirtieth and null keys have no pixel."""
+    from rasterweave.plans.views import ev_img
+
+    rows = [(u, k, f"2024-01-{d:02d} 10:00:00", v) for u, k, d, v in ((0, "a", 1, 1.5), (0, "a", 1, 2.0), (1, "b", 30, 4.0), (1, "b", 31, 8.0), (None, "a", 2, 9.0), (0, "b", 3, None))]
+    spark.createDataFrame(rows, "user_id long, event_type string, t string, value double").selectExpr("user_id", "event_type", "timestamp(t) as ts", "value").write.parquet(f"{tmp_path}/events.parquet")
+    d = ev_img(spark, str(tmp_path))
+    got = {(r.img, r.y, r.x): r.v for r in d.collect()}
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert len(got) == 2 * 3 * 30 and {k: v for k, v in got.items() if v} == {("a", 0, 0): 3.5, ("b", 1, 29): 4.0}
+    assert "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
