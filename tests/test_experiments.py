@@ -170,3 +170,11 @@ def test_measures_of_an_image_go_in_groups(images):
             score = K.suppress(K.detector(v, "scharr"), K.orientation(v)) * (conf >= 0.8)
             row = got[(got["measure"] == spec["name"]) & (got["img"] == i) & (got["roi_q"] == 0.8)].iloc[0]
             assert list(row["at"]) == list(score.ravel().nonzero()[0]) and list(row["score"]) == list(score[score != 0])
+
+
+def test_staged_selection_makes_maps_once(spark, images, monkeypatch):
+    """The chosen preconditioner's maps were made a second time for the linkers."""
+    calls = []
+    monkeypatch.setattr(X, "detector_maps", lambda *a, f=X.detector_maps, **k: calls.append(1) or f(*a, **k))
+    X.staged(images, images, ("none",), n_thresholds=3, methods=(("none", {}),), **OPTIONS)
+    assert len(calls) == 2
