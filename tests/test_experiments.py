@@ -178,3 +178,17 @@ def test_staged_selection_makes_maps_once(spark, images, monkeypatch):
     monkeypatch.setattr(X, "detector_maps", lambda *a, f=X.detector_maps, **k: calls.append(1) or f(*a, **k))
     X.staged(images, images, ("none",), n_thresholds=3, methods=(("none", {}),), **OPTIONS)
     assert len(calls) == 2
+
+
+def test_chunks_share_descriptors(spark, images, tmp_path, monkeypatch):
+    """Each chunk made the descriptors anew."""
+    calls = []
+    monkeypatch.setattr(X, "features", lambda *a, f=X.features, **k: calls.append(1) or f(*a, **k))
+    ops = [r.asDict() for r in sweep.operator_specs(spark, "knownpairs").collect()][:2]
+    some = [m for m in M.registry(8) if m["name"] == "additive_uniform"]
+    for _ in range(2):
+        X.factorial(spark, images, str(tmp_path / "f"), ops, some, 1, n_thresholds=3)
+    assert len(calls) == 1
+    alone = X.measure_bank(images, some, operators=ops[1:], n_thresholds=3).first()
+    got = {r.config: r for r in spark.read.parquet(str(tmp_path / "f")).collect()}
+    assert got[alone.config].ODS == pytest.approx(alone.ODS) and got[alone.config].AP == pytest.approx(alone.AP)
