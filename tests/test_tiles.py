@@ -300,3 +300,18 @@ def test_tiles_before_an_image_are_not_made(spark):
     """A halo over the first row or column used to send pixels to tiles that hold none."""
     got = T.dealt(frame(spark, [np.zeros((20, 5))]), 6, 8).select("ty", "tx").distinct()
     assert sorted(map(tuple, got.collect())) == [(y, x) for y in range(4) for x in (0, 1)]
+
+
+def test_thinning_rests_where_nothing_is_new(spark):
+    """Bridged lines were thinned again everywhere."""
+    m = K.thin(np.random.default_rng(5).random((70, 40)) < 0.6)
+    new = np.zeros_like(m)
+    new[14:19, 14:19] = True
+    new &= ~m
+    y, x = np.indices(m.shape)
+    rows = [("a", int(j), int(i), bool(o), bool(f)) for j, i, o, f in zip(y.ravel(), x.ravel(), (m | new).ravel(), new.ravel(), strict=True)]
+    df = spark.createDataFrame(rows, "img string, y int, x int, m boolean, f boolean")
+    got = {(r.y, r.x) for r in T.thin(df, "m", "s", 16, 4, fresh="f").where("s").collect()}
+    assert got == set(map(tuple, np.argwhere(K.thin(m | new)).tolist()))
+    still = T.thin(df.selectExpr("img", "y", "x", "true as m", "false as f"), "m", "s", 16, 4, fresh="f")
+    assert still.where("s").count() == m.size
