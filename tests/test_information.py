@@ -126,6 +126,18 @@ def test_benchmark(maps):
         assert pytest.approx(c[ok, 2].max() if ok.any() else 0.0) == m.R50
 
 
+def test_curve_of_rows_without_a_place(spark):
+    """Documents have a score and a truth (named y here), but no place; scores that are no number count for nothing but the truth's number."""
+    rows = [("a", 1.0, True), ("a", 2.0, False), (None, 3.0, True), ("b", 4.0, None), ("b", float("nan"), True), ("b", None, True), ("a", 2.0, True)]
+    df = spark.createDataFrame(rows, "img string, score double, y boolean")
+    finite = [(s, bool(g)) for _, s, g in rows if s is not None and s == s]
+    want = []
+    for t in np.unique(np.quantile([s for s, _ in finite], E.threshold_probs(5))):
+        hit = sum(g for s, g in finite if s >= t)
+        want.append([t, hit / max(sum(s >= t for s, _ in finite), 1), hit / 5])
+    assert np.array(sorted(E.pr_curve(df, "score", "y", 0, 5).select("threshold", "precision", "recall").collect())) == pytest.approx(np.array(want))
+
+
 def test_variable_tolerance(maps):
     some, df = maps
     tol = lambda s: max(1, round(0.05 * math.hypot(*s.shape)))
