@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,15 @@ def test_gravity_in_rounds(spark):
         assert np.allclose(a, K.gravitational(img, iterations=3))
 
 
+def test_gravity_of_a_long_image(spark):
+    """The square of this many rows is no int any more."""
+    rows, frac = 47_000, 2.5 / 47_000
+    a = G.random((rows, 1))
+    d = spark.createDataFrame(pd.DataFrame({"img": "i0", "y": np.arange(rows, dtype=np.int32), "x": np.zeros(rows, np.int32), "v": a[:, 0]}), "img string, y int, x int, v double")
+    got = T.gravitational(d, "v", "o", iterations=1, interaction_radius_frac=frac).orderBy("y").toPandas()["o"].to_numpy()
+    assert np.allclose(got, K.gravitational(a, iterations=1, interaction_radius_frac=frac)[:, 0])
+
+
 # ---- learners
 
 
