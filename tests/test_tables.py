@@ -121,6 +121,27 @@ def test_gravity_in_rounds(spark):
         assert np.allclose(a, K.gravitational(img, iterations=3))
 
 
+def test_gravity_goes_all_rounds(spark, monkeypatch):
+    """The query did 6 of the filter's 30 rounds; each round left its tables on the disk."""
+    import inspect
+
+    from rasterweave.plans import queries_raster as Q
+
+    seen = {}
+    monkeypatch.setattr(Q.T, "gravitational", lambda d, v, o, f=T.gravitational, **more: seen.update(inspect.signature(f).bind(d, v, o, **more).arguments) or d.withColumnRenamed(v, o))
+    Q.gravity_rounds(spark, "/root/testdata/sf0.001")
+    assert seen.get("iterations", 30) == inspect.signature(K.gravitational).parameters["iterations"].default == 30
+
+
+def test_gravity_leaves_one_table(spark):
+    import os
+
+    kept = lambda: {n for n in os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) if n.startswith("gravity-")}
+    before = kept()
+    T.gravitational(frame(spark, [G.random((9, 9))]), "v", "o", iterations=3).count()
+    assert len(kept() - before) == 2  # the radii and the result
+
+
 def test_gravity_of_a_long_image(spark):
     """The square of this many rows is no int any more."""
     rows, frac = 47_000, 2.5 / 47_000
