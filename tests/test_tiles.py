@@ -315,3 +315,19 @@ def test_thinning_rests_where_nothing_is_new(spark):
     assert got == set(map(tuple, np.argwhere(K.thin(m | new)).tolist()))
     still = T.thin(df.selectExpr("img", "y", "x", "true as m", "false as f"), "m", "s", 16, 4, fresh="f")
     assert still.where("s").count() == m.size
+
+
+def test_thinning_ends_with_the_round_that_ends_it(spark, monkeypatch):
+    """A tile that had lost a pixel in a round was thinned once more, and each round left its tables on the disk."""
+    gone, kept = [], []
+    monkeypatch.setattr(T, "materialize", lambda d, name, f=T.materialize: kept.append(name) or f(d, name))
+    monkeypatch.setattr(T, "release", lambda *t, f=T.release: gone.extend(t) or f(*t))
+    masks = [np.random.default_rng(6).random((300, 30)) < 0.8, np.pad(np.ones((280, 90), bool), 3)]
+    df = frame(spark, [m.astype(float) for m in masks]).withColumn("m", F.col("v") > 0)
+    first = df.where("img = 'i0'")
+    got = arrays(T.thin(first, "m", "s"), "s", masks[:1])
+    assert (got[0] == K.thin(masks[0])).all() and len(kept) == 2 and not gone
+    kept.clear()
+    for a, b in zip(arrays(T.thin(df, "m", "s"), "s", masks), masks, strict=True):
+        assert (a == K.thin(b)).all()
+    assert len(kept) - len(gone) == 2 and gone  # the last round's two
