@@ -331,3 +331,19 @@ def test_thinning_ends_with_the_round_that_ends_it(spark, monkeypatch):
     for a, b in zip(arrays(T.thin(df, "m", "s"), "s", masks), masks, strict=True):
         assert (a == K.thin(b)).all()
     assert len(kept) - len(gone) == 2 and gone  # the last round's two
+
+
+def test_corridors_shuffle_narrow_rows(spark):
+    """A corridor's hundreds of rows carried both ends' places, length and heading through two shuffles."""
+    import re
+
+    pairs = L._placed(spark.createDataFrame([("a", 1 << 20 | 2, 4 << 20 | 6)], "img string, id_a long, id_b long")).selectExpr("*", "double(5) as length").withColumn("heading", L._heading())
+    y, x = np.indices((8, 9))
+    pixels = spark.createDataFrame(pd.DataFrame({"img": "a", "y": y.ravel(), "x": x.ravel(), "c": G.random(72)}), "img string, y int, x int, c double")
+    got = L.ways(pairs, pixels, F.col("c") + 0 * F.col("heading"), 3)
+    r = got.first()
+    c = np.array([p.c for p in pixels.orderBy("y", "x").collect()]).reshape(8, 9)
+    way, total = K.route(c[0:8, 0:9], (1, 2), (4, 6))
+    assert r.length == 5.0 and [(p.y, p.x) for p in r.way] == [tuple(map(int, p)) for p in way] and r["mean"] == pytest.approx(total / len(way))
+    taken = re.search(r"FlatMapGroupsInPandas.*?run\((.*?)\)", got._jdf.queryExecution().analyzed().toString())[1]
+    assert [t.split("#")[0] for t in taken.split(", ")] == ["img", "id_a", "id_b", "y", "x", "cost"]
